@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import urls
+from . import mixing, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op9_mix_sources": mixing.op9_mix_sources,
         "op10_url_filter": urls.op10_url_filter,
     }
 
