@@ -20,7 +20,9 @@ def local_session(cores: str = "*", **conf: str) -> SparkSession:
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
     }
-    return builder.config(map=defaults | conf).getOrCreate()
+    spark = builder.config(map=defaults | conf).getOrCreate()
+    reach(spark)
+    return spark
 
 
 def reach(spark: SparkSession) -> None:
