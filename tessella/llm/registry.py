@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, tokens, urls
+from . import decontam, mixing, quality, tokens, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_decontaminate": decontam.op3_decontaminate,
+        "op4_quality": quality.op4_quality,
         "op6_token_output": tokens.op6_token_output,
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_url_filter": urls.op10_url_filter,
