@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ..session import load, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-BLOCK_WORDS, MAX_EPOCHS, SLOTS_PER_SHARD, SLOTS_PER_ROW, ROUNDS, SEED = 64, 3, 4096, 1 << 16, 12, 20240229
+BLOCK_WORDS, MAX_EPOCHS, SLOTS_PER_SHARD, SLOTS_PER_ROW, ROUNDS, SEED = 64, 3, 4096, 1 << 13, 12, 20240229
 
 
 def source_key(source: Column) -> Column:
@@ -95,7 +95,7 @@ def slots(quota: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) ->
     facts = facts.withColumn("all_slots", F.sum("slots").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     facts = facts.where("slots > 0")
     runs = facts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SLOTS_PER_ROW))).alias("run"))
-    runs = runs.repartition("skey", "run")
+    runs = runs.repartition(int(quota.sparkSession.conf.get("spark.sql.shuffle.partitions")), "skey", "run")
     begin = F.col("run") * SLOTS_PER_ROW
     one = runs.select("*", F.explode(F.sequence(begin, F.least(begin + SLOTS_PER_ROW, F.col("slots")) - 1)).alias("slot"))
     return one.select(
