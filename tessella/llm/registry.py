@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, quality, tokens, urls
+from . import decontam, jaccard, mixing, quality, tokens, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_jaccard": jaccard.op2_jaccard,
         "op3_decontaminate": decontam.op3_decontaminate,
         "op4_quality": quality.op4_quality,
         "op6_token_output": tokens.op6_token_output,
