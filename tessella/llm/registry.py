@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, mixing, quality, tokens, urls
+from . import decontam, jaccard, mixing, quality, substrings, tokens, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": substrings.op1_substring_dedup,
         "op2_jaccard": jaccard.op2_jaccard,
         "op3_decontaminate": decontam.op3_decontaminate,
         "op4_quality": quality.op4_quality,
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_substring_dedup": substrings.SQL,
         "op3_decontaminate": decontam.SQL,
         "op10_url_filter": urls.SQL,
     }
