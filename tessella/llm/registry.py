@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, mixing, quality, substrings, tokens, urls
+from . import decontam, jaccard, mixing, quality, substrings, tokens, urls, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontaminate": decontam.op3_decontaminate,
         "op4_quality": quality.op4_quality,
         "op6_token_output": tokens.op6_token_output,
+        "op8_vector_dedup": vectors.op8_vector_dedup,
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_url_filter": urls.op10_url_filter,
     }
