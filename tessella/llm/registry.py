@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, mixing, quality, substrings, tokens, urls, vectors
+from . import decontam, jaccard, lm, mixing, quality, substrings, tokens, urls, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_jaccard": jaccard.op2_jaccard,
         "op3_decontaminate": decontam.op3_decontaminate,
         "op4_quality": quality.op4_quality,
+        "op5_lm_scores": lm.op5_lm_scores,
         "op6_token_output": tokens.op6_token_output,
         "op8_vector_dedup": vectors.op8_vector_dedup,
         "op9_mix_sources": mixing.op9_mix_sources,
