@@ -23,21 +23,32 @@ ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load, reach, scratch_path
 
 TOKENIZER, END_ID, LENGTH, ROWS = "byte_bpe_50k.json", 2, 2048, 512
-MOST_PIECES, LONGEST_KEPT = 500_000, 64
+MOST_PIECES, LONGEST_KEPT = 600_000, 64
+
+#: Fixed by the byte-level tokenizers' public definition: where their pattern cuts a text, and the letter that stands for
+#: each byte (itself if it is printable, else the next free one from 256 on).
+PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+#: Pieces whose characters have long-settled classes, and no start of a special token.
+LATIN = re.compile(r"\n?[!-;=-~\u00A1-\u00AC\u00AE-\u024F]+")
 
 _encoders: dict[str, Encoder] = {}
 
@@ -62,7 +73,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
-        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        plan = json.loads(self.tokenizer.to_str())
+        cut = plan["pre_tokenizer"] or {}
+        self.byte_level = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True) and plan["normalizer"] is None
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -73,37 +86,35 @@ class Encoder:
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, keys: list[str]) -> Iterator[tuple[str, bytes]]:
-        """The ids that each key stands for. Keys without line ends inside go to the tokenizer as lines of one text."""
-        spaced = [k for k in keys if "\n" not in k and not self.ODD.search(k)]
-        opening = [k for k in keys if k[0] == "\n" and "\n" not in k[1:] and len(k) > 1 and not self.ODD.search(k[1:])]
-        if len(self.line_end) != 1:
-            spaced = opening = []
-        newline = np.array(self.line_end, self.dtype)
-        for lines, before, prefix in ((spaced, " ", b""), (opening, "", newline.tobytes())):
-            for begin in range(0, len(lines), 2000):
-                some = lines[begin : begin + 2000]
-                whole = "\n".join([before + k.removeprefix("\n") for k in some])
-                ids = np.array(self.tokenizer.encode_batch_fast([whole], add_special_tokens=False)[0].ids, self.dtype)
-                cuts = [-1, *np.flatnonzero(ids == newline[0]).tolist(), len(ids)]
-                for k, low, high in zip(some, cuts[:-1], cuts[1:], strict=True):
-                    yield k, prefix + ids[low + 1 : high].tobytes()
-        rest = sorted({*keys} - {*spaced} - {*opening})
-        yield from zip(rest, self._plain([k if k[0] == "\n" else f" {k}" for k in rest]), strict=True)
+    def _latin(self, key: str) -> bytes:
+        """The ids of a piece of Latin text: cut by the tokenizer's own pattern, then merged by its model."""
+        text = key if key[0] == "\n" else f" {key}"
+        parts = [text] if key.isalpha() else PATTERN.findall(text)
+        return array(self.dtype.char, [t.id for p in parts for t in self.tokenizer.model.tokenize(p.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
+
+    def _fill(self, keys: set[str]) -> None:
+        latin = [k for k in keys if LATIN.fullmatch(k)] if self.byte_level else []
+        self.known.update(zip(latin, map(self._latin, latin), strict=True))
+        rest = sorted(keys.difference(latin))
+        self.known.update(zip(rest, self._plain([k if k[0] == "\n" else f" {k}" for k in rest]), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text. Keys of the table stand for a space and the key, or for a key that begins with a line end."""
         split = [self.SINGLE.split(t) if self.ODD.search(t) else t.replace("\n", " \n").split(" ") for t in (t or "" for t in texts)]
         if len(self.known) > MOST_PIECES:
             self.known = {}
-        known = self.known
-        missing = list({p for pieces in split for p in pieces[1:] if p not in known})
-        known.update(self._pieces(missing))
         heads = self._plain([pieces[0] for pieces in split])
-        out = [np.frombuffer(b"".join([head, *map(known.__getitem__, pieces[1:])]), self.dtype) for head, pieces in zip(heads, split, strict=True)]
+        found = [list(map(self.known.get, pieces[1:])) for pieces in split]
+        missing = {p for pieces, ids in zip(split, found, strict=True) if None in ids for p, x in zip(pieces[1:], ids, strict=True) if x is None}
+        self._fill(missing)
+        out = []
+        for head, pieces, ids in zip(heads, split, found, strict=True):
+            if None in ids:
+                ids = map(self.known.__getitem__, pieces[1:])
+            out.append(np.frombuffer(b"".join([head, *ids]), self.dtype))
         for p in missing:
             if len(p) > LONGEST_KEPT:
-                del known[p]
+                del self.known[p]
         return out
 
 
