@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, lm, mixing, quality, substrings, tokens, urls, vectors
+from . import decontam, jaccard, lm, mixing, quality, substrings, tokens, toxicity, urls, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality": quality.op4_quality,
         "op5_lm_scores": lm.op5_lm_scores,
         "op6_token_output": tokens.op6_token_output,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op8_vector_dedup": vectors.op8_vector_dedup,
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_url_filter": urls.op10_url_filter,
