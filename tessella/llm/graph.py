@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +37,15 @@ def components(links: DataFrame) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+
+
+def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node that each of n nodes reaches over the links (i, j)."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        np.minimum.at(label, i, before[j])
+        np.minimum.at(label, j, label[i])
+        label = label[label]
+        if (label == before).all():
+            return label

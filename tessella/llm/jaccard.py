@@ -9,13 +9,13 @@ shingles, and ranges of that order are the fragments. Two documents link when ``
    and sets that share none can't link. The number of fragments depends on the size interval alone; sets that
    could link across the bound of two intervals offer signatures for that bound too. Sets with so many empty fragments
    that the argument would fail also offer the first shingles of the order (prefix filter).
-3. Signatures are grouped to the smallest document of each; a pair of a document and such a leader is a candidate.
-   No bucket is ever expanded into all its pairs: a pair is compared only as long as its two documents are
-   not connected otherwise.
+3. Signatures are grouped to the smallest document of each; each document is compared with the smallest such leader.
+   No bucket is ever expanded into its pairs.
 4. Comparison: the sets of both documents are cut at fixed points of the order; for each fragment the overlap is
    counted by itself, and the counts are summed per pair.
-5. Components of the links found. Buckets whose documents lie in several components afterwards go on: each
-   document meets the smallest document of every other component in its bucket, then all documents that are left.
+5. Buckets whose documents lie in several components of these links go on. Buckets that share documents make a cluster.
+   Documents whose shingles found nowhere else in the cluster exclude every partner leave it. The rest are compared tile by
+   tile (a bounded number of documents), again fragment by fragment; a tile reports a spanning forest of its links.
 
 Defined cases: a null or empty text, or one without words, has an empty set and links with nothing; with fewer
 words than n the whole sequence is the one shingle; equal texts are linked; rows with a null doc_id link with
@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load, materialize
-from .graph import components
+from .graph import components, forest
 from .words import SPACE_WORDS, Words, gram_hashes, gram_starts, mix64, pieces
 
-RATIO, SLACK, CUTS, MOST_BROADCAST_IDS = 1.8, 0.1, 4, 2_000_000
+RATIO, SLACK, CUTS, MOST_BROADCAST_IDS, TILE_DOCS, TILE_SHINGLES = 1.8, 0.1, 4, 2_000_000, 600, 1_000_000
 BOUNDS = [1]
 while BOUNDS[-1] < 1 << 40:
     BOUNDS.append(max(BOUNDS[-1] + 1, int(BOUNDS[-1] * RATIO)))
@@ -177,6 +177,69 @@ class _Join:
         return whole.where((self.num + self.den) * F.col("n") >= self.num * (F.col("size_a") + F.col("size_b"))).select("a", "b")
 
 
+    def linked_in_clusters(self, left: DataFrame) -> DataFrame:
+        """Links (a, b), a spanning forest of them, among documents that any bucket of ``left`` (leader, id) connects.
+
+        Nothing that could link is left out: a cluster holds all buckets that share documents, and a document goes only if
+        its shingles that no other of its cluster has rule out every partner of a size there is.
+        """
+        num, den = self.num, self.den
+        cluster = materialize(components(left.select(F.col("leader").alias("a"), F.col("id").alias("b"))).select(F.col("node").alias("id"), F.col("component").alias("cluster")), "jaccard-clusters")
+        cuts = materialize(self.segments(cluster.select("id")).join(cluster, "id"), "jaccard-segments")
+        for _ in range(2):
+            alone = cuts.select("cluster", "id", F.explode("hashes").alias("h")).groupBy("cluster", "h").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+            alone = alone.groupBy("id").agg(F.count("*").alias("alone"))
+            docs = cuts.select("cluster", "id", "size").distinct()
+            sizes = docs.groupBy("cluster").agg(F.collect_set("size").alias("sizes"))
+            docs = docs.join(sizes, "cluster").join(alone, "id", "left").withColumn("shared", F.col("size") - F.coalesce("alone", F.lit(0)))
+            # overlap <= shared, so the partner's size is at most shared * (num + den) / num - size
+            most = F.least(F.floor(F.col("shared") * (num + den) / num) - F.col("size"), F.floor(F.col("size") * den / num))
+            docs = docs.withColumns({"least": F.ceil(F.col("size") * num / den), "most": most}).where(F.exists("sizes", lambda n: (n >= F.col("least")) & (n <= F.col("most"))))
+            cuts = materialize(cuts.join(docs.select("id"), "id", "left_semi"), "jaccard-segments")
+        weigh = cuts.groupBy("cluster").agg(F.countDistinct("id").alias("n"), F.sum(F.size("hashes")).alias("shingles"))
+        tiles = weigh.where("n > 1").select("cluster", F.ceil(F.greatest(F.col("n") / TILE_DOCS, F.col("shingles") / TILE_SHINGLES)).cast("int").alias("tiles"))
+        sent = cuts.join(tiles, "cluster").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        sent = sent.select("cluster", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), (F.col("tile") > F.col("other")).alias("second"), "id", "size", "cut", "hashes")
+
+        def compare(table: pa.Table) -> pa.Table:
+            own = [table.column(c).to_numpy() for c in ("id", "size", "cut", "second")]
+            parts = table.column("hashes").combine_chunks()
+            counts, flat = np.diff(parts.offsets.to_numpy()), parts.flatten().to_numpy()
+            a, b = tile_links(*own, counts, flat, num, den)
+            return pa.table([pa.array(a), pa.array(b)], ["a", "b"])
+
+        return materialize(sent.groupBy("cluster", "low", "high").applyInArrow(compare, "a long, b long"), "jaccard-links")
+
+
+def tile_links(ids: np.ndarray, sizes: np.ndarray, cut: np.ndarray, second: np.ndarray, counts: np.ndarray, hashes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between a tile's documents (second: false) and another's, or within one tile.
+
+    A row is one cut of one document with ``counts`` of ``hashes``. Overlaps are matrix products over some shingles at a time.
+    """
+    names, row = np.unique(ids, return_inverse=True)
+    size, side = np.zeros(len(names), np.int64), np.zeros(len(names), bool)
+    size[row], side[row] = sizes, second
+    x, y = (np.flatnonzero(~side), np.flatnonzero(side)) if side.any() else (np.arange(len(names)),) * 2
+    overlap = np.zeros((len(x), len(y)), np.float32)
+    of, cut_of = np.repeat(row, counts), np.repeat(cut, counts)
+    for c in range(CUTS):
+        here = cut_of == c
+        _, column, n = np.unique(hashes[here], return_inverse=True, return_counts=True)
+        shared = np.cumsum(n > 1) - 1  # shingles of one document alone add nothing
+        use = n[column] > 1
+        document, column = of[here][use], shared[column[use]]
+        for begin in range(0, int(column.max(initial=-1)) + 1, 2048):
+            some = (column >= begin) & (column < begin + 2048)
+            marks = np.zeros((len(names), 2048), np.float32)
+            marks[document[some], column[some] - begin] = 1
+            overlap += marks[x] @ marks[y].T
+    i, j = np.nonzero((num + den) * overlap.astype(np.int64) >= num * (size[x][:, None] + size[y][None, :]))
+    i, j = x[i], y[j]
+    label = forest(i[i != j], j[i != j], len(names))
+    linked = label != np.arange(len(names))
+    return names[label[linked]], names[linked]
+
+
 def jaccard_components(docs: DataFrame, n: int, num: int, den: int, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of each document."""
     join = _Join(docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")), n, num, den)
@@ -188,34 +251,13 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int, text: str =
     members = rows.join(leaders, "sig").join(labels.select(F.col("label").alias("doc_id")).distinct(), "doc_id", "left_semi")
     members = materialize(members.select("sig", F.col("doc_id").alias("id"), "leader").distinct(), "jaccard-members")
 
-    none = join.spark.createDataFrame([], "a long, b long")
-    links, done = none, none
-    pairs = members.where("id <> leader").groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
-    for step in ("one leader", "all leaders", "heads", "rest"):
-        pairs = materialize(pairs.distinct(), "jaccard-pairs")
-        if pairs.isEmpty():
-            if step == "rest":
-                break
-        else:
-            links = materialize(links.unionByName(join.linked(pairs)), "jaccard-links")
-            done = done.unionByName(pairs)
-        groups = materialize(components(links), "jaccard-groups")
-        of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_group"))  # noqa: E731, B023
-        spread = members.join(of("id"), "id", "left").withColumn("group", F.coalesce("id_group", "id")).select("sig", "id", "leader", "group")
-        several = spread.groupBy("sig").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 < g1").select("sig")
-        left = spread.join(several, "sig")
-        if step == "one leader":
-            lead = left.select(F.col("leader").alias("a"), F.col("id").alias("b"), "group").where("a <> b")
-            pairs = lead.join(of("a"), "a", "left").where("group <> coalesce(a_group, a)").select("a", "b")
-        elif step == "all leaders":
-            heads = left.groupBy("sig", "group").agg(F.min("id").alias("a")).withColumnRenamed("group", "a_group")
-            pairs = left.join(heads, "sig").where("group <> a_group").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-        else:
-            other = left.select("sig", F.col("id").alias("a"), F.col("group").alias("a_group"))
-            pairs = left.join(other, "sig").where("group > a_group").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-        pairs = pairs.distinct().join(done, ["a", "b"], "left_anti")
-    else:
-        groups = components(links)
+    first = members.where("id <> leader").groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
+    links = materialize(join.linked(materialize(first, "jaccard-pairs")), "jaccard-links")
+    groups = components(links)
+    spread = members.join(groups.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", "leader", F.coalesce("component", "id").alias("group"))
+    several = spread.groupBy("sig").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 < g1").select("sig")
+    left = materialize(members.join(several, "sig").select("leader", "id").distinct(), "jaccard-left")
+    groups = components(links.unionByName(join.linked_in_clusters(left)))
     classes = sets.where("n_shingles > 0 and doc_id is not null").join(labels, ["h1", "h2"]).select("doc_id", "n_shingles", "label")
     classes = classes.join(groups.withColumnRenamed("node", "label"), "label", "left")
     alone = sets.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

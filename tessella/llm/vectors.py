@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load, materialize
-from .graph import components
+from .graph import components, forest
 
 THRESHOLD, BLOCK_ROWS, TILE_ROWS, STAGES = 0.95, 8192, 1024, (16, 32)
 NEAR = 1e-9
@@ -79,18 +79,6 @@ def tile_links(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarr
     return i, j, value
 
 
-def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """The smallest node that each of n nodes reaches over the links (i, j)."""
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        np.minimum.at(label, i, before[j])
-        np.minimum.at(label, j, label[i])
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
 def block_links(uid: np.ndarray, side: np.ndarray, v: np.ndarray, turned: np.ndarray, threshold: float, reach: float) -> tuple[np.ndarray, np.ndarray]:
     """(links of each row, smallest row that it reaches) within a block (one side), or between two blocks."""
     order = np.lexsort((turned[:, 0], side))
