@@ -101,7 +101,7 @@ class SliceSpec:
     def apply(self, voxels: DataFrame, chunk: Mapping[str, int] | None = None, squeeze: bool = False) -> DataFrame:
         """The voxels inside, renumbered from 0 in steps; ``squeeze`` drops axes of length 1."""
         out = voxels.where(self.predicate(chunk))
-        moved = {n: F.floor((F.col(n) - a.start) / a.step).cast("int") for n, a in zip(AXES, self.axes, strict=True)}
+        moved = {n: F.floor((F.col(n) - a.start) / a.step).cast("int") if a.step > 1 else F.col(n) - a.start for n, a in zip(AXES, self.axes, strict=True)}
         out = out.withColumns(moved)
         return out.drop(*(n for n, a in zip(AXES, self.axes, strict=True) if squeeze and a.size == 1))
 

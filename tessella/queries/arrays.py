@@ -423,3 +423,64 @@ def info_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = "data_type string, num_channels int, type string, scales array<struct<chunk_sizes:array<array<int>>,encoding:string,key:string,resolution:array<double>,size:array<int>,voxel_offset:array<int>>>"
     doc = info.select(F.from_json("info", schema).alias("i")).select("i.data_type", "i.num_channels", F.explode("i.scales").alias("s"))
     return doc.select(F.col("s.key").cast("long").alias("r"), F.to_json("s.size").alias("size"), F.col("s.resolution")[0].alias("nm_x"), F.col("s.resolution")[2].alias("nm_z"), "s.encoding", "num_channels", "data_type")
+
+
+# encoded chunks
+
+
+BYTES = """bytes AS (SELECT c, z // 4 AS cz, y // 8 AS cy, x // 8 AS cx, string_agg(lpad(to_hex(v % 256), 2, '0') || lpad(to_hex(v // 256), 2, '0'), '' ORDER BY z, y, x) AS h, count(*) AS n FROM vox GROUP BY ALL)"""
+
+
+@query(sql("SELECT c, cz, cy, cx, md5(unhex(h)) AS digest FROM bytes WHERE n = 256", "c cz cy cx", rest="digest", ctes=(VOX, BYTES)))
+def chunk_payload_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.encode import chunks_of
+
+    v = volume(spark, sf_dir)
+    shape = shape_of(v)
+    full = v.groupBy("c", *(grid.chunk_number(F.col(a), k).alias(f"c{a}") for a, k in zip("zyx", CHUNK, strict=True))).agg(F.count("*").alias("n")).where("n = 256")
+    return chunks_of(v, CHUNK, "uint16", shape=shape).join(full, ["c", "cz", "cy", "cx"], "left_semi").select("c", "cz", "cy", "cx", F.md5("payload").alias("digest"))
+
+
+@query(vox("SELECT c, z, y, x, v FROM vox WHERE v > 0", "c z y x v"))
+def chunk_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.encode import chunks_of, voxels_of
+
+    v = volume(spark, sf_dir)
+    shape = shape_of(v)
+    return voxels_of(chunks_of(v, CHUNK, "uint16", "zstd"), CHUNK, shape, "uint16").where("v > 0").select("c", "z", "y", "x", "v")
+
+
+@query(vox("SELECT c, z, y, x, v FROM vox WHERE c = 1 AND z >= 4 AND v > 0", "c z y x", "v"))
+def zarr_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..model import ArrayDataset, Level
+    from ..session import scratch_path
+    from ..sources.zarr import read_zarr, write_zarr
+
+    v = volume(spark, sf_dir)
+    ds = ArrayDataset("orders", "uint16", 1, 2, (Level(0, shape_of(v), CHUNK),))
+    uri = scratch_path(spark, "orders.ome.zarr")
+    write_zarr([v], ds, uri)
+    return read_zarr(spark, uri).where("r = 0 and c = 1 and cz >= 1 and v > 0").select("c", "z", "y", "x", "v")
+
+
+@query(vox("SELECT c, z, y, x, v FROM vox WHERE v > 0", "c z y x v"))
+def zsharded_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..model import ArrayDataset, Level
+    from ..session import scratch_path
+    from ..sources.zshard import read_zsharded, write_zsharded
+
+    v = volume(spark, sf_dir)
+    ds = ArrayDataset("orders", "uint16", 1, 2, (Level(0, shape_of(v), CHUNK),))
+    uri = scratch_path(spark, "orders.z_sharded")
+    write_zsharded([v], ds, uri)
+    return read_zsharded(spark, uri).where("v > 0").select("c", "z", "y", "x", "v")
+
+
+@query(vox("SELECT c, z, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM vox GROUP BY c, z", "c z n total"))
+def tiff_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.encode import planes
+    from ..sources.tiff import planes_to_voxels
+
+    v = volume(spark, sf_dir)
+    files = planes(v, shape_of(v), "uint16").withColumnRenamed("tiff", "content")
+    return planes_to_voxels(files).join(v.select("c", "z", "y", "x"), ["c", "z", "y", "x"], "left_semi").groupBy("c", "z").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
