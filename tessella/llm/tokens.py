@@ -40,13 +40,14 @@ from pyspark.sql import functions as F
 from ..session import load, reach, scratch_path
 
 TOKENIZER, END_ID, LENGTH, ROWS = "byte_bpe_50k.json", 2, 2048, 512
-MOST_PIECES, LONGEST_KEPT = 600_000, 64
+MOST_PIECES, LONGEST_KEPT = 1_200_000, 64
 
 #: Fixed by the byte-level tokenizers' public definition: where their pattern cuts a text, and the letter that stands for
 #: each byte (itself if it is printable, else the next free one from 256 on).
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+SPACE_LETTER, LINE_LETTER, MARKS = chr(BYTE_LETTERS[32]), chr(BYTE_LETTERS[10]), "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~'"
 #: Pieces whose characters have long-settled classes, and no start of a special token.
 LATIN = re.compile(r"\n?[!-;=-~\u00A1-\u00AC\u00AE-\u024F]+")
 
@@ -62,8 +63,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class Encoder:
     """Encodes texts piece by piece; a Python worker keeps one for all its tasks."""
 
-    #: White space that is not one space or line end between visible characters.
-    ODD = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
+    DOUBLE, OTHER = ("  ", " \n", "\n ", "\n\n"), re.compile(r"[^\S \n]")
     SINGLE = re.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, path: str) -> None:
@@ -73,6 +73,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         plan = json.loads(self.tokenizer.to_str())
         cut = plan["pre_tokenizer"] or {}
         self.byte_level = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True) and plan["normalizer"] is None
@@ -86,35 +87,58 @@ class Encoder:
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _odd(self, text: str) -> bool:
+        """Whether there is white space that is not one space or line end between visible characters."""
+        return any(pair in text for pair in self.DOUBLE) or text[:1].isspace() or text[-1:].isspace() or self.OTHER.search(text) is not None
+
+    def _model(self, part: str) -> bytes:
+        """The ids of one part of the tokenizer's pattern."""
+        letters = part.replace(" ", SPACE_LETTER).replace("\n", LINE_LETTER) if part.isascii() else part.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array(self.dtype.char, [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+
     def _latin(self, key: str) -> bytes:
-        """The ids of a piece of Latin text: cut by the tokenizer's own pattern, then merged by its model."""
-        text = key if key[0] == "\n" else f" {key}"
-        parts = [text] if key.isalpha() else PATTERN.findall(text)
-        return array(self.dtype.char, [t.id for p in parts for t in self.tokenizer.model.tokenize(p.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
+        """The ids of a piece of Latin text: cut as the tokenizer's own pattern does, then merged by its model."""
+        if key.isalpha():
+            return self._model(f" {key}")
+        word = key.rstrip(MARKS)
+        if word.isalpha():  # one word and its punctuation
+            if word not in self.known:
+                self.known[word] = self._model(f" {word}")
+            marks = key[len(word) :]
+            if marks not in self.marks:
+                self.marks[marks] = self._model(marks)
+            return self.known[word] + self.marks[marks]
+        return b"".join(map(self._model, PATTERN.findall(key if key[0] == "\n" else f" {key}")))
 
     def _fill(self, keys: set[str]) -> None:
         latin = [k for k in keys if LATIN.fullmatch(k)] if self.byte_level else []
-        self.known.update(zip(latin, map(self._latin, latin), strict=True))
+        for k in latin:
+            self.known[k] = self._latin(k)
         rest = sorted(keys.difference(latin))
         self.known.update(zip(rest, self._plain([k if k[0] == "\n" else f" {k}" for k in rest]), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text. Keys of the table stand for a space and the key, or for a key that begins with a line end."""
-        split = [self.SINGLE.split(t) if self.ODD.search(t) else t.replace("\n", " \n").split(" ") for t in (t or "" for t in texts)]
         if len(self.known) > MOST_PIECES:
-            self.known = {}
+            self.known, self.marks = {}, {}
+        split = [self.SINGLE.split(t) if self._odd(t) else t.replace("\n", " \n").split(" ") for t in (t or "" for t in texts)]
         heads = self._plain([pieces[0] for pieces in split])
-        found = [list(map(self.known.get, pieces[1:])) for pieces in split]
-        missing = {p for pieces, ids in zip(split, found, strict=True) if None in ids for p, x in zip(pieces[1:], ids, strict=True) if x is None}
-        self._fill(missing)
-        out = []
-        for head, pieces, ids in zip(heads, split, found, strict=True):
-            if None in ids:
-                ids = map(self.known.__getitem__, pieces[1:])
-            out.append(np.frombuffer(b"".join([head, *ids]), self.dtype))
-        for p in missing:
-            if len(p) > LONGEST_KEPT:
-                del self.known[p]
+        flat = [p for pieces in split for p in pieces[1:]]
+        ids = list(map(self.known.get, flat))
+        if None in ids:
+            at = [i for i, x in enumerate(ids) if x is None]
+            missing = {flat[i] for i in at}
+            self._fill(missing)
+            for i in at:
+                ids[i] = self.known[flat[i]]
+            for p in missing:
+                if len(p) > LONGEST_KEPT:
+                    del self.known[p]
+        out, begin = [], 0
+        for head, pieces in zip(heads, split, strict=True):
+            end = begin + len(pieces) - 1
+            out.append(np.frombuffer(head + b"".join(ids[begin:end]), self.dtype))
+            begin = end
         return out
 
 
