@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ..session import load
 from .words import SPACE_WORDS, Words, gram_hashes, gram_starts, pieces, ranges, utf8, window_minimum
 
-WINDOW, GRAM, SLICE_BYTES, BUCKETS_PER_PARTITION, PACK_ABOVE = 13, 3, 2 << 20, 8, 400
+WINDOW, GRAM, SLICE_BYTES, BUCKETS_PER_PARTITION, PACK_ABOVE, PACK_LEVEL = 13, 3, 3 << 20, 4, 400, 3
 _KEYS = np.dtype([("doc_id", "<i8"), ("text_hash", "<i8"), ("begin", "<i4"), ("size", "<i4")])
 _RANGES = np.dtype([("doc_id", "<i8"), ("text_hash", "<i8"), ("low", "<i4"), ("high", "<i4")])
 
@@ -151,7 +151,7 @@ def pack(buckets: int, window: int, gram: int, batch: pa.RecordBatch) -> Iterato
 
 def _payload(local: np.ndarray, keys: np.ndarray, data: bytes) -> bytes:
     raw = np.array([len(local), len(keys)], "<u4").tobytes() + local.tobytes() + keys.tobytes() + data
-    return b"\x01" + zstandard.compress(raw, 1) if len(raw) > PACK_ABOVE else b"\x00" + raw
+    return b"\x01" + zstandard.compress(raw, PACK_LEVEL) if len(raw) > PACK_ABOVE else b"\x00" + raw
 
 
 def _unpacked(payload: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
@@ -219,7 +219,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text
     found = repeated_ranges(docs, window, gram).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(1)
+        packer = zstandard.ZstdCompressor(PACK_LEVEL)
         for batch in pieces(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([packer.compress(t.encode()) for t in batch.column(2).to_pylist()], pa.binary())], ["doc_id", "text_hash", "packed"])
 
