@@ -9,7 +9,8 @@ shingles, and ranges of that order are the fragments. Two documents link when ``
    and sets that share none can't link. The number of fragments depends on the size interval alone; sets that
    could link across the bound of two intervals offer signatures for that bound too. Sets with so many empty fragments
    that the argument would fail also offer the first shingles of the order (prefix filter).
-3. Signatures are grouped to the smallest document of each; each document is compared with the smallest such leader.
+3. Signatures are grouped to the smallest document of each; a second pass brings only those that several documents have
+   (a Bloom filter of bounded size, then a join) to their documents. Each document is compared with the smallest such leader.
    No bucket is ever expanded into its pairs.
 4. Comparison: the sets of both documents are cut at fixed points of the order; for each fragment the overlap is
    counted by itself, and the counts are summed per pair.
@@ -33,9 +34,10 @@ from pyspark.sql import functions as F
 
 from ..session import load, materialize
 from .graph import components, forest
+from .lm import build_filter
 from .words import SPACE_WORDS, Words, gram_hashes, gram_starts, mix64, pieces
 
-RATIO, SLACK, CUTS, MOST_BROADCAST_IDS, TILE_DOCS, TILE_SHINGLES = 1.8, 0.1, 4, 2_000_000, 600, 1_000_000
+RATIO, SLACK, CUTS, MOST_BROADCAST_IDS, TILE_DOCS, TILE_SHINGLES, MOST_FILTER_BYTES = 1.8, 0.1, 4, 2_000_000, 600, 1_000_000, 32 << 20
 BOUNDS = [1]
 while BOUNDS[-1] < 1 << 40:
     BOUNDS.append(max(BOUNDS[-1] + 1, int(BOUNDS[-1] * RATIO)))
@@ -138,13 +140,20 @@ class _Join:
 
         return materialize(self.docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long"), "jaccard-sets")
 
-    def rows(self) -> DataFrame:
+    def rows(self, among: DataFrame | None = None) -> DataFrame:
+        """sig, doc_id; given ``among`` (sig), only those that a filter of its signatures, of bounded size, lets pass."""
         n, num, den = self.n, self.num, self.den
+        shared = None
+        if among is not None:
+            shared = self.spark.sparkContext.broadcast(build_filter(among.select(F.col("sig").alias("hash"), F.lit(1).cast("long").alias("n")), MOST_FILTER_BYTES, prune=False)[0])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches, "text", 1 << 19):
                 of, grams, sizes = shingle_sets(batch.column(1), n)
                 texts, found = signatures(of, grams, sizes, num, den)
+                if shared is not None:
+                    passes = shared.value.levels(found) > 0
+                    texts, found = texts[passes], found[passes]
                 yield _batch(["sig", "doc_id"], pa.array(found.view(np.int64)), batch.column(0).take(pa.array(texts)))
 
         return self.docs.where("doc_id is not null").mapInArrow(run, "sig long, doc_id long")
@@ -246,10 +255,12 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int, text: str =
     sets = join.sets()
     labels = sets.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("label"))
     labels = materialize(labels, "jaccard-classes")
-    rows = join.rows()
-    leaders = rows.groupBy("sig").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last")
-    members = rows.join(leaders, "sig").join(labels.select(F.col("label").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    members = materialize(members.select("sig", F.col("doc_id").alias("id"), "leader").distinct(), "jaccard-members")
+    leaders = join.rows().groupBy("sig").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last")
+    leaders = materialize(leaders.select("sig", "leader"), "jaccard-leaders")
+    # few signatures have two documents: the filter spares the others a second shuffle
+    members = materialize(join.rows(leaders).join(leaders, "sig").select("sig", F.col("doc_id").alias("id"), "leader"), "jaccard-members")
+    members = members.join(labels.select(F.col("label").alias("id")).distinct(), "id", "left_semi")
+    members = materialize(members.distinct(), "jaccard-members")
 
     first = members.where("id <> leader").groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
     links = materialize(join.linked(materialize(first, "jaccard-pairs")), "jaccard-links")
