@@ -99,3 +99,11 @@ def resource(path: Column) -> Column:
         .when(path.rlike(r"(^|/)labels(/|$)"), "missing")
         .otherwise("dataset")
     )
+
+
+def lookup(pairs: Column, wanted: Column, substring: bool = False) -> Column:
+    """In a map: the value of the key ``wanted``; else the first key, in order, whose value equals it in any case (or, with
+    ``substring``, holds it); else null."""
+    low = F.lower(wanted)
+    same = F.map_filter(pairs, (lambda k, v: F.contains(F.lower(v), low)) if substring else (lambda k, v: F.lower(v) == low))
+    return F.coalesce(F.try_element_at(pairs, wanted), F.array_min(F.map_keys(same)))

@@ -484,3 +484,10 @@ def tiff_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = volume(spark, sf_dir)
     files = planes(v, shape_of(v), "uint16").withColumnRenamed("tiff", "content")
     return planes_to_voxels(files).join(v.select("c", "z", "y", "x"), ["c", "z", "y", "x"], "left_semi").groupBy("c", "z").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+
+
+@query(sql("SELECT x, round_even((hi - lo) / n, 3) AS size, round_even((hi - lo) / n, 3) * 1000 AS nm FROM (SELECT x, min(v) AS lo, max(v) AS hi, count(*) AS n FROM emb GROUP BY x)", "x", "size nm", ctes=(EMB,)))
+def voxel_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = reduce.channel_range(float_matrix(spark, sf_dir), ("x",))
+    size = values.voxel_size(F.col("vmin"), F.col("vmax"), F.col("n"))
+    return by.select("x", size.alias("size"), values.nanometres(F.array(size))[0].alias("nm"))

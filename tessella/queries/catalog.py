@@ -193,3 +193,11 @@ def cache_lru_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(entries("SELECT substr(md5(path), 1, 2) AS a, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM entries GROUP BY a", "n bytes", rest="a"))
 def cache_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_entries(spark, sf_dir).groupBy(F.substring(F.md5("path"), 1, 2).alias("a")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
+@query("SELECT p_partkey, CASE p_brand WHEN 'Brand#11' THEN 'first' WHEN 'Brand#12' THEN 'second' END AS by_key, CASE lower(p_brand) WHEN 'brand#13' THEN 'third' WHEN 'brand#14' THEN 'fourth' END AS by_value FROM part")
+def dict_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = F.create_map(*(F.lit(x) for x in ("Brand#11", "first", "Brand#12", "second")))
+    back = F.create_map(*(F.lit(x) for x in ("third", "BRAND#13", "fourth", "brand#14")))
+    part = load(spark, sf_dir, "part")
+    return part.select("p_partkey", text.lookup(keys, F.col("p_brand")).alias("by_key"), text.lookup(back, F.col("p_brand")).alias("by_value"))

@@ -252,3 +252,14 @@ def test_settings(spark, tmp_path):
     assert {tuple(r) for r in config.mounted_roots(spark, f"{tmp_path}/s.ini").collect()} == {("public", "/data/public", False), ("Lab", "/data/lab", True)}
     assert [r[0] for r in config.collection(spark, f"{tmp_path}/set.txt").collect()] == ["/a/b.zarr", "/c d.ims"]
     assert {r["name"] for r in config.folder_entries(spark, str(tmp_path)).collect()} == {"s.ini", "set.txt"}
+
+
+def test_remote_chunks(spark, voxels, array, tmp_path):
+    from tessella.sources.remote import read_remote
+
+    for r in encode.npy_payload(encode.chunks_of(voxels, (2, 4, 4), "uint16"), (2, 4, 4)).collect():
+        (tmp_path / f"0-{r['t']}-{r['c']}-{r['cz']}-{r['cy']}-{r['cx']}").write_bytes(r["payload"])
+    ds = ArrayDataset("a", "uint16", 2, 2, (Level(0, SHAPE[2:], (2, 4, 4)),))
+    spec = slicing.SliceSpec.of((1, slice(None), slice(1, 5), slice(3, 9, 2), slice(2, 7)), SHAPE)
+    got = read_remote(spark, ds, f"file://{tmp_path}/{{r}}-{{t}}-{{c}}-{{cz}}-{{cy}}-{{cx}}", spec, 192)
+    assert (dense(got, spec.out_shape) == array[1:2, :, 1:5, 3:9:2, 2:7]).all()
