@@ -45,7 +45,7 @@ def slice_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spec(v, (slice(None), slice(None), slice(1, 8, 2), slice(0, 16, 3), slice(0, 5, 2))).apply(v)
 
 
-@query(vox("SELECT c, y, x, v FROM vox WHERE z = 3 AND x = 1", "c y x v").replace("CAST(x AS BIGINT)", "CAST(0 AS BIGINT)"))
+@query(vox("SELECT c, y, x - 1 AS x, v FROM vox WHERE z = 3 AND x = 1", "c y x v"))
 def slice_stop_only_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = volume(spark, sf_dir)
     request = {k: "None" for k in slicing.WIRE_KEYS} | {"dset": "orders", "zstop": "3", "xstart": "1", "xstop": "2"}
@@ -145,7 +145,12 @@ def ng_name_to_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _box_names(spark, sf_dir).select("name", *(c.alias(k) for k, c in grid.box_of_name(F.col("name")).items()))
 
 
-@query(sql("SELECT c, cz, cy, cx, count(*) AS n, CAST(sum(CASE WHEN v IS NULL THEN 0 ELSE v END) AS BIGINT) AS total, count(*) FILTER (v IS NULL) AS padded FROM grid, (SELECT unnest(range(0, 4)) AS dz), (SELECT unnest(range(0, 8)) AS dy), (SELECT unnest(range(0, 8)) AS dx) LEFT JOIN vox ON vox.c = grid.c AND vox.z = z0 + dz AND vox.y = y0 + dy AND vox.x = x0 + dx GROUP BY ALL".replace("LEFT JOIN vox ON vox.c = grid.c", "LEFT JOIN (SELECT c AS vc, z, y, x, v FROM vox) AS w ON w.vc = grid.c").replace("vox.z", "w.z").replace("vox.y", "w.y").replace("vox.x", "w.x"), "c cz cy cx n total padded", ctes=(VOX, GRID)))
+PADDED = """SELECT c, cz, cy, cx, count(*) AS n, CAST(sum(coalesce(v, 0)) AS BIGINT) AS total, count(*) FILTER (v IS NULL) AS padded
+    FROM grid, (SELECT unnest(range(0, 4)) AS dz), (SELECT unnest(range(0, 8)) AS dy), (SELECT unnest(range(0, 8)) AS dx)
+    LEFT JOIN (SELECT c AS vc, z, y, x, v FROM vox) AS w ON w.vc = c AND w.z = z0 + dz AND w.y = y0 + dy AND w.x = x0 + dx GROUP BY ALL"""
+
+
+@query(sql(PADDED, "c cz cy cx n total padded", ctes=(VOX, GRID)))
 def pad_chunk_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = grid.with_chunks(volume(spark, sf_dir), CHUNK)
     local = v.select("c", "cz", "cy", "cx", *(F.pmod(a, F.lit(k)).alias(a) for a, k in zip("zyx", CHUNK, strict=True)), F.col("v"), F.lit(1).alias("there"))
@@ -259,7 +264,7 @@ def channel_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce.channel_range(volume(spark, sf_dir))
 
 
-@query(vox("SELECT c, min(CASE WHEN v > 0 THEN v END) AS vmin, max(CASE WHEN v > 0 THEN v END) AS vmax, count(*) AS n FROM vox WHERE c = 1 AND z < 4 AND y >= 2 AND y < 12 AND x >= 1 AND x < 4 AND (x - 1) % 2 = 0 GROUP BY c", "c vmin vmax n").replace("CAST(c AS BIGINT)", "CAST(0 AS BIGINT)"))
+@query(vox("SELECT c - 1 AS c, min(CASE WHEN v > 0 THEN v END) AS vmin, max(CASE WHEN v > 0 THEN v END) AS vmax, count(*) AS n FROM vox WHERE c = 1 AND z < 4 AND y >= 2 AND y < 12 AND x >= 1 AND x < 4 AND (x - 1) % 2 = 0 GROUP BY c", "c vmin vmax n"))
 def channel_minmax_nonzero(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = volume(spark, sf_dir)
     return reduce.channel_range(spec(v, (0, 1, slice(0, 4), slice(2, 12), slice(1, 4, 2))).apply(v), ("c",), nonzero=True)
