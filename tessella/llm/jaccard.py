@@ -14,7 +14,7 @@ shingles, and ranges of that order are the fragments. Two documents link when ``
    No bucket is ever expanded into its pairs.
 4. Comparison: the sets of both documents are cut at fixed points of the order; for each fragment the overlap is
    counted by itself, and the counts are summed per pair.
-5. Buckets whose documents lie in several components of these links go on. Buckets that share documents make a cluster.
+5. Leaders whose documents lie in several components of these links go on. Those that share documents make a cluster.
    Documents whose shingles found nowhere else in the cluster exclude every partner leave it. The rest are compared tile by
    tile (a bounded number of documents), again fragment by fragment; a tile reports a spanning forest of its links.
 
@@ -113,7 +113,8 @@ def signatures(of: np.ndarray, grams: np.ndarray, sizes: np.ndarray, num: int, d
         use = sparse[of] & (rank < prefix[of])
         texts.append(of[use])
         found.append(mix64(grams[use] ^ np.uint64(0xA0761D6478BD642F)))
-    return np.concatenate(texts), np.concatenate(found)
+    # 48 bits tell signatures apart well enough for candidates, and zeros shrink in a shuffle
+    return np.concatenate(texts), np.concatenate(found) & ~np.uint64(0xFFFF)
 
 
 def _batch(names: list[str], *arrays: pa.Array) -> pa.RecordBatch:
@@ -255,19 +256,21 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int, text: str =
     sets = join.sets()
     labels = sets.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("label"))
     labels = materialize(labels, "jaccard-classes")
-    leaders = join.rows().groupBy("sig").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last")
+    leaders = join.rows().groupBy("sig").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1")
     leaders = materialize(leaders.select("sig", "leader"), "jaccard-leaders")
     # few signatures have two documents: the filter spares the others a second shuffle
-    members = materialize(join.rows(leaders).join(leaders, "sig").select("sig", F.col("doc_id").alias("id"), "leader"), "jaccard-members")
-    members = members.join(labels.select(F.col("label").alias("id")).distinct(), "id", "left_semi")
-    members = materialize(members.distinct(), "jaccard-members")
+    edges = join.rows(leaders).join(leaders, "sig").where("doc_id <> leader").select("leader", F.col("doc_id").alias("id")).distinct()
+    edges = materialize(edges, "jaccard-edges")
+    edges = materialize(edges.join(labels.select(F.col("label").alias("id")).distinct(), "id", "left_semi"), "jaccard-edges")
 
-    first = members.where("id <> leader").groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
+    first = edges.groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
     links = materialize(join.linked(materialize(first, "jaccard-pairs")), "jaccard-links")
-    groups = components(links)
-    spread = members.join(groups.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", "leader", F.coalesce("component", "id").alias("group"))
-    several = spread.groupBy("sig").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 < g1").select("sig")
-    left = materialize(members.join(several, "sig").select("leader", "id").distinct(), "jaccard-left")
+    groups = materialize(components(links), "jaccard-groups")
+    of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_group"))
+    both = edges.join(of("id"), "id", "left").join(of("leader"), "leader", "left")
+    # a bucket holds several components if and only if one of its documents is in another than its leader
+    open_ = both.where(F.coalesce("id_group", "id") != F.coalesce("leader_group", "leader")).select("leader").distinct()
+    left = materialize(edges.join(open_, "leader", "left_semi"), "jaccard-left")
     groups = components(links.unionByName(join.linked_in_clusters(left)))
     classes = sets.where("n_shingles > 0 and doc_id is not null").join(labels, ["h1", "h2"]).select("doc_id", "n_shingles", "label")
     classes = classes.join(groups.withColumnRenamed("node", "label"), "label", "left")
