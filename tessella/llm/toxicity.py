@@ -34,7 +34,7 @@ from ..session import load, materialize
 from .quality import fold
 from .words import pieces
 
-MAX_FIT_ROWS, MOST_STEMS, GROUPS, STEM_LENGTHS, FOLDS, HELD_OUT = 20_000, 300, 6, (4, 5, 6, 7, 8), 5, 0
+MAX_FIT_ROWS, GROUPS, STEM_LENGTHS, FOLDS, HELD_OUT = 20_000, 6, (4, 5, 6, 7, 8), 5, 0
 WORD = re.compile(r"[^\W\d_]+")
 LISTS = {
     "en": "idiot idiots moron morons stupid dumb loser losers scum trash garbage clown worthless pathetic disgusting imbecile bastard bitch asshole crap retard",
@@ -48,6 +48,13 @@ PATTERNS = (
     re.compile(r"\b(?:shut up|go to hell|hate you|kill yourself|halt die klappe|ta gueule|cállate)\b"),
     re.compile(r"\b[^\W\d_][*@#]{2,}[^\W\d_]*\b"),
 )
+#: Each match of a pattern holds one of its strings, so texts without them need no search.
+NEEDLES = (
+    ("idiot", "moron", "stupid", "loser", "trash", "scum", "clown", "worthless", "pathetic", "imbécil", "dumm"),
+    ("shut up", "go to hell", "hate you", "kill yourself", "halt die klappe", "ta gueule", "cállate"),
+    ("*", "@", "#"),
+)
+DESIGN_ROWS = 1000
 
 
 def words_of(text: str | None) -> set[str]:
@@ -58,7 +65,7 @@ class Lexicon:
     """Stems by their first letters, and the written lists."""
 
     def __init__(self, stems: list[str]) -> None:
-        self.stems = stems
+        self.stems, self.known = stems, frozenset(stems)
         self.shortest = min(STEM_LENGTHS)
         self.by_head: dict[str, list[tuple[str, int]]] = {}
         for i, s in enumerate(stems):
@@ -72,13 +79,13 @@ class Lexicon:
         heads = self.by_head.keys() & {w[: self.shortest] for w in words}
         found = sorted({i for w in words if w[: self.shortest] in heads for s, i in self.by_head[w[: self.shortest]] if w.startswith(s)}) if heads else []
         listed = [len(words & x) for x in self.lists]
-        bits = sum(1 << i for i, p in enumerate(PATTERNS) if (any(listed) or i) and p.search(lower)) if any(listed) or "*" in lower or "@" in lower else 0
-        upper = sum(map(str.isupper, (text or "")[:2000])) * 2 > min(len(text or ""), 2000) > 0
+        bits = sum(1 << i for i, (p, needles) in enumerate(zip(PATTERNS, NEEDLES, strict=True)) if any(x in lower for x in needles) and p.search(lower))
+        upper = sum(map(str.isupper, text or "")) * 2 > len(text or "")
         return found, listed, bits | upper << len(PATTERNS)
 
 
-def mined_stems(docs: DataFrame, known: DataFrame, most: int = MOST_STEMS) -> list[str]:
-    """``docs``: doc_id, text; ``known``: doc_id, y, of bounded size."""
+def mined_stems(docs: DataFrame, known: DataFrame) -> list[str]:
+    """``docs``: doc_id, text; ``known``: doc_id, y, of bounded size, which alone bounds the stems."""
     texts = docs.join(F.broadcast(known), "doc_id")
     n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
@@ -106,7 +113,7 @@ def mined_stems(docs: DataFrame, known: DataFrame, most: int = MOST_STEMS) -> li
     share = n[1] / (n[0] + n[1])
     # n_stems * share ** support is how many stems so often among toxic texts chance would give
     least = max(3, math.ceil((math.log(max(n_stems, 1)) + 2) / -math.log(share)))
-    candidates = {r["stem"]: r["support"] for r in support.where(F.col("support") >= least).orderBy(F.desc("support"), "stem").limit(20_000).collect()}
+    candidates = {r["stem"]: r["support"] for r in support.where(F.col("support") >= least).collect()}
     if not candidates:
         return []
 
@@ -123,10 +130,10 @@ def mined_stems(docs: DataFrame, known: DataFrame, most: int = MOST_STEMS) -> li
 
     def choose(candidates: dict[str, int], odds: int) -> list[str]:
         """Stems that have at least ``odds`` toxic texts for each clean one; none that begins with a shorter one chosen."""
-        chosen: list[str] = []
+        chosen: set[str] = set()
         for s, k in sorted(candidates.items(), key=lambda x: (len(x[0]), x[0])):
-            if k >= odds * in_clean.get(s, 0) and not any(s.startswith(c) for c in chosen):
-                chosen.append(s)
+            if k >= odds * in_clean.get(s, 0) and not any(s[:n] in chosen for n in STEM_LENGTHS):
+                chosen.add(s)
         return sorted(chosen, key=lambda s: (-candidates[s], s))
 
     sure = choose(candidates, 24)
@@ -134,9 +141,9 @@ def mined_stems(docs: DataFrame, known: DataFrame, most: int = MOST_STEMS) -> li
     # texts without any hit so far show which weaker stems are worth taking
     rest = toxic_texts.mapInArrow(lambda batches: stems(batches, lexicon), "stem string, like long")
     weaker = rest.groupBy("stem").agg(F.countDistinct("like").alias("support")).where(F.col("support") >= least)
-    weaker = {r["stem"]: r["support"] for r in weaker.orderBy(F.desc("support"), "stem").limit(20_000).collect() if r["stem"] in candidates}
-    return (sure + [s for s in choose(weaker, 5) if not any(s.startswith(c) or c.startswith(s) for c in sure)])[:most]
-
+    weaker = {r["stem"]: r["support"] for r in weaker.collect() if r["stem"] in candidates}
+    heads = {c[:n] for c in sure for n in STEM_LENGTHS}
+    return sure + [s for s in choose(weaker, 5) if s not in heads and not any(s[:n] in lexicon.known for n in STEM_LENGTHS)]
 
 
 def votes(stems: list[int], listed: list[int], bits: int) -> str:
@@ -205,13 +212,25 @@ def design(stems: list[list[int]], listed: np.ndarray, bits: np.ndarray, n_stems
     return x
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Weights, the constant last, for soft labels y."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w, penalty = np.zeros(x.shape[1]), ridge * np.append(np.ones(x.shape[1] - 1), 1e-3)
+def designs(stems: list[list[int]], listed: np.ndarray, bits: np.ndarray, n_stems: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """The design, the constant last, some rows at a time: stems may be many."""
+    for k in range(0, len(stems), DESIGN_ROWS):
+        part = slice(k, k + DESIGN_ROWS)
+        x = design(stems[part], listed[part], bits[part], n_stems)
+        yield part, np.column_stack([x, np.ones(len(x))])
+
+
+def logistic(rows: tuple[list[list[int]], np.ndarray, np.ndarray, int], y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
+    """Weights, the constant last, for soft labels y; ``rows`` is what ``designs`` takes."""
+    n = rows[3] + len(LANGUAGES) + len(PATTERNS) + 4
+    w, penalty = np.zeros(n), ridge * np.append(np.ones(n - 1), 1e-3)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
+        curve, slope = np.diag(penalty), penalty * w
+        for part, x in designs(*rows):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            curve += (x * (p * (1 - p))[:, None]).T @ x
+            slope += x.T @ (p - y[part])
+        step = np.linalg.solve(curve, slope)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -248,13 +267,14 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, text: str = "text", labe
     model = LabelModel([r["votes"] for r in patterns], [r["n"] for r in patterns], labelled, max(share, 0.01))
     sample = seen.where(train()).orderBy(F.xxhash64("doc_id"), "doc_id", "votes").limit(max_fit_rows).collect()
     n_stems = len(lexicon.stems)
-    x = design([r["stems"] for r in sample], np.array([r["listed"] for r in sample]).reshape(-1, len(LANGUAGES)), np.array([r["bits"] for r in sample], np.int64), n_stems)
-    weights = logistic(x, np.array([model.posts[r["votes"]] for r in sample]))
+    rows = [r["stems"] for r in sample], np.array([r["listed"] for r in sample]).reshape(-1, len(LANGUAGES)), np.array([r["bits"] for r in sample], np.int64), n_stems
+    weights = logistic(rows, np.array([model.posts[r["votes"]] for r in sample]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = design(batch.column(1).to_pylist(), np.array(batch.column(2).to_pylist()).reshape(-1, len(LANGUAGES)), batch.column(3).to_numpy(), n_stems)
-            s = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
+            rows = batch.column(1).to_pylist(), np.array(batch.column(2).to_pylist()).reshape(-1, len(LANGUAGES)), batch.column(3).to_numpy(), n_stems
+            odds = np.concatenate([x @ weights for _, x in designs(*rows)]) if batch.num_rows else np.zeros(0)
+            s = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], ["doc_id", "score"])
 
     scored = seen.select("doc_id", "stems", "listed", "bits").mapInArrow(score, "doc_id long, score double")

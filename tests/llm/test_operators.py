@@ -239,6 +239,27 @@ def test_toxicity(spark):
     assert sum(p == y for p, y in held) / len(held) > 0.97
 
 
+@pytest.mark.parametrize(
+    ("text", "bit"),
+    [("so kill yourself now", 1), ("oh Shut up", 1), ("go to hell", 1), ("halt die klappe", 1), ("ta gueule", 1), ("f##k this", 2), ("du bist dumm", 0), ("you act stupidly", 0), ("quiet words " * 400 + "LOUD WORDS " * 1000, 3)],
+)
+def test_patterns_need_no_list_word(text, bit):
+    assert toxicity.Lexicon([]).hits(text)[2] == 1 << bit
+
+
+def test_loud_head_is_not_mostly_capitals():
+    assert toxicity.Lexicon([]).hits("LOUD WORDS " * 200 + "quiet words " * 1000)[2] == 0
+
+
+def test_all_mined_stems_are_kept(spark):
+    bad = [f"{a}{b}{c}qz" for a in "bcdfghjk" for b in "aeiou" for c in "lmnprstv"]  # 320
+    docs = as_docs(spark, [(i, " ".join(bad) + f" u{i}") for i in range(12)] + [(i, f"fine v{i}") for i in range(12, 240)])
+    # copies of a text count once, so each has a word of its own that is its minhash in places
+    known = spark.range(240).selectExpr("id AS doc_id", "int(id < 12) AS y")
+    docs = docs.withColumn("text", F.when(F.col("doc_id") < 12, F.concat_ws(" ", F.col("text"), F.transform(F.sequence(F.lit(0), F.lit(2000)), lambda k: F.concat(F.lit("x"), F.translate(F.md5(F.concat(k.cast("string"), F.lit("-"), F.col("doc_id").cast("string"))), "0123456789", "ghijklmnop"))))).otherwise(F.col("text")))
+    assert {w[:4] for w in bad} <= set(toxicity.mined_stems(docs, known))
+
+
 # 5 language model
 
 
