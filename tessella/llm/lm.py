@@ -1,16 +1,16 @@
 """Language-model scoring with a log-frequency Bloom filter (operator 5).
 
 Tokens are a text's words, A-Z lower-cased, and one end. The model interpolates a bigram with a unigram estimate; all
-its counts come from one filter that is broadcast to the workers.
+its counts come from one filter, which lies in segments.
 
 1. Words are counted exactly (summed in slices, then by Spark): N tokens, V distinct ones.
-2. Bigrams are counted by hash. Slices send each distinct bigram once, packed by bucket, so a frequent one costs one
-   entry a slice; buckets sum them up and keep those seen ``min_count`` times or more.
-3. Counts are quantised: level q stands for counts from 2^(q-1) up to 2^q - 1. The filter holds (n-gram, 1) to
-   (n-gram, q); asking for level after level until one is missing gives the count back, at worst too high where
-   bits collide. The filter grows with the n-grams up to ``most_bytes``, which bounds the broadcast; when more would be
-   needed, the least level that is kept rises until the rest fits, and rarer n-grams fall back to the unigram or to
-   the unseen word. Ranges of the filter are built in parallel and only joined at the driver.
+2. Texts are dealt by a hash into slices. A slice sends each of its distinct words and bigrams once, by hash, with how
+   often training texts have it, packed by segment; segments are ranges of hashes. Their number grows with the input, so
+   none outgrows a task.
+3. A segment sums its counts, leaves out bigrams seen fewer than ``min_count`` times, and puts the rest into its part of
+   the filter, of at most ``most_bytes``. Counts are quantised: level q stands for counts from 2^(q-1) up to 2^q - 1. The
+   filter holds (n-gram, 1) to (n-gram, q); asking for level after level until one is missing gives the count back, at
+   worst too high where bits collide. Each slice gets the levels of what it sent, a byte each in the order of hashes.
 4. Scoring: p(w | v) = mix * min(1, c(v w) / c(v)) + (1 - mix) * (c(w) + 0.5) / (N + 0.5 (V + 1)).
 
 The base score needs exact counts of all words. The ``most_frequent`` words (a fixed number) are broadcast; documents
@@ -92,46 +92,55 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def bigram_counts(train: DataFrame, min_count: int) -> DataFrame:
-    """hash, n of each bigram seen min_count times or more."""
-    partitions = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = np.uint64(4 * partitions)
+def segments_of(h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """Segments that hashes in order fall into, and where each begins."""
+    at = ((h >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(h) else np.zeros(0, np.int64)
+    return at[first], first
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", SLICE_BYTES):
-            h, n = np.unique(Tokens(batch.column(0)).bigrams(), return_counts=True)
-            bucket = ((h >> np.uint64(32)) * buckets >> np.uint64(32)).astype(np.int64)  # ranges: h is in order
-            bounds = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(h) else np.zeros(0, np.int64)
-            ends = np.append(bounds[1:], len(h)).astype(np.int64)
-            packed = [h[a:b].tobytes() + n[a:b].astype("<u4").tobytes() if (n[a:b] > 255).any() else h[a:b].tobytes() + n[a:b].astype(np.uint8).tobytes() for a, b in zip(bounds.tolist(), ends.tolist(), strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[bounds], pa.int64()), pa.array((ends - bounds)[: len(bounds)], pa.int32()), pa.array(packed, pa.binary())], ["bucket", "entries", "packed"])
 
-    def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, hashes, counts = None, [], []
+def gram_levels(sliced: DataFrame, segments: int, min_count: int, bits_per_entry: int) -> DataFrame:
+    """slice, segment, levels: of each slice's distinct n-grams, in the order of their hashes. ``sliced`` has slice, text and learn."""
+    partitions = int(sliced.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def send(table: pa.Table) -> pa.Table:
+        t = Tokens(table.column("text").combine_chunks())
+        learn = table.column("learn").to_numpy().astype(np.int64)[t.text_of]
+        h, of = np.unique(np.concatenate([unigram(t.hash), t.bigrams()]), return_inverse=True)
+        n = np.bincount(of, np.concatenate([learn, learn]), len(h)).astype("<u4")
+        segment, first = segments_of(h, segments)
+        ends = np.append(first[1:], len(h))
+        packed = [h[a:b].tobytes() + (n[a:b] if (n[a:b] > 255).any() else n[a:b].astype(np.uint8)).tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
+        here = pa.array(np.full(len(segment), table.column("slice")[0].as_py(), np.int64))
+        return pa.table([here, pa.array(segment), pa.array(ends - first, pa.int32()), pa.array(packed, pa.binary())], ["slice", "segment", "entries", "packed"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment, slices, hashes, counts = None, [], [], []
 
         def flush() -> pa.RecordBatch:
-            h, n = np.concatenate(hashes), np.concatenate(counts)
-            order = np.argsort(h)
-            h, n = h[order], n[order]
-            at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-            total = np.add.reduceat(n, at) if len(at) else n
-            keep = total >= min_count
-            return pa.RecordBatch.from_arrays([pa.array(h[at][keep].view(np.int64)), pa.array(total[keep])], ["hash", "n"])
+            h, of = np.unique(np.concatenate(hashes), return_inverse=True)
+            n = np.bincount(of, np.concatenate(counts), len(h)).astype(np.int64)
+            n[(h & np.uint64(1) == 1) & (n < min_count)] = 0
+            own = segment_filter(h[n > 0], n[n > 0], bits_per_entry)
+            levels = own.levels(mix64(h)).astype(np.uint8)[of]
+            ends = np.cumsum([len(x) for x in hashes]).tolist()
+            parts = [levels[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
+            return pa.RecordBatch.from_arrays([pa.array(slices, pa.int64()), pa.array([segment] * len(slices), pa.int64()), pa.array(parts, pa.binary())], ["slice", "segment", "levels"])
 
         for batch in batches:
-            for b, entries, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if b != bucket and hashes:
+            for at, s, entries, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if s != segment and hashes:
                     yield flush()
-                    hashes, counts = [], []
-                bucket = b
+                    slices, hashes, counts = [], [], []
+                segment = s
+                slices.append(at)
                 hashes.append(np.frombuffer(packed, np.uint64, entries))
-                wide = len(packed) == 12 * entries
-                counts.append(np.frombuffer(packed, "<u4" if wide else np.uint8, entries, 8 * entries).astype(np.int64))
+                counts.append(np.frombuffer(packed, "<u4" if len(packed) == 12 * entries else np.uint8, entries, 8 * entries))
         if hashes:
             yield flush()
 
-    sent = train.select("text").mapInArrow(send, "bucket long, entries int, packed binary")
-    return sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(receive, "hash long, n long")
+    sent = sliced.select("slice", "text", "learn").groupBy("slice").applyInArrow(send, "slice long, segment long, entries int, packed binary")
+    return sent.repartition(partitions, "segment").sortWithinPartitions("segment").mapInArrow(answer, "slice long, segment long, levels binary")
 
 
 class LogFrequencyFilter:
@@ -161,6 +170,19 @@ class LogFrequencyFilter:
         return found
 
 
+def segment_filter(h: np.ndarray, n: np.ndarray, bits_per_entry: int) -> LogFrequencyFilter:
+    """The filter of one segment. Its hashes share their first bits, so it is asked for ``mix64`` of them."""
+    q_of = level(n)
+    made = LogFrequencyFilter(max(1, -(-int(q_of.sum()) * bits_per_entry // BLOCK_BITS)))
+    bits = np.zeros(made.blocks * BLOCK_BITS, bool)
+    x = mix64(h)
+    for q in range(1, int(q_of.max(initial=0)) + 1):
+        block, bit = made.places(x[q_of >= q], q)
+        bits[(block[:, None] * BLOCK_BITS + bit).ravel()] = True
+    made.bits = np.packbits(bits, bitorder="little")
+    return made
+
+
 def build_filter(grams: DataFrame, most_bytes: int, bits_per_entry: int = BITS_PER_ENTRY, prune: bool = True) -> tuple[LogFrequencyFilter, int]:
     """The filter of ``grams`` (hash, n), and the least level that it keeps. Without ``prune`` it keeps all, more densely."""
     lv = (F.floor(F.log2(F.greatest("n", F.lit(1)))) + 1).cast("int")
@@ -219,60 +241,59 @@ def lm_scores(docs: DataFrame, text: str = "text", folds: int = FOLDS, held_out:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
     spark = docs.sparkSession
     part = fold(F.col("doc_id"), folds)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text"), F.coalesce(part == held_out, F.lit(False)).alias("held_out"))
-    train = docs.where((part != held_out) & F.col("doc_id").isNotNull())
+    learn = F.coalesce((part != held_out) & F.col("doc_id").isNotNull(), F.lit(False))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text"), F.coalesce(part == held_out, F.lit(False)).alias("held_out"), learn.alias("learn"))
+    train = docs.where("learn")
 
     words = materialize(word_counts(train), "lm-words")
     total, distinct, n_docs = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("word") == END_WORD, F.col("n"))), F.lit(0))).first()
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = np.ones(256, bool)
-        for batch in batches:
-            column = batch.column(0)
-            h = np.full(len(column), END)
-            full = np.array([w != END_WORD for w in column.to_pylist()], bool)
-            h[full] = Words(column.filter(pa.array(full)), every).hashes()
-            yield pa.RecordBatch.from_arrays([pa.array(unigram(h).view(np.int64)), batch.column(1)], ["hash", "n"])
-
-    grams = words.mapInArrow(hashed, "hash long, n long").unionByName(bigram_counts(train, min_count))
-    grams = materialize(grams, "lm-grams")
-    filter_, _ = build_filter(grams, most_bytes)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(partitions, -(-int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SLICE_BYTES))
+    # each training token adds at most one entry of a word and one of a bigram; a segment takes about as much text as a slice
+    segments = max(slices, -(-2 * int(total) * BITS_PER_ENTRY // (8 * most_bytes)))
+    sliced = docs.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)).cast("long"))
+    levels = gram_levels(sliced, segments, min_count, BITS_PER_ENTRY)
     known = {r["word"]: r["n"] for r in words.where(F.col("n") >= _least_frequent(words, most_frequent)).toLocalIterator()}
-    shared = spark.sparkContext.broadcast((filter_, known))
+    shared = spark.sparkContext.broadcast(known)
     norm = total + 0.5 * (distinct + 1)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_, known = shared.value
-        for batch in pieces(batches, "text", 1 << 20):
-            t = Tokens(batch.column(1))
-            n = batch.num_rows
-            h, first, word_of = np.unique(t.hash, return_index=True, return_inverse=True)
-            number = t.number[first].tolist()
-            names = [END_WORD if i < 0 else t.words.word(i).decode() for i in number]
-            count = np.array([known.get(w, -1) for w in names])
-            here = count >= 0
-            base = np.bincount(t.text_of, np.where(here, np.log10(np.maximum(count, 0) + 0.5), 0.0)[word_of], n)
-            n_known = np.bincount(t.text_of, here[word_of], n).astype(np.int64)
-            # the other words of each text, with how often they stand there
-            far = np.flatnonzero(~here[word_of])
-            key, times = np.unique(t.text_of[far] * np.int64(len(h)) + word_of[far], return_counts=True)
-            owner, which = key // max(1, len(h)), key % max(1, len(h))
-            offsets = pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32))
-            others = pa.ListArray.from_arrays(offsets, pa.array(names, pa.string()).take(pa.array(which)))
-            often = pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64)))
-            # the model
-            c_word = count_of(filter_.levels(unigram(h)))
-            pairs, first, pair_of = np.unique(t.bigrams(), return_index=True, return_inverse=True)
-            c_pair = count_of(filter_.levels(pairs))
-            before = t.before[first]
-            place = np.minimum(np.searchsorted(h, before), len(h) - 1)
-            c_before = np.where(before == BEGIN, float(n_docs), c_word[place])
-            p_word = np.minimum((c_word + 0.5) / norm, 1.0)
-            p = mix * np.minimum(c_pair / np.maximum(c_before, 1.0), 1.0) + (1 - mix) * p_word[word_of[first]]
-            model = np.bincount(t.text_of, np.log10(p)[pair_of], n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(t.words.counts + 1), pa.array(n_known), pa.array(base), pa.array(model), others, often], ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "others", "often"])
-
-    scored = docs.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, others array<string>, often array<long>")
+    def score(texts: pa.Table, levels: pa.Table) -> pa.Table:
+        import pyarrow.compute as pc
+
+        known = shared.value
+        t = Tokens(texts.column("text").combine_chunks())
+        n = texts.num_rows
+        h, first, word_of = np.unique(t.hash, return_index=True, return_inverse=True)
+        number = t.number[first].tolist()
+        names = [END_WORD if i < 0 else t.words.word(i).decode() for i in number]
+        count = np.array([known.get(w, -1) for w in names])
+        here = count >= 0
+        base = np.bincount(t.text_of, np.where(here, np.log10(np.maximum(count, 0) + 0.5), 0.0)[word_of], n)
+        n_known = np.bincount(t.text_of, here[word_of], n).astype(np.int64)
+        # the other words of each text, with how often they stand there
+        far = np.flatnonzero(~here[word_of])
+        key, times = np.unique(t.text_of[far] * np.int64(len(h)) + word_of[far], return_counts=True)
+        owner, which = key // max(1, len(h)), key % max(1, len(h))
+        offsets = pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32))
+        others = pa.ListArray.from_arrays(offsets, pa.array(names, pa.string()).take(pa.array(which)))
+        often = pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64)))
+        # the model
+        grams = np.unique(np.concatenate([unigram(t.hash), t.bigrams()]))
+        q = np.frombuffer(b"".join(levels.column("levels").take(pc.sort_indices(levels.column("segment"))).to_pylist()), np.uint8).astype(np.int64)
+        c_word = count_of(q[np.searchsorted(grams, unigram(h))])
+        pairs, first, pair_of = np.unique(t.bigrams(), return_index=True, return_inverse=True)
+        c_pair = count_of(q[np.searchsorted(grams, pairs)])
+        before = t.before[first]
+        place = np.minimum(np.searchsorted(h, before), len(h) - 1)
+        c_before = np.where(before == BEGIN, float(n_docs), c_word[place])
+        p_word = np.minimum((c_word + 0.5) / norm, 1.0)
+        p = mix * np.minimum(c_pair / np.maximum(c_before, 1.0), 1.0) + (1 - mix) * p_word[word_of[first]]
+        model = np.bincount(t.text_of, np.log10(p)[pair_of], n)
+        columns = [texts.column("doc_id"), texts.column("held_out"), pa.array(t.words.counts + 1), pa.array(n_known), pa.array(base), pa.array(model), others, often]
+        return pa.table(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "others", "often"])
+
+    scored = sliced.drop("learn").groupBy("slice").cogroup(levels.groupBy("slice")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, others array<string>, often array<long>")
     scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     rare = scored.select("row", F.explode(F.arrays_zip("others", "often")).alias("o")).select("row", F.col("o.others").alias("word"), F.col("o.often").alias("often"))
     rare = rare.join(words, "word", "left")

@@ -276,6 +276,30 @@ def test_base_score(spark, corpus, frequent):
     assert lm.lm_scores(as_docs(spark, rows).limit(0)).count() == 0
 
 
+def model_scores(rows, least):
+    """Of each row: words and bigrams are quantised, and bigrams seen fewer than ``least`` times are none."""
+    tokens_of = [(i, SPACE.findall(lower(t)) + [None]) for i, t in rows]
+    train = [ws for i, ws in tokens_of if i is not None and zlib.crc32(str(i).encode()) % 5 != 1]
+    one, two = Counter(w for ws in train for w in ws), Counter(p for ws in train for p in zip([""] + ws, ws))
+    norm = sum(one.values()) + 0.5 * (len(one) + 1)
+
+    def middle(n, least=1):
+        return (2 ** (n.bit_length() - 1) + 2 ** n.bit_length() - 1) / 2 if n >= least else 0.0
+
+    def p(v, w):
+        before = float(len(train)) if v == "" else middle(one[v])
+        return lm.MIX * min(1.0, middle(two[v, w], least) / max(before, 1.0)) + (1 - lm.MIX) * min(1.0, (middle(one[w]) + 0.5) / norm)
+
+    return sorted(((i, round(sum(math.log10(p(v, w)) for v, w in zip([""] + ws, ws)), 6)) for i, ws in tokens_of), key=str)
+
+
+def test_all_levels_are_kept(spark, corpus, monkeypatch):
+    monkeypatch.setattr(lm, "BITS_PER_ENTRY", 1000)  # no collisions
+    rows = [*corpus, *ODD]
+    got = lm.lm_scores(as_docs(spark, rows), most_bytes=4096, min_count=2).collect()
+    assert sorted(((r["doc_id"], round(r["score"], 6)) for r in got), key=str) == model_scores(rows, 2)
+
+
 def test_filter_gives_levels_back(spark):
     rng = np.random.default_rng(1)
     h = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64))
