@@ -4,10 +4,10 @@ Tokens are a text's words, A-Z lower-cased, and one end. The model interpolates
 its counts come from one filter, which lies in segments.
 
 1. Words are counted exactly (summed in slices, then by Spark): N tokens, V distinct ones.
-2. Texts are dealt by a hash into slices. A slice sends each of its distinct words and bigrams once, by hash, with how
+2. Texts are packed into slices, as they come. A slice sends each of its distinct words and bigrams once, by hash, with how
    often training texts have it, packed by segment; segments are ranges of hashes. Their number grows with the input, so
    none outgrows a task.
-3. A segment sums its counts, leaves out bigrams seen fewer than ``min_count`` times, and puts the rest into its part of
+3. A segment sums its counts, leaves out bigrams seen fewer than ``min_count`` times (none, unless asked to), and puts the rest into its part of
    the filter, of at most ``most_bytes``. Counts are quantised: level q stands for counts from 2^(q-1) up to 2^q - 1. The
    filter holds (n-gram, 1) to (n-gram, q); asking for level after level until one is missing gives the count back, at
    worst too high where bits collide. Each slice gets the levels of what it sent, a byte each in the order of hashes.
@@ -35,7 +35,7 @@ from .quality import fold
 from .words import SPACE_WORDS, Words, mix64, pieces
 
 FOLDS, HELD_OUT = 5, 1
-MOST_FREQUENT, MOST_BYTES, BITS_PER_ENTRY, MIN_COUNT, MIX = 200_000, 32 << 20, 10, 2, 0.3
+MOST_FREQUENT, MOST_BYTES, BITS_PER_ENTRY, MIN_COUNT, MIX = 200_000, 32 << 20, 10, 1, 0.3
 PROBES, BLOCK_BITS, SEGMENTS, SLICE_BYTES, LEVELS = 4, 512, 64, 4 << 20, 48
 END, BEGIN = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)  # hashes of the end and of what stands before the first word
 END_WORD = ""  # words are never empty
@@ -65,6 +65,11 @@ def bigram(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix64(v * np.uint64(0x9E3779B97F4A7C15) + w) | np.uint64(1)  # odd: bigrams
 
 
+def keys(h: np.ndarray) -> np.ndarray:
+    """The first 47 bits of a hash and, as the 48th, whether it is a bigram's; this much is sent."""
+    return h >> np.uint64(17) << np.uint64(17) | (h & np.uint64(1)) << np.uint64(16)
+
+
 def unigram(w: np.ndarray) -> np.ndarray:
     return mix64(w) & ~np.uint64(1)  # even: words
 
@@ -92,6 +97,24 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def packed_slices(docs: DataFrame) -> DataFrame:
+    """slice, payload: the rows of ``docs`` (doc_id, text, held_out, learn) in compressed slices, written out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", SLICE_BYTES):
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["payload"])
+
+    packed = docs.select("doc_id", "text", "held_out", "learn").mapInArrow(run, "payload binary")
+    return materialize(packed.withColumn("slice", F.monotonically_increasing_id()), "lm-slices").select("slice", "payload")
+
+
+def unpacked(payload: pa.BinaryScalar) -> pa.RecordBatch:
+    return next(iter(pa.ipc.open_stream(payload.as_buffer())))
+
+
 def segments_of(h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     """Segments that hashes in order fall into, and where each begins."""
     at = ((h >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
@@ -100,19 +123,23 @@ def segments_of(h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_levels(sliced: DataFrame, segments: int, min_count: int, bits_per_entry: int) -> DataFrame:
-    """slice, segment, levels: of each slice's distinct n-grams, in the order of their hashes. ``sliced`` has slice, text and learn."""
+    """slice, segment, levels: of each slice's distinct n-grams, in the order of their hashes. ``sliced`` has slice and payload."""
     partitions = int(sliced.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def send(table: pa.Table) -> pa.Table:
-        t = Tokens(table.column("text").combine_chunks())
-        learn = table.column("learn").to_numpy().astype(np.int64)[t.text_of]
-        h, of = np.unique(np.concatenate([unigram(t.hash), t.bigrams()]), return_inverse=True)
-        n = np.bincount(of, np.concatenate([learn, learn]), len(h)).astype("<u4")
-        segment, first = segments_of(h, segments)
-        ends = np.append(first[1:], len(h))
-        packed = [h[a:b].tobytes() + (n[a:b] if (n[a:b] > 255).any() else n[a:b].astype(np.uint8)).tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
-        here = pa.array(np.full(len(segment), table.column("slice")[0].as_py(), np.int64))
-        return pa.table([here, pa.array(segment), pa.array(ends - first, pa.int32()), pa.array(packed, pa.binary())], ["slice", "segment", "entries", "packed"])
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = unpacked(payload)
+                t = Tokens(rows.column("text"))
+                learn = rows.column("learn").to_numpy(zero_copy_only=False).astype(np.int64)[t.text_of]
+                h, of = np.unique(keys(np.concatenate([unigram(t.hash), t.bigrams()])), return_inverse=True)
+                n = np.bincount(of, np.concatenate([learn, learn]), len(h)).astype("<u4")
+                segment, first = segments_of(h, segments)
+                ends = np.append(first[1:], len(h))
+                six = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]
+                packed = [six[a:b].tobytes() + (n[a:b] if (n[a:b] > 255).any() else n[a:b].astype(np.uint8)).tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
+                columns = [pa.array(np.full(len(segment), at, np.int64)), pa.array(segment), pa.array(ends - first, pa.int32()), pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["slice", "segment", "entries", "packed"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment, slices, hashes, counts = None, [], [], []
@@ -120,7 +147,7 @@ def gram_levels(sliced: DataFrame, segments: int, min_count: int, bits_per_entry
         def flush() -> pa.RecordBatch:
             h, of = np.unique(np.concatenate(hashes), return_inverse=True)
             n = np.bincount(of, np.concatenate(counts), len(h)).astype(np.int64)
-            n[(h & np.uint64(1) == 1) & (n < min_count)] = 0
+            n[(h >> np.uint64(16) & np.uint64(1) == 1) & (n < min_count)] = 0
             own = segment_filter(h[n > 0], n[n > 0], bits_per_entry)
             levels = own.levels(mix64(h)).astype(np.uint8)[of]
             ends = np.cumsum([len(x) for x in hashes]).tolist()
@@ -134,12 +161,14 @@ def gram_levels(sliced: DataFrame, segments: int, min_count: int, bits_per_entry
                     slices, hashes, counts = [], [], []
                 segment = s
                 slices.append(at)
-                hashes.append(np.frombuffer(packed, np.uint64, entries))
-                counts.append(np.frombuffer(packed, "<u4" if len(packed) == 12 * entries else np.uint8, entries, 8 * entries))
+                whole = np.zeros((entries, 8), np.uint8)
+                whole[:, 2:] = np.frombuffer(packed, np.uint8, 6 * entries).reshape(-1, 6)
+                hashes.append(whole.view("<u8").ravel())
+                counts.append(np.frombuffer(packed, "<u4" if len(packed) == 10 * entries else np.uint8, entries, 6 * entries))
         if hashes:
             yield flush()
 
-    sent = sliced.select("slice", "text", "learn").groupBy("slice").applyInArrow(send, "slice long, segment long, entries int, packed binary")
+    sent = sliced.mapInArrow(send, "slice long, segment long, entries int, packed binary")
     return sent.repartition(partitions, "segment").sortWithinPartitions("segment").mapInArrow(answer, "slice long, segment long, levels binary")
 
 
@@ -249,20 +278,19 @@ def lm_scores(docs: DataFrame, text: str = "text", folds: int = FOLDS, held_out:
     total, distinct, n_docs = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("word") == END_WORD, F.col("n"))), F.lit(0))).first()
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slices = max(partitions, -(-int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SLICE_BYTES))
+    sliced = packed_slices(docs)
     # each training token adds at most one entry of a word and one of a bigram; a segment takes about as much text as a slice
-    segments = max(slices, -(-2 * int(total) * BITS_PER_ENTRY // (8 * most_bytes)))
-    sliced = docs.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)).cast("long"))
+    segments = max(partitions, sliced.count(), -(-2 * int(total) * BITS_PER_ENTRY // (8 * most_bytes)))
     levels = gram_levels(sliced, segments, min_count, BITS_PER_ENTRY)
     known = {r["word"]: r["n"] for r in words.where(F.col("n") >= _least_frequent(words, most_frequent)).toLocalIterator()}
     shared = spark.sparkContext.broadcast(known)
     norm = total + 0.5 * (distinct + 1)
 
-    def score(texts: pa.Table, levels: pa.Table) -> pa.Table:
+    def score(slices: pa.Table, levels: pa.Table) -> pa.Table:
         import pyarrow.compute as pc
 
-        known = shared.value
-        t = Tokens(texts.column("text").combine_chunks())
+        known, texts = shared.value, unpacked(slices.column("payload")[0])
+        t = Tokens(texts.column("text"))
         n = texts.num_rows
         h, first, word_of = np.unique(t.hash, return_index=True, return_inverse=True)
         number = t.number[first].tolist()
@@ -279,11 +307,11 @@ def lm_scores(docs: DataFrame, text: str = "text", folds: int = FOLDS, held_out:
         others = pa.ListArray.from_arrays(offsets, pa.array(names, pa.string()).take(pa.array(which)))
         often = pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64)))
         # the model
-        grams = np.unique(np.concatenate([unigram(t.hash), t.bigrams()]))
+        grams = np.unique(keys(np.concatenate([unigram(t.hash), t.bigrams()])))
         q = np.frombuffer(b"".join(levels.column("levels").take(pc.sort_indices(levels.column("segment"))).to_pylist()), np.uint8).astype(np.int64)
-        c_word = count_of(q[np.searchsorted(grams, unigram(h))])
+        c_word = count_of(q[np.searchsorted(grams, keys(unigram(h)))])
         pairs, first, pair_of = np.unique(t.bigrams(), return_index=True, return_inverse=True)
-        c_pair = count_of(q[np.searchsorted(grams, pairs)])
+        c_pair = count_of(q[np.searchsorted(grams, keys(pairs))])
         before = t.before[first]
         place = np.minimum(np.searchsorted(h, before), len(h) - 1)
         c_before = np.where(before == BEGIN, float(n_docs), c_word[place])
@@ -293,7 +321,7 @@ def lm_scores(docs: DataFrame, text: str = "text", folds: int = FOLDS, held_out:
         columns = [texts.column("doc_id"), texts.column("held_out"), pa.array(t.words.counts + 1), pa.array(n_known), pa.array(base), pa.array(model), others, often]
         return pa.table(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "others", "often"])
 
-    scored = sliced.drop("learn").groupBy("slice").cogroup(levels.groupBy("slice")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, others array<string>, often array<long>")
+    scored = sliced.groupBy("slice").cogroup(levels.groupBy("slice")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, others array<string>, often array<long>")
     scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     rare = scored.select("row", F.explode(F.arrays_zip("others", "often")).alias("o")).select("row", F.col("o.others").alias("word"), F.col("o.often").alias("often"))
     rare = rare.join(words, "word", "left")

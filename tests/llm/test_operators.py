@@ -300,6 +300,12 @@ def test_all_levels_are_kept(spark, corpus, monkeypatch):
     assert sorted(((r["doc_id"], round(r["score"], 6)) for r in got), key=str) == model_scores(rows, 2)
 
 
+def test_bigrams_seen_once_count(spark, corpus, monkeypatch):
+    monkeypatch.setattr(lm, "BITS_PER_ENTRY", 1000)
+    got = lm.lm_scores(as_docs(spark, corpus)).collect()
+    assert sorted(((r["doc_id"], round(r["score"], 6)) for r in got), key=str) == model_scores(corpus, 1)
+
+
 def test_filter_gives_levels_back(spark):
     rng = np.random.default_rng(1)
     h = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64))
