@@ -167,32 +167,35 @@ def _shuffled(docs: DataFrame, bench: DataFrame, text: str, window: int, gram: i
 
     keyed = docs.select(F.md5(F.coalesce(text, F.lit(""))).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
     own = keyed.mapInArrow(prints, "key string, n int, print long").distinct()
-    items = bench.select(F.col("item_id").cast("string").alias("key"), "text").mapInArrow(prints, "key string, n int, print long")
-    pairs = own.join(items.withColumnRenamed("key", "item"), ["n", "print"]).select("key", F.col("item").cast("long").alias("item_id")).distinct()
-    both = pairs.join(keyed.dropDuplicates(["key"]), "key").join(bench.withColumnRenamed("text", "item_text").dropDuplicates(["item_id", "item_text"]), "item_id")
+    # items meet by their text, as ids may be null; ids come back at the end
+    named = bench.withColumn("item", F.md5("text"))
+    texts = named.select("item", F.col("text").alias("item_text")).dropDuplicates(["item"])
+    items = texts.select(F.col("item").alias("key"), F.col("item_text").alias("text")).mapInArrow(prints, "key string, n int, print long")
+    pairs = own.join(items.withColumnRenamed("key", "item"), ["n", "print"]).select("key", "item").distinct()
+    both = pairs.join(keyed.dropDuplicates(["key"]), "key").join(texts, "item")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             out = []
             for key, item, doc, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                _, _, items, spans = _judged(Index([item], [other], window, gram), pa.array([doc]))
+                _, _, _, spans = _judged(Index([item], [other], window, gram), pa.array([doc]))
                 out += [(key, item, s["begin"], s["end"]) for s in spans[0]]
             columns = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["key", "item_id", "begin", "end"])
-
-    hits = both.select("key", "item_id", "text", "item_text").mapInArrow(compare, "key string, item_id long, begin long, end long")
-    hit = hits.groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("raw"))
-    # spans in order: each adds what lies beyond the largest end so far
-    start = F.struct(F.lit(0).cast("long").alias("words"), F.lit(0).cast("long").alias("upto"))
-    words = F.aggregate("raw", start, lambda a, s: F.struct((a["words"] + F.greatest(F.lit(0).cast("long"), s["end"] - F.greatest(s["begin"], a["upto"]))).alias("words"), F.greatest(a["upto"], s["end"]).alias("upto")))["words"]
-    hit = hit.withColumn("n_hit", words)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["key", "item", "begin", "end"])
+
+    hits = both.select("key", "item", "text", "item_text").mapInArrow(compare, "key string, item string, begin long, end long")
+    ids = named.groupBy("item").agg(F.collect_set("item_id").alias("ids"))
+    hit = hits.join(ids, "item").groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"), F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("raw"))
+    # spans in order: each that begins within or right after the last one lengthens it
+    none = F.array().cast("array<struct<begin:bigint,end:bigint>>")
+    merged = F.aggregate("raw", none, lambda a, s: F.when(F.coalesce(s["begin"] <= F.try_element_at(a, F.lit(-1))["end"], F.lit(False)), F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(a, F.lit(-1))["begin"].alias("begin"), F.greatest(F.try_element_at(a, F.lit(-1))["end"], s["end"]).alias("end"))))).otherwise(F.concat(a, F.array(s))))
+    hit = hit.withColumn("spans", merged).withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"]))
     keyed_docs = docs.select(*kept).withColumn("__key", F.md5(F.coalesce(text, F.lit(""))))
     if clean_only:
         return keyed_docs.join(hit, keyed_docs["__key"] == hit["key"], "left_anti").drop("__key")
     n_words = F.coalesce(F.regexp_count(F.col(text), F.lit("[0-9A-Za-z\u0080-\U0010ffff]+")), F.lit(0)).cast("long")
     out = keyed_docs.withColumn("n_words", n_words).join(hit, keyed_docs["__key"] == hit["key"], "left")
-    none = F.array().cast("array<struct<begin:long,end:long>>")
-    return out.select(*(c for c in kept if c != text), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce("raw", none).alias("spans"))
+    return out.select(*(c for c in kept if c != text), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce("spans", none).alias("spans"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

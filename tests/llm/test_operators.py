@@ -188,6 +188,16 @@ def test_contamination(spark, corpus, most):
     assert decontam.contamination(as_docs(spark, rows), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 10**6])
+def test_items_without_an_id_hit_on_both_paths(spark, most):
+    text = " ".join(f"a{i}" for i in range(40))
+    bench = spark.createDataFrame([(None, " ".join(f"a{i}" for i in range(5, 18))), (7, " ".join(f"a{i}" for i in range(10, 25)))], "item_id long, text string")
+    docs = as_docs(spark, [(1, text), (2, "a5 a6 a7 a8 a9 a10 a11 a12 a13 a14 b"), (3, "c d")])
+    got = sorted((r["doc_id"], r["n_hit"], r["items"], [tuple(x) for x in r["spans"]]) for r in decontam.contamination(docs, bench, max_index_rows=most).collect())
+    assert got == [(1, 20, [7], [(5, 25)]), (2, 10, [], [(0, 10)]), (3, 0, [], [])]
+    assert [r["doc_id"] for r in decontam.contamination(docs, bench, max_index_rows=most, clean_only=True).collect()] == [3]
+
+
 # 4 quality, 7 toxicity
 
 
