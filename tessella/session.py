@@ -9,6 +9,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Lets Spark delete the shuffle files of a query when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cores: str = "*", **conf: str) -> SparkSession:
     """A single-machine session for tests and benches; a cluster brings its own."""
@@ -44,11 +47,14 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests on one machine) a temporary folder takes its place.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset and driver and executors are one process
+    (tests) a temporary folder takes its place; anywhere else a folder of the driver's machine would be lost on the others.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
         found = f"file://{tempfile.mkdtemp(prefix='tessella-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -59,20 +65,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, *spent: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    Cuts the lineage like a reliable checkpoint, survives lost executors, and
-    keeps column pruning for later reads.
+    Cuts the lineage like a reliable checkpoint, survives lost executors, and keeps column pruning for later reads. The
+    write's shuffle files go as soon as it has ended, and so do the tables of ``spent``: earlier results of this
+    function that nothing reads any more.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    _drop_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _drop_at_exit(spark: SparkSession, path: str) -> None:
-    """Scratch tables go when the application ends, wherever they are stored."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    _path(spark, path)[1].deleteOnExit(_path(spark, path)[0])
+    discard(*spent)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of results of ``materialize``, which nothing may read any more."""
+    for t in tables:
+        place, fs = _path(t.sparkSession, t._scratch)
+        fs.delete(place, True)
+
+
+def _path(spark: SparkSession, path: str) -> tuple:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
