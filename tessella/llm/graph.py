@@ -16,11 +16,12 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates two steps on a table of links until nothing changes: every node sends its larger neighbours, then its
     smaller ones, to the smallest node it knows of. The number of rounds grows with the logarithm of the longest path;
-    each round's table is written out, and no step holds the neighbours of a node together (minima are combined
-    before they are shuffled).
+    each round's table is written out and its predecessor dropped, and no step holds the neighbours of a node together
+    (minima are combined before they are shuffled).
     """
     edges = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = materialize(edges, "links")
+    before = _digest(edges)
     for _ in range(MOST_ROUNDS):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
@@ -29,16 +30,20 @@ def components(links: DataFrame) -> DataFrame:
         # each node b goes to its smallest, and its other smaller neighbours go there as well
         smallest = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(smallest, "b").select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b"))
-        after = materialize(small.where("a <> b").distinct(), "links")
-        same = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if same == edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first():
+        edges = materialize(small.where("a <> b").distinct(), "links", edges)
+        after = _digest(edges)
+        if after == before:
             break
-        edges = after
+        before = after
     else:
         raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
 
+def _digest(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     """The smallest node that each of n nodes reaches over the links (i, j)."""
     label = np.arange(n)

@@ -3,24 +3,27 @@
 A document's set is that of its distinct n-word shingles, each a 64-bit hash; hashes give the global order of
 shingles, and ranges of that order are the fragments. Two documents link when ``den * overlap >= num * union``.
 
-1. Documents with the same set (by 128 bits) are a class; from here on its smallest doc_id stands for it.
+1. Documents with the same set (by 128 bits) are a class; from here on the document with its smallest doc_id stands for it.
 2. Candidates: linked sets differ in at most D shingles, D growing with their sizes. With more than D fragments, one
    fragment at least is the same in both, so each document offers one signature for each non-empty fragment,
    and sets that share none can't link. The number of fragments depends on the size interval alone; sets that
    could link across the bound of two intervals offer signatures for that bound too. Sets with so many empty fragments
    that the argument would fail also offer the first shingles of the order (prefix filter).
-3. Signatures are grouped to the smallest document of each; a second pass brings only those that several documents have
-   (a Bloom filter of bounded size, then a join) to their documents. Each document is compared with the smallest such leader.
-   No bucket is ever expanded into its pairs.
-4. Comparison: the sets of both documents are cut at fixed points of the order; for each fragment the overlap is
-   counted by itself, and the counts are summed per pair.
-5. Leaders whose documents lie in several components of these links go on. Those that share documents make a cluster.
-   Documents whose shingles found nowhere else in the cluster exclude every partner leave it. The rest are compared tile by
-   tile (a bounded number of documents), again fragment by fragment; a tile reports a spanning forest of its links.
+3. Signatures meet in ranges of their values. A slice of the input sends each distinct one once, with the smallest document
+   that has it there, packed by range; a range finds the smallest of all. So documents with a common signature hang
+   together in a tree of at most two levels, slice leaders below one leader, and no bucket is expanded into its pairs.
+4. Comparison of each document with the smallest of its leaders: bit sketches of the sets give an upper bound of the
+   overlap; for pairs that pass, the sets are cut at fixed points of the order, overlaps are counted for each fragment by
+   itself, and the counts are summed per pair.
+5. Trees whose documents lie in several components of these links go on. Of their documents those leave that have so many
+   shingles found in no other of them that every partner is ruled out. The rest make clusters by their trees and are
+   compared tile by tile (a bounded number of documents), again fragment by fragment; a tile reports a spanning
+   forest of its links.
 
 Defined cases: a null or empty text, or one without words, has an empty set and links with nothing; with fewer
-words than n the whole sequence is the one shingle; equal texts are linked; rows with a null doc_id link with
-nothing and have no component; doc_id should be unique, but repeated rows do no harm; an empty table gives no rows.
+words than n the whole sequence is the one shingle; a text of any length is one set, whole; equal texts are linked; rows
+with a null doc_id link with nothing and have no component; doc_id should be unique, but repeated rows do no harm; an
+empty table gives no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import load, materialize
+from ..session import discard, load, materialize
 from .graph import components, forest
-from .lm import build_filter
-from .words import SPACE_WORDS, Words, gram_hashes, gram_starts, mix64, pieces
+from .words import SPACE_WORDS, Words, gram_hashes, gram_starts, mix64, of_six_bytes, pieces, ranges, segments_of, six_bytes
 
-RATIO, SLACK, CUTS, MOST_BROADCAST_IDS, TILE_DOCS, TILE_SHINGLES, MOST_FILTER_BYTES = 1.8, 0.1, 4, 2_000_000, 600, 1_000_000, 32 << 20
+RATIO, SLACK, CUTS, MOST_BROADCAST_IDS, TILE_DOCS, TILE_SHINGLES = 1.8, 0.1, 4, 2_000_000, 2400, 2_000_000
+#: Bytes of text a slice, shingles a range, rows of one key a task, tasks that share a class of equal sets.
+SLICE_BYTES, SEGMENT_SHINGLES, HOT_ROWS, CLASS_SALTS = 2 << 20, 1 << 19, 10_000, 16
+FEW, PAIRS_AT_ONCE = 32, 1 << 22
 BOUNDS = [1]
 while BOUNDS[-1] < 1 << 40:
     BOUNDS.append(max(BOUNDS[-1] + 1, int(BOUNDS[-1] * RATIO)))
@@ -121,6 +126,46 @@ def _batch(names: list[str], *arrays: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(arrays), names)
 
 
+def sketches(of: np.ndarray, grams: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """For each set a bit for each of 2^k ranges of (mixed) hashes, at least twice as many as it has shingles."""
+    mixed, first, out = mix64(grams ^ np.uint64(0x589965CC75374CC3)), np.append(0, np.cumsum(sizes)), []
+    for i, n in enumerate(sizes.tolist()):
+        width = max(6, int(2 * n - 1).bit_length())
+        bits = np.zeros(1 << width, bool)
+        bits[(mixed[first[i] : first[i + 1]] >> np.uint64(64 - width)).astype(np.int64)] = True
+        out.append(np.packbits(bits).tobytes())
+    return out
+
+
+def most_overlap(size_a: int, a: bytes, size_b: int, b: bytes) -> int:
+    """An upper bound: each range that only one set has holds a shingle that the other lacks."""
+    x, y = (np.unpackbits(np.frombuffer(v, np.uint8)).astype(bool) for v in (a, b))
+    n = min(len(x), len(y))
+    x, y = x.reshape(n, -1).any(axis=1), y.reshape(n, -1).any(axis=1)
+    return min(size_a - int((x & ~y).sum()), size_b - int((y & ~x).sum()))
+
+
+def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
+def _runs(h: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+
+
+def with_facts(pairs: DataFrame, counted: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """``pairs`` (a, b) joined with ``facts`` by ``key``. Keys with more than HOT_ROWS pairs in ``counted`` are dealt to several tasks; their list has at most 1 / HOT_ROWS of the pairs."""
+    often = F.broadcast(counted.groupBy(key).agg(F.ceil(F.count("*") / HOT_ROWS).cast("int").alias("__shares")).where("__shares > 1"))
+    spread = pairs.join(often, key, "left").withColumn("__share", F.pmod(F.xxhash64("a", "b"), F.coalesce("__shares", F.lit(1))).cast("int")).drop("__shares")
+    copies = facts.join(often, key, "left").withColumn("__share", F.explode(F.sequence(F.lit(0), F.coalesce("__shares", F.lit(1)) - 1))).drop("__shares")
+    return spread.join(copies, [key, "__share"]).drop("__share")
+
+
 class _Join:
     """One join: the documents (doc_id, text), shingle length and threshold."""
 
@@ -129,6 +174,7 @@ class _Join:
             raise ValueError(f"the threshold must be above 1 / {RATIO} and at most 1: {num} / {den}")
         self.docs, self.n, self.num, self.den = docs, n, num, den
         self.spark = docs.sparkSession
+        self.partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def sets(self) -> DataFrame:
         n = self.n
@@ -141,74 +187,220 @@ class _Join:
 
         return materialize(self.docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long"), "jaccard-sets")
 
-    def rows(self, among: DataFrame | None = None) -> DataFrame:
-        """sig, doc_id; given ``among`` (sig), only those that a filter of its signatures, of bounded size, lets pass."""
-        n, num, den = self.n, self.num, self.den
-        shared = None
-        if among is not None:
-            shared = self.spark.sparkContext.broadcast(build_filter(among.select(F.col("sig").alias("hash"), F.lit(1).cast("long").alias("n")), MOST_FILTER_BYTES, prune=False)[0])
+    def of(self, ids: DataFrame) -> DataFrame:
+        """The documents with these ids (column id). Beyond a number of them texts are shuffled, and written so that every run of a task sees the same."""
+        few = ids.count() <= MOST_BROADCAST_IDS
+        found = self.docs.join(F.broadcast(ids) if few else ids, self.docs["doc_id"] == ids["id"], "left_semi")
+        return found if few else materialize(found, "jaccard-texts")
+
+    def trees(self, docs: DataFrame, shingles: int) -> DataFrame:
+        """leader, id: documents with a common signature hang together; see step 3."""
+        n, num, den, segments = self.n, self.num, self.den, max(self.partitions, shingles // SEGMENT_SHINGLES)
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches, "text", SLICE_BYTES):
+                ids = batch.column(0).to_numpy()
+                of, grams, sizes = shingle_sets(batch.column(1), n)
+                texts, sig = signatures(of, grams, sizes, num, den)
+                own = ids[texts]
+                order = np.lexsort((own, sig))
+                own, sig = own[order], sig[order]
+                at = _runs(sig)
+                leader = np.repeat(own[at], np.diff(np.append(at, len(sig))))
+                below = own != leader
+                a, b = _distinct_pairs(leader[below], own[below])
+                sig, own = sig[at], own[at]
+                segment, first = segments_of(sig, segments)
+                bounds = np.append(first, len(sig)).tolist()
+                six = six_bytes(sig)
+                # the bytes of ids go plane by plane, as most planes are zeros
+                packed = [six[x:y].tobytes() + own[x:y].view(np.uint8).reshape(-1, 8).T.tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+                if len(a):
+                    segment = np.append(segment, int(ids[0]) % segments)
+                    packed.append(b"".join(v.view(np.uint8).reshape(-1, 8).T.tobytes() for v in (a, b)))
+                entries = np.diff(bounds).tolist() + [0] * bool(len(a))
+                yield _batch(["segment", "entries", "packed"], pa.array(segment, pa.int64()), pa.array(entries, pa.int32()), pa.array(packed, pa.binary()))
+
+        def ids_of(data: bytes, n: int, at: int) -> np.ndarray:
+            return np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n, at).reshape(8, n).T).view("<i8").ravel()
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            segment, sigs, owners = None, [], []
+
+            def flush() -> pa.RecordBatch:
+                sig, own = np.concatenate(sigs), np.concatenate(owners)
+                order = np.argsort(sig, kind="stable")
+                sig, own = sig[order], own[order]
+                at = _runs(sig)
+                least = np.repeat(np.minimum.reduceat(own, at), np.diff(np.append(at, len(sig))))
+                below = own != least
+                a, b = _distinct_pairs(least[below], own[below])
+                return _batch(["leader", "id"], pa.array(a), pa.array(b))
+
+            for batch in batches:
+                for s, entries, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if s != segment and sigs:
+                        yield flush()
+                        sigs, owners = [], []
+                    segment = s
+                    if entries:
+                        sigs.append(of_six_bytes(packed, entries))
+                        owners.append(ids_of(packed, entries, 6 * entries))
+                    else:
+                        k = len(packed) // 16
+                        yield _batch(["leader", "id"], pa.array(ids_of(packed, k, 0)), pa.array(ids_of(packed, k, 8 * k)))
+            if sigs:
+                yield flush()
+
+        sent = docs.mapInArrow(send, "segment long, entries int, packed binary")
+        met = sent.repartition(self.partitions, "segment").sortWithinPartitions("segment").mapInArrow(meet, "leader long, id long")
+        return materialize(met.distinct(), "jaccard-trees")
+
+    def sketched(self, ids: DataFrame) -> DataFrame:
+        """id, size and sketch of the documents with these ids."""
+        n = self.n
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in pieces(batches, "text", 1 << 19):
+            for batch in pieces(batches, "text"):
                 of, grams, sizes = shingle_sets(batch.column(1), n)
-                texts, found = signatures(of, grams, sizes, num, den)
-                if shared is not None:
-                    passes = shared.value.levels(found) > 0
-                    texts, found = texts[passes], found[passes]
-                yield _batch(["sig", "doc_id"], pa.array(found.view(np.int64)), batch.column(0).take(pa.array(texts)))
+                yield _batch(["id", "size", "sketch"], batch.column(0), pa.array(sizes), pa.array(sketches(of, grams, sizes), pa.binary()))
 
-        return self.docs.where("doc_id is not null").mapInArrow(run, "sig long, doc_id long")
+        return self.of(ids).mapInArrow(run, "id long, size long, sketch binary")
 
     def segments(self, ids: DataFrame) -> DataFrame:
         """id, size, cut and the hashes of that cut, of the documents with these ids."""
         n, shift = self.n, np.uint64(64 - (CUTS - 1).bit_length())
-        few = ids.count() <= MOST_BROADCAST_IDS
-        texts = self.docs.join(F.broadcast(ids) if few else ids, self.docs["doc_id"] == ids["id"], "left_semi")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches, "text"):
                 of, grams, sizes = shingle_sets(batch.column(1), n)
                 key = of * CUTS + (grams >> shift).astype(np.int64)
-                at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+                at = _runs(key)
                 owner = of[at]
                 hashes = pa.ListArray.from_arrays(pa.array(np.append(at, len(key)).astype(np.int32)), pa.array(grams.view(np.int64)))
                 yield _batch(["id", "size", "cut", "hashes"], batch.column(0).take(pa.array(owner)), pa.array(sizes[owner]), pa.array((key[at] % CUTS).astype(np.int32)), hashes)
 
-        return texts.mapInArrow(run, "id long, size long, cut int, hashes array<long>")
+        return self.of(ids).mapInArrow(run, "id long, size long, cut int, hashes array<long>")
+
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """Those pairs (a, b) that sketches don't rule out."""
+        num, den = self.num, self.den
+        facts = materialize(self.sketched(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), "jaccard-sketches")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = [(num + den) * most_overlap(m, x, n, y) >= num * (m + n) for m, x, n, y in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
+                yield _batch(["a", "b"], *(c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]))
+
+        sides = [facts.select(F.col("id").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "ab"]
+        both = with_facts(pairs.join(sides[1], "b").select("a", "b", "size_b", "sketch_b"), pairs, sides[0], "a")
+        # sizes that far apart can't link, whatever the sets
+        near = both.where((F.least("size_a", "size_b") * den >= F.greatest("size_a", "size_b") * num))
+        return materialize(near.select("a", "b", "size_a", "sketch_a", "size_b", "sketch_b").mapInArrow(run, "a long, b long"), "jaccard-pairs", facts)
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Those pairs (a, b) that are similar enough."""
         ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "jaccard-ids")
-        cuts = materialize(self.segments(ids), "jaccard-segments")
+        cuts = materialize(self.segments(ids), "jaccard-segments", ids)
         left = cuts.select(F.col("id").alias("a"), F.col("size").alias("size_a"), "cut", F.col("hashes").alias("left"))
         right = cuts.select(F.col("id").alias("b"), F.col("size").alias("size_b"), "cut", F.col("hashes").alias("right"))
-        partial = pairs.join(right, "b").join(left, ["a", "cut"]).select("a", "b", "size_a", "size_b", F.size(F.array_intersect("left", "right")).alias("n"))
+        partial = with_facts(pairs, pairs, left, "a").join(right, ["b", "cut"]).select("a", "b", "size_a", "size_b", F.size(F.array_intersect("left", "right")).alias("n"))
         whole = partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"))
-        return whole.where((self.num + self.den) * F.col("n") >= self.num * (F.col("size_a") + F.col("size_b"))).select("a", "b")
+        sure = whole.where((self.num + self.den) * F.col("n") >= self.num * (F.col("size_a") + F.col("size_b"))).select("a", "b")
+        return materialize(sure, "jaccard-links", cuts)
 
+    def sociable(self, ids: DataFrame, shingles: int) -> DataFrame:
+        """Those ids whose shingles in other documents of ``ids`` suffice for a link with some partner."""
+        n, segments, num, den = self.n, max(self.partitions, shingles // SEGMENT_SHINGLES), self.num, self.den
 
-    def linked_in_clusters(self, left: DataFrame) -> DataFrame:
-        """Links (a, b), a spanning forest of them, among documents that any bucket of ``left`` (leader, id) connects.
-
-        Nothing that could link is left out: a cluster holds all buckets that share documents, and a document goes only if
-        its shingles that no other of its cluster has rule out every partner of a size there is.
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """A row a range with the slice's distinct shingles there, the (first) document of each, and whether it is the only one here."""
+            for batch in pieces(batches, "text", SLICE_BYTES):
+                of, grams, sizes = shingle_sets(batch.column(1), n)
+                order = np.argsort(grams, kind="stable")
+                h, of = grams[order], of[order]
+                at = _runs(h)
+                alone = np.diff(np.append(at, len(h))) == 1
+                h, of = h[at], of[at]
+                segment, first = segments_of(h, segments)
+                bounds = np.append(first, len(h)).tolist()
+                name = hash((tuple(batch.column(0).to_pylist()), int(grams.sum())))
+                six, owner = six_bytes(h), (of.astype("<u4") << 1) | alone.astype("<u4")
+                packed = [six[x:y].tobytes() + owner[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+                head = batch.column(0).to_numpy().tobytes() + sizes.astype("<i8").tobytes()
+                rows = [[name] * (len(packed) + 1), [*segment.tolist(), name % segments], [*np.diff(bounds).tolist(), -1], [*packed, head]]
+                yield _batch(["slice", "segment", "entries", "packed"], *(pa.array(r, k) for r, k in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)))
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Back to each slice: which of its documents have how many shingles of a range alone."""
+            segment, names, hashes, owners = None, [], [], []
+
+            def flush() -> pa.RecordBatch:
+                h = np.concatenate(hashes)
+                _, where, times = np.unique(h, return_inverse=True, return_counts=True)
+                once, out, at = times[where] == 1, [], 0
+                for own in owners:
+                    alone = once[at : at + len(own)] & (own & 1).astype(bool)
+                    at += len(own)
+                    docs, times = np.unique((own >> 1)[alone], return_counts=True)
+                    out.append(np.stack([docs, times]).astype("<u4").tobytes())
+                return _batch(["slice", "entries", "packed"], pa.array(names), pa.array([0] * len(names), pa.int32()), pa.array(out, pa.binary()))
+
+            for batch in batches:
+                for name, s, entries, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if s != segment and names:
+                        yield flush()
+                        names, hashes, owners = [], [], []
+                    segment = s
+                    if entries < 0:
+                        yield _batch(["slice", "entries", "packed"], pa.array([name]), pa.array([-1], pa.int32()), pa.array([packed], pa.binary()))
+                    else:
+                        names.append(name)
+                        hashes.append(of_six_bytes(packed, entries))
+                        owners.append(np.frombuffer(packed, "<u4", entries, 6 * entries))
+            if names:
+                yield flush()
+
+        def gather(rows: pa.Table) -> pa.Table:
+            head = next(p for e, p in zip(rows.column("entries").to_pylist(), rows.column("packed").to_pylist(), strict=True) if e < 0)
+            ids, sizes = np.frombuffer(head, "<i8").reshape(2, -1)
+            alone = np.zeros(len(ids), np.int64)
+            for e, p in zip(rows.column("entries").to_pylist(), rows.column("packed").to_pylist(), strict=True):
+                if e == 0:
+                    docs, times = np.frombuffer(p, "<u4").reshape(2, -1)
+                    alone[docs] += times
+            # overlap <= shared, so a partner has at most shared * (num + den) / num - size shingles, and at least size * num / den
+            most = np.minimum((sizes - alone) * (num + den) // num - sizes, sizes * den // num)
+            keep = most >= -(-sizes * num // den)
+            return pa.table([pa.array(ids[keep])], ["id"])
+
+        sent = self.of(ids).mapInArrow(send, "slice long, segment long, entries int, packed binary")
+        back = sent.repartition(self.partitions, "segment").sortWithinPartitions("segment").mapInArrow(count, "slice long, entries int, packed binary")
+        return materialize(back.groupBy("slice").applyInArrow(gather, "id long").distinct(), "jaccard-sociable")
+
+    def linked_in_clusters(self, left: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links (a, b), a spanning forest of them, among documents that trees of ``left`` (leader, id) connect.
+
+        Nothing that could link is left out: a cluster holds all trees that share documents, and a document goes only if
+        its shingles that no other document has rule out every partner.
         """
-        num, den = self.num, self.den
-        cluster = materialize(components(left.select(F.col("leader").alias("a"), F.col("id").alias("b"))).select(F.col("node").alias("id"), F.col("component").alias("cluster")), "jaccard-clusters")
-        cuts = materialize(self.segments(cluster.select("id")).join(cluster, "id"), "jaccard-segments")
+        num, den, ids = self.num, self.den, materialize(left.select(F.col("leader").alias("id")).union(left.select("id")).distinct(), "jaccard-open")
         for _ in range(2):
-            alone = cuts.select("cluster", "id", F.explode("hashes").alias("h")).groupBy("cluster", "h").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
-            alone = alone.groupBy("id").agg(F.count("*").alias("alone"))
-            docs = cuts.select("cluster", "id", "size").distinct()
-            sizes = docs.groupBy("cluster").agg(F.collect_set("size").alias("sizes"))
-            docs = docs.join(sizes, "cluster").join(alone, "id", "left").withColumn("shared", F.col("size") - F.coalesce("alone", F.lit(0)))
-            # overlap <= shared, so the partner's size is at most shared * (num + den) / num - size
-            most = F.least(F.floor(F.col("shared") * (num + den) / num) - F.col("size"), F.floor(F.col("size") * den / num))
-            docs = docs.withColumns({"least": F.ceil(F.col("size") * num / den), "most": most}).where(F.exists("sizes", lambda n: (n >= F.col("least")) & (n <= F.col("most"))))
-            cuts = materialize(cuts.join(docs.select("id"), "id", "left_semi"), "jaccard-segments")
-        weigh = cuts.groupBy("cluster").agg(F.countDistinct("id").alias("n"), F.sum(F.size("hashes")).alias("shingles"))
-        tiles = weigh.where("n > 1").select("cluster", F.ceil(F.greatest(F.col("n") / TILE_DOCS, F.col("shingles") / TILE_SHINGLES)).cast("int").alias("tiles"))
-        sent = cuts.join(tiles, "cluster").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+            shingles = sets.join(ids, sets["doc_id"] == ids["id"], "left_semi").agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+            ids = self.sociable(ids, shingles)
+        own = left.join(ids, "id", "left_semi")
+        # a slice's leader that leaves still ties its documents to the leader above
+        ties = own.union(left.join(own.select(F.col("leader").alias("id")).distinct(), "id", "left_semi").select("leader", "id")).distinct()
+        cluster = components(ties.select(F.col("leader").alias("a"), F.col("id").alias("b"))).select(F.col("node").alias("id"), F.col("component").alias("cluster")).join(ids, "id", "left_semi")
+        cluster = cluster.join(sets.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("weight")).dropDuplicates(["id"]), "id")
+        cluster = materialize(cluster, "jaccard-clusters")
+        # clusters of more than one tile: there are at most 1 / TILE_DOCS as many as documents, or as their shingles fill tiles
+        weigh = cluster.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("weight").alias("shingles"))
+        weigh = weigh.select("cluster", F.ceil(F.greatest(F.col("n") / TILE_DOCS, F.col("shingles") / TILE_SHINGLES)).cast("int").alias("tiles")).where("tiles > 1")
+        tiles = F.coalesce("tiles", F.lit(1))
+        placed = cluster.join(F.broadcast(weigh), "cluster", "left").select("id", "cluster", tiles.alias("tiles"), F.pmod(F.xxhash64("id"), tiles).cast("int").alias("tile"))
+        cuts = materialize(self.segments(cluster.select("id")), "jaccard-segments")
+        sent = cuts.join(placed, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         sent = sent.select("cluster", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), (F.col("tile") > F.col("other")).alias("second"), "id", "size", "cut", "hashes")
 
         def compare(table: pa.Table) -> pa.Table:
@@ -218,32 +410,46 @@ class _Join:
             a, b = tile_links(*own, counts, flat, num, den)
             return pa.table([pa.array(a), pa.array(b)], ["a", "b"])
 
-        return materialize(sent.groupBy("cluster", "low", "high").applyInArrow(compare, "a long, b long"), "jaccard-links")
+        return materialize(sent.groupBy("cluster", "low", "high").applyInArrow(compare, "a long, b long"), "jaccard-links", cuts, cluster)
 
 
 def tile_links(ids: np.ndarray, sizes: np.ndarray, cut: np.ndarray, second: np.ndarray, counts: np.ndarray, hashes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links between a tile's documents (second: false) and another's, or within one tile.
 
-    A row is one cut of one document with ``counts`` of ``hashes``. Overlaps are matrix products over some shingles at a time.
+    A row is one cut of one document with ``counts`` of ``hashes``.
     """
     names, row = np.unique(ids, return_inverse=True)
     size, side = np.zeros(len(names), np.int64), np.zeros(len(names), bool)
     size[row], side[row] = sizes, second
     x, y = (np.flatnonzero(~side), np.flatnonzero(side)) if side.any() else (np.arange(len(names)),) * 2
-    overlap = np.zeros((len(x), len(y)), np.float32)
+    at_x, at_y = np.full(len(names), -1), np.full(len(names), -1)
+    at_x[x], at_y[y] = np.arange(len(x)), np.arange(len(y))
+    overlap = np.zeros(len(x) * len(y), np.int64)
     of, cut_of = np.repeat(row, counts), np.repeat(cut, counts)
     for c in range(CUTS):
         here = cut_of == c
-        _, column, n = np.unique(hashes[here], return_inverse=True, return_counts=True)
-        shared = np.cumsum(n > 1) - 1  # shingles of one document alone add nothing
-        use = n[column] > 1
-        document, column = of[here][use], shared[column[use]]
-        for begin in range(0, int(column.max(initial=-1)) + 1, 2048):
-            some = (column >= begin) & (column < begin + 2048)
-            marks = np.zeros((len(names), 2048), np.float32)
-            marks[document[some], column[some] - begin] = 1
-            overlap += marks[x] @ marks[y].T
-    i, j = np.nonzero((num + den) * overlap.astype(np.int64) >= num * (size[x][:, None] + size[y][None, :]))
+        order = np.argsort(hashes[here], kind="stable")
+        document, h = of[here][order], hashes[here][order]
+        at = _runs(h)
+        n = np.diff(np.append(at, len(h)))
+        # shingles of few documents: their pairs; of more: products of rows of marks
+        few = np.flatnonzero((n > 1) & (n <= FEW))
+        for k in range(0, len(few), PAIRS_AT_ONCE // FEW**2):
+            m = n[few[k : k + PAIRS_AT_ONCE // FEW**2]]
+            begin = at[few[k : k + PAIRS_AT_ONCE // FEW**2]]
+            i = np.repeat(document[np.repeat(begin, m) + ranges(m)], np.repeat(m, m))
+            j = document[np.repeat(begin, m * m) + ranges(np.repeat(m, m))]
+            i, j = at_x[i], at_y[j]
+            use = (i >= 0) & (j >= 0)
+            overlap += np.bincount(i[use] * len(y) + j[use], minlength=len(overlap))
+        many = np.flatnonzero(n > FEW)
+        for k in range(0, len(many), 2048):
+            m = n[many[k : k + 2048]]
+            marks = np.zeros((len(names), len(m)), np.float32)
+            marks[document[np.repeat(at[many[k : k + 2048]], m) + ranges(m)], np.repeat(np.arange(len(m)), m)] = 1
+            overlap += (marks[x] @ marks[y].T).astype(np.int64).ravel()
+    overlap = overlap.reshape(len(x), len(y))
+    i, j = np.nonzero((num + den) * overlap >= num * (size[x][:, None] + size[y][None, :]))
     i, j = x[i], y[j]
     label = forest(i[i != j], j[i != j], len(names))
     linked = label != np.arange(len(names))
@@ -254,28 +460,35 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int, text: str =
     """doc_id, n_shingles, component_id of each document."""
     join = _Join(docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")), n, num, den)
     sets = join.sets()
-    labels = sets.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("label"))
-    labels = materialize(labels, "jaccard-classes")
-    leaders = join.rows().groupBy("sig").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    leaders = materialize(leaders.select("sig", "leader"), "jaccard-leaders")
-    # few signatures have two documents: the filter spares the others a second shuffle
-    edges = join.rows(leaders).join(leaders, "sig").where("doc_id <> leader").select("leader", F.col("doc_id").alias("id")).distinct()
-    edges = materialize(edges, "jaccard-edges")
-    edges = materialize(edges.join(labels.select(F.col("label").alias("id")).distinct(), "id", "left_semi"), "jaccard-edges")
-
-    first = edges.groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
-    links = materialize(join.linked(materialize(first, "jaccard-pairs")), "jaccard-links")
-    groups = materialize(components(links), "jaccard-groups")
+    full = sets.where("n_shingles > 0 and doc_id is not null")
+    labels = materialize(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("label"), F.count("*").alias("n")), "jaccard-classes")
+    heads = labels.select(F.col("label").alias("id")).distinct()
+    shingles = full.join(heads, full["doc_id"] == heads["id"], "left_semi").agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    edges = join.trees(join.of(heads), shingles)
+
+    first = materialize(edges.groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a")).select("a", "b"), "jaccard-first")
+    links = join.linked(join.possible(first))
+    groups = materialize(components(links), "jaccard-groups", first)
     of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_group"))
     both = edges.join(of("id"), "id", "left").join(of("leader"), "leader", "left")
-    # a bucket holds several components if and only if one of its documents is in another than its leader
-    open_ = both.where(F.coalesce("id_group", "id") != F.coalesce("leader_group", "leader")).select("leader").distinct()
-    left = materialize(edges.join(open_, "leader", "left_semi"), "jaccard-left")
-    groups = components(links.unionByName(join.linked_in_clusters(left)))
-    classes = sets.where("n_shingles > 0 and doc_id is not null").join(labels, ["h1", "h2"]).select("doc_id", "n_shingles", "label")
-    classes = classes.join(groups.withColumnRenamed("node", "label"), "label", "left")
+    # a tree holds several components if and only if one of its documents is in another than its leader
+    open_ = materialize(both.where(F.coalesce("id_group", "id") != F.coalesce("leader_group", "leader")).select("leader").distinct(), "jaccard-open")
+    # with a slice's leader goes the one above it, and with that one all leaders below
+    above = edges.join(open_.select(F.col("leader").alias("id")), "id", "left_semi").select("leader")
+    tops = open_.union(above).distinct()
+    below = edges.join(tops, "leader", "left_semi").select(F.col("id").alias("leader"))
+    left = materialize(edges.join(tops.union(below).distinct(), "leader", "left_semi"), "jaccard-left", open_)
+    discard(edges, groups)
+    if not left.isEmpty():
+        links = links.unionByName(join.linked_in_clusters(left, full))
+    groups = components(links)
+    node = groups.select(F.col("node").alias("doc_id"), F.col("component").alias("own"))
+    # classes of several documents, each as often as its documents are dealt to tasks
+    several = labels.where("n > 1").join(groups, labels["label"] == groups["node"], "left").select("h1", "h2", F.coalesce("component", "label").alias("shared"), F.explode(F.sequence(F.lit(0), F.lit(CLASS_SALTS - 1))).alias("salt"))
+    salted = full.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(CLASS_SALTS)).cast("int"))
+    classes = salted.join(several, ["h1", "h2", "salt"], "left").join(node, "doc_id", "left")
     alone = sets.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return classes.select("doc_id", "n_shingles", F.coalesce("component", "label").alias("component_id")).unionByName(alone)
+    return classes.select("doc_id", "n_shingles", F.coalesce("shared", "own", "doc_id").alias("component_id")).unionByName(alone)
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 
 from ..session import load, materialize
 from .quality import fold
-from .words import SPACE_WORDS, Words, mix64, pieces
+from .words import SPACE_WORDS, Words, mix64, of_six_bytes, pieces, segments_of, six_bytes
 
 FOLDS, HELD_OUT = 5, 1
 MOST_FREQUENT, MOST_BYTES, BITS_PER_ENTRY, MIN_COUNT, MIX = 200_000, 32 << 20, 10, 1, 0.3
-PROBES, BLOCK_BITS, SEGMENTS, SLICE_BYTES, LEVELS = 4, 512, 64, 4 << 20, 48
+PROBES, BLOCK_BITS, SLICE_BYTES, LEVELS = 4, 512, 4 << 20, 48
 END, BEGIN = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)  # hashes of the end and of what stands before the first word
 END_WORD = ""  # words are never empty
 
@@ -115,13 +115,6 @@ def unpacked(payload: pa.BinaryScalar) -> pa.RecordBatch:
     return next(iter(pa.ipc.open_stream(payload.as_buffer())))
 
 
-def segments_of(h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """Segments that hashes in order fall into, and where each begins."""
-    at = ((h >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
-    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(h) else np.zeros(0, np.int64)
-    return at[first], first
-
-
 def gram_levels(sliced: DataFrame, segments: int, min_count: int, bits_per_entry: int) -> DataFrame:
     """slice, segment, levels: of each slice's distinct n-grams, in the order of their hashes. ``sliced`` has slice and payload."""
     partitions = int(sliced.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -136,7 +129,7 @@ def gram_levels(sliced: DataFrame, segments: int, min_count: int, bits_per_entry
                 n = np.bincount(of, np.concatenate([learn, learn]), len(h)).astype("<u4")
                 segment, first = segments_of(h, segments)
                 ends = np.append(first[1:], len(h))
-                six = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]
+                six = six_bytes(h)
                 packed = [six[a:b].tobytes() + (n[a:b] if (n[a:b] > 255).any() else n[a:b].astype(np.uint8)).tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
                 columns = [pa.array(np.full(len(segment), at, np.int64)), pa.array(segment), pa.array(ends - first, pa.int32()), pa.array(packed, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["slice", "segment", "entries", "packed"])
@@ -161,9 +154,7 @@ def gram_levels(sliced: DataFrame, segments: int, min_count: int, bits_per_entry
                     slices, hashes, counts = [], [], []
                 segment = s
                 slices.append(at)
-                whole = np.zeros((entries, 8), np.uint8)
-                whole[:, 2:] = np.frombuffer(packed, np.uint8, 6 * entries).reshape(-1, 6)
-                hashes.append(whole.view("<u8").ravel())
+                hashes.append(of_six_bytes(packed, entries))
                 counts.append(np.frombuffer(packed, "<u4" if len(packed) == 10 * entries else np.uint8, entries, 6 * entries))
         if hashes:
             yield flush()
@@ -212,49 +203,6 @@ def segment_filter(h: np.ndarray, n: np.ndarray, bits_per_entry: int) -> LogFreq
     return made
 
 
-def build_filter(grams: DataFrame, most_bytes: int, bits_per_entry: int = BITS_PER_ENTRY, prune: bool = True) -> tuple[LogFrequencyFilter, int]:
-    """The filter of ``grams`` (hash, n), and the least level that it keeps. Without ``prune`` it keeps all, more densely."""
-    lv = (F.floor(F.log2(F.greatest("n", F.lit(1)))) + 1).cast("int")
-    by_level = {r["q"]: r["n"] for r in grams.groupBy(lv.alias("q")).agg(F.count("*").alias("n")).collect()}
-    least, entries = 1, sum(q * n for q, n in by_level.items())
-    while prune and entries * bits_per_entry > 8 * most_bytes:
-        entries -= least * by_level.get(least, 0)
-        least += 1
-    blocks = SEGMENTS * max(1, -(-min(entries * bits_per_entry, 8 * most_bytes) // (BLOCK_BITS * SEGMENTS)))
-    filter_ = LogFrequencyFilter(blocks)
-    per_segment = blocks // SEGMENTS
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = LogFrequencyFilter(0)
-        empty.blocks = blocks
-        for batch in batches:
-            h = batch.column(0).to_numpy().view(np.uint64)
-            block, _ = empty.places(h, 1)
-            yield pa.RecordBatch.from_arrays([pa.array((block // per_segment).astype(np.int32)), batch.column(0), batch.column(1)], ["segment", "hash", "n"])
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, np.ndarray] = {}
-        empty = LogFrequencyFilter(0)
-        empty.blocks = blocks
-        for batch in batches:
-            segment, h, n = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()
-            q_of = level(n)
-            for s in np.unique(segment).tolist():
-                bits = own.setdefault(s, np.zeros(per_segment * BLOCK_BITS // 8, np.uint8))
-                mine = segment == s
-                for q in range(1, int(q_of[mine].max()) + 1):
-                    block, bit = empty.places(h[mine & (q_of >= q)], q)
-                    place = ((block - s * per_segment)[:, None] * BLOCK_BITS + bit).ravel()
-                    np.bitwise_or.at(bits, place >> 3, (1 << (place & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([b.tobytes() for b in own.values()], pa.binary())], ["segment", "bits"])
-
-    kept = grams.where(lv >= least).select("hash", "n").mapInArrow(place, "segment int, hash long, n long")
-    for r in kept.repartition(min(SEGMENTS, 16), "segment").mapInArrow(fill, "segment int, bits binary").toLocalIterator():
-        at = r["segment"] * per_segment * BLOCK_BITS // 8
-        filter_.bits[at : at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
-    return filter_, least
-
-
 def _least_frequent(words: DataFrame, most: int) -> int:
     """The smallest count that at most ``most`` words reach."""
     held, least = 0, 1 << 62

@@ -20,6 +20,7 @@ LOWER[0x41:0x5B] += 0x20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_STRIDE = 1 << 17
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -27,7 +28,7 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     """1, base, base^2, ... modulo 2^64, at least n of them; kept for later calls up to 4 M."""
     found = _powers.get(int(base))
     if found is None or len(found) < n:
-        steps = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+        steps = np.full(max(n, 1 << 18), base, dtype=np.uint64)
         steps[0] = 1
         found = np.multiply.accumulate(steps)
         if n <= 1 << 22:
@@ -95,13 +96,19 @@ class Words:
         self.counts = np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        n = len(self.data)
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, n)[:n], out=total[1:])
-        return mix64((total[self.end] - total[self.start]) * _power(_BASE_INVERSE, n + 1)[self.start])
+        """A 64-bit hash of each word's bytes. Sums run over some words at a time, so that they stay in the processor's cache."""
+        out = np.empty(len(self.start), np.uint64)
+        i = 0
+        while i < len(out):
+            low = int(self.start[i])
+            j = max(i + 1, int(np.searchsorted(self.end, low + _STRIDE, side="right")))
+            start, end = self.start[i:j] - low, self.end[i:j] - low
+            n = int(end[-1])
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum((self.data[low : low + n].astype(np.uint64) + np.uint64(1)) * _power(_BASE, n)[:n], out=total[1:])
+            out[i:j] = (total[end] - total[start]) * _power(_BASE_INVERSE, n + 1)[start]
+            i = j
+        return mix64(out)
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
@@ -136,6 +143,24 @@ def ranges(counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(ends - counts, counts)
 
 
+def segments_of(h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges of hashes: those that hashes in order fall into, and where each begins."""
+    at = ((h >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(h) else np.zeros(0, np.int64)
+    return at[first], first
+
+
+def six_bytes(h: np.ndarray) -> np.ndarray:
+    """The first 48 bits of each hash, a row of bytes each."""
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]
+
+
+def of_six_bytes(data: bytes, n: int, at: int = 0) -> np.ndarray:
+    whole = np.zeros((n, 8), np.uint8)
+    whole[:, 2:] = np.frombuffer(data, np.uint8, 6 * n, at).reshape(-1, 6)
+    return whole.view("<u8").ravel()
+
+
 def window_minimum(h: np.ndarray, w: int) -> np.ndarray:
     """The position of the smallest of each w consecutive values, the rightmost of equals."""
     n = len(h) - w + 1

@@ -316,18 +316,14 @@ def test_bigrams_seen_once_count(spark, corpus, monkeypatch):
     assert sorted(((r["doc_id"], round(r["score"], 6)) for r in got), key=str) == model_scores(corpus, 1)
 
 
-def test_filter_gives_levels_back(spark):
+def test_filter_gives_levels_back():
     rng = np.random.default_rng(1)
     h = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64))
     n = rng.integers(1, 3000, len(h))
-    grams = spark.createDataFrame(list(zip(h.view(np.int64).tolist(), n.tolist(), strict=True)), "hash long, n long")
-    made, least = lm.build_filter(grams, 1 << 20)
-    assert least == 1 and (made.levels(h) >= lm.level(n)).all() and (made.levels(h) == lm.level(n)).mean() > 0.8
+    made = lm.segment_filter(h, n, 10)
+    found = made.levels(lm.mix64(h))
+    assert (found >= lm.level(n)).all() and (found == lm.level(n)).mean() > 0.8
     assert (made.levels(rng.integers(0, 1 << 63, 5000, dtype=np.uint64)) == 0).mean() > 0.9
-    small, least = lm.build_filter(grams, 4096)
-    assert least > 1 and len(small.bits) <= 8192
-    q = lm.level(n)
-    assert (small.levels(h)[q >= least] >= q[q >= least]).all()
 
 
 # 6 token output
