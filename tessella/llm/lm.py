@@ -14,11 +14,12 @@ its counts come from one filter, which lies in segments.
 4. Scoring: p(w | v) = mix * min(1, c(v w) / c(v)) + (1 - mix) * (c(w) + 0.5) / (N + 0.5 (V + 1)).
 
 The base score needs exact counts of all words. The ``most_frequent`` words (a fixed number) are broadcast; documents
-list their other words, which are joined with the counts. So no join key is frequent.
+list those of their other words that the filter holds, which are joined with the counts. Words that it does not hold were
+never seen in training, as a Bloom filter misses nothing. Words that many documents list are dealt to several tasks.
 
-Defined cases: a null or empty text has the end alone; a null doc_id is not held out, but nothing is learned from it;
+Defined cases: a null or empty text has the end alone; a text of any length is scored whole; a null doc_id is not held out, but nothing is learned from it;
 rows are scored each for itself, equal ones alike; without training documents all counts are 0; an empty table gives no
-rows; further columns are ignored.
+rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,11 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load, materialize
 from .quality import fold
+from .skew import spread_join
 from .words import SPACE_WORDS, Words, mix64, of_six_bytes, pieces, segments_of, six_bytes
 
 FOLDS, HELD_OUT = 5, 1
@@ -144,7 +147,7 @@ def gram_levels(sliced: DataFrame, segments: int, min_count: int, bits_per_entry
             own = segment_filter(h[n > 0], n[n > 0], bits_per_entry)
             levels = own.levels(mix64(h)).astype(np.uint8)[of]
             ends = np.cumsum([len(x) for x in hashes]).tolist()
-            parts = [levels[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
+            parts = [zstandard.compress(levels[a:b].tobytes(), 1) for a, b in zip([0, *ends], ends, strict=False)]
             return pa.RecordBatch.from_arrays([pa.array(slices, pa.int64()), pa.array([segment] * len(slices), pa.int64()), pa.array(parts, pa.binary())], ["slice", "segment", "levels"])
 
         for batch in batches:
@@ -245,19 +248,22 @@ def lm_scores(docs: DataFrame, text: str = "text", folds: int = FOLDS, held_out:
         names = [END_WORD if i < 0 else t.words.word(i).decode() for i in number]
         count = np.array([known.get(w, -1) for w in names])
         here = count >= 0
-        base = np.bincount(t.text_of, np.where(here, np.log10(np.maximum(count, 0) + 0.5), 0.0)[word_of], n)
         n_known = np.bincount(t.text_of, here[word_of], n).astype(np.int64)
-        # the other words of each text, with how often they stand there
-        far = np.flatnonzero(~here[word_of])
+        # levels of this slice's n-grams
+        grams = np.unique(keys(np.concatenate([unigram(t.hash), t.bigrams()])))
+        packed = levels.column("levels").take(pc.sort_indices(levels.column("segment"))).to_pylist()
+        q = np.frombuffer(b"".join(map(zstandard.decompress, packed)), np.uint8).astype(np.int64)
+        c_word = count_of(q[np.searchsorted(grams, keys(unigram(h)))])
+        never = ~here & (c_word == 0)
+        base = np.bincount(t.text_of, np.where(here | never, np.log10(np.maximum(count, 0) + 0.5), 0.0)[word_of], n)
+        # words of each text that may have been learned but are none of the most frequent, with how often they stand there
+        far = np.flatnonzero((~here & (c_word > 0))[word_of])
         key, times = np.unique(t.text_of[far] * np.int64(len(h)) + word_of[far], return_counts=True)
         owner, which = key // max(1, len(h)), key % max(1, len(h))
         offsets = pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32))
         others = pa.ListArray.from_arrays(offsets, pa.array(names, pa.string()).take(pa.array(which)))
         often = pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64)))
         # the model
-        grams = np.unique(keys(np.concatenate([unigram(t.hash), t.bigrams()])))
-        q = np.frombuffer(b"".join(levels.column("levels").take(pc.sort_indices(levels.column("segment"))).to_pylist()), np.uint8).astype(np.int64)
-        c_word = count_of(q[np.searchsorted(grams, keys(unigram(h)))])
         pairs, first, pair_of = np.unique(t.bigrams(), return_index=True, return_inverse=True)
         c_pair = count_of(q[np.searchsorted(grams, keys(pairs))])
         before = t.before[first]
@@ -270,9 +276,9 @@ def lm_scores(docs: DataFrame, text: str = "text", folds: int = FOLDS, held_out:
         return pa.table(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "others", "often"])
 
     scored = sliced.groupBy("slice").cogroup(levels.groupBy("slice")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, others array<string>, often array<long>")
-    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
+    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored", sliced)
     rare = scored.select("row", F.explode(F.arrays_zip("others", "often")).alias("o")).select("row", F.col("o.others").alias("word"), F.col("o.often").alias("often"))
-    rare = rare.join(words, "word", "left")
+    rare = spread_join(rare, words, ["word"], ["row"], "left")
     rare = rare.groupBy("row").agg(F.sum(F.col("often") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("often"))).alias("more_known"))
     out = scored.drop("others", "often").join(rare, "row", "left")
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(norm))

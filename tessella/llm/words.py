@@ -143,6 +143,15 @@ def ranges(counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(ends - counts, counts)
 
 
+def order_by(group: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Indices that put rows in the order of ``group`` (whole numbers from 0) and then of ``h``; one sort of 64-bit keys where possible."""
+    bits = np.uint64(max(1, int(group.max(initial=0)).bit_length()))
+    order = np.argsort(group.astype(np.uint64) << (np.uint64(64) - bits) | h >> bits)
+    g, x = group[order], h[order]
+    # the key lacks the last bits of h: rows that only those tell apart may stand in the wrong order
+    return np.lexsort((h, group)) if ((x[1:] < x[:-1]) & (g[1:] == g[:-1])).any() else order
+
+
 def segments_of(h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     """Ranges of hashes: those that hashes in order fall into, and where each begins."""
     at = ((h >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
