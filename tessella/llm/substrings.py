@@ -9,13 +9,16 @@ starts in a document with a smaller doc_id; windows are judged on the input, not
 2. A window's minimiser is the smallest hash among its ``gram``-word grams. Consecutive windows with one minimiser
    travel as one packed string, a super-k-mer: their words, joined by one space. The minimiser alone picks the
    bucket, so equal windows meet, while a word is sent about three times and not once for each window.
+   Buckets are as many as hold some MB each. A minimiser that would fill a bucket by itself (estimated from every
+   ``ESTIMATE``-th document, which only decides where windows meet) is split: its windows go by their second smallest gram too.
 3. A bucket unpacks its strings, sorts all windows and finds the smallest document of each. Windows are sorted by
    hash, and the bytes of equal ones are compared, so the result is exact.
 4. Ranges of duplicate words are gathered by document, and each text, packed too, is joined with its own.
 
-Defined cases: a null or empty text has no words and keeps none; a text of fewer words than a window has no window;
+Defined cases: a null or empty text has no words and keeps none; a text of fewer words than a window has no window; a
+text of any length is taken whole;
 rows with a null doc_id neither lose words nor cost others theirs; rows with equal doc_ids do not remove each other's
-words; an empty table gives no rows; further columns are ignored.
+words; an empty table gives no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,9 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from .words import SPACE_WORDS, Words, gram_hashes, gram_starts, pieces, ranges, utf8, window_minimum
+from .words import SPACE_WORDS, Words, gram_hashes, gram_starts, mix64, pieces, ranges, utf8, window_minimum
 
-WINDOW, GRAM, SLICE_BYTES, BUCKETS_PER_PARTITION, PACK_ABOVE, PACK_LEVEL = 13, 3, 3 << 20, 4, 400, 3
+WINDOW, GRAM, SLICE_BYTES, BUCKET_BYTES, PACK_ABOVE, PACK_LEVEL = 13, 3, 3 << 20, 6 << 20, 400, 3
+SENT, ESTIMATE, HOT_WINDOWS = 3, 64, 300_000  # how often a word is sent, about; one in so many documents; windows of one minimiser
 _KEYS = np.dtype([("doc_id", "<i8"), ("text_hash", "<i8"), ("begin", "<i4"), ("size", "<i4")])
 _RANGES = np.dtype([("doc_id", "<i8"), ("text_hash", "<i8"), ("low", "<i4"), ("high", "<i4")])
 
@@ -69,16 +73,17 @@ def first_documents(words: Words, owner: np.ndarray, window: int) -> tuple[np.nd
         return starts, np.zeros(0, np.int64)
     own = np.repeat(owner, counts)
     h = gram_hashes(words.hashes(), window)[starts]
-    order = np.lexsort((own, h))
+    order = np.argsort(h)
     sorted_h = h[order]
     new = np.append(True, sorted_h[1:] != sorted_h[:-1])
     run = np.cumsum(new) - 1
-    head = order[np.flatnonzero(new)][run]
+    first = np.flatnonzero(new)
+    head = order[first][run]
     begin, size = words.start[starts], words.end[starts + window - 1] - words.start[starts]
     again = np.flatnonzero(~new)
     same = size[order[again]] == size[head[again]]
     same[same] = equal_spans(words.data, begin[order[again[same]]], begin[head[again[same]]], size[order[again[same]]])
-    least = own[head]
+    least = np.minimum.reduceat(own[order], first)[run]
     if not same.all():  # different windows with one hash: tell them apart by their bytes
         for r in np.unique(run[again[~same]]).tolist():
             least_of: dict[bytes, int] = {}
@@ -111,7 +116,38 @@ def word_ranges(windows: np.ndarray, text: np.ndarray, window: int) -> tuple[np.
     return text[at], windows[at], windows[last] + window
 
 
-def pack(buckets: int, window: int, gram: int, batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
+def minimisers(words: Words, starts: np.ndarray, window: int, gram: int, hot: np.ndarray) -> np.ndarray:
+    """The smallest gram of each window; for those in ``hot`` (sorted), mixed with the smallest of its other grams."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    grams = gram_hashes(words.hashes(), gram)
+    least = grams[window_minimum(grams, window - gram + 1)[starts]]
+    if len(hot):
+        at = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, least), len(hot) - 1)] == least)
+        for k in range(0, len(at), 1 << 16):
+            some = at[k : k + (1 << 16)]
+            own = grams[starts[some][:, None] + np.arange(window - gram + 1)]
+            own[own == least[some][:, None]] = np.iinfo(np.uint64).max
+            least[some] = mix64(least[some] + mix64(own.min(axis=1)))
+    return least
+
+
+def hot_minimisers(docs: DataFrame, window: int, gram: int) -> np.ndarray:
+    """Minimisers of more than about HOT_WINDOWS windows: at most one for so many windows of the input. Only where windows meet depends on them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", SLICE_BYTES):
+            words = Words(single_spaced(batch.column(0)), SPACE_WORDS)
+            starts, _ = gram_starts(words.first, window)
+            found, n = np.unique(minimisers(words, starts, window, gram, np.zeros(0, np.uint64)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["minimiser", "n"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(ESTIMATE)) == 0).select("text")
+    often = some.mapInArrow(count, "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n")).where(F.col("n") * ESTIMATE > HOT_WINDOWS)
+    return np.sort(np.array([r["minimiser"] for r in often.toLocalIterator()], np.int64).view(np.uint64))
+
+
+def pack(buckets: int, hot: np.ndarray, window: int, gram: int, batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
     """(bucket, payload) of the windows of a batch (doc_id, text_hash, text) that are the first of their slice."""
     doc_id, text_hash = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
     words = Words(single_spaced(batch.column(2)), SPACE_WORDS)
@@ -126,10 +162,7 @@ def pack(buckets: int, window: int, gram: int, batch: pa.RecordBatch) -> Iterato
     local["low"], local["high"] = low - words.first[texts], high - words.first[texts]
 
     starts, text_of = starts[~repeated], text_of[~repeated]
-    minimiser = np.zeros(0, np.uint64)
-    if len(starts):
-        grams = gram_hashes(words.hashes(), gram)
-        minimiser = grams[window_minimum(grams, window - gram + 1)[starts]]
+    minimiser = minimisers(words, starts, window, gram, hot)
     at = _runs(text_of, minimiser, starts - np.arange(len(starts))) if len(starts) else np.zeros(0, np.int64)
     last = np.append(at[1:], len(starts))[: len(at)] - 1
     bucket = (minimiser[at] % np.uint64(buckets)).astype(np.int64)
@@ -182,11 +215,13 @@ def repeats(payloads: list[bytes], window: int) -> np.ndarray:
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, text_hash, low, high: ranges of words (without high) to remove; ``docs`` has doc_id, text_hash and text. Ranges may overlap."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = partitions * BUCKETS_PER_PARTITION
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(partitions, -(-SENT * size // BUCKET_BYTES))
+    hot = hot_minimisers(docs, window, gram)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", SLICE_BYTES):
-            rows = list(pack(buckets, window, gram, batch))
+            rows = list(pack(buckets, hot, window, gram, batch))
             if rows:
                 numbers, payloads = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(payloads, pa.binary())], ["bucket", "payload"])
