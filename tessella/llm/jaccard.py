@@ -37,11 +37,12 @@ from pyspark.sql import functions as F
 
 from ..session import discard, load, materialize
 from .graph import components, forest
-from .words import SPACE_WORDS, Words, gram_hashes, gram_starts, mix64, of_six_bytes, pieces, ranges, segments_of, six_bytes
+from .skew import spread_join
+from .words import SPACE_WORDS, Words, gram_hashes, gram_starts, mix64, of_six_bytes, order_by, pieces, ranges, segments_of, six_bytes
 
 RATIO, SLACK, CUTS, MOST_BROADCAST_IDS, TILE_DOCS, TILE_SHINGLES = 1.8, 0.1, 4, 2_000_000, 2400, 2_000_000
-#: Bytes of text a slice, shingles a range, rows of one key a task, tasks that share a class of equal sets.
-SLICE_BYTES, SEGMENT_SHINGLES, HOT_ROWS, CLASS_SALTS = 2 << 20, 1 << 19, 10_000, 16
+#: Bytes of text a slice, shingles a range, tasks that share a class of equal sets.
+SLICE_BYTES, SEGMENT_SHINGLES, CLASS_SALTS = 2 << 20, 1 << 19, 16
 FEW, PAIRS_AT_ONCE = 32, 1 << 22
 BOUNDS = [1]
 while BOUNDS[-1] < 1 << 40:
@@ -58,7 +59,7 @@ def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.n
         short = np.flatnonzero(words.counts == k)
         if len(short):
             of, grams = np.concatenate([of, short]), np.concatenate([grams, gram_hashes(h, k)[words.first[short]]])
-    order = np.lexsort((grams, of))
+    order = order_by(of, grams)
     of, grams = of[order], grams[order]
     new = np.ones(len(of), bool)
     new[1:] = (of[1:] != of[:-1]) | (grams[1:] != grams[:-1])
@@ -158,14 +159,6 @@ def _runs(h: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
 
 
-def with_facts(pairs: DataFrame, counted: DataFrame, facts: DataFrame, key: str) -> DataFrame:
-    """``pairs`` (a, b) joined with ``facts`` by ``key``. Keys with more than HOT_ROWS pairs in ``counted`` are dealt to several tasks; their list has at most 1 / HOT_ROWS of the pairs."""
-    often = F.broadcast(counted.groupBy(key).agg(F.ceil(F.count("*") / HOT_ROWS).cast("int").alias("__shares")).where("__shares > 1"))
-    spread = pairs.join(often, key, "left").withColumn("__share", F.pmod(F.xxhash64("a", "b"), F.coalesce("__shares", F.lit(1))).cast("int")).drop("__shares")
-    copies = facts.join(often, key, "left").withColumn("__share", F.explode(F.sequence(F.lit(0), F.coalesce("__shares", F.lit(1)) - 1))).drop("__shares")
-    return spread.join(copies, [key, "__share"]).drop("__share")
-
-
 class _Join:
     """One join: the documents (doc_id, text), shingle length and threshold."""
 
@@ -203,13 +196,14 @@ class _Join:
                 of, grams, sizes = shingle_sets(batch.column(1), n)
                 texts, sig = signatures(of, grams, sizes, num, den)
                 own = ids[texts]
-                order = np.lexsort((own, sig))
+                order = np.argsort(sig)
                 own, sig = own[order], sig[order]
                 at = _runs(sig)
-                leader = np.repeat(own[at], np.diff(np.append(at, len(sig))))
+                least = np.minimum.reduceat(own, at) if len(at) else own
+                leader = np.repeat(least, np.diff(np.append(at, len(sig))))
                 below = own != leader
                 a, b = _distinct_pairs(leader[below], own[below])
-                sig, own = sig[at], own[at]
+                sig, own = sig[at], least
                 segment, first = segments_of(sig, segments)
                 bounds = np.append(first, len(sig)).tolist()
                 six = six_bytes(sig)
@@ -229,7 +223,7 @@ class _Join:
 
             def flush() -> pa.RecordBatch:
                 sig, own = np.concatenate(sigs), np.concatenate(owners)
-                order = np.argsort(sig, kind="stable")
+                order = np.argsort(sig)
                 sig, own = sig[order], own[order]
                 at = _runs(sig)
                 least = np.repeat(np.minimum.reduceat(own, at), np.diff(np.append(at, len(sig))))
@@ -293,7 +287,7 @@ class _Join:
                 yield _batch(["a", "b"], *(c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]))
 
         sides = [facts.select(F.col("id").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "ab"]
-        both = with_facts(pairs.join(sides[1], "b").select("a", "b", "size_b", "sketch_b"), pairs, sides[0], "a")
+        both = spread_join(pairs.join(sides[1], "b").select("a", "b", "size_b", "sketch_b"), sides[0], ["a"], ["b"], counted=pairs)
         # sizes that far apart can't link, whatever the sets
         near = both.where((F.least("size_a", "size_b") * den >= F.greatest("size_a", "size_b") * num))
         return materialize(near.select("a", "b", "size_a", "sketch_a", "size_b", "sketch_b").mapInArrow(run, "a long, b long"), "jaccard-pairs", facts)
@@ -304,7 +298,7 @@ class _Join:
         cuts = materialize(self.segments(ids), "jaccard-segments", ids)
         left = cuts.select(F.col("id").alias("a"), F.col("size").alias("size_a"), "cut", F.col("hashes").alias("left"))
         right = cuts.select(F.col("id").alias("b"), F.col("size").alias("size_b"), "cut", F.col("hashes").alias("right"))
-        partial = with_facts(pairs, pairs, left, "a").join(right, ["b", "cut"]).select("a", "b", "size_a", "size_b", F.size(F.array_intersect("left", "right")).alias("n"))
+        partial = spread_join(pairs, left, ["a"], ["b"]).join(right, ["b", "cut"]).select("a", "b", "size_a", "size_b", F.size(F.array_intersect("left", "right")).alias("n"))
         whole = partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"))
         sure = whole.where((self.num + self.den) * F.col("n") >= self.num * (F.col("size_a") + F.col("size_b"))).select("a", "b")
         return materialize(sure, "jaccard-links", cuts)
@@ -317,7 +311,7 @@ class _Join:
             """A row a range with the slice's distinct shingles there, the (first) document of each, and whether it is the only one here."""
             for batch in pieces(batches, "text", SLICE_BYTES):
                 of, grams, sizes = shingle_sets(batch.column(1), n)
-                order = np.argsort(grams, kind="stable")
+                order = np.argsort(grams)
                 h, of = grams[order], of[order]
                 at = _runs(h)
                 alone = np.diff(np.append(at, len(h))) == 1
@@ -325,7 +319,8 @@ class _Join:
                 segment, first = segments_of(h, segments)
                 bounds = np.append(first, len(h)).tolist()
                 name = hash((tuple(batch.column(0).to_pylist()), int(grams.sum())))
-                six, owner = six_bytes(h), (of.astype("<u4") << 1) | alone.astype("<u4")
+                kind = "<u2" if len(sizes) <= 1 << 15 else "<u4"
+                six, owner = six_bytes(h), (of.astype(kind) << 1) | alone.astype(kind)
                 packed = [six[x:y].tobytes() + owner[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
                 head = batch.column(0).to_numpy().tobytes() + sizes.astype("<i8").tobytes()
                 rows = [[name] * (len(packed) + 1), [*segment.tolist(), name % segments], [*np.diff(bounds).tolist(), -1], [*packed, head]]
@@ -357,7 +352,7 @@ class _Join:
                     else:
                         names.append(name)
                         hashes.append(of_six_bytes(packed, entries))
-                        owners.append(np.frombuffer(packed, "<u4", entries, 6 * entries))
+                        owners.append(np.frombuffer(packed, "<u2" if len(packed) == 8 * entries else "<u4", entries, 6 * entries))
             if names:
                 yield flush()
 
@@ -428,7 +423,7 @@ def tile_links(ids: np.ndarray, sizes: np.ndarray, cut: np.ndarray, second: np.n
     of, cut_of = np.repeat(row, counts), np.repeat(cut, counts)
     for c in range(CUTS):
         here = cut_of == c
-        order = np.argsort(hashes[here], kind="stable")
+        order = np.argsort(hashes[here])
         document, h = of[here][order], hashes[here][order]
         at = _runs(h)
         n = np.diff(np.append(at, len(h)))
