@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load, materialize
-from .words import SPACE_WORDS, Words, gram_hashes, pieces
+from .words import SPACE_WORDS, Words, gram_hashes, order_by, pieces
 
 MAX_FIT_ROWS, PAIRS_PER_ROW, RIDGE = 20_000, 8, 1e-2
 FOLDS, HELD_OUT = 3, 1
@@ -69,7 +69,7 @@ def text_features(column: pa.Array) -> np.ndarray:
 
     def distinct(values: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many distinct values each text has, and how often its most frequent one stands there."""
-        order = np.lexsort((values, of))
+        order = order_by(of, values)
         v, o = values[order], of[order]
         new = np.ones(len(v), bool)
         new[1:] = (v[1:] != v[:-1]) | (o[1:] != o[:-1])
