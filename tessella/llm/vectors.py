@@ -2,20 +2,26 @@
 
 Two vectors link when their cosine, in double precision, is at least ``threshold``.
 
-1. Unit vectors are turned into their principal axes (the second moments of all rows, summed where the rows lie;
-   the turn keeps every product). Blocks are ranges of the first coordinate, cut at its quantiles.
-2. |u - v|^2 = 2 - 2 cos, so linked vectors differ by at most sqrt(2 - 2 threshold) in each coordinate: pairs of
+1. Equal vectors (by 128 bits of hashes) are one class, which counts as often as it has members: from here on one vector a
+   class is compared, so copies cost nothing but a sum.
+2. Unit vectors are turned into their principal axes (the second moments of all classes, summed where the rows lie;
+   the turn keeps every product). Blocks are ranges of the first coordinate, cut at its quantiles; a range with more
+   rows than a block holds, because they share that coordinate, is dealt to several blocks by hash.
+3. |u - v|^2 = 2 - 2 cos, so linked vectors differ by at most sqrt(2 - 2 threshold) in each coordinate: pairs of
    blocks, and of tiles within them, that lie farther apart are not compared.
-3. A tile of one block is compared with a tile of the other by matrix products over the leading coordinates first.
+4. A tile of one block is compared with a tile of the other by matrix products over the leading coordinates first.
    What the others can add is at most the product of the norms of the suffixes; pairs that can't reach the
    threshold stop there, and the rest go on to the next coordinates. Products within 1e-9 of the threshold are
    taken anew from the vectors as given.
-4. A task reports, for its two blocks, how many links each vector has and a spanning forest of them, at most one row a
+5. A task reports, for its two blocks, how many links each vector has and a spanning forest of them, at most one row a
    vector each, never the pairs themselves. Sums and components of these are those of all links.
 
+Vectors travel as given (single precision stays single) and become doubles in the tasks. A vector is sent once for each
+block within reach, so what is sent grows with the number of vectors times that of blocks of ``block_rows``.
+
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components link
 with nothing; equal vectors link; rows with equal or null vec_ids are vectors of their own; an empty table gives no
-rows; further columns are ignored.
+rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,11 +32,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from ..session import load, materialize
 from .graph import components, forest
+from .skew import spread_join
+from .words import mix64
 
-THRESHOLD, BLOCK_ROWS, TILE_ROWS, STAGES = 0.95, 8192, 1024, (16, 32)
+THRESHOLD, BLOCK_ROWS, TILE_ROWS, STAGES = 0.95, 16384, 1024, (16, 32)
 NEAR = 1e-9
 
 
@@ -79,12 +88,12 @@ def tile_links(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarr
     return i, j, value
 
 
-def block_links(uid: np.ndarray, side: np.ndarray, v: np.ndarray, turned: np.ndarray, threshold: float, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """(links of each row, smallest row that it reaches) within a block (one side), or between two blocks."""
+def block_links(side: np.ndarray, times: np.ndarray, v: np.ndarray, turned: np.ndarray, threshold: float, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """(links of each row, smallest row that it reaches) within a block (one side), or between two blocks; row k counts ``times[k]`` times."""
     order = np.lexsort((turned[:, 0], side))
     sides = side[order]
     cut = int(np.searchsorted(sides, 1))
-    n = len(uid)
+    n = len(side)
     degree, parent = np.zeros(n, np.int64), np.arange(n)
     left = [order[k : min(k + TILE_ROWS, cut)] for k in range(0, cut, TILE_ROWS)]
     right = [order[k : k + TILE_ROWS] for k in range(cut, n, TILE_ROWS)]
@@ -103,7 +112,7 @@ def block_links(uid: np.ndarray, side: np.ndarray, v: np.ndarray, turned: np.nda
         sure = value >= threshold
         i, j = x[i[sure]], y[j[sure]]
         if len(i):
-            degree += np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
+            degree += (np.bincount(i, times[j], n) + np.bincount(j, times[i], n)).astype(np.int64)
             new = parent[i] != parent[j]
             if new.any():
                 own = forest(np.concatenate([i[new], np.arange(n)]), np.concatenate([j[new], parent]), n)
@@ -113,69 +122,91 @@ def block_links(uid: np.ndarray, side: np.ndarray, v: np.ndarray, turned: np.nda
 
 def vector_components(vectors: DataFrame, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id and kept of each row."""
-    spark = vectors.sparkSession
-    v = F.col(column).cast("array<double>")
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), v.alias("v"), F.monotonically_increasing_id().alias("uid"))
+    given = vectors.schema[column].dataType
+    kind = "float" if isinstance(given, ArrayType) and isinstance(given.elementType, FloatType) else "double"
+    v = F.col(f"`{column}`").cast(f"array<{kind}>")
+    rows = vectors.select(F.col(f"`{key}`").cast("long").alias("vec_id"), v.alias("v"), F.monotonically_increasing_id().alias("uid"))
     rows = materialize(rows, "vectors")
     sizes = rows.where("v is not null").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     dim = sizes["n"] if sizes else 0
     fine = F.col("v").isNotNull() & (F.size("v") == dim) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    bare = rows.select("vec_id", "uid")
-    found = None
-    if dim:
-        found = _links(rows.where(fine), dim, threshold, block_rows)
+    members = rows.where(fine).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")})
+    classes = members.groupBy("h1", "h2").agg(F.min("uid").alias("uid"), F.count("*").alias("times"), F.min("vec_id").alias("least"), F.first("v").alias("v"))
+    classes = materialize(classes, f"vector-classes-{kind}")
+    found = _links(classes, dim, threshold, block_rows, kind)
     if found is None:
-        return bare.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    degrees = found.groupBy("uid").agg(F.sum("degree").alias("n_links"))
-    groups = components(found.where("uid <> parent").select(F.col("parent").alias("a"), F.col("uid").alias("b"))).withColumnRenamed("node", "uid")
-    both = materialize(bare.join(degrees, "uid", "left").join(groups, "uid", "left"), "vector-groups")
-    both = both.withColumn("component", F.coalesce("component", "uid"))
-    heads = both.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    out = both.join(heads, "component")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
-
-
-def _links(rows: DataFrame, dim: int, threshold: float, block_rows: int) -> DataFrame | None:
-    """uid, degree, parent from every compared pair of blocks (rows without links left out)."""
-    spark = rows.sparkSession
-    n = rows.count()
+        judged = classes.select("h1", "h2", (F.col("times") - 1).alias("n_links"), F.col("least").alias("component_id"))
+    else:
+        degrees = found.groupBy("uid").agg(F.sum("degree").alias("degree"))
+        groups = components(found.where("uid <> parent").select(F.col("parent").alias("a"), F.col("uid").alias("b"))).withColumnRenamed("node", "uid")
+        both = classes.drop("v").join(degrees, "uid", "left").join(groups, "uid", "left")
+        both = materialize(both.select("h1", "h2", (F.coalesce("degree", F.lit(0)) + F.col("times") - 1).alias("n_links"), "least", F.coalesce("component", "uid").alias("component")), "vector-groups", found)
+        heads = both.groupBy("component").agg(F.min("least").alias("component_id"))
+        judged = spread_join(both, heads, ["component"], ["h1"]).select("h1", "h2", "n_links", "component_id")
+    out = spread_join(members.select("vec_id", "uid", "h1", "h2"), judged, ["h1", "h2"], ["uid"]).select("vec_id", "n_links", "component_id")
+    others = rows.where(~F.coalesce(fine, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.unionByName(others).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def _links(classes: DataFrame, dim: int, threshold: float, block_rows: int, kind: str) -> DataFrame | None:
+    """uid, degree, parent from every compared pair of blocks (rows without links left out); ``classes``: uid, times and v."""
+    spark = classes.sparkSession
+    n = classes.count()
     if n < 2:
         return None
-    values, axes = np.linalg.eigh(second_moments(rows, dim))
+    values, axes = np.linalg.eigh(second_moments(classes, dim))
     axes = axes[:, np.argsort(-values)]
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + NEAR
+    blocks = -(-n // block_rows)
 
     def lead(batches):
         for batch in batches:
-            u = unit_rows(batch.column(1), dim)
-            floats = pa.ListArray.from_arrays(pa.array(np.arange(0, u.size + 1, dim, dtype=np.int32)), pa.array(u.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), floats, pa.array(u @ axes[:, 0])], ["uid", "v", "lead"])
+            yield pa.RecordBatch.from_arrays([pa.array(unit_rows(batch.column(0), dim) @ axes[:, 0])], ["lead"])
 
-    led = rows.select("uid", "v").mapInArrow(lead, "uid long, v array<double>, lead double")
-    blocks = -(-n // block_rows)
-    cuts = [float("-inf")]
+    cuts = np.array([-np.inf])
     if blocks > 1:
-        cuts += sorted(set(led.select(F.percentile_approx("lead", [k / blocks for k in range(1, blocks)], 100 * blocks)).first()[0]))
-    ends = [*cuts[1:], float("inf")]
-    # blocks that a block may hold links to are neighbours in the order
-    spans = [(k, min(p for p in range(len(cuts)) if ends[p] >= cuts[k] - reach), max(p for p in range(len(cuts)) if cuts[p] <= ends[k] + reach)) for k in range(len(cuts))]
-    near = spark.createDataFrame(spans, "block int, first int, last int")
-    block = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= F.col("lead"))) - 1
-    sent = led.withColumn("block", block).join(F.broadcast(near), "block")
-    sent = sent.select("uid", "v", "block", F.explode(F.sequence("first", "last")).alias("other"))
-    sent = sent.select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).cast("int").alias("side"), "uid", "v")
+        leads = classes.select("v").mapInArrow(lead, "lead double")
+        cuts = np.append(cuts, np.unique(leads.select(F.percentile_approx("lead", [k / blocks for k in range(1, blocks)], 100 * blocks)).first()[0]))
+        in_range = leads.mapInArrow(lambda batches: _counts(batches, cuts), "range long, n long").groupBy("range").agg(F.sum("n").alias("n"))
+        held = {r["range"]: r["n"] for r in in_range.collect()}
+    else:
+        held = {0: n}
+    # a range of one coordinate that many rows share makes several blocks; those of a range have neighbouring numbers
+    shares = np.array([max(1, -(-held.get(k, 0) // block_rows)) for k in range(len(cuts))])
+    begin = np.append(0, np.cumsum(shares))
+    ends = np.append(cuts[1:], np.inf)
+    first = begin[np.searchsorted(ends, cuts - reach, side="left")]
+    last = begin[np.searchsorted(cuts, ends + reach, side="right")] - 1
+
+    def place(batches):
+        for batch in batches:
+            uid, u = batch.column(0).to_numpy(), unit_rows(batch.column(2), dim)
+            at = np.searchsorted(cuts, u @ axes[:, 0], side="right") - 1
+            block = begin[at] + (mix64(uid.view(np.uint64)) % shares[at].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x.astype(np.int32)) for x in (block, first[at], last[at]))], ["uid", "times", "v", "block", "first", "last"])
+
+    placed = classes.select("uid", "times", "v").mapInArrow(place, f"uid long, times long, v array<{kind}>, block int, first int, last int")
+    sent = placed.select("uid", "times", "v", "block", F.explode(F.sequence("first", "last")).alias("other"))
+    sent = sent.select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).cast("int").alias("side"), "uid", "times", "v")
 
     def compare(table: pa.Table) -> pa.Table:
-        uid, side = (table.column(c).to_numpy() for c in ("uid", "side"))
-        v = table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)
-        degree, parent = block_links(uid, side, v, v @ axes, threshold, reach)
+        uid, side, times = (table.column(c).to_numpy() for c in ("uid", "side", "times"))
+        v = unit_rows(table.column("v").combine_chunks(), dim)
+        degree, parent = block_links(side, times, v, v @ axes, threshold, reach)
         linked = degree > 0
         return pa.table([pa.array(uid[linked]), pa.array(degree[linked]), pa.array(uid[parent[linked]])], ["uid", "degree", "parent"])
 
-    partitions = max(1, len(cuts) * (len(cuts) + 1) // 2)
-    sent = sent.repartition(min(partitions, 20_000), "low", "high")
+    total = int(begin[-1])
+    sent = sent.repartition(min(total * (total + 1) // 2, 20_000), "low", "high")
     return materialize(sent.groupBy("low", "high").applyInArrow(compare, "uid long, degree long, parent long"), "vector-links")
 
 
+def _counts(batches, cuts: np.ndarray):
+    total = np.zeros(len(cuts), np.int64)
+    for batch in batches:
+        total += np.bincount(np.searchsorted(cuts, batch.column(0).to_numpy(), side="right") - 1, minlength=len(cuts))
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cuts))), pa.array(total)], ["range", "n"])
+
+
 def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_components(load(spark, sf_dir, "embeddings"))
