@@ -19,15 +19,17 @@ The mix is a list of output shards whose slots each take one block.
 Offsets of documents in their source's stream are prefix sums in two levels (chunks of documents, then sums of
 chunks), so that no task holds a whole source, however large; slots are made in two levels for the same reason.
 
+``mix_counts`` says how much the mix takes of each document, ``mixed_documents`` gives its documents, and ``mixed_blocks``
+its output shards, slot by slot, with the words of each block.
+
 Defined cases: a null text has no words; documents without words are taken 0 times and have the target of their
-source; a null source is a source; equal rows are counted each for itself; a null doc_id sorts first; an empty
-table gives an empty result. Further columns of ``docs`` are ignored.
+source; a null source is a source; equal rows are counted each for itself; a null doc_id sorts first; a text of any
+length is cut into as many blocks as it fills; an empty table gives an empty result. Further columns of ``docs`` are ignored
+by ``mix_counts`` and pass through ``mixed_documents``, whatever their names.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,7 +81,7 @@ def placed(docs: DataFrame, text: str, *keep: str) -> tuple[DataFrame, DataFrame
     sized = materialize(sized, "mix-sizes")
     chunks = max(1, round(sized.count() ** 0.5))
     chunk = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(chunks))
-    within = Window.partitionBy("skey", "chunk").orderBy("doc_id", "text_hash", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("skey", "chunk").orderBy("doc_id", "text_hash", "size", *(k for k in keep if k != "doc_id")).rowsBetween(Window.unboundedPreceding, -1)
     local = sized.withColumn("chunk", chunk).withColumn("local", F.coalesce(F.sum("size").over(within), F.lit(0)))
     sums = sized.groupBy("skey", chunk.alias("chunk")).agg(F.sum("size").alias("words"))
     before = Window.partitionBy("skey").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -127,32 +129,50 @@ def mix_counts(docs: DataFrame, text: str = "text", block_words: int = BLOCK_WOR
     return full.unionByName(empty).join(quota, "skey").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _numbered(docs: DataFrame, text: str) -> DataFrame:
+    """What ``placed`` needs and all columns but the text as one, so that no name can clash; written out with a number a row."""
+    number = F.monotonically_increasing_id().cast("string")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text))
+    return materialize(docs.select(row.alias("row"), F.col("doc_id"), F.col(f"`{text}`").alias("text"), F.col("source"), number.alias("number")), "mix-rows")
+
+
+def _words_at(text: Column, spans: Column) -> Column:
+    every = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return F.array_join(F.flatten(F.transform(spans, lambda s: F.slice(every, (s["low"] + 1).cast("int"), (s["high"] - s["low"]).cast("int")))), " ")
+
+
 def mixed_documents(docs: DataFrame, text: str = "text", block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """The mix as documents: each, once an epoch, with the words that the mix takes from it then.
 
     Whole documents keep their text as it is; of others the words taken are joined by one space. Columns as in
     ``docs``; ``n_chars`` is set anew where it is there.
     """
-    keyed = docs.withColumn("text_hash", F.xxhash64(text)).withColumn("skey", source_key(F.col("source")))
-    where, quota = placed(docs, text, "doc_id")
-    parts = pieces(where, block_words).join(slots(quota, block_words, seed).select("skey", "block", "epoch"), ["skey", "block"])
+    rows = _numbered(docs, text)
+    where, quota = placed(rows, "text", "doc_id", "number")
+    # slots come from the few rows of the targets but grow with the mix: they must not be broadcast
+    parts = pieces(where, block_words).join(slots(quota, block_words, seed).select("skey", "block", "epoch").hint("merge"), ["skey", "block"])
     span = F.array_sort(F.collect_list(F.struct("low", "high")))
-    epochs = parts.groupBy("skey", "begin", "doc_id", "text_hash", "size", "epoch").agg(span.alias("spans"), F.sum(F.col("high") - F.col("low")).alias("words"))
-    # equal rows have equal words: the n-th of them goes with the n-th place
-    twin = Window.partitionBy("doc_id", "text_hash", "skey")
-    places = where.where("size > 0").select("skey", "begin", "doc_id", "text_hash", F.row_number().over(twin.orderBy("begin")).alias("twin"))
-    rest = [c for c in docs.columns if c not in ("doc_id", text)]
-    keyed = keyed.withColumn("twin", F.row_number().over(twin.orderBy(*(F.col(c) for c in rest if dict(docs.dtypes)[c] not in ("map",)))))
-    same = reduce(lambda a, b: a & b, (keyed[c].eqNullSafe(places[c]) for c in ("doc_id", "text_hash", "skey", "twin")))
-    texts = keyed.join(places, same).select(*(keyed[c] for c in docs.columns), places["skey"].alias("__skey"), places["begin"].alias("__begin"))
-    out = texts.join(epochs.select("skey", "begin", "size", "epoch", "spans", "words"), (F.col("__skey") == F.col("skey")) & (F.col("__begin") == F.col("begin")))
-    every = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
-    some = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice("__words", (s["low"] + 1).cast("int"), (s["high"] - s["low"]).cast("int")))), " ")
-    out = out.withColumn("__words", F.when(F.col("words") < F.col("size"), every))
-    out = out.withColumn(text, F.when(F.col("words") < F.col("size"), some).otherwise(F.col(text)))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text).cast("long"))
-    return out.select(*docs.columns)
+    epochs = parts.groupBy("number", "size", "epoch").agg(span.alias("spans"), F.sum(F.col("high") - F.col("low")).alias("words"))
+    out = rows.select("row", "text", "number").join(epochs, "number")
+    out = out.withColumn("mixed", F.when(F.col("words") < F.col("size"), _words_at(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
+    made = {text: F.col("mixed")} | ({"n_chars": F.length("mixed").cast("long")} if "n_chars" in docs.columns else {})
+    return out.select(*(made.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+
+
+def mixed_blocks(docs: DataFrame, text: str = "text", block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+    """The mix as output shards: shard, source, slot, epoch and the block's words, joined by one space; partitioned and sorted by shard."""
+    rows = _numbered(docs, text)
+    where, quota = placed(rows, "text", "doc_id", "number")
+    cut = rows.select("text", "number").join(pieces(where, block_words).groupBy("number", "skey", "begin").agg(F.array_sort(F.collect_list(F.struct("block", "low", "high"))).alias("cuts")), "number")
+    cut = cut.withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).select("skey", "begin", "words", F.explode("cuts").alias("cut"))
+    piece = F.array_join(F.slice("words", (F.col("cut.low") + 1).cast("int"), (F.col("cut.high") - F.col("cut.low")).cast("int")), " ")
+    # a block holds at most block_words words, so its pieces are bounded
+    blocks = cut.select("skey", F.col("cut.block").alias("block"), "begin", piece.alias("piece")).groupBy("skey", "block").agg(F.array_sort(F.collect_list(F.struct("begin", "piece"))).alias("pieces"))
+    blocks = blocks.select("skey", "block", F.array_join(F.transform("pieces", lambda p: p["piece"]), " ").alias("words"))
+    out = slots(quota, block_words, seed).hint("merge").join(blocks, ["skey", "block"])
+    source = F.when(F.col("skey") != "t", F.substring("skey", 2, 1 << 30))
+    out = out.select("shard", source.alias("source"), "slot", "epoch", "words")
+    return out.repartition("shard").sortWithinPartitions("shard", "source", "slot")
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
