@@ -3,33 +3,33 @@
 A rule ``(action, host, path)`` fits a URL whose host is the rule's host or one of its subdomains and whose
 path starts with the rule's path; among fitting rules the longest (host and path together, then host) wins.
 
-1. Rules become canonical keys ``host + path`` and, while they are few enough for their filter to be broadcast
-   (``max_filter_bytes``, checked), a blocked Bloom filter: each key sets one bit in each of the eight 64-bit
-   words of one block, so that a probe touches one cache line.
+1. Rules become canonical keys ``host + path`` and a blocked Bloom filter: each key sets one bit in each of the eight
+   64-bit words of one block, so that a probe touches one cache line. Tasks make ranges of blocks of it; where the whole
+   would take more than ``max_filter_bytes``, it comes in several parts, each broadcast and probed by itself.
 2. Each URL offers its candidates: every host suffix at a dot, times every path prefix of a length that some
    rule has. Candidates that the filter rejects can't be listed.
-3. The rest go to an exact hash join on the key, which removes the false positives; the longest rule per
-   distinct URL stays, and a join by URL (which Spark may split where a URL is hot) brings it to the pages.
+3. The rest go to an exact hash join on the key, which removes the false positives; keys that many URLs offer are dealt to
+   several tasks. The longest rule per distinct URL stays, and a join by URL brings it to the pages, hot URLs dealt too.
 
-With more rules than the filter may hold, step 2 passes every candidate, so that only cost changes.
-
-Defined cases: a null URL, or one without ``://``, has an empty host and path and no rule; equal rows stay
-as often as they came; of rules with the same host and path the one that allows wins; an empty table gives
-an empty result; further columns of ``pages`` pass through, unless they bear a name of the result's.
+Defined cases: a null URL, or one without ``://``, has an empty host and path and no rule; a URL of any length is judged
+whole; equal rows stay as often as they came; of rules with the same host and path the one that allows wins; a null rule
+host is no rule; an empty table gives an empty result; further columns of ``pages`` pass through, whatever their names,
+unless they bear one of the result's (host, path, rule, verdict), whose values replace theirs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import load
+from ..session import load, materialize
+from .skew import spread_join
+from .words import SPACE_WORDS, Words
 
 #: The list that the registered query judges by: action, host, path.
 RULES = [
@@ -40,7 +40,7 @@ RULES = [
     ("block", "org", "/es/"),
 ]
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BITS_PER_KEY, BLOCK_WORDS = 16, 8
+BITS_PER_KEY, BLOCK_WORDS, RANGE_BYTES, MAX_FILTER_BYTES = 16, 8, 1 << 20, 32 << 20
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -49,75 +49,116 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(after, r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def key_hashes(keys: list[str]) -> np.ndarray:
-    from .words import SPACE_WORDS, Words
-
+def key_hashes(keys: pa.Array) -> np.ndarray:
     every = np.ones_like(SPACE_WORDS)  # one "word" a key
-    return Words(pa.array(keys, pa.string()), every).hashes()
+    return Words(keys, every).hashes()
 
 
 class BlockedBloom:
-    """``words[block, 8]``: a key sets one bit in each 64-bit word of its block."""
+    """Blocks ``low`` to ``low + len(words)`` of ``blocks``: ``words[block, 8]``, a key sets one bit in each 64-bit word of its block."""
 
-    def __init__(self, n_keys: int) -> None:
-        self.words = np.zeros((max(1, -(-n_keys * BITS_PER_KEY // 512)), BLOCK_WORDS), np.uint64)
+    def __init__(self, blocks: int, low: int, words: np.ndarray) -> None:
+        self.blocks, self.low, self.words = blocks, low, words
 
-    def _places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        block = (h >> np.uint64(32)) % np.uint64(len(self.words))
+    @staticmethod
+    def block(h: np.ndarray, blocks: int) -> np.ndarray:
+        return ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+
+    @staticmethod
+    def _bits(h: np.ndarray) -> np.ndarray:
         odd = np.arange(1, 2 * BLOCK_WORDS, 2, dtype=np.uint64) * np.uint64(0x9E3779B1)
-        bit = (h[:, None] * odd[None, :] >> np.uint64(20)) & np.uint64(63)
-        return block.astype(np.int64), np.uint64(1) << bit
+        return np.uint64(1) << ((h[:, None] * odd[None, :] >> np.uint64(20)) & np.uint64(63))
 
     def add(self, h: np.ndarray) -> None:
-        block, bits = self._places(h)
+        block, bits = self.block(h, self.blocks) - self.low, self._bits(h)
         for i in range(BLOCK_WORDS):
             np.bitwise_or.at(self.words[:, i], block, bits[:, i])
 
-    def has(self, h: np.ndarray) -> np.ndarray:
-        block, bits = self._places(h)
-        return ((self.words[block] & bits) == bits).all(axis=1)
+    def may_have(self, h: np.ndarray) -> np.ndarray:
+        """False only for keys that are not listed; true for all that belong to other blocks."""
+        at, out = self.block(h, self.blocks) - self.low, np.ones(len(h), bool)
+        mine = np.flatnonzero((at >= 0) & (at < len(self.words)))
+        bits = self._bits(h[mine])
+        out[mine] = ((self.words[at[mine]] & bits) == bits).all(axis=1)
+        return out
+
 
+def filter_parts(keys: DataFrame, n: int, most_bytes: int) -> Iterator[BlockedBloom]:
+    """The filter of ``n`` keys (column key), in parts of at most ``most_bytes``."""
+    per_range = max(1, min(RANGE_BYTES, most_bytes) // (8 * BLOCK_WORDS))
+    ranges = -(-max(1, -(-n * BITS_PER_KEY // (64 * BLOCK_WORDS))) // per_range)
+    blocks = ranges * per_range
 
-def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", max_filter_bytes: int = 32 << 20) -> DataFrame:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = key_hashes(batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(BlockedBloom.block(h, blocks) // per_range), pa.array(h.view(np.int64))], ["range", "hash"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: BlockedBloom | None = None
+        for batch in batches:
+            at, h = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            for r in np.unique(at).tolist():
+                if own is None or own.low != r * per_range:
+                    if own is not None:
+                        yield _range_row(own, per_range)
+                    own = BlockedBloom(blocks, r * per_range, np.zeros((per_range, BLOCK_WORDS), np.uint64))
+                own.add(h[at == r])
+        if own is not None:
+            yield _range_row(own, per_range)
+
+    made = keys.mapInArrow(hashed, "range long, hash long").repartition("range").sortWithinPartitions("range").mapInArrow(fill, "range long, bits binary")
+    made = materialize(made, "url-filter")
+    per_part = max(1, most_bytes // (per_range * 8 * BLOCK_WORDS))
+    for first in range(0, ranges, per_part):
+        part = BlockedBloom(blocks, first * per_range, np.zeros((min(per_part, ranges - first) * per_range, BLOCK_WORDS), np.uint64))
+        for r in made.where(F.col("range").between(first, first + per_part - 1)).toLocalIterator():
+            at = (r["range"] - first) * per_range
+            part.words[at : at + per_range] = np.frombuffer(r["bits"], np.uint64).reshape(-1, BLOCK_WORDS)
+        yield part
+
+
+def _range_row(part: BlockedBloom, per_range: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part.low // per_range]), pa.array([part.words.tobytes()], pa.binary())], ["range", "bits"])
+
+
+def candidates_of(host: Column, path: Column, lengths: list[int]) -> Column:
+    """All keys that a rule fitting this host and path may have."""
+    labels = F.split(host, r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
+    heads = F.transform(F.filter(F.array(*(F.lit(n) for n in lengths)).cast("array<int>"), lambda n: n <= F.length(path)), lambda n: F.substring(path, F.lit(1), n))
+    return F.flatten(F.transform(F.filter(suffixes, lambda e: e != ""), lambda e: F.transform(heads, lambda p: F.concat(e, p))))
+
+
+def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """``pages`` with host, path, rule (text of the longest that fits, else null) and verdict."""
     spark = pages.sparkSession
-    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "__url")]
-    host, path = host_and_path(F.col("__url"))
-    pages = pages.withColumn("__url", F.col(url)).select(*kept, "__url").withColumns({"host": host, "path": path})
+    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    host, path = host_and_path(F.col("url"))
+    # columns that pass through travel in one, so that no name can clash
+    row = F.struct(*(F.col(f"`{c}`") for c in kept)) if kept else F.lit(True)
+    pages = pages.select(row.alias("row"), F.coalesce(F.col(f"`{url}`"), F.lit("")).alias("url")).withColumns({"host": host, "path": path})
     rules = rules.where("host is not null and host <> ''").select("action", "host", F.coalesce("path", F.lit("")).alias("path"))
     rules = rules.groupBy(F.concat("host", "path").alias("key")).agg(F.min(F.struct("host", "path", "action")).alias("r")).select("key", "r.*")
     facts = rules.agg(F.count("*").alias("n"), F.collect_set(F.length("path")).alias("lengths")).first()
-    bloom = None
-    if facts["n"] * BITS_PER_KEY // 8 <= max_filter_bytes:
-        bloom = BlockedBloom(facts["n"])
-        keys = (r["key"] for r in rules.select("key").toLocalIterator())
-        while some := list(islice(keys, 10_000)):
-            bloom.add(key_hashes(some))
-    shared = spark.sparkContext.broadcast((bloom, sorted(facts["lengths"])))
-
-    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom, lengths = shared.value
-        for batch in batches:
-            urls, keys, seen = [], [], set()
-            for u, h, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if u in seen or not h:
-                    continue
-                seen.add(u)
-                labels = h.split(".")
-                ends = [".".join(labels[i:]) for i in range(len(labels))]
-                found = [e + p[:n] for e in ends if e for n in lengths if n <= len(p)]
-                urls += [u] * len(found)
-                keys += found
-            if bloom is not None and keys:
-                hit = bloom.has(key_hashes(keys))
-                urls, keys = (pc.filter(pa.array(x, pa.string()), pa.array(hit)) for x in (urls, keys))
-            yield pa.RecordBatch.from_arrays([pa.array(urls, pa.string()), pa.array(keys, pa.string())], ["__url", "key"])
-
-    candidates = pages.select("__url", "host", "path").mapInArrow(possible, "__url string, key string")
+    keys = candidates_of(F.col("host"), F.col("path"), sorted(facts["lengths"]))
+    candidates = pages.where("host <> ''").select("url", F.explode(keys).alias("key")) if facts["lengths"] else pages.where("false").select("url", F.col("url").alias("key"))
+    parts = 0
+    for part in filter_parts(rules.select("key"), facts["n"], max_filter_bytes):
+        shared, parts = spark.sparkContext.broadcast(part), parts + 1
+
+        def possible(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(shared.value.may_have(key_hashes(batch.column(1)))))
+
+        candidates = candidates.mapInArrow(possible, "url string, key string")
+        if facts["n"] * BITS_PER_KEY // 8 > max_filter_bytes:  # one part at a time in the executors' memory
+            candidates = materialize(candidates, "url-candidates")
+            shared.unpersist()
     order = F.struct((F.length("host") + F.length("path")).alias("a"), F.length("host").alias("b"), "key", "action")
-    fits = candidates.join(rules, "key").groupBy("__url").agg(F.max(order).alias("best"))
-    out = pages.join(fits, "__url", "left")
-    return out.select(*kept, "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    fits = spread_join(candidates.distinct(), rules, ["key"], ["url"]).groupBy("url").agg(F.max(order).alias("best"))
+    out = spread_join(pages.withColumn("place", F.monotonically_increasing_id()), fits, ["url"], ["place"], "left", counted=pages.select("url"))
+    return out.select(*([F.col("row.*")] if kept else []), "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
 
 
 def rules_table(spark: SparkSession) -> DataFrame:
