@@ -13,10 +13,12 @@ window is hit.
 3. Each hit is extended to both sides, word by word, as far as document and item agree. Spans of a window or
    more are hit; comparing words makes the result exact, whatever the hashes.
 
-Defined cases: a null or empty text has no words; a null item text is no item; repeated items count once by
-item_id and an item without an id is left out of the count of items; equal documents are judged each for itself;
-no items or no documents give no hits or no rows. Further columns of ``docs`` pass through, unless they bear a
-name of the result's.
+Both paths of step 2 give the same rows and columns.
+
+Defined cases: a null or empty text has no words; a text of any length is judged whole; a null item text is no item;
+repeated items count once by item_id; an item without an id hits words but is left out of the count of items; equal
+documents are judged each for itself; no items or no documents give no hits or no rows. Further columns of ``docs`` pass
+through, whatever their names, unless they bear one of the result's (n_words, n_hit, items, spans), whose values replace theirs.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import load
+from ..session import load, materialize
+from .skew import spread_join
 from .words import ITEM_WORDS, Words, gram_hashes, gram_starts, pieces, window_minimum
 
 WINDOW, GRAM = 10, 5
@@ -153,6 +156,9 @@ def contamination(docs: DataFrame, bench: DataFrame, text: str = "text", window:
     return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != text), RESULT]))
 
 
+MOST_HELD = 64  # indexes of single items that a task keeps at once
+
+
 def _shuffled(docs: DataFrame, bench: DataFrame, text: str, window: int, gram: int, kept: list[str], clean_only: bool) -> DataFrame:
     """For an index too large to broadcast: fingerprints meet in a join, then texts of the pairs that share one."""
     lengths = [r["n"] for r in bench.select(F.least(F.regexp_count("text", F.lit("[0-9A-Za-z\u0080-\U0010ffff]+")), F.lit(window)).alias("n")).distinct().collect() if 0 < r["n"] < window]
@@ -165,37 +171,51 @@ def _shuffled(docs: DataFrame, bench: DataFrame, text: str, window: int, gram: i
                 rows = np.unique(np.stack([text_of[at].astype(np.uint64), hashes], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[:, 0].astype(np.int64))), pa.array(np.full(len(rows), n, np.int32)), pa.array(rows[:, 1].view(np.int64))], ["key", "n", "print"])
 
-    keyed = docs.select(F.md5(F.coalesce(text, F.lit(""))).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
-    own = keyed.mapInArrow(prints, "key string, n int, print long").distinct()
-    # items meet by their text, as ids may be null; ids come back at the end
+    # documents and items meet by their texts, as ids may be null or repeated; columns that pass through travel in one
+    own = [c for c in kept if c != text]
+    row = F.struct(*(F.col(f"`{c}`") for c in own)) if own else F.lit(True)
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    keyed = docs.select(row.alias("row"), F.col(f"`{text}`").alias("raw"), whole.alias("text"), F.md5(whole).alias("key"))
+    texts = keyed.select("key", "text")
     named = bench.withColumn("item", F.md5("text"))
-    texts = named.select("item", F.col("text").alias("item_text")).dropDuplicates(["item"])
-    items = texts.select(F.col("item").alias("key"), F.col("item_text").alias("text")).mapInArrow(prints, "key string, n int, print long")
-    pairs = own.join(items.withColumnRenamed("key", "item"), ["n", "print"]).select("key", "item").distinct()
-    both = pairs.join(keyed.dropDuplicates(["key"]), "key").join(texts, "item")
+    items = named.select("item", F.col("text").alias("item_text")).dropDuplicates(["item"])
+    of_items = items.select(F.col("item").alias("key"), F.col("item_text").alias("text")).mapInArrow(prints, "key string, n int, print long").withColumnRenamed("key", "item")
+    of_docs = texts.mapInArrow(prints, "key string, n int, print long").distinct()
+    pairs = materialize(spread_join(of_docs, of_items, ["n", "print"], ["key"]).select("key", "item").distinct(), "decontamination-pairs")
+    some = texts.join(pairs.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    both = spread_join(pairs.join(some, "key"), items, ["item"], ["key"], counted=pairs)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Index] = {}
         for batch in pieces(batches, "text"):
             out = []
             for key, item, doc, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                _, _, _, spans = _judged(Index([item], [other], window, gram), pa.array([doc]))
+                if item not in held:
+                    if len(held) >= MOST_HELD:
+                        held.clear()
+                    held[item] = Index([item], [other], window, gram)
+                _, _, _, spans = _judged(held[item], pa.array([doc]))
                 out += [(key, item, s["begin"], s["end"]) for s in spans[0]]
             columns = list(zip(*out, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["key", "item", "begin", "end"])
 
     hits = both.select("key", "item", "text", "item_text").mapInArrow(compare, "key string, item string, begin long, end long")
     ids = named.groupBy("item").agg(F.collect_set("item_id").alias("ids"))
-    hit = hits.join(ids, "item").groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"), F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("raw"))
+    hit = hits.join(ids, "item").groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"), F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("found"))
     # spans in order: each that begins within or right after the last one lengthens it
     none = F.array().cast("array<struct<begin:bigint,end:bigint>>")
-    merged = F.aggregate("raw", none, lambda a, s: F.when(F.coalesce(s["begin"] <= F.try_element_at(a, F.lit(-1))["end"], F.lit(False)), F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(a, F.lit(-1))["begin"].alias("begin"), F.greatest(F.try_element_at(a, F.lit(-1))["end"], s["end"]).alias("end"))))).otherwise(F.concat(a, F.array(s))))
-    hit = hit.withColumn("spans", merged).withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"]))
-    keyed_docs = docs.select(*kept).withColumn("__key", F.md5(F.coalesce(text, F.lit(""))))
+    last = lambda a: F.try_element_at(a, F.lit(-1))
+    longer = lambda a, s: F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(last(a)["begin"].alias("begin"), F.greatest(last(a)["end"], s["end"]).alias("end"))))
+    merged = F.aggregate("found", none, lambda a, s: F.when(F.coalesce(s["begin"] <= last(a)["end"], F.lit(False)), longer(a, s)).otherwise(F.concat(a, F.array(s))))
+    hit = hit.select("key", "items", merged.alias("spans"))
+    judged = spread_join(keyed.withColumn("place", F.monotonically_increasing_id()), hit, ["key"], ["place"], "left", counted=keyed.select("key"))
     if clean_only:
-        return keyed_docs.join(hit, keyed_docs["__key"] == hit["key"], "left_anti").drop("__key")
-    n_words = F.coalesce(F.regexp_count(F.col(text), F.lit("[0-9A-Za-z\u0080-\U0010ffff]+")), F.lit(0)).cast("long")
-    out = keyed_docs.withColumn("n_words", n_words).join(hit, keyed_docs["__key"] == hit["key"], "left")
-    return out.select(*(c for c in kept if c != text), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce("spans", none).alias("spans"))
+        clean = judged.where("spans is null or size(spans) = 0")
+        return clean.select(*((F.col("raw") if c == text else F.col("row").getField(c)).alias(c) for c in kept))
+    n_words = F.regexp_count("text", F.lit("[0-9A-Za-z\u0080-\U0010ffff]+")).cast("long")
+    spans = F.coalesce("spans", none)
+    n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"])
+    return judged.select(*(F.col("row").getField(c).alias(c) for c in own), n_words.alias("n_words"), n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), spans.alias("spans"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
