@@ -14,8 +14,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import decontam, graph, jaccard, lm, mixing, quality, registry, substrings, tokens, toxicity, urls, vectors
-from tessella.llm.words import ITEM_WORDS, SPACE_WORDS, Words, window_minimum
+from tessella.llm import decontam, graph, jaccard, lm, mixing, quality, registry, skew, substrings, tokens, toxicity, urls, vectors
+from tessella.llm.words import ITEM_WORDS, SPACE_WORDS, Words, order_by, window_minimum
 
 from .conftest import ODD, as_docs, words
 
@@ -48,6 +48,22 @@ def test_window_minimum_takes_the_rightmost():
     assert window_minimum(h, 3).tolist() == [2, 2, 4, 4, 4, 5]
 
 
+def test_order_by_is_exact():
+    rng = np.random.default_rng(2)
+    group, h = rng.integers(0, 3, 500), rng.integers(0, 4, 500, dtype=np.uint64) + (rng.integers(0, 3, 500, dtype=np.uint64) << np.uint64(60))
+    order = order_by(group, h)
+    assert np.array_equal(np.stack([group, h.astype(np.int64)])[:, order], np.stack([group, h.astype(np.int64)])[:, np.lexsort((h, group))])
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_join_is_a_join(spark, monkeypatch, how):
+    monkeypatch.setattr(skew, "HOT_ROWS", 7)
+    rows = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(200)] + [(None, 900)], "k long, i long")
+    facts = spark.createDataFrame([(k, k * 10) for k in range(0, 200, 2)], "k long, v long")
+    got = skew.spread_join(rows, facts, ["k"], ["i"], how)
+    assert sorted(map(str, got.select("k", "i", "v").collect())) == sorted(map(str, rows.join(facts, "k", how).select("k", "i", "v").collect()))
+
+
 # 1 substring dedup
 
 
@@ -80,6 +96,18 @@ def test_substrings(spark, corpus, slice_bytes, monkeypatch):
 def test_substrings_of_odd_rows(spark, odd):
     assert sorted(map(tuple, substrings.remove_repeats(odd).collect()), key=str) == deduped(ODD)
     assert substrings.remove_repeats(odd.limit(0)).count() == 0
+
+
+def test_split_minimisers_and_small_buckets_change_nothing(spark, corpus, monkeypatch):
+    want = sorted(map(tuple, substrings.remove_repeats(as_docs(spark, corpus)).collect()), key=str)
+    for name, value in (("HOT_WINDOWS", 0), ("ESTIMATE", 1), ("BUCKET_BYTES", 500), ("SLICE_BYTES", 3000)):
+        monkeypatch.setattr(substrings, name, value)
+    docs = as_docs(spark, corpus)
+    assert len(substrings.hot_minimisers(docs.withColumn("text_hash", F.xxhash64("text")), 13, 3)) > 50
+    assert sorted(map(tuple, substrings.remove_repeats(docs).collect()), key=str) == want
+
+
+def test_digest(spark, odd):
     digest = substrings.remove_repeats(odd.where("doc_id = 4"), digest=True).first()["kept"]
     assert digest == hashlib.sha256(b"one").hexdigest()
 
@@ -126,6 +154,10 @@ def test_jaccard(spark, corpus, n, num):
 
 def test_jaccard_tiles_are_small(spark, corpus, monkeypatch):
     monkeypatch.setattr(jaccard, "TILE_DOCS", 7)
+    monkeypatch.setattr(jaccard, "SLICE_BYTES", 5000)
+    monkeypatch.setattr(jaccard, "SEGMENT_SHINGLES", 300)
+    monkeypatch.setattr(jaccard, "FEW", 3)
+    monkeypatch.setattr(skew, "HOT_ROWS", 5)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(as_docs(spark, corpus), 3, 90, 100).collect()}
     assert got == linked_sets(corpus, 3, 90, 100)
 
@@ -230,6 +262,32 @@ def test_quality(spark):
     assert kept == {r["doc_id"] for r in got if r["predicted"]}
 
 
+def test_quality_by_hand(spark):
+    """Features of one text at a time; the pairs' logistic loss by gradient descent; the threshold as a plain quantile."""
+    docs, labels = labelled(spark, 150)
+    got = {r["doc_id"]: r["score"] for r in quality.quality_scores(docs.where("doc_id < 150"), labels).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.where("doc_id < 150").collect()}
+    x = {i: quality.text_features(pa.array([t])).astype(np.float32).astype(float)[0] for i, t in texts.items()}
+    known = {r["doc_id"]: r["quality"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    ids = [r["doc_id"] for r in spark.createDataFrame([(i,) for i in known], "doc_id long").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    z = np.array([x[i] for i in ids])
+    z, y = (z - z.mean(0)) / (z.std(0) + 1e-3), np.array([known[i] for i in ids])
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    rng = np.random.default_rng(7)
+    pairs = [(int(a), None) for a in np.repeat(good, 8)] + [(int(a), None) for a in rng.choice(good, len(bad) * 8)]
+    other = np.concatenate([rng.choice(bad, len(good) * 8), np.repeat(bad, 8)])
+    d = np.array([z[a] - z[int(b)] for (a, _), b in zip(pairs, other, strict=True)])
+    w = np.zeros(z.shape[1])
+    for _ in range(4000):
+        w += 0.5 * ((d.T @ (1 / (1 + np.exp(d @ w)))) / len(d) - 1e-2 * w)
+    raw = z @ w
+    cut = np.sort(raw)[int(np.ceil((y == 0).mean() * len(raw))) - 1]
+    wrong = [i for i, s in zip(ids, raw, strict=True) if abs(s - cut) > 0.05 and (got[i] >= 0.5) != (s >= cut)]
+    assert not wrong
+    order = np.argsort(raw)
+    assert np.corrcoef(raw[order], [math.log(max(got[ids[k]], 1e-12) / max(1 - got[ids[k]], 1e-12)) for k in order])[0, 1] > 0.9999
+
+
 def test_scores_without_labels(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in quality.quality_scores(odd, none).collect()} == {0.5}
@@ -249,16 +307,128 @@ def test_toxicity(spark):
     assert sum(p == y for p, y in held) / len(held) > 0.97
 
 
+def plain_posteriors(patterns, counts, labelled, share, rounds, trust=5.0):
+    """The label model with loops over voters and dictionaries for tables."""
+    n_voters = len(patterns[0])
+    voters = [i for i in range(n_voters) if any(p[i] != "-" for p in patterns)]
+    post = [0.9 if any(p[i] == "t" for i in voters) else 0.02 for p in patterns]
+    total = sum(counts)
+    for _ in range(rounds):
+        pi = min(max((sum(a * b for a, b in zip(post, counts)) + 20 * share) / (total + 20), 1e-4), 1 - 1e-4)
+        weight = [[(1 - q) * n + trust * l[0] for q, n, l in zip(post, counts, labelled)], [q * n + trust * l[1] for q, n, l in zip(post, counts, labelled)]]
+        pair = {}
+        for y in (0, 1):
+            for p, w in zip(patterns, weight[y]):
+                for i in voters:
+                    for j in voters:
+                        pair[y, i, j, p[i], p[j]] = pair.get((y, i, j, p[i], p[j]), 0.0) + w
+        get = lambda y, i, j, a, b: pair.get((y, i, j, a, b), 0.0)
+        mass = [sum(w) for w in weight]
+
+        def shared(i, j):
+            out = 0.0
+            for y in (0, 1):
+                cell = {(a, b): get(y, i, j, a, b) + 1e-9 for a in "-tc" for b in "-tc"}
+                whole = sum(cell.values())
+                for (a, b), v in cell.items():
+                    row, column = sum(cell[a, x] for x in "-tc"), sum(cell[x, b] for x in "-tc")
+                    out += mass[y] / sum(mass) * v / whole * math.log(v * whole / row / column)
+            return out
+
+        parent, inside = {voters[0]: None}, [voters[0]]
+        while len(inside) < len(voters):
+            _, k, p = max((shared(p, k), -k, -p) for k in voters if k not in parent for p in inside)
+            parent[-k] = -p
+            inside.append(-k)
+
+        def chance(y, i, p, above, vote):
+            alone = {a: get(y, i, i, a, a) + 0.5 for a in "-tc"}
+            alone = {a: v / sum(alone.values()) for a, v in alone.items()}
+            given = {a: (get(y, p, i, above, a) if p is not None else 0.0) + 2 * alone[a] for a in "-tc"}
+            return given[vote] / sum(given.values())
+
+        after = []
+        for p in patterns:
+            odds = math.log(pi / (1 - pi)) + sum(math.log(chance(1, i, parent[i], p[parent[i]] if parent[i] is not None else "-", p[i]) / chance(0, i, parent[i], p[parent[i]] if parent[i] is not None else "-", p[i])) for i in voters)
+            after.append(1 / (1 + math.exp(-odds)))
+        post = after
+    return post
+
+
+def test_label_model_is_the_plain_one():
+    rng = random.Random(3)
+    seen = Counter()
+    known = defaultdict(lambda: [0, 0])
+    for i in range(2000):
+        y = rng.random() < 0.3
+        first = "t" if rng.random() < (0.8 if y else 0.1) else "-"
+        second = first if rng.random() < 0.9 else "t" if rng.random() < 0.5 else "-"  # repeats the first, whatever the class
+        third = "t" if rng.random() < (0.6 if y else 0.05) else "-"
+        last = "c" if first == third == "-" else "-"
+        p = first + second + third + "-" + last
+        seen[p] += 1
+        if i % 20 == 0:
+            known[p][y] += 1
+    patterns = sorted(seen)
+    counts, labelled = [seen[p] for p in patterns], np.array([known[p] for p in patterns], float)
+    for rounds in (1, 4):
+        got = toxicity.LabelModel(patterns, counts, labelled, 0.2, rounds=rounds)
+        assert got.voters == [0, 1, 2, 4]
+        assert [got.posts[p] for p in patterns] == pytest.approx(plain_posteriors(patterns, counts, labelled.tolist(), 0.2, rounds), abs=1e-6)
+    model = toxicity.LabelModel(patterns, counts, labelled, 0.2)
+    # a voter that repeats another adds little
+    assert model.parent[1] == 0 and model.posts["ttt--"] > 0.7 > 0.1 > model.posts["----c"]
+
+
+def test_chances_of_a_poisson_count():
+    for k, mean in ((1, 0.01), (3, 0.5), (10, 20.0), (0, 1.0)):
+        want = 1 - sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(k))
+        assert toxicity.chance(k, mean) == pytest.approx(want)
+
+
+def test_groups_of_stems():
+    texts = [[0, 1]] * 5 + [[2, 3]] * 4 + [[0], [2], [4]]
+    group = toxicity.grouped(texts, 6)
+    assert group[0] == group[1] != group[2] == group[3] != group[4]
+
+
+def test_toxicity_by_hand(spark, monkeypatch):
+    """The whole operator against the plain label model and a logistic fit by gradient descent."""
+    docs, labels = labelled(spark, 200)
+    got = {(r["doc_id"], r["score"]) for r in toxicity.toxicity_scores(docs, labels).collect()}
+    train = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 != 0
+    known = {r["doc_id"]: r["toxic"] for r in labels.collect() if train(r["doc_id"])}
+    table = spark.createDataFrame(list(known.items()), "doc_id long, y int")
+    lexicon = toxicity.Lexicon(toxicity.mined_stems(docs, table))
+    hits = [(r["doc_id"], lexicon.hits(r["text"])) for r in docs.collect()]
+    votes = [lexicon.votes(h) for _, h in hits]
+    patterns = sorted(set(votes))
+    labelled_ = [[0, 0] for _ in patterns]
+    for (i, _), v in zip(hits, votes, strict=True):
+        if i in known:
+            labelled_[patterns.index(v)][known[i]] += 1
+    post = dict(zip(patterns, plain_posteriors(patterns, [votes.count(p) for p in patterns], labelled_, sum(known.values()) / len(known), 50), strict=True))
+    x = toxicity.design(lexicon, [h for _, h in hits])
+    rows = [k for k, (i, _) in enumerate(hits) if train(i)]
+    y = np.array([post[votes[k]] for k in rows])
+    w, penalty = np.zeros(x.shape[1]), np.append(np.ones(x.shape[1] - 1), 1e-3)
+    for _ in range(20_000):
+        w -= 0.002 * (x[rows].T @ (1 / (1 + np.exp(-x[rows] @ w)) - y) + penalty * w)
+    want = sorted(((i, s) for (i, _), s in zip(hits, 1 / (1 + np.exp(-x @ w)), strict=True)), key=lambda r: (str(r[0]), r[1]))
+    for (i, a), (j, b) in zip(sorted(got, key=lambda r: (str(r[0]), r[1])), [w_ for k, w_ in enumerate(want) if not k or w_ != want[k - 1]], strict=False):
+        assert i == j and a == pytest.approx(b, abs=2e-3)
+
+
 @pytest.mark.parametrize(
     ("text", "bit"),
     [("so kill yourself now", 1), ("oh Shut up", 1), ("go to hell", 1), ("halt die klappe", 1), ("ta gueule", 1), ("f##k this", 2), ("du bist dumm", 0), ("you act stupidly", 0), ("quiet words " * 400 + "LOUD WORDS " * 1000, 3)],
 )
 def test_patterns_need_no_list_word(text, bit):
-    assert toxicity.Lexicon([]).hits(text)[2] == 1 << bit
+    assert toxicity.Lexicon(toxicity.NO_STEMS).hits(text).bits == 1 << bit
 
 
 def test_loud_head_is_not_mostly_capitals():
-    assert toxicity.Lexicon([]).hits("LOUD WORDS " * 200 + "quiet words " * 1000)[2] == 0
+    assert toxicity.Lexicon(toxicity.NO_STEMS).hits("LOUD WORDS " * 200 + "quiet words " * 1000).bits == 0
 
 
 def test_all_mined_stems_are_kept(spark):
@@ -267,7 +437,7 @@ def test_all_mined_stems_are_kept(spark):
     # copies of a text count once, so each has a word of its own that is its minhash in places
     known = spark.range(240).selectExpr("id AS doc_id", "int(id < 12) AS y")
     docs = docs.withColumn("text", F.when(F.col("doc_id") < 12, F.concat_ws(" ", F.col("text"), F.transform(F.sequence(F.lit(0), F.lit(2000)), lambda k: F.concat(F.lit("x"), F.translate(F.md5(F.concat(k.cast("string"), F.lit("-"), F.col("doc_id").cast("string"))), "0123456789", "ghijklmnop"))))).otherwise(F.col("text")))
-    assert {w[:4] for w in bad} <= set(toxicity.mined_stems(docs, known))
+    assert {w[:4] for w in bad} <= set(toxicity.mined_stems(docs, known).names)
 
 
 # 5 language model
@@ -383,6 +553,24 @@ def test_vectors(spark, block):
     assert vectors.vector_components(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [5, 100])
+def test_many_equal_and_tied_vectors(spark, block):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(40, 8)).astype(np.float32)
+    rows = [(i, [float(v) for v in base[i % 40 if i % 2 else 0]]) for i in range(300)]
+    rows += [(300 + i, [3.0 * float(v) for v in base[1]]) for i in range(40)]  # of one direction, not equal
+    rows += [(400 + i, [float(v) for v in (base[2] + rng.normal(size=8).astype(np.float32) * 0.1)]) for i in range(60)]
+    u = np.array([v for _, v in rows])
+    u = u / np.sqrt((u * u).sum(axis=1, keepdims=True))
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    label = graph.forest(*np.nonzero(near), len(rows))
+    least = {k: min(rows[i][0] for i in np.flatnonzero(label == k)) for k in set(label.tolist())}
+    want = sorted((rows[i][0], int(near[i].sum()), least[label[i]], rows[i][0] == least[label[i]]) for i in range(len(rows)))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"uid": F.lit(1), "h1": F.lit("x"), "v": F.lit(0)})
+    assert sorted(map(tuple, vectors.vector_components(df, block_rows=block).collect())) == want
+
+
 # 9 mixing
 
 
@@ -423,6 +611,26 @@ def test_mix(spark):
     assert mixing.mix_counts(as_docs(spark, rows).limit(0)).count() == 0
 
 
+def test_blocks_make_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS_PER_SHARD", 40)
+    rng = random.Random(16)
+    rows = [(i, " ".join(words(rng, rng.randint(1, 200))), rng.choice(["a", "b", None])) for i in range(200)]
+    docs = as_docs(spark, rows)
+    _, quota = mixing.placed(docs, "text", "doc_id")
+    slots = mixing.slots(quota).collect()
+    got = mixing.mixed_blocks(docs).collect()
+    # every slot is there, in a shard of its own draw, and its words are those of the source's stream
+    assert sorted((r["shard"], r["slot"]) for r in got) == sorted((r["shard"], r["slot"]) for r in slots)
+    assert len({r["shard"] for r in got}) > 5
+    by_shard = Counter((r["shard"], r["source"]) for r in got)
+    assert by_shard == Counter((r["shard"], None if r["skey"] == "t" else r["skey"][1:]) for r in slots)
+    for source in ("a", "b", None):
+        sizes = Counter(len(r["words"].split()) for r in got if r["source"] == source)
+        assert max(sizes) == mixing.BLOCK_WORDS and len(sizes) <= 2
+    taken = Counter(w for r in got for w in r["words"].split())
+    assert taken == Counter(w for r in mixing.mixed_documents(docs).collect() for w in r["text"].split())
+
+
 def test_permutation_is_one(spark):
     for n in (1, 2, 7, 1000):
         df = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(5)).alias("p"))
@@ -432,7 +640,7 @@ def test_permutation_is_one(spark):
 # 10 URLs
 
 
-def test_urls(spark):
+def test_urls(spark, monkeypatch):
     urls_ = ["https://a.Example.com/en/71?x", "http://example.com/en/8", "https://notexample.com/de/", "https://x.example.net/de/8#y", "http://net/de/1", "ftp://org/es/?a", "org/es/", None, "", "://", "https://a.com", "http://EXAMPLE.COM/en/", "http://a.org?/es/", "http://a.org/es/"]
     pages = spark.createDataFrame([(i, u, "html", "clash") for i, u in enumerate([*urls_, urls_[0]])], "page_id long, url string, html string, host string")
     rules = urls.RULES
@@ -446,14 +654,81 @@ def test_urls(spark):
         fit = [(len(h + p), h + p, a) for a, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
         return host, path, max(fit)[1] if fit else None, max(fit)[2] if fit else "allow"
 
-    for most in (0, 1 << 20):
+    for most, hot in ((0, 3), (200, 10_000), (1 << 20, 10_000)):
+        monkeypatch.setattr(skew, "HOT_ROWS", hot)
         got = urls.filter_urls(pages, urls.rules_table(spark), max_filter_bytes=most).collect()
         assert sorted(((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in got), key=str) == sorted(((i, *judge(u)) for i, u in enumerate([*urls_, urls_[0]])), key=str)
     assert urls.filter_urls(pages.limit(0), urls.rules_table(spark)).count() == 0
-    bloom = urls.BlockedBloom(1000)
+
+
+@pytest.mark.parametrize("most", [640, 1 << 20])
+def test_filter_has_no_false_negatives(spark, most):
     keys = [f"k{i}" for i in range(1000)]
-    bloom.add(urls.key_hashes(keys))
-    assert bloom.has(urls.key_hashes(keys)).all() and bloom.has(urls.key_hashes([f"z{i}" for i in range(5000)])).mean() < 0.05
+    parts = list(urls.filter_parts(spark.createDataFrame([(k,) for k in keys], "key string"), 1000, most))
+    assert len(parts) > 1 if most < 2000 else len(parts) == 1
+    has = lambda names: np.all([p.may_have(urls.key_hashes(pa.array(names))) for p in parts], axis=0)
+    assert has(keys).all() and has([f"z{i}" for i in range(5000)]).mean() < 0.05
+
+
+# columns that bear names that operators use
+
+NAMES = ["size", "words", "skey", "epoch", "spans", "begin", "text_hash", "twin", "number", "row", "mixed", "block", "key", "raw", "place", "best", "__key", "__share", "__url", "item", "n", "print", "id", "label", "h1", "features", "votes", "slice", "word", "held_out", "learn", "VALUE"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Documents with a column of every name that means something inside an operator."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(words(rng, rng.randint(5, 60))), rng.choice(["a", "b"])) for i in range(40)] + [(40, None, None), (41, "", "a")]
+    rows += [(50 + i, rows[i][1], "b") for i in range(5)]
+    return as_docs(spark, rows).select("*", *(F.concat(F.lit(f"{n}-"), F.coalesce("doc_id", F.lit(-1))).alias(n) for n in NAMES)).cache()
+
+
+def untouched(rows):
+    return all(r[n] == f"{n}-{r['doc_id']}" for r in rows for n in NAMES)
+
+
+def test_clashing_names_in_the_mix(clashing):
+    got = mixing.mixed_documents(clashing)
+    assert got.columns == clashing.columns and untouched(got.collect())
+    plain = mixing.mixed_documents(clashing.select("doc_id", "text", "source")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == sorted((r["doc_id"], r["text"]) for r in plain)
+    assert sorted(map(str, mixing.mix_counts(clashing).collect())) == sorted(map(str, mixing.mix_counts(clashing.select("doc_id", "text", "source")).collect()))
+
+
+@pytest.mark.parametrize("most", [1, 10**6])
+def test_clashing_names_in_decontamination(spark, clashing, most):
+    texts = {r["doc_id"]: r["text"] for r in clashing.select("doc_id", "text").collect()}
+    bench = spark.createDataFrame([(1, " ".join(texts[3].split()[:12])), (None, " ".join(texts[5].split()[-11:]))], "item_id long, text string")
+    got = decontam.contamination(clashing.drop("spans"), bench, max_index_rows=most)
+    assert set(got.columns) == {*clashing.columns, "n_words", "n_hit", "items", "spans"} - {"text"}
+    rows = got.collect()
+    assert all(r[n] == f"{n}-{r['doc_id']}" for r in rows for n in NAMES if n != "spans")
+    assert {r["doc_id"] for r in rows if r["n_hit"]} >= {3, 5} and len(rows) == clashing.count()
+    other = decontam.contamination(clashing.drop("spans"), bench, max_index_rows=10**7 // most)
+    assert got.columns == other.columns and sorted(map(str, rows)) == sorted(map(str, other.collect()))
+    clean = decontam.contamination(clashing, bench, max_index_rows=most, clean_only=True)
+    assert clean.columns == clashing.columns and untouched(clean.collect())
+    assert {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in rows if not r["n_hit"]}
+
+
+def test_clashing_names_in_the_url_filter(spark, clashing):
+    pages = clashing.withColumn("url", F.concat(F.lit("https://a.example.com/en/"), "doc_id"))
+    got = urls.filter_urls(pages, urls.rules_table(spark))
+    assert got.columns == [*pages.columns, "host", "path", "rule", "verdict"] and untouched(got.collect())
+    assert {r["verdict"] for r in got.where("doc_id = 7").collect()} == {"allow"} and {r["rule"] for r in got.where("doc_id = 8").collect()} == {"com/en/"}
+    bare = urls.filter_urls(pages.select("url"), urls.rules_table(spark))
+    assert bare.columns == ["url", "host", "path", "rule", "verdict"] or bare.count() == clashing.count()
+
+
+def test_clashing_names_elsewhere(spark, clashing):
+    """Operators that return columns of their own say the same with and without others."""
+    bare = clashing.select("doc_id", "text", "source")
+    labels = spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(40)], "doc_id long, quality int, toxic int")
+    for run in (substrings.remove_repeats, lambda d: jaccard.jaccard_components(d, 3, 90, 100), lambda d: quality.quality_scores(d, labels), lambda d: lm.lm_scores(d).drop("score"), lambda d: toxicity.toxicity_scores(d, labels)):
+        assert sorted(map(str, run(clashing).collect())) == sorted(map(str, run(bare).collect()))
+    kept = quality.keep_good(clashing, labels)
+    assert kept.columns == clashing.columns and untouched(kept.collect())
 
 
 # registered queries with SQL
@@ -472,6 +747,33 @@ def test_sql(spark, name):
     assert sorted(str(tuple(r[i] for i in order)) for r in found.fetchall()) == sorted(str(tuple(r[c] for c in columns)) for r in df.collect())
 
 
+ODD_SOURCES = [(i, t, s) for (i, t), s in zip([*ODD, (20, " ".join(f"z{k}" for k in range(300))), (20, " ".join(f"z{k}" for k in range(300))), (21, " ".join(f"z{k}" for k in range(299)))], ["a", None, "b", "b", None, "a", "a", "c", "c", "d", "a", "b", "e", "e", "e"], strict=True)]
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_stages_on_odd_rows(spark, tmp_path, empty):
+    import corpus_pipeline
+
+    docs = as_docs(spark, ODD_SOURCES).withColumns({"size": F.lit(1), "key": F.lit("k"), "spans": F.lit("s")})
+    docs = docs.limit(0) if empty else docs
+    spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(f"z{k}" for k in range(20, 40))), (None, "café naïve"), (3, None)], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
+    rows = lambda name, of=docs: stages[name](spark, of, str(tmp_path)).collect()
+    if empty:
+        assert all(not rows(name) for name in stages)
+        return
+    near = rows("near_duplicates")
+    assert sorted(str(r["doc_id"]) for r in near) == sorted(["1", "2", "3", "None", "4", "6", "7", "8", "9", "20"])
+    assert sorted(str(r["doc_id"]) for r in rows("decontamination")) == sorted(str(r[0]) for r in ODD_SOURCES if r[0] not in (7, 20, 21))
+    mixed = rows("mixing")
+    assert {r["doc_id"] for r in mixed} <= {r[0] for r in ODD_SOURCES if (r[1] or "").split()} and all(r["key"] == "k" and r["n_chars"] == len(r["text"]) for r in mixed)
+    out = sorted(rows("token_output"), key=lambda r: r["start"])
+    assert len(out) == len(ODD_SOURCES) and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(out, out[1:], strict=False))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
