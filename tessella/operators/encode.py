@@ -12,37 +12,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import DTYPES, dtype_code
+from ..sources import blosc
 from .grid import with_chunks
 
-CODECS = ("null", "zlib", "zstd")
-CHUNK_FIELDS = "r int, t int, c int, cz int, cy int, cx int, dtype string, codec string, payload binary"
+CODECS = ("null", "zlib", "zstd", "blosc")
+CHUNK_FIELDS = "r int, t int, c int, cz int, cy int, cx int, dtype string, codec string, payload binary, n long"
 
 
-def compress(data: bytes, codec: str) -> bytes:
+def compress(data: bytes, codec: str, itemsize: int = 1) -> bytes:
     if codec == "null":
         return data
     if codec == "zlib":
         return zlib.compress(data, 6)
     if codec == "zstd":
         return pa.Codec("zstd", 3).compress(data, asbytes=True)
+    if codec == "blosc":
+        return blosc.encode(data, itemsize)
     raise ValueError(f"{codec} is none of {', '.join(CODECS)}")
 
 
 def decompress(data: bytes, codec: str, size: int) -> bytes:
+    """Also of codecs that are only read: gzip, and lz4 with its size before it."""
     if codec == "null":
         return data
     if codec == "zlib":
         return zlib.decompress(data)
     if codec == "zstd":
         return pa.Codec("zstd").decompress(data, size, asbytes=True)
-    raise ValueError(f"{codec} is none of {', '.join(CODECS)}")
+    if codec == "blosc":
+        return blosc.decode(data)
+    if codec == "gzip":
+        return zlib.decompress(data, 31)
+    if codec == "lz4":
+        return pa.Codec("lz4_raw").decompress(data[4:], size, asbytes=True)
+    raise ValueError(f"{codec} is none of {', '.join(CODECS)}, gzip, lz4")
 
 
 def chunks_of(voxels: DataFrame, chunk: Sequence[int], dtype: str, codec: str = "null", r: int = 0, shape: Sequence[int] | None = None, combine_channels: int = 0) -> DataFrame:
     """The chunk table of a volume (t, c, z, y, x, v): C-order bytes, zeros where voxels are missing.
 
     Chunks at the edge are full size, padded with zeros; with ``shape`` they are cut there instead. With
-    ``combine_channels`` (their number) a payload holds all channels, channel first, and c is 0.
+    ``combine_channels`` (their number) a payload holds all channels, channel first, and c is 0. ``n`` counts the voxels given.
     """
     chunk, code, shape = tuple(chunk), np.dtype(dtype_code(dtype)), tuple(shape) if shape else None
     top = DTYPES[dtype][2]
@@ -59,8 +69,8 @@ def chunks_of(voxels: DataFrame, chunk: Sequence[int], dtype: str, codec: str =
         if code.kind == "u":
             v = np.clip(v, 0, top)
         block[(channel, *(rows.column(a).to_numpy() - m for a, m in zip("zyx", low, strict=True)))] = v
-        row = {"r": [r], "t": [at["t"]], "c": [at.get("c", 0)], **{f"c{a}": [at[f"c{a}"]] for a in "zyx"}, "dtype": [dtype], "codec": [codec], "payload": [compress(block.tobytes(), codec)]}
-        kinds = [pa.int32()] * 6 + [pa.string(), pa.string(), pa.binary()]
+        row = {"r": [r], "t": [at["t"]], "c": [at.get("c", 0)], **{f"c{a}": [at[f"c{a}"]] for a in "zyx"}, "dtype": [dtype], "codec": [codec], "payload": [compress(block.tobytes(), codec, code.itemsize)], "n": [rows.num_rows]}
+        kinds = [pa.int32()] * 6 + [pa.string(), pa.string(), pa.binary(), pa.int64()]
         return pa.table([pa.array(x, k) for x, k in zip(row.values(), kinds, strict=True)], list(row))
 
     return placed.select("t", "c", "z", "y", "x", "v", "cz", "cy", "cx").groupBy(*keys).applyInArrow(build, CHUNK_FIELDS)
@@ -80,12 +90,18 @@ def voxels_of(chunks: DataFrame, chunk: Sequence[int], shape: Sequence[int], dty
 
 
 def voxel_batch(data: bytes, code: np.dtype, chunk: tuple, shape: tuple, at: dict) -> pa.RecordBatch:
+    return block_batch(np.frombuffer(data, code).reshape(chunk), shape, at)
+
+
+def block_batch(block: np.ndarray, shape: tuple, at: dict) -> pa.RecordBatch:
+    """Voxels of a chunk's block (z, y, x), what lies beyond the shape left out."""
+    chunk = block.shape
     low = [at[f"c{a}"] * k for a, k in zip("zyx", chunk, strict=True)]
-    block = np.frombuffer(data, code).reshape(chunk)[tuple(slice(0, n - m) for n, m in zip(shape, low, strict=True))]
+    block = block[tuple(slice(0, n - m) for n, m in zip(shape, low, strict=True))]
     index = np.indices(block.shape, np.int32).reshape(3, -1)
     n = block.size
     columns = [np.full(n, at[k], np.int32) for k in ("r", "t", "c")] + [i + np.int32(m) for i, m in zip(index, low, strict=True)]
-    columns.append(block.ravel().astype(np.int32 if code.kind == "u" else np.float64))
+    columns.append(block.ravel().astype(np.int32 if block.dtype.kind == "u" else np.float64))
     columns += [np.full(n, at[f"c{a}"], np.int32) for a in "zyx"]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["r", "t", "c", "z", "y", "x", "v", "cz", "cy", "cx"])
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import configparser
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..model import ArrayDataset
 from .stores import Store
 
 
@@ -35,18 +37,58 @@ def folder_entries(spark: SparkSession, uri: str) -> DataFrame:
     return files.select("path", F.regexp_replace("path", "/[^/]*$", "").alias("parent"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
-def open_dataset(spark: SparkSession, uri: str, r: int = 0) -> DataFrame:
-    """Voxels of the dataset at ``uri``, whose extension names its format."""
-    from .zarr import read_zarr
+def open_dataset(spark: SparkSession, uri: str, r: int | None = 0) -> DataFrame:
+    """Voxels of level ``r`` (null: of all levels) of the dataset at ``uri``, whose extension names its format."""
+    from .zarr import SERIES, read_zarr
     from .zshard import read_zsharded
 
     kind = uri.rstrip("/").lower()
     if kind.endswith((".ims", ".omehans")):
         raise MissingDependency("HDF5 datasets need h5py, which is not installed")
-    if kind.endswith((".ome.zarr", ".omezarr", ".zarr")):
-        return read_zarr(spark, uri).where(F.col("r") == r)
-    if kind.endswith(".z_sharded"):
-        return read_zsharded(spark, uri, r)
-    if kind.endswith(".parquet"):
-        return spark.read.parquet(uri).where(F.col("r") == r)
-    raise ValueError(f"no reader for {uri}")
+    if SERIES.match(kind.rpartition("/")[2]):
+        out = read_zarr(spark, uri, "series")
+    elif kind.endswith((".ome.zarr", ".omezarr", ".omezans", ".zarr")):
+        out = read_zarr(spark, uri)
+    elif kind.endswith(".z_sharded"):
+        return read_zsharded(spark, uri, r or 0)
+    elif kind.endswith(".parquet"):
+        out = spark.read.parquet(uri)
+    else:
+        raise ValueError(f"no reader for {uri}")
+    return out if r is None else out.where(F.col("r") == r)
+
+
+def describe(uri: str) -> ArrayDataset | None:
+    """What the documents of a dataset say of it; null where there are none or they can't be read."""
+    from .zarr import SERIES, open_group, open_series
+    from .zshard import open_zsharded
+
+    kind = uri.rstrip("/").lower()
+    try:
+        if kind.endswith(".z_sharded"):
+            return open_zsharded(uri)
+        return open_series(uri) if SERIES.match(kind.rpartition("/")[2]) else open_group(uri)
+    except (OSError, ValueError, KeyError, TypeError):
+        return None
+
+
+def register_dataset(spark: SparkSession, uri: str) -> str:
+    """A temporary view of all levels of a dataset, under a name that its URI alone determines; made once a session."""
+    key = f"ds_{hashlib.md5(uri.encode()).hexdigest()[:16]}"
+    if not spark.catalog.tableExists(key):
+        open_dataset(spark, uri, None).createTempView(key)
+    return key
+
+
+def level_views(spark: SparkSession, uri: str) -> list[DataFrame]:
+    """The dataset as one lazy table a level, the finest first."""
+    found = describe(uri)
+    if found is None:
+        raise ValueError(f"{uri} does not say which levels it has")
+    return [open_dataset(spark, uri, level.r) for level in found.levels]
+
+
+def level_count(voxels: DataFrame) -> int:
+    """How many levels a table of voxels has, by its largest level."""
+    top = voxels.agg(F.max("r")).first()[0]
+    return 0 if top is None else top + 1

@@ -17,6 +17,13 @@ class Store:
         with self.fs.open_input_stream(f"{self.root}/{name}") as f:
             return f.read()
 
+    def find(self, name: str) -> bytes | None:
+        """What a file holds; null without one."""
+        try:
+            return self.read(name)
+        except FileNotFoundError:
+            return None
+
     def write(self, name: str, data: bytes) -> None:
         """Whole or not at all: under another name first, then renamed."""
         path = f"{self.root}/{name}"
@@ -31,3 +38,8 @@ class Store:
     def names(self, below: str = "") -> list[str]:
         found = self.fs.get_file_info(fs.FileSelector(f"{self.root}/{below}".rstrip("/"), recursive=True, allow_not_found=True))
         return sorted(f.path[len(self.root) + 1 :] for f in found if f.type == fs.FileType.File)
+
+    def folders(self, below: str = "") -> list[str]:
+        """Names of the folders right below one."""
+        found = self.fs.get_file_info(fs.FileSelector(f"{self.root}/{below}".rstrip("/"), allow_not_found=True))
+        return sorted(f.base_name for f in found if f.type == fs.FileType.Directory)

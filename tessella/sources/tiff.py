@@ -1,8 +1,9 @@
-"""Baseline TIFF (one grey, uncompressed image of 8 or 16 bits a file) and stacks of such files."""
+"""Grey TIFF files of 8 or 16 bits, of one image or several, and stacks of such files."""
 
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS, COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
+WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS, COUNTS, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 317
 #: Where a plane lies in a stack: T<t>/CH<c>/<file>.
 STACK = r"/T(\d+)/CH(\d+)/([^/]+)$"
 
@@ -26,37 +27,83 @@ def encode(plane: np.ndarray) -> bytes:
     return struct.pack("<2sHI", b"II", 42, at) + data + b"\0" * (len(data) % 2) + body
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The first image of a baseline TIFF."""
+def _ifds(data: bytes) -> tuple[str, list[dict[int, list[int]]]]:
+    """Byte order and the tags of each image of a file."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or struct.unpack(f"{order}H", data[2:4])[0] != 42:
         raise ValueError("not a TIFF")
-    at = struct.unpack(f"{order}I", data[4:8])[0]
-    tags: dict[int, list[int]] = {}
-    for i in range(struct.unpack(f"{order}H", data[at : at + 2])[0]):
-        tag, kind, n = struct.unpack(f"{order}HHI", data[at + 2 + 12 * i : at + 10 + 12 * i])
-        letter = {1: "B", 3: "H", 4: "I"}.get(kind)
-        if letter is None:
+    at, out = struct.unpack(f"{order}I", data[4:8])[0], []
+    while at:
+        n, tags = struct.unpack(f"{order}H", data[at : at + 2])[0], {}
+        for i in range(n):
+            entry = at + 2 + 12 * i
+            tag, kind, count = struct.unpack(f"{order}HHI", data[entry : entry + 8])
+            letter = {1: "B", 3: "H", 4: "I"}.get(kind)
+            if letter is None:
+                continue
+            size = struct.calcsize(letter) * count
+            place = entry + 8 if size <= 4 else struct.unpack(f"{order}I", data[entry + 8 : entry + 12])[0]
+            tags[tag] = list(struct.unpack(f"{order}{count}{letter}", data[place : place + size]))
+        out.append(tags)
+        at = struct.unpack(f"{order}I", data[at + 2 + 12 * n : at + 6 + 12 * n])[0]
+    return order, out
+
+
+def lzw(data: bytes) -> bytes:
+    """What an LZW strip holds: codes of 9 to 12 bits, the highest first; 256 starts anew, 257 ends."""
+    single = [bytes([i]) for i in range(256)]
+    table, out, held, bits, width, last = single + [b"", b""], [], 0, 0, 9, b""
+    for byte in data:
+        held, bits = held << 8 | byte, bits + 8
+        if bits < width:
             continue
-        size = struct.calcsize(letter) * n
-        place = at + 10 + 12 * i if size <= 4 else struct.unpack(f"{order}I", data[at + 10 + 12 * i : at + 14 + 12 * i])[0]
-        tags[tag] = list(struct.unpack(f"{order}{n}{letter}", data[place : place + size]))
-    if tags.get(COMPRESSION, [1]) != [1] or tags.get(SAMPLES, [1]) != [1] or tags[BITS][0] not in (8, 16):
-        raise ValueError("only uncompressed grey images of 8 or 16 bits are read")
-    strips = b"".join(data[o : o + n] for o, n in zip(tags[OFFSETS], tags[COUNTS], strict=True))
-    return np.frombuffer(strips, f"{order}u{tags[BITS][0] // 8}").reshape(tags[LENGTH][0], tags[WIDTH][0])
+        bits -= width
+        code, held = held >> bits, held & (1 << bits) - 1
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = single + [b"", b""], 9, b""
+            continue
+        entry = table[code] if code < len(table) else last + last[:1]
+        out.append(entry)
+        if last:
+            table.append(last + entry[:1])
+        last = entry
+        # the writer's table is one entry ahead
+        width = 12 if len(table) >= 2047 else 11 if len(table) >= 1023 else 10 if len(table) >= 511 else 9
+    return b"".join(out)
+
+
+def page_count(data: bytes) -> int:
+    return len(_ifds(data)[1])
+
+
+def decode(data: bytes, page: int = 0) -> np.ndarray:
+    """An image of a TIFF: grey, 8 or 16 bits, in strips, plain or compressed by LZW or deflate, with or without differencing."""
+    order, pages = _ifds(data)
+    tags = pages[page]
+    kind, bits = tags.get(COMPRESSION, [1])[0], tags.get(BITS, [1])[0]
+    if kind not in (1, 5, 8, 32946) or tags.get(SAMPLES, [1]) != [1] or bits not in (8, 16) or OFFSETS not in tags:
+        raise ValueError("only grey images of 8 or 16 bits in strips are read, plain or compressed by LZW or deflate")
+    unpack = {1: bytes, 5: lzw}.get(kind, zlib.decompress)
+    strips = b"".join(unpack(data[o : o + n]) for o, n in zip(tags[OFFSETS], tags[COUNTS], strict=True))
+    plane = np.frombuffer(strips, f"{order}u{bits // 8}").reshape(tags[LENGTH][0], tags[WIDTH][0])
+    if tags.get(PREDICTOR, [1]) == [2]:
+        plane = np.cumsum(plane, axis=1, dtype=plane.dtype.newbyteorder("="))
+    return plane
 
 
 def planes_to_voxels(files: DataFrame) -> DataFrame:
-    """``files`` (t, c, z, content) as voxels."""
+    """``files`` (t, c, z, content) as voxels; the pages of a file follow each other in z."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t, c, z, content in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-                plane = decode(content)
-                y, x = np.indices(plane.shape, np.int32).reshape(2, -1)
-                same = [pa.array(np.full(plane.size, k, np.int32)) for k in (t, c, z)]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(y), pa.array(x), pa.array(plane.ravel().astype(np.int32))], ["t", "c", "z", "y", "x", "v"])
+                for page in range(page_count(content)):
+                    plane = decode(content, page)
+                    y, x = np.indices(plane.shape, np.int32).reshape(2, -1)
+                    same = [pa.array(np.full(plane.size, k, np.int32)) for k in (t, c, z + page)]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(y), pa.array(x), pa.array(plane.ravel().astype(np.int32))], ["t", "c", "z", "y", "x", "v"])
 
     return files.select("t", "c", "z", "content").mapInArrow(read, "t int, c int, z int, y int, x int, v int")
 
