@@ -7,8 +7,27 @@ from pyspark.sql import functions as F
 
 from ..functions.text import has_extension, human_size, natural_key, time_label
 
-#: Fields of a link bundle and the service each belongs to.
-LINKS = {"neuroglancer": "ng", "neuroglancer_info": "ng", "omezarr": "omezarr", "omezarr_8bit": "omezarr", "metadata": "metadata", "info": "info", "download": "dl", "browser": "browser", "browser_json": "browser_json"}
+#: Fields of a link bundle, the service each belongs to and what follows the path.
+LINKS = {
+    "neuroglancer": ("ng", ""),
+    "neuroglancer_metadata": ("ng", "/info"),
+    "omezarr": ("omezarr", ".ome.zarr"),
+    "omezarr_metadata": ("omezarr", ".ome.zarr/.zattrs"),
+    "omezarr_8bit": ("omezarr", ".8bit.ome.zarr"),
+    "omezarr_8bit_metadata": ("omezarr", ".8bit.ome.zarr/.zattrs"),
+    "omezarr_neuroglancer_optimized": ("omezarr", ".ng.ome.zarr"),
+    "omezarr_8bit_neuroglancer_optimized": ("omezarr", ".ng.8bit.ome.zarr"),
+    "metadata": ("metadata", ""),
+    "info": ("info", ""),
+    "download": ("dl", ""),
+    "browser": ("browser", ""),
+    "browser_json": ("browser_json", ""),
+}
+#: Fields whose URL a validator takes; its own field is named after it.
+VALIDATED = ("omezarr", "omezarr_8bit", "omezarr_neuroglancer_optimized", "omezarr_8bit_neuroglancer_optimized")
+VALIDATOR = "https://ome.github.io/ome-ngff-validator/?source="
+#: Services for any path, dataset or not.
+ANY_PATH = ("browser", "browser_json", "dl")
 
 
 def visible_roots(roots: DataFrame, authenticated: bool) -> DataFrame:
@@ -23,28 +42,47 @@ def allowed_names(memberships: DataFrame) -> DataFrame:
 
 
 def roots_of_users(roots: DataFrame, folders: DataFrame, allowed: DataFrame, all_users: DataFrame) -> DataFrame:
-    """(user, root): roots that are open, or unrestricted, or hold a folder named for the user or one of its groups; and
-    every root for users of the group "all". ``roots``: root, anonymous, restricted; ``folders``: root, folder."""
-    users = allowed.select("user").distinct()
-    everyone = roots.where(F.col("anonymous") | ~F.col("restricted")).select("root")
-    named = folders.select("root", F.lower("folder").alias("allowed")).distinct().join(allowed, "allowed").select("user", "root")
-    special = users.join(all_users.select(F.lower("user").alias("user")).distinct(), "user", "left_semi")
-    flagged = users.withColumn("one", F.lit(1)).join(everyone.withColumn("one", F.lit(1)), "one").select("user", "root")
-    whole = special.withColumn("one", F.lit(1)).join(roots.select("root", F.lit(1).alias("one")), "one").select("user", "root")
-    return named.union(flagged).union(whole).distinct()
-
-
-def longest_root(paths: DataFrame, roots: DataFrame, path: str = "path") -> DataFrame:
+    """(user, root), where a null user stands for everyone and a null root for every root, so that nothing grows with
+    users times roots: roots that are open or unrestricted, for everyone; roots with a folder named for a user or one of its
+    groups; and every root for users of the group "all". ``roots``: root, anonymous, restricted; ``folders``: root, folder."""
+    everyone = roots.where(F.col("anonymous") | ~F.col("restricted")).select(F.lit(None).cast("string").alias("user"), "root")
+    named = folders.select("root", F.lower("folder").alias("allowed")).distinct().join(allowed, "allowed").join(everyone.select("root"), "root", "left_anti").select("user", "root")
+    whole = all_users.select(F.lower("user").alias("user"), F.lit(None).cast("string").alias("root"))
+    return named.join(whole.select("user"), "user", "left_anti").union(everyone).union(whole).distinct()
+
+
+def may_enter(requests: DataFrame, grants: DataFrame) -> DataFrame:
+    """``requests`` (user, root, ...) that ``grants`` of ``roots_of_users`` allow."""
+    asked = requests.withColumn("__user", F.lower("user"))
+    open_ = grants.where("user is null").select("root")
+    all_ = grants.where("root is null").select(F.col("user").alias("__user"))
+    pairs = grants.where("user is not null and root is not null").select(F.col("user").alias("__user"), "root")
+    free = asked.join(open_, "root", "left_semi")
+    rest = asked.join(open_, "root", "left_anti")
+    whole = rest.join(all_, "__user", "left_semi")
+    named = rest.join(all_, "__user", "left_anti").join(pairs, ["__user", "root"], "left_semi")
+    columns = requests.columns
+    return free.select(columns).union(whole.select(columns)).union(named.select(columns))
+
+
+def longest_root(paths: DataFrame, roots: DataFrame, path: str = "path", closest: bool = False) -> DataFrame:
     """``paths`` with the longest root (prefix, target) that each begins with and the path below the target.
 
-    Prefixes are joined as whole segments by equality, not compared with every root.
+    Prefixes are joined as whole segments by equality, not compared with every root. With ``closest`` a path below no root
+    is mapped by the longest root whose segments stand anywhere in it, from where they stand.
     """
     parts = F.split(path, "/")
     heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     found = paths.select(path).distinct().withColumn("prefix", F.explode(heads)).join(roots, "prefix")
     best = found.groupBy(path).agg(F.max_by(F.struct("prefix", "target"), F.length("prefix")).alias("best"))
-    out = paths.join(best, path, "left")
-    mapped = F.concat("best.target", F.expr(f"substr({path}, length(best.prefix) + 1)"))
+    out = paths.join(best, path, "left").select(*paths.columns, "best", F.lit(1).alias("at"))
+    if closest:
+        # every run of segments of the path, in place of the heads alone
+        inner = F.flatten(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.transform(F.sequence(F.lit(1), F.size(parts) - i + 1), lambda n: F.struct(F.concat(F.lit("/"), F.array_join(F.slice(parts, i, n), "/")).alias("prefix"), (F.length(F.array_join(F.slice(parts, 1, i - 1), "/")) + 1).alias("at")))))
+        rest = out.where("best is null").select(path).distinct().where(F.size(parts) > 1).select(path, F.explode(inner).alias("run")).select(path, "run.prefix", "run.at").join(roots, "prefix")
+        near = rest.groupBy(path).agg(F.max_by(F.struct("prefix", "target", "at"), F.struct(F.length("prefix"), -F.col("at"))).alias("near"))
+        out = out.join(near, path, "left").select(*paths.columns, F.coalesce("best", F.struct("near.prefix", "near.target")).alias("best"), F.coalesce("near.at", F.lit(1)).alias("at"))
+    mapped = F.concat("best.target", F.expr(f"substr({path}, length(best.prefix) + at)"))
     return out.select(*paths.columns, F.col("best.prefix").alias("root"), mapped.alias("mapped"))
 
 
@@ -58,29 +96,39 @@ def subtree_filter(entries: DataFrame, allowed: DataFrame, open_access: bool = F
 
 def listing(entries: DataFrame) -> DataFrame:
     """``entries`` (path, parent, name, is_dir, size, modified) as a listing: directories that are datasets count as files of
-    size 0; sizes, times, parents, links; folders first, names in natural order."""
+    size 0; how many entries a folder has, sizes, times, parents, links. ``listing_order`` sorts it."""
     dataset = has_extension(F.col("name"))
     as_file = ~F.col("is_dir") | dataset
     number, unit, rank = human_size(F.when(F.col("is_dir"), F.lit(0)).otherwise(F.col("size")))
     parts = F.filter(F.split("path", "/"), lambda p: p != "")
     parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, n), "/")))
-    out = entries.select(
+    inside = entries.groupBy("parent").agg(F.count("*").alias("entries")).select(F.col("parent").alias("path"), "entries")
+    counted = entries.join(inside, "path", "left")
+    return counted.select(
         "path", "parent", "name", as_file.alias("is_file"), number.alias("size_number"), unit.alias("size_unit"), rank.alias("size_sort"),
         time_label(F.col("modified")).alias("modified"), F.when(F.size(parts) > 1, parents).otherwise(F.array().cast("array<string>")).alias("parents"),
-        F.when(dataset, F.concat(F.lit("/ng"), "path")).alias("ng_link"), natural_key(F.col("name")).alias("natural"),
+        F.when(dataset, F.concat(F.lit("/ng"), "path")).alias("ng_link"), F.when(F.col("is_dir"), F.coalesce("entries", F.lit(0))).alias("entries"),
     )
-    return out.orderBy("parent", "is_file", "natural", "name").drop("natural")
 
 
-def link_bundle(path: Column, base: Column) -> dict[str, Column]:
-    """A URL for each kind of view of a dataset; null where the path is no dataset."""
-    opens = has_extension(path)
-    out = {}
-    for name, service in LINKS.items():
-        end = {"neuroglancer_info": "/info", "omezarr": ".ome.zarr", "omezarr_8bit": ".8bit.ome.zarr"}.get(name, "")
-        url = F.concat(base, F.lit(f"/{service}"), path, F.lit(end))
-        out[name] = F.when(opens | F.lit(service in ("browser", "browser_json", "dl")), F.replace(url, F.lit(" "), F.lit("%20")))
-    return out
+def listing_order() -> list[Column]:
+    """Within a folder: folders first, names in natural order."""
+    return [F.col("parent"), F.col("is_file"), natural_key(F.col("name")), F.col("name")]
+
+
+def link_bundle(path: Column, base: Column, authenticated: bool = True, is_auth: Column | None = None) -> dict[str, Column]:
+    """A URL for each kind of view of a dataset, and its path; null where the path is no dataset.
+
+    Links are made for all roots, so that they can be shared; with ``authenticated`` false those under a root of ``is_auth`` are null.
+    """
+    clean = F.regexp_replace(path, "(?<=.)/$", "")
+    opens = has_extension(clean)
+    shown = F.lit(True) if authenticated or is_auth is None else ~is_auth
+    out = {"path": clean}
+    for name, (service, end) in LINKS.items():
+        url = F.replace(F.concat(base, F.lit(f"/{service}"), clean, F.lit(end)), F.lit(" "), F.lit("%20"))
+        out[name] = F.when(shown & (opens | F.lit(service in ANY_PATH)), url)
+    return out | {f"{name}_validator": F.concat(F.lit(VALIDATOR), out[name]) for name in VALIDATED}
 
 
 def collections(members: DataFrame) -> DataFrame:
@@ -98,7 +146,7 @@ def ttl_hits(log: DataFrame, seconds: int) -> DataFrame:
 def reuse_distance(log: DataFrame) -> DataFrame:
     """``log`` (shard, key, ts, id) with the number of accesses in its shard since the key was last asked for, null at first.
 
-    A cache with room for the distinct keys among them would have hit. Caches are sharded, so the window is one shard's.
+    At least as many as the distinct keys among them, so a cache with room for that many would have hit. Windows are one shard's.
     """
     order = Window.partitionBy("shard").orderBy("ts", "id")
     numbered = log.withColumn("n", F.row_number().over(order))

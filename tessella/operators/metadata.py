@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,17 +86,29 @@ def precomputed_info(levels: DataFrame) -> DataFrame:
 
 
 def shader(channels: Sequence[dict]) -> str:
-    """Shader text: a checkbox, a range control and a colour for each channel, summed and clamped at 1."""
-    lines, terms = [], []
+    """Shader text: a checkbox, a range control and a colour for each channel, summed and clamped at 1.
+
+    Labels become names of controls; of equal ones all but the first get their channel's number. A lone channel needs no
+    channel number in its range control.
+    """
+    lines, terms, taken = [], [], set()
     for i, c in enumerate(channels):
         name = c.get("label", f"channel{i}").translate(str.maketrans(" -.:", "____")).lower()
-        lines.append(f"#uicontrol bool {name}_visible checkbox(default=true);")
+        name = f"{name}_{i}" if name in taken else name
+        taken.add(name)
+        lines.append(f"#uicontrol bool {name}_visible checkbox(default={str(bool(c.get('active', True))).lower()});")
         lines.append(f'#uicontrol vec3 {name}_color color(default="#{c.get("color", COLORS[i % len(COLORS)]).upper()}");')
-        lines.append(f"#uicontrol invlerp {name}(range=[{c['vmin']}, {c['vmax']}], window=[{c.get('low', 0)}, {c.get('high', 65535)}], channel={i});")
+        lines.append(f"#uicontrol invlerp {name}(range=[{c['vmin']}, {c['vmax']}], window=[{c.get('low', 0)}, {c.get('high', 65535)}]{f', channel={i}' if len(channels) > 1 else ''});")
         terms.append(f"    if ({name}_visible) total += {name}_color * {name}();")
     return "\n".join([*lines, "void main() {", "    vec3 total = vec3(0.0);", *terms, "    emitRGB(min(total, vec3(1.0)));", "}"])
 
 
+def viewer_link(viewer: str, source: str, ds: ArrayDataset, shader_text: str) -> str:
+    """A viewer's URL with the state after ``#!``; a source that is not secure is shown by a viewer that is not either."""
+    base = viewer if "https://" in source or "://" not in source else viewer.replace("https://", "http://", 1)
+    return f"{base.rstrip('/')}/#!{quote(viewer_state(source, ds, shader_text), safe='')}"
+
+
 def viewer_state(source: str, ds: ArrayDataset, shader_text: str) -> str:
     """State of a viewer link as JSON: coordinate space in metres, xy layout."""
     z, y, x = ds.level(0).resolution

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .reduce import KEYS
 
 SPACE = ("z", "y", "x")
+TILE = (64, 64, 64)
 
 
 def mirror_pad(voxels: DataFrame, shape: Sequence[int], width: int) -> DataFrame:
@@ -27,18 +27,33 @@ def mirror_pad(voxels: DataFrame, shape: Sequence[int], width: int) -> DataFrame
     return out
 
 
-def _nearest(at: Column, n: int) -> Column:
-    return F.least(F.greatest(at, F.lit(0)), F.lit(n - 1))
+def box_sum(voxels: DataFrame, shape: Sequence[int], radius: int = 1, divisor: int = 1, limit: float | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Sum of each voxel's cube of neighbours over ``divisor``, zeros outside, for every place of the box. A result above
+    ``limit`` is an error: it could not be stored as a share of the largest value."""
 
+    def total(block: np.ndarray) -> np.ndarray:
+        for axis in range(3):
+            block = shifted(block, axis, [1.0] * (2 * radius + 1))
+        return block
 
-def box_sum(voxels: DataFrame, shape: Sequence[int], radius: int = 1, divisor: int = 1, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Sum of each voxel's cube of neighbours over ``divisor``, zeros outside: three passes, one an axis."""
-    out = voxels
-    for axis, n in zip(SPACE, shape, strict=True):
-        rest = [a for a in SPACE if a != axis]
-        spread = out.withColumn(axis, F.explode(F.array(*(F.col(axis) + d for d in range(-radius, radius + 1)))))
-        out = spread.where((F.col(axis) >= 0) & (F.col(axis) < n)).groupBy(*keys, *rest, axis).agg(F.sum("v").alias("v"))
-    return out.withColumn("v", F.col("v") / divisor) if divisor != 1 else out
+    out = map_tiles(voxels, shape, TILE, total, radius, "zero", keys)
+    if divisor != 1:
+        out = out.withColumn("v", F.col("v") / divisor)
+    if limit is not None:
+        out = out.withColumn("v", F.when(F.col("v") > limit, F.raise_error(F.concat(F.lit(f"above {limit}: "), F.col("v").cast("string"))).cast("double")).otherwise(F.col("v")))
+    return out
+
+
+def shifted(block: np.ndarray, axis: int, weights: Sequence[float]) -> np.ndarray:
+    """Weighted sum of a voxel and its neighbours along an axis; zeros beyond the block."""
+    radius, out = len(weights) // 2, np.zeros_like(block)
+    n = block.shape[axis]
+    for d, w in zip(range(-radius, radius + 1), weights, strict=True):
+        to, of = [slice(None)] * 3, [slice(None)] * 3
+        to[axis], of[axis] = slice(max(0, -d), n - max(0, d)), slice(max(0, d), n - max(0, -d))
+        if abs(d) < n:
+            out[tuple(to)] += w * block[tuple(of)]
+    return out
 
 
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
@@ -47,49 +62,45 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
     return [w / sum(raw) for w in raw]
 
 
-def gaussian(voxels: DataFrame, shape: Sequence[int], sigma: float, truncate: float = 4.0, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Gaussian blur with the border voxel continued outside. Each axis in turn: a voxel gives its weighted share to all
-    neighbours that see it, directly or as the continued border. Every voxel of the box must be there."""
+def gaussian(voxels: DataFrame, shape: Sequence[int], sigma: float, truncate: float = 4.0, keys: Sequence[str] = KEYS, tile: Sequence[int] = TILE) -> DataFrame:
+    """Gaussian blur with the border voxel continued outside, for every place of the box; voxels that are not there count as 0."""
     weights = gaussian_weights(sigma, truncate)
-    radius = len(weights) // 2
-    out = voxels.withColumn("v", F.col("v").cast("double"))
-    for axis, n in zip(SPACE, shape, strict=True):
-        rest = [a for a in SPACE if a != axis]
-        at = F.col(axis)
-        # target i sees source clamp(i + d): border voxels also stand for the places beyond them
-        shares = F.array(*(F.struct((at - d).alias("to"), F.lit(w).alias("w")) for d, w in zip(range(-radius, radius + 1), weights, strict=True)))
-        outer = [F.when(at == edge, F.array(*(F.struct((F.lit(place) - d).alias("to"), F.lit(w).alias("w")) for place in places for d, w in zip(range(-radius, radius + 1), weights, strict=True)))) for edge, places in ((0, range(-radius, 0)), (n - 1, range(n, n + radius)))] if radius else []
-        every = reduce(lambda a, b: F.concat(a, F.coalesce(b, F.array().cast("array<struct<to:int,w:double>>"))), outer, shares.cast("array<struct<to:int,w:double>>"))
-        given = out.withColumn("s", F.explode(F.filter(every, lambda s: (s["to"] >= 0) & (s["to"] < n))))
-        out = given.groupBy(*keys, *rest, F.col("s.to").alias(axis)).agg(F.sum(F.col("v") * F.col("s.w")).alias("v"))
-    return out
+
+    def blur(block: np.ndarray) -> np.ndarray:
+        for axis in range(3):
+            block = shifted(block, axis, weights)
+        return block
+
+    return map_tiles(voxels, shape, tile, blur, len(weights) // 2, "nearest", keys)
 
 
 def map_tiles(voxels: DataFrame, shape: Sequence[int], tile: Sequence[int], fn: Callable[[np.ndarray], np.ndarray], width: int = 0, boundary: str = "reflect", keys: Sequence[str] = KEYS) -> DataFrame:
     """``fn`` over tiles of the volume as float arrays, each with ``width`` voxels of its neighbours around it, which are
-    cut off again. Beyond the volume: mirrored ("reflect", border repeated) or the border continued ("nearest")."""
+    cut off again. Beyond the volume: mirrored ("reflect", border repeated), the border continued ("nearest") or zeros
+    ("zero"). Places without a voxel hold 0; the result has every place of the volume."""
     out = voxels
     for axis, n, k in zip(SPACE, shape, tile, strict=True):
         last = -(-n // k) - 1
         first_tile, last_tile = F.greatest(F.floor((F.col(axis) - width) / k), F.lit(0)), F.least(F.floor((F.col(axis) + width) / k), F.lit(last))
         out = out.withColumn(f"t{axis}", F.explode(F.sequence(first_tile, last_tile)))
-    mode = {"reflect": "symmetric", "nearest": "edge"}[boundary]
+    mode = {"reflect": "symmetric", "nearest": "edge", "zero": "constant"}[boundary]
     shape, tile = tuple(shape), tuple(tile)
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        key = [k.as_py() for k in key]
         at = key[len(keys) :]
         low = [max(0, i * k - width) for i, k in zip(at, tile, strict=True)]
         high = [min(n, (i + 1) * k + width) for i, k, n in zip(at, tile, shape, strict=True)]
         block = np.zeros([b - a for a, b in zip(low, high, strict=True)])
-        block[tuple(rows[a].to_numpy() - m for a, m in zip(SPACE, low, strict=True))] = rows["v"]
+        block[tuple(rows.column(a).to_numpy() - m for a, m in zip(SPACE, low, strict=True))] = rows.column("v").to_numpy()
         pads = [(width - (i * k - a), width - (b - min(n, (i + 1) * k))) for i, k, n, a, b in zip(at, tile, shape, low, high, strict=True)]
         made = fn(np.pad(block, pads, mode=mode))[tuple(slice(width, width + min(n, (i + 1) * k) - i * k) for i, k, n in zip(at, tile, shape, strict=True))]
-        index = np.indices(made.shape).reshape(3, -1)
-        columns = {a: index[j] + at[j] * tile[j] for j, a in enumerate(SPACE)}
-        return pd.DataFrame({**dict(zip(keys, key, strict=False)), **columns, "v": made.ravel()})
+        index = np.indices(made.shape, np.int32).reshape(3, -1)
+        columns = [pa.array(np.full(made.size, k, np.int32)) for k in key[: len(keys)]] + [pa.array(i + np.int32(m * k)) for i, m, k in zip(index, at, tile, strict=True)]
+        return pa.table([*columns, pa.array(np.ascontiguousarray(made, np.float64).ravel())], [*keys, *SPACE, "v"])
 
     fields = ", ".join([*(f"{k} int" for k in keys), "z int, y int, x int, v double"])
-    return out.groupBy(*keys, *(f"t{a}" for a in SPACE)).applyInPandas(run, fields)
+    return out.select(*keys, *SPACE, "v", *(f"t{a}" for a in SPACE)).groupBy(*keys, *(f"t{a}" for a in SPACE)).applyInArrow(run, fields)
 
 
 def scatter(voxels: DataFrame, field: DataFrame, shape: Sequence[int], keys: Sequence[str] = KEYS) -> DataFrame:
@@ -109,3 +120,41 @@ def resize_nearest(voxels: DataFrame, shape: Sequence[int], target: Sequence[int
         high = F.ceil((F.col(axis) + 1) * m / F.lit(float(n)) - 0.5).cast("int") - 1
         out = out.where(low <= high).withColumn(axis, F.explode(F.sequence(low, high)))
     return out
+
+
+def cubic_weights(n: int, m: int) -> list[tuple[int, int, float]]:
+    """(source, target, weight) of cubic spline interpolation of n voxels at m places, mirrored at the border voxels.
+
+    A spline's coefficients are the voxels weighted by sqrt(3) (sqrt(3) - 2)^distance; weights below 1e-15 are left out.
+    """
+    pole, reach = math.sqrt(3) - 2, 27
+    period = max(1, 2 * n - 2)
+    out: dict[tuple[int, int], float] = {}
+    for i in range(m):
+        place = (i + 0.5) * n / m - 0.5
+        for k in range(math.floor(place) - 1, math.floor(place) + 3):
+            d = abs(place - k)
+            basis = 2 / 3 - d * d + d**3 / 2 if d < 1 else (2 - d) ** 3 / 6 if d < 2 else 0.0
+            for j in range(k - reach, k + reach + 1) if basis else ():
+                source = abs((j + period) % period if n > 1 else 0)
+                source = min(source, period - source) if n > 1 else 0
+                out[source, i] = out.get((source, i), 0.0) + basis * math.sqrt(3) * pole ** abs(j - k)
+    return [(s, i, w) for (s, i), w in out.items() if abs(w) >= 1e-15]
+
+
+def resize_cubic(voxels: DataFrame, shape: Sequence[int], target: Sequence[int], keys: Sequence[str] = KEYS) -> DataFrame:
+    """Another shape by cubic splines, axis by axis; results stay within the range of the input. Every voxel of the box must be there.
+
+    The weights of an axis, some fifty for each of its target places, are broadcast.
+    """
+    spark, out = voxels.sparkSession, voxels.withColumn("v", F.col("v").cast("double"))
+    for axis, n, m in zip(SPACE, shape, target, strict=True):
+        if n == m:
+            continue
+        weights = spark.createDataFrame(cubic_weights(n, m), f"{axis} int, __to int, __w double")
+        rest = [a for a in SPACE if a != axis]
+        out = out.join(F.broadcast(weights), axis).groupBy(*keys, *rest, F.col("__to").alias(axis)).agg(F.sum(F.col("v") * F.col("__w")).alias("v"))
+    bounds = voxels.agg(F.min("v").cast("double").alias("__low"), F.max("v").cast("double").alias("__high")).first()
+    if bounds["__low"] is None:
+        return out
+    return out.withColumn("v", F.least(F.greatest("v", F.lit(bounds["__low"])), F.lit(bounds["__high"])))

@@ -47,6 +47,17 @@ def mean_levels(voxels: DataFrame, shape: Sequence[int], levels: int, tile: int
     return found
 
 
+def mean_once(voxels: DataFrame, shape: Sequence[int], even_edge_zero: bool = False) -> tuple[DataFrame, tuple[int, ...]]:
+    """One level of 2x2x2 means and its shape. With ``even_edge_zero`` the last plane of an axis of even length holds 0, as
+    where tiles stop one voxel before the end and what they don't write stays empty."""
+    out, made = block_reduce(voxels, (2, 2, 2), shape), tuple(n // 2 for n in shape)
+    if even_edge_zero:
+        for axis, n in zip("zyx", shape, strict=True):
+            if n % 2 == 0:
+                out = out.withColumn("v", F.when(F.col(axis) == n // 2 - 1, F.lit(0).cast("long")).otherwise(F.col("v")))
+    return out, made
+
+
 def build(voxels: DataFrame, plan: Sequence[Level], reduce_by: Callable[[DataFrame, tuple, tuple], DataFrame] | None = None) -> list[DataFrame]:
     """The levels of ``plan`` (full resolution first), each from the one before, written out and read again between."""
     found = [voxels]

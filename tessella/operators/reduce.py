@@ -16,6 +16,14 @@ def channel_range(voxels: DataFrame, keys: Sequence[str] = KEYS, nonzero: bool =
     return voxels.groupBy(*keys).agg(F.min(v).alias("vmin"), F.max(v).alias("vmax"), F.count("*").alias("n"))
 
 
+def stored_range(voxels: DataFrame, stored: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """vmin and vmax of each channel as ``stored`` (keys, vmin, vmax) has them, else as computed; ``computed`` says which."""
+    known = stored.where("vmin is not null and vmax is not null").select(*keys, F.col("vmin").alias("__low"), F.col("vmax").alias("__high"))
+    missing = voxels.join(F.broadcast(known.select(*keys)), list(keys), "left_anti")
+    found = channel_range(missing, keys).select(*keys, F.col("vmin").cast("double").alias("vmin"), F.col("vmax").cast("double").alias("vmax"), F.lit(True).alias("computed"))
+    return known.select(*keys, F.col("__low").cast("double").alias("vmin"), F.col("__high").cast("double").alias("vmax"), F.lit(False).alias("computed")).unionByName(found)
+
+
 def histogram(voxels: DataFrame, bins: int, top: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """n of each bin of 0..top, by channel."""
     width = (top + 1) / bins

@@ -25,6 +25,11 @@ class AxisSlice:
         return max(0, -(-(self.stop - self.start) // self.step))
 
 
+def out_size(start: Column, stop: Column, step: Column) -> Column:
+    """``AxisSlice.size`` of columns."""
+    return F.greatest(F.ceil((stop - start) / step), F.lit(0)).cast("long")
+
+
 def normalize(key: int | slice | None, n: int, stop_only: str = "prefix") -> AxisSlice:
     """One axis of length n. An int i is [i, i+1); ``slice(None, n)`` is the prefix, or with "index" just index n."""
     if stop_only not in ("prefix", "index"):
@@ -116,5 +121,5 @@ def evenly_spaced(n: Column, m: int) -> Column:
 
 def full_chunk_sample(chunks: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """n pseudorandom chunks (with ``full`` true where no axis is cut short), the same on every run."""
-    order = F.xxhash64(F.lit(seed), "t", "c", "cz", "cy", "cx")
+    order = F.md5(F.concat_ws(".", F.lit(seed), "t", "c", "cz", "cy", "cx"))
     return chunks.where("full").orderBy(order, "t", "c", "cz", "cy", "cx").limit(n)

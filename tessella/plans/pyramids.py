@@ -12,21 +12,23 @@ def _halved(shape: Triple) -> Triple:
 
 
 def plan_halving(shape: Triple, chunk: Triple, resolution: tuple[float, float, float] = (1.0, 1.0, 1.0), stop: str = "any", smallest: int = 128, grow: int = 4) -> list[Level]:
-    """Shapes halve; chunks grow ``grow``-fold in z and halve in y and x, no smaller than ``smallest`` and no larger than the
-    shape. Ends once any axis (or all, by ``stop``) is shorter than its chunk."""
+    """Shapes halve; chunks grow ``grow``-fold in z up to ``smallest`` and halve in y and x down to it.
+
+    The first level of which any axis (or all, by ``stop``) is shorter than its chunk is not part of the plan. With "all",
+    where an axis may be shorter, chunks are cut to the shape.
+    """
     if stop not in ("any", "all"):
         raise ValueError(stop)
-    levels, r = [Level(0, shape, chunk, resolution)], 0
+    levels, ends = [Level(0, shape, chunk, resolution)], any if stop == "any" else all
     while True:
-        shape = _halved(shape)
+        shape = tuple(n // 2 for n in shape)
         z, y, x = chunk
         chunk = (min(z * grow, smallest), max(y // 2, smallest), max(x // 2, smallest))
-        fitted = tuple(min(k, n) for k, n in zip(chunk, shape, strict=True))
-        r += 1
         resolution = tuple(v * 2 for v in resolution)
-        levels.append(Level(r, shape, fitted, resolution))
-        if (any if stop == "any" else all)(n <= k for n, k in zip(shape, chunk, strict=True)):
-            return levels
+        if ends(n < k for n, k in zip(shape, chunk, strict=True)) or 0 in shape:
+            break
+        levels.append(Level(len(levels), shape, chunk, resolution))
+    return levels if stop == "any" else [Level(v.r, v.shape, tuple(min(k, n) for k, n in zip(v.chunk, v.shape, strict=True)), v.resolution) for v in levels]
 
 
 def plan_passes(shape: Triple, start: Triple, passes: int = 3, grow: int = 4, resolution: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> list[Level]:
@@ -43,19 +45,18 @@ def plan_passes(shape: Triple, start: Triple, passes: int = 3, grow: int = 4, re
 
 
 def plan_isotropic(shape: Triple, resolution: tuple[float, float, float], chunk: Triple = (4, 512, 512), smallest: int = 16, every: int = 2) -> list[Level]:
-    """Axes finer than the coarsest are reduced (by 2 at most) until voxels are cubes, then all by 2; ends before an axis
-    falls below ``smallest``. Every ``every`` levels chunks double in z and halve in y and x."""
-    levels, r = [Level(0, shape, chunk, resolution)], 0
-    while True:
+    """Axes finer than the coarsest are reduced (by 2 at most) until voxels are cubes, then all by 2; ends where half of an
+    axis is ``smallest`` or less. Every ``every`` levels chunks double in z and halve in y and x."""
+    levels = [Level(0, shape, chunk, resolution)]
+    while all(n // 2 > smallest for n in shape):
         coarsest = max(resolution)
         if len({round(v, 9) for v in resolution}) > 1:
             factor = tuple(min(2.0, coarsest / v) for v in resolution)
         else:
             factor = (2.0, 2.0, 2.0)
-        after = tuple(int(n / f) for n, f in zip(shape, factor, strict=True))
-        if any(n < smallest for n in after):
-            return levels
-        shape, resolution, r = after, tuple(v * f for v, f in zip(resolution, factor, strict=True)), r + 1
-        if r % every == 0:
+        shape = tuple(int(n // f) for n, f in zip(shape, factor, strict=True))
+        resolution = tuple(v * f for v, f in zip(resolution, factor, strict=True))
+        if len(levels) % every == 0:
             chunk = (chunk[0] * 2, max(1, chunk[1] // 2), max(1, chunk[2] // 2))
-        levels.append(Level(r, shape, tuple(min(k, n) for k, n in zip(chunk, shape, strict=True)), resolution))
+        levels.append(Level(len(levels), shape, chunk, resolution))
+    return levels
