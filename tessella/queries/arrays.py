@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import values
+from ..model import ArrayDataset, Level
 from ..operators import grid, metadata, neighborhood, pyramid, reduce, slicing
-from ..session import load
-from .common import CHUNK, EMB, VOX, Y, Z, Query, float_matrix, plain, shape_of, sql, volume
+from ..session import load, scratch_path
+from .common import CHUNK, DENSE, EMB, STORED, VOX, Y, Z, Query, float_matrix, plain, shape_of, sql, volume
 
 XS = "(SELECT max(x) + 1 FROM vox)"
 QUERIES: dict[str, tuple[Query, str | None]] = {}
+GRID = f"""grid AS (SELECT c, cz, cy, cx, cz * 4 AS z0, cz * 4 + 4 AS z1, cy * 8 AS y0, cy * 8 + 8 AS y1, cx * 8 AS x0, least(cx * 8 + 8, n) AS x1 FROM
+    (SELECT unnest(range(0, 2)) AS c), (SELECT unnest(range(0, 2)) AS cz), (SELECT unnest(range(0, 2)) AS cy),
+    (SELECT n, unnest(range(0, (n + 7) // 8)) AS cx FROM (SELECT {XS} AS n)))"""
 
 
 def query(sql_text: str | None):
@@ -57,7 +63,7 @@ def slice_stop_only_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def slice_out_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     start, step = k % 7, k % 5 + 1
-    return load(spark, sf_dir, "orders").select(k, F.ceil((start + k % 101 - start) / step).alias("n"))
+    return load(spark, sf_dir, "orders").select(k, slicing.out_size(start, start + k % 101, step).alias("n"))
 
 
 @query(vox("SELECT y, x, max(CASE WHEN c = 0 THEN v END) AS c0, max(CASE WHEN c = 1 THEN v END) AS c1 FROM vox WHERE z = 0 GROUP BY y, x", "y x c0 c1"))
@@ -73,7 +79,7 @@ def even_spaced_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.join(F.broadcast(wanted), "x", "left_semi").drop("t")
 
 
-@query(None)
+@query(sql("SELECT cc, cz, cy, cx, z0, y0, x0 FROM (SELECT c AS cc, cz, cy, cx, z0, y0, x0, x1 - x0 = 8 AS whole FROM grid) WHERE whole ORDER BY md5('42.0.' || cc || '.' || cz || '.' || cy || '.' || cx) LIMIT 5", "cc cz cy cx z0 y0 x0", ctes=(VOX, GRID)))
 def full_chunk_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slicing.full_chunk_sample(_chunks(spark, sf_dir), 5).select("cc", "cz", "cy", "cx", "z0", "y0", "x0")
 
@@ -91,11 +97,6 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"t": F.col("ct"), "c": F.col("cc")})
 
 
-GRID = f"""grid AS (SELECT c, cz, cy, cx, cz * 4 AS z0, cz * 4 + 4 AS z1, cy * 8 AS y0, cy * 8 + 8 AS y1, cx * 8 AS x0, least(cx * 8 + 8, n) AS x1 FROM
-    (SELECT unnest(range(0, 2)) AS c), (SELECT unnest(range(0, 2)) AS cz), (SELECT unnest(range(0, 2)) AS cy),
-    (SELECT n, unnest(range(0, (n + 7) // 8)) AS cx FROM (SELECT {XS} AS n)))"""
-
-
 @query(sql("SELECT c AS cc, cz, cy, cx, z0, z1, y0, y1, x0, x1, x1 - x0 = 8 AS \"full\" FROM grid", "cc cz cy cx z0 z1 y0 y1 x0 x1", rest='"full"', ctes=(VOX, GRID)))
 def grid_enumerate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir).select("cc", "cz", "cy", "cx", "z0", "z1", "y0", "y1", "x0", "x1", "full")
@@ -270,6 +271,18 @@ def channel_minmax_nonzero(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce.channel_range(spec(v, (0, 1, slice(0, 4), slice(2, 12), slice(1, 4, 2))).apply(v), ("c",), nonzero=True)
 
 
+@query(vox("SELECT t, c, min(CASE WHEN v > 0 THEN v END) AS vmin, max(CASE WHEN v > 0 THEN v END) AS vmax, count(*) AS n FROM vox GROUP BY t, c", "t c vmin vmax n"))
+def channel_range_nonzero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reduce.channel_range(volume(spark, sf_dir), nonzero=True)
+
+
+@query(vox("SELECT c, y, CASE WHEN y % 3 = 0 THEN y ELSE min(v) END AS vmin, CASE WHEN y % 3 = 0 THEN y + 100 ELSE max(v) END AS vmax, y % 3 <> 0 AS computed FROM vox GROUP BY c, y", "c y", "vmin vmax", "computed"))
+def channel_range_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = volume(spark, sf_dir)
+    kept = v.where("y % 3 = 0").select("c", "y").distinct().select("c", "y", F.col("y").alias("vmin"), (F.col("y") + 100).alias("vmax"))
+    return reduce.stored_range(v, kept, ("c", "y"))
+
+
 @query(vox("SELECT c, v // 4096 AS bin, count(*) AS n FROM vox GROUP BY ALL", "c bin n"))
 def channel_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce.histogram(volume(spark, sf_dir), 16, 65535, ("c",))
@@ -332,10 +345,14 @@ def block_mean_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
 # neighbourhoods
 
 
-@query(vox(f"SELECT c, z, y, x, CAST(sum(v) AS BIGINT) AS v FROM (SELECT c, z + dz AS z, y + dy AS y, x + dx AS x, v FROM vox, (SELECT unnest(range(-1, 2)) AS dz), (SELECT unnest(range(-1, 2)) AS dy), (SELECT unnest(range(-1, 2)) AS dx)) WHERE z BETWEEN 0 AND 7 AND y BETWEEN 0 AND 15 AND x >= 0 AND x < {XS} GROUP BY ALL", "c z y x v"))
+BOX3 = """SELECT g.c, g.z, g.y, g.x, CAST(sum(w.v) AS BIGINT) AS v FROM dense g, (SELECT unnest(range(-1, 2)) AS dz), (SELECT unnest(range(-1, 2)) AS dy), (SELECT unnest(range(-1, 2)) AS dx)
+    JOIN (SELECT c AS wc, z AS wz, y AS wy, x AS wx, v FROM dense) w ON w.wc = g.c AND w.wz = g.z + dz AND w.wy = g.y + dy AND w.wx = g.x + dx GROUP BY ALL"""
+
+
+@query(sql(BOX3, "c z y x v", ctes=(VOX, DENSE)))
 def box3_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = volume(spark, sf_dir)
-    return neighborhood.box_sum(v, shape_of(v)).drop("t")
+    return neighborhood.box_sum(v, shape_of(v)).drop("t").withColumn("v", F.col("v").cast("long"))
 
 
 @query(vox(f"SELECT c, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, min(z) AS z0, max(z) AS z1, min(x) AS x0, max(x) - n AS x1 FROM (SELECT c, unnest(list_filter([z, CASE WHEN z < 1 THEN -1 - z END, CASE WHEN z >= 7 THEN 15 - z END], lambda q: q IS NOT NULL)) AS z, y, x, v, n FROM (SELECT c, z, unnest(list_filter([y, CASE WHEN y < 1 THEN -1 - y END, CASE WHEN y >= 15 THEN 31 - y END], lambda q: q IS NOT NULL)) AS y, x, v, n FROM (SELECT c, z, y, unnest(list_filter([x, CASE WHEN x < 1 THEN -1 - x END, CASE WHEN x >= n - 1 THEN 2 * n - 1 - x END], lambda q: q IS NOT NULL)) AS x, v, n FROM vox, (SELECT {XS} AS n)))) GROUP BY c, n", "c n total z0 z1 x0 x1"))
@@ -346,9 +363,6 @@ def mirror_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SIGMA = 0.5
-BOX = "box AS (SELECT c, z, y, x, v FROM vox WHERE x < (SELECT max(x) FROM vox))"
-
-
 def _blur(axis: str, n: str, source: str, name: str) -> str:
     rest = [a for a in "zyx" if a != axis]
     rows = ", ".join(f"({d}, {w!r}::DOUBLE)" for d, w in zip(range(-2, 3), neighborhood.gaussian_weights(SIGMA), strict=True))
@@ -356,30 +370,27 @@ def _blur(axis: str, n: str, source: str, name: str) -> str:
         JOIN {source} s ON s.c = g.c AND {' AND '.join(f's.{a} = g.{a}' for a in rest)} AND s.{axis} = least(greatest(g.{axis} + d, 0), {n} - 1) GROUP BY g.c, g.z, g.y, g.x)"""
 
 
-@query(sql("SELECT c, z, y, x, round(v, 3) AS v FROM b3", "c z y x", "v", ctes=(VOX, BOX, _blur("z", "8", "box", "b1"), _blur("y", "16", "b1", "b2"), _blur("x", "(SELECT max(x) FROM vox)", "b2", "b3"))))
+BLURRED = (VOX, DENSE, _blur("z", "8", "dense", "b1"), _blur("y", "16", "b1", "b2"), _blur("x", "(SELECT max(x) + 1 FROM vox)", "b2", "b3"))
+
+
+@query(sql("SELECT c, z, y, x, round(v, 3) AS v FROM b3", "c z y x", "v", ctes=BLURRED))
 def gaussian_separable(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = volume(spark, sf_dir)
-    z, y, x = shape_of(v)
-    out = neighborhood.gaussian(v.where(F.col("x") < x - 1), (z, y, x - 1), SIGMA)
-    return out.select("c", "z", "y", "x", F.round("v", 3).alias("v"))
+    return neighborhood.gaussian(v, shape_of(v), SIGMA).select("c", "z", "y", "x", F.round("v", 3).alias("v"))
 
 
-@query(None)
+@query(sql("SELECT c, z // 2 AS z, y // 2 AS y, x // 2 AS x, round(v, 3) AS v FROM b3 WHERE z % 2 = 1 AND y % 2 = 1 AND x % 2 = 1", "c z y x", "v", ctes=BLURRED))
 def blur_and_decimate_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiles with halos: a Gaussian by numpy, then every second voxel from 1 on."""
+    """A Gaussian in small tiles with halos, then every second voxel from 1 on."""
     v = volume(spark, sf_dir)
-    z, y, x = shape_of(v)
-    blurred = neighborhood.map_tiles(v.where(F.col("x") < x - 1), (z, y, x - 1), (4, 8, 16), _numpy_blur, width=2, boundary="nearest")
+    blurred = neighborhood.gaussian(v, shape_of(v), SIGMA, tile=(4, 8, 16))
     return pyramid.decimate(blurred, offset=1).select("c", "z", "y", "x", F.round("v", 3).alias("v"))
 
 
-def _numpy_blur(block):
-    import numpy as np
-
-    weights = np.array(neighborhood.gaussian_weights(SIGMA))
-    for axis in range(3):
-        block = np.apply_along_axis(lambda line: np.convolve(line, weights, mode="same"), axis, block)
-    return block
+@query(vox(f"SELECT c, z, y, x, CASE WHEN z = 3 OR y = 7 OR x = n // 2 - 1 AND n % 2 = 0 THEN 0 ELSE v END AS v FROM (SELECT c, z // 2 AS z, y // 2 AS y, x // 2 AS x, any_value(n) AS n, round_even(sum(v) / 8.0::DOUBLE, 0) AS v FROM vox, (SELECT {XS} AS n) WHERE x < n // 2 * 2 GROUP BY c, z // 2, y // 2, x // 2)", "c z y x v"))
+def mean_even_edge_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = volume(spark, sf_dir)
+    return pyramid.mean_once(v, shape_of(v), even_edge_zero=True)[0].drop("t")
 
 
 FIELD = "field AS (SELECT DISTINCT z, y, x, z * 1.5::DOUBLE AS fz, y * 0.5::DOUBLE AS fy, x + 2.0::DOUBLE AS fx FROM vox)"
@@ -433,52 +444,89 @@ def info_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
 # encoded chunks
 
 
-BYTES = """bytes AS (SELECT c, z // 4 AS cz, y // 8 AS cy, x // 8 AS cx, string_agg(lpad(to_hex(v % 256), 2, '0') || lpad(to_hex(v // 256), 2, '0'), '' ORDER BY z, y, x) AS h, count(*) AS n FROM vox GROUP BY ALL)"""
+BYTES = """bytes AS (SELECT c, z // 4 AS cz, y // 8 AS cy, x // 8 AS cx, string_agg(lpad(to_hex(v % 256), 2, '0') || lpad(to_hex(v // 256), 2, '0'), '' ORDER BY z, y, x) AS h FROM stored GROUP BY ALL)"""
 
 
-@query(sql("SELECT c, cz, cy, cx, md5(unhex(h)) AS digest FROM bytes WHERE n = 256", "c cz cy cx", rest="digest", ctes=(VOX, BYTES)))
+@query(sql("SELECT c, cz, cy, cx, md5(unhex(h)) AS digest FROM bytes", "c cz cy cx", rest="digest", ctes=(VOX, DENSE, STORED, BYTES)))
 def chunk_payload_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.encode import chunks_of
 
     v = volume(spark, sf_dir)
-    shape = shape_of(v)
-    full = v.groupBy("c", *(grid.chunk_number(F.col(a), k).alias(f"c{a}") for a, k in zip("zyx", CHUNK, strict=True))).agg(F.count("*").alias("n")).where("n = 256")
-    return chunks_of(v, CHUNK, "uint16", shape=shape).join(full, ["c", "cz", "cy", "cx"], "left_semi").select("c", "cz", "cy", "cx", F.md5("payload").alias("digest"))
+    return chunks_of(v, CHUNK, "uint16", shape=shape_of(v)).select("c", "cz", "cy", "cx", F.md5("payload").alias("digest"))
 
 
-@query(vox("SELECT c, z, y, x, v FROM vox WHERE v > 0", "c z y x v"))
+@query(sql("SELECT c, z, y, x, v FROM stored", "c z y x v", ctes=(VOX, DENSE, STORED)))
 def chunk_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.encode import chunks_of, voxels_of
 
     v = volume(spark, sf_dir)
     shape = shape_of(v)
-    return voxels_of(chunks_of(v, CHUNK, "uint16", "zstd"), CHUNK, shape, "uint16").where("v > 0").select("c", "z", "y", "x", "v")
+    return voxels_of(chunks_of(v, CHUNK, "uint16", "blosc"), CHUNK, shape, "uint16").select("c", "z", "y", "x", "v")
+
+
+@query(sql("SELECT c, cz, cy, cx, 128 + 2 * 256 AS raw_bytes, n FROM (SELECT c, z // 4 AS cz, y // 8 AS cy, x // 8 AS cx, count(*) AS n FROM vox GROUP BY ALL)", "c cz cy cx raw_bytes n", ctes=(VOX,)))
+def npy_payload_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.encode import chunks_of, npy_payload
+
+    chunks = chunks_of(volume(spark, sf_dir), CHUNK, "uint16")
+    return npy_payload(chunks, CHUNK).select("c", "cz", "cy", "cx", "raw_bytes").join(chunks.select("c", "cz", "cy", "cx", "n"), ["c", "cz", "cy", "cx"])
 
 
-@query(vox("SELECT c, z, y, x, v FROM vox WHERE c = 1 AND z >= 4 AND v > 0", "c z y x", "v"))
+def _orders(v: DataFrame, levels: int = 1) -> ArrayDataset:
+    z, y, x = shape_of(v)
+    return ArrayDataset("orders", "uint16", 1, 2, tuple(Level(r, (z >> r, y >> r, x >> r), CHUNK) for r in range(levels)))
+
+
+@query(sql("SELECT c, z, y, x, v FROM stored WHERE c = 1 AND z >= 4", "c z y x", "v", ctes=(VOX, DENSE, STORED)))
 def zarr_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..model import ArrayDataset, Level
-    from ..session import scratch_path
     from ..sources.zarr import read_zarr, write_zarr
 
     v = volume(spark, sf_dir)
-    ds = ArrayDataset("orders", "uint16", 1, 2, (Level(0, shape_of(v), CHUNK),))
     uri = scratch_path(spark, "orders.ome.zarr")
-    write_zarr([v], ds, uri)
-    return read_zarr(spark, uri).where("r = 0 and c = 1 and cz >= 1 and v > 0").select("c", "z", "y", "x", "v")
+    write_zarr([v], _orders(v), uri)
+    return read_zarr(spark, uri).where("r = 0 and c = 1 and cz >= 1").select("c", "z", "y", "x", "v")
+
+
+@query(sql("SELECT c, z, y, x, CASE WHEN z = 3 THEN 65535 - v ELSE v END AS v FROM stored", "c z y x", "v", ctes=(VOX, DENSE, STORED)))
+def zarr_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions that are no whole chunks, written one after the other into a store of dotted names, Fortran order and Blosc chunks."""
+    from ..sources.zarr import create_zarr, read_zarr, write_region
+
+    v = volume(spark, sf_dir)
+    uri = scratch_path(spark, "regions.ome.zarr")
+    create_zarr(_orders(v), uri, "blosc", separator=".", order="F")
+    dense = grid.densify(v.drop("t"), shape_of(v), ["c"]).withColumn("t", F.lit(0))
+    chunks = grid.with_chunks(dense, CHUNK).join(grid.with_chunks(v, CHUNK).select("c", "cz", "cy", "cx").distinct(), ["c", "cz", "cy", "cx"], "left_semi")
+    write_region(chunks.where("z < 6"), uri)
+    write_region(chunks.where("z >= 5"), uri)
+    write_region(chunks.where("z = 3").withColumn("v", F.lit(65535) - F.col("v")), uri)
+    return read_zarr(spark, uri).where("r = 0").select("c", "z", "y", "x", "v")
+
+
+@query(sql("SELECT r, c, z, y, x, v FROM (SELECT 0 AS r, c, z, y, x, v FROM stored UNION ALL SELECT 1 AS r, c, z // 2, y // 2, x // 2, v FROM vox WHERE z % 2 = 0 AND y % 2 = 0 AND x % 2 = 0) WHERE v > 0", "r c z y x", "v", ctes=(VOX, DENSE, STORED)))
+def multiscale_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One lazy table a level of a store, and all of them under a registered name."""
+    from ..sources.config import level_views, register_dataset
+    from ..sources.zarr import write_zarr
+
+    v = volume(spark, sf_dir)
+    uri, small = f"{scratch_path(spark, 'views')}.ome.zarr", pyramid.decimate(v)
+    ds = _orders(v, 2)
+    ds = replace(ds, levels=(ds.levels[0], replace(ds.levels[1], shape=tuple(-(-n // 2) for n in ds.levels[0].shape))))
+    write_zarr([v, small], ds, uri, "null")
+    views, key = level_views(spark, uri), register_dataset(spark, uri)
+    both = views[0].unionByName(spark.table(key).where("r = 1"))
+    return both.where("v > 0").select("r", "c", "z", "y", "x", "v")
 
 
-@query(vox("SELECT c, z, y, x, v FROM vox WHERE v > 0", "c z y x v"))
+@query(sql("SELECT c, z, y, x, v FROM stored", "c z y x v", ctes=(VOX, DENSE, STORED)))
 def zsharded_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..model import ArrayDataset, Level
-    from ..session import scratch_path
     from ..sources.zshard import read_zsharded, write_zsharded
 
     v = volume(spark, sf_dir)
-    ds = ArrayDataset("orders", "uint16", 1, 2, (Level(0, shape_of(v), CHUNK),))
     uri = scratch_path(spark, "orders.z_sharded")
-    write_zsharded([v], ds, uri)
-    return read_zsharded(spark, uri).where("v > 0").select("c", "z", "y", "x", "v")
+    write_zsharded([v], _orders(v), uri)
+    return read_zsharded(spark, uri).select("c", "z", "y", "x", "v")
 
 
 @query(vox("SELECT c, z, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM vox GROUP BY c, z", "c z n total"))

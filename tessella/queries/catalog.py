@@ -86,10 +86,19 @@ def resource_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return request.select("doc_id", "request", text.resource(F.col("request")).alias("kind"), flags["force8"].alias("force8"), flags["combine_channels"].alias("combine"))
 
 
-@query(entries(f"SELECT doc_id, CASE WHEN {DATASET} THEN 'https://x' || '/ng' || replace(path, ' ', '%20') || '/info' END AS info, 'https://x/browser' || replace(path, ' ', '%20') AS browser, CASE WHEN {DATASET} THEN 'https://x/omezarr' || replace(path, ' ', '%20') || '.8bit.ome.zarr' END AS small FROM entries", "doc_id", rest="info browser small"))
+def _link(service: str, end: str) -> str:
+    return f"CASE WHEN {DATASET} THEN 'https://x/{service}' || replace(path, ' ', '%20') || '{end}' END"
+
+
+VIEWS = {"neuroglancer": _link("ng", ""), "neuroglancer_metadata": _link("ng", "/info")} | {f"omezarr{'_8bit' * b}{'_neuroglancer_optimized' * n}": _link("omezarr", f"{'.ng' * n}{'.8bit' * b}.ome.zarr") for b in (0, 1) for n in (0, 1)}
+CHECKED = {f"{k}_validator": f"'https://ome.github.io/ome-ngff-validator/?source=' || {v}" for k, v in VIEWS.items() if k.startswith("omezarr")}
+MORE = {f"omezarr{b}_metadata": _link("omezarr", f"{e}.ome.zarr/.zattrs") for b, e in (("", ""), ("_8bit", ".8bit"))} | {"browser": "'https://x/browser' || replace(path, ' ', '%20')", "path": "path"}
+
+
+@query(entries(f"SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in (VIEWS | CHECKED | MORE).items())} FROM entries", "doc_id", rest=" ".join(VIEWS | CHECKED | MORE)))
 def link_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = catalog.link_bundle(F.col("path"), F.lit("https://x"))
-    return file_entries(spark, sf_dir).select("doc_id", links["neuroglancer_info"].alias("info"), links["browser"].alias("browser"), links["omezarr_8bit"].alias("small"))
+    return file_entries(spark, sf_dir).select("doc_id", *(links[k].alias(k) for k in VIEWS | CHECKED | MORE))
 
 
 @query(entries("SELECT parent, count(*) FILTER (is_dir) AS dirs, count(*) FILTER (NOT is_dir) AS files FROM entries GROUP BY parent", "dirs files", rest="parent"))
@@ -140,11 +149,23 @@ def _access(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     return roots, folders, allowed, special
 
 
-@query(f"WITH {ACL} SELECT DISTINCT usr AS \"user\", root FROM users, roots WHERE anonymous OR NOT restricted OR everything OR EXISTS (SELECT 1 FROM allowed JOIN folders ON folder = a WHERE allowed.usr = users.usr AND folders.root = roots.root)")
+OPEN = "SELECT root FROM roots WHERE anonymous OR NOT restricted"
+
+
+@query(f"""WITH {ACL} SELECT DISTINCT allowed.usr AS "user", root FROM allowed JOIN folders ON folder = a WHERE root NOT IN ({OPEN}) AND allowed.usr NOT IN (SELECT usr FROM users WHERE everything)
+    UNION SELECT NULL, root FROM ({OPEN}) UNION SELECT usr, NULL FROM users WHERE everything""")
 def acl_visible_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.roots_of_users(*_access(spark, sf_dir))
 
 
+@query(f"""WITH {ACL}, asked AS (SELECT 'U' || c_custkey AS "user", lower('U' || c_custkey) AS usr, 'R' || ((c_custkey + d) % 5) AS root, c_custkey % 50 = 0 AS everything FROM customer, (SELECT unnest(range(0, 2)) AS d))
+    SELECT "user", root FROM asked WHERE everything OR root IN ({OPEN}) OR EXISTS (SELECT 1 FROM allowed JOIN folders ON folder = a WHERE allowed.usr = asked.usr AND folders.root = asked.root)""")
+def acl_may_enter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    asked = load(spark, sf_dir, "customer").select(F.concat(F.lit("U"), k).alias("user"), F.explode(F.array(*(F.concat(F.lit("R"), (k + d) % 5) for d in range(2)))).alias("root"))
+    return catalog.may_enter(asked, catalog.roots_of_users(*_access(spark, sf_dir)))
+
+
 @query(f"WITH {ACL} SELECT DISTINCT usr AS \"user\", a AS allowed FROM allowed")
 def acl_group_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _access(spark, sf_dir)[2]

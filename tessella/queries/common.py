@@ -17,6 +17,10 @@ Z, Y = 8, 16
 #: A volume over orders: two channels, 8 x 16 x (a 256th of the orders), 16-bit values.
 VOX = """vox AS (SELECT CAST(0 AS BIGINT) AS t, o_orderkey % 2 AS c, o_orderkey // 2 % 8 AS z, o_orderkey // 16 % 16 AS y, o_orderkey // 256 AS x,
     CAST(floor(o_totalprice) AS BIGINT) % 65536 AS v FROM orders)"""
+#: Every place of that volume, 0 where there is no voxel; and its chunks that hold any.
+DENSE = """dense AS (SELECT g.c, g.z, g.y, g.x, coalesce(vox.v, 0) AS v FROM (SELECT c, z, y, x FROM (SELECT unnest(range(0, 2)) AS c), (SELECT unnest(range(0, 8)) AS z),
+    (SELECT unnest(range(0, 16)) AS y), (SELECT unnest(range(0, (SELECT max(x) + 1 FROM vox))) AS x)) g LEFT JOIN vox ON vox.c = g.c AND vox.z = g.z AND vox.y = g.y AND vox.x = g.x)"""
+STORED = "stored AS (SELECT dense.* FROM dense WHERE (c, z // 4, y // 8, x // 8) IN (SELECT DISTINCT (c, z // 4, y // 8, x // 8) FROM vox))"
 #: Floats: one row a vector, one column a component.
 EMB = "emb AS (SELECT vec_id AS y, unnest(range(0, len(embedding))) AS x, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
 #: Files and folders: root / language / name.

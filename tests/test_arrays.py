@@ -3,16 +3,18 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo
 
 from tessella.functions import values
 from tessella.model import ArrayDataset, Level, UnsupportedDtype
 from tessella.operators import encode, grid, metadata, neighborhood, pyramid, reduce, slicing
 from tessella.plans import pyramids
-from tessella.sources import config, tiff, zarr, zshard
+from tessella.sources import blosc, config, tiff, zarr, zshard
 
 SHAPE = (2, 2, 5, 9, 7)
 
@@ -152,6 +154,7 @@ def test_neighbourhoods(voxels, array):
     zeros = np.pad(array, [(0, 0), (0, 0), (1, 1), (1, 1), (1, 1)])
     want = sum(zeros[:, :, a : a + z, b : b + y, c : c + x] for a in range(3) for b in range(3) for c in range(3))
     assert (dense(neighborhood.box_sum(voxels, (z, y, x)), SHAPE) == want).all()
+    assert (dense(neighborhood.map_tiles(voxels, (z, y, x), (2, 4, 3), lambda b: sum(np.roll(b, (i, j, k), (0, 1, 2)) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)), 1, "zero"), SHAPE) == want).all()
     w = neighborhood.gaussian_weights(0.8)
     want = array.astype(float)
     for a in (2, 3, 4):
@@ -170,15 +173,27 @@ def test_tiles_see_their_neighbours(voxels, array):
     assert (dense(neighborhood.map_tiles(voxels, SHAPE[2:], (2, 4, 3), left, width=1, boundary="nearest"), SHAPE) == want).all()
 
 
-def test_plans():
-    plan = pyramids.plan_halving((64, 2048, 2048), (1, 1024, 1024), stop="any")
-    assert [p.shape for p in plan] == [(64, 2048, 2048), (32, 1024, 1024), (16, 512, 512)][: len(plan)] or plan[1].shape == (32, 1024, 1024)
-    assert all(k <= n for p in plan[1:] for k, n in zip(p.chunk, p.shape, strict=True))
-    iso = pyramids.plan_isotropic((11464, 30801, 20821), (1.0, 0.35, 0.35))
-    assert iso[1].shape == (11464, 15400, 10410) and iso[1].resolution == (1.0, 0.7, 0.7)
-    assert iso[2].resolution == pytest.approx((1.0, 1.0, 1.0)) and min(iso[-1].shape) >= 16
-    assert len(pyramids.plan_halving((64, 64, 64), (16, 16, 16), stop="all", smallest=16)) > 1
-    assert pyramids.plan_passes((64, 256, 256), (4, 64, 64))[1].shape == (32, 128, 128)
+def test_halving_plans_end_before_chunks_outgrow_the_shape():
+    plan = pyramids.plan_halving((64, 2048, 2048), (1, 1024, 1024))
+    assert [(p.shape, p.chunk) for p in plan] == [((64, 2048, 2048), (1, 1024, 1024)), ((32, 1024, 1024), (4, 512, 512)), ((16, 512, 512), (16, 256, 256))]
+    assert [p.shape for p in pyramids.plan_halving((6, 4096, 4096), (1, 1024, 1024))] == [(6, 4096, 4096)]  # 3 planes are fewer than 4
+    assert [p.shape for p in pyramids.plan_halving((8, 4096, 4096), (1, 1024, 1024))] == [(8, 4096, 4096), (4, 2048, 2048)]  # as many are not
+    both = pyramids.plan_halving((16, 600, 600), (1, 1024, 1024), stop="all")
+    assert [(p.shape, p.chunk) for p in both] == [((16, 600, 600), (1, 600, 600)), ((8, 300, 300), (4, 300, 300))]  # then 4 < 16 and 150 < 256
+    assert both[1].resolution == (2.0, 2.0, 2.0)
+
+
+def test_isotropic_plan():
+    got = pyramids.plan_isotropic((11464, 30801, 20821), (1.0, 0.35, 0.35), chunk=(1, 1024, 1024))
+    shapes = [(11464, 30801, 20821), (11464, 15400, 10410), (11464, 10779, 7286), (5732, 5389, 3643), (2866, 2694, 1821), (1433, 1347, 910), (716, 673, 455), (358, 336, 227), (179, 168, 113), (89, 84, 56), (44, 42, 28)]
+    chunks = [(1, 1024, 1024)] * 2 + [(2, 512, 512)] * 2 + [(4, 256, 256)] * 2 + [(8, 128, 128)] * 2 + [(16, 64, 64)] * 2 + [(32, 32, 32)]
+    assert [p.shape for p in got] == shapes and [p.chunk for p in got] == chunks
+    assert [p.resolution for p in got] == [pytest.approx(v) for v in [(1.0, 0.35, 0.35), (1.0, 0.7, 0.7), *((float(2**k),) * 3 for k in range(9))]]
+
+
+def test_pass_plan():
+    plan = pyramids.plan_passes((64, 256, 256), (4, 64, 64))
+    assert plan[1].shape == (32, 128, 128) and [p.r for p in plan] == list(range(len(plan)))
 
 
 def test_build_levels(spark, voxels, array):
@@ -197,10 +212,137 @@ def test_metadata_documents():
     assert doc["omero"]["channels"][2]["window"]["max"] == 65535 and doc["omero"]["rdefs"]["defaultZ"] == 4
     text = metadata.shader([{"label": "GFP - a", "vmin": 0, "vmax": 9}, {"vmin": 1, "vmax": 2}])
     assert "gfp___a_visible" in text and "channel=1" in text
+    alike = metadata.shader([{"label": "a b", "vmin": 0, "vmax": 9, "active": False}, {"label": "A-B", "vmin": 1, "vmax": 2}])
+    assert "a_b_visible checkbox(default=false)" in alike and "a_b_1_visible checkbox(default=true)" in alike
+    assert "channel=" not in metadata.shader([{"vmin": 1, "vmax": 2}])
+    assert metadata.viewer_link("https://v/", "http://x/ng/a", ds, text).startswith("http://v/#!%7B%22dimensions")
     assert json.loads(metadata.viewer_state("https://x/ng/a", ds, text))["layers"][0]["source"] == "https://x/ng/a"
     assert metadata.metadata_map(ds)["Channels"] == 3
 
 
+def _pruned(uri, **equal):
+    reader = zarr.ZarrReader(uri, zarr.group_arrays)
+    list(reader.pushFilters([EqualTo((k,), v) for k, v in (equal | {"r": 0}).items()]))
+    return reader.partitions()
+
+
+def _foreign(folder, block, head, name=lambda at: ".".join(map(str, at)), pack=lambda b: b, ndim=5):
+    """A store as another program writes it: whole chunks, also at the edge."""
+    folder.mkdir(parents=True)
+    block = block.astype("<u2") if block.dtype == np.int64 else block
+    head = {"zarr_format": 2, "shape": list(block.shape), "chunks": [1, 1, 2, 4, 4][-ndim:], "dtype": block.dtype.str, "compressor": None, "filters": None, "fill_value": 0, "order": "C"} | head
+    (folder / ".zarray").write_text(json.dumps(head))
+    chunk = head["chunks"]
+    for at in np.ndindex(*(-(-n // k) for n, k in zip(block.shape, chunk, strict=True))):
+        part = block[tuple(slice(i * k, (i + 1) * k) for i, k in zip(at, chunk, strict=True))]
+        if part.any():
+            whole = np.zeros(chunk, block.dtype)
+            whole[tuple(slice(0, n) for n in part.shape)] = part
+            path = folder / name(at)
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_bytes(pack(whole.tobytes(order=head["order"])))
+    return folder
+
+
+def _group(folder):
+    folder.mkdir(parents=True)
+    (folder / ".zattrs").write_text(json.dumps({"multiscales": [{"datasets": [{"path": "full"}]}]}))
+    return folder
+
+
+def test_foreign_zarr_stores(spark, array, tmp_path):
+    import gzip
+    import zlib
+
+    slashes = lambda at: "/".join(map(str, at))
+    kinds = {
+        "dots": ({}, {}),
+        "slashes": ({"dimension_separator": "/"}, {"name": slashes}),
+        "fortran": ({"order": "F"}, {}),
+        "zlib": ({"compressor": {"id": "zlib", "level": 1}}, {"pack": zlib.compress}),
+        "gzip": ({"compressor": {"id": "gzip", "level": 1}}, {"pack": gzip.compress}),
+        "blosc": ({"compressor": {"id": "blosc", "cname": "zstd", "clevel": 5, "shuffle": 1, "blocksize": 0}}, {"pack": lambda b: blosc.encode(b, 2)}),
+        "lz4": ({"compressor": {"id": "lz4"}}, {"pack": lambda b: len(b).to_bytes(4, "little") + pa.Codec("lz4_raw").compress(b, asbytes=True)}),
+        "several": ({"chunks": [2, 2, 2, 4, 4]}, {}),
+    }
+    for kind, (head, more) in kinds.items():
+        folder = _group(tmp_path / f"{kind}.ome.zarr")
+        _foreign(folder / "full", array, head, **more)
+        assert (dense(config.open_dataset(spark, str(folder)), SHAPE) == array).all(), kind
+    assert (dense(config.open_dataset(spark, str(tmp_path / "several.ome.zarr")).where("t = 1 and c = 0"), SHAPE)[1, 0] == array[1, 0]).all()
+    big = _group(tmp_path / "big.ome.zarr")
+    _foreign(big / "full", array.astype(">u2"), {})
+    assert (dense(config.open_dataset(spark, str(big)), SHAPE) == array).all()
+
+
+def test_fill_values_and_what_is_not_read(spark, array, tmp_path):
+    folder = _group(tmp_path / "filled.ome.zarr")
+    few = array.copy()
+    few[:, :, 2:4, :4, :4] = 0
+    _foreign(folder / "full", few, {"fill_value": 7})
+    got = dense(config.open_dataset(spark, str(folder)), SHAPE)
+    want = few.copy()
+    want[:, :, 2:4, :4, :4] = 7
+    assert (got == want).all()
+    for name, head in (("filters", {"filters": [{"id": "delta"}]}), ("codec", {"compressor": {"id": "lzma"}}), ("v3", {"zarr_format": 3}), ("kind", {"dtype": "<i8"})):
+        bad = _group(tmp_path / f"{name}.ome.zarr")
+        _foreign(bad / "full", array, head)
+        with pytest.raises(Exception, match="filters|lzma|version|i8"):
+            config.open_dataset(spark, str(bad)).count()
+    flat = _group(tmp_path / "flat.ome.zarr")
+    _foreign(flat / "full", array[0, 0, 0], {}, ndim=2)
+    with pytest.raises(Exception, match="axes"):
+        config.open_dataset(spark, str(flat)).count()
+
+
+def test_zarr_series(spark, array, tmp_path):
+    for t, c in np.ndindex(2, 2):
+        _foreign(tmp_path / f"t{t:02d}_c{c:02d}_0.zarr", array[t, c], {}, ndim=3)
+        _foreign(tmp_path / f"t{t:02d}_c{c:02d}_1.zarr", array[t, c, ::2, ::2, ::2], {}, ndim=3)
+    uri = str(tmp_path / "t00_c01_0.zarr")
+    assert (dense(config.open_dataset(spark, uri), SHAPE) == array).all()
+    assert (dense(config.open_dataset(spark, uri, 1), (2, 2, 3, 5, 4)) == array[:, :, ::2, ::2, ::2]).all()
+    ds = config.describe(uri)
+    assert (ds.T, ds.C, len(ds.levels)) == (2, 2, 2) and ds.level(1).resolution == (2.0, 0.6, 0.6)
+
+
+def test_regions(spark, voxels, array, tmp_path):
+    ds = ArrayDataset("a", "uint16", 2, 2, (Level(0, SHAPE[2:], (2, 4, 4)),))
+    for codec, order in (("blosc", "F"), ("null", "C")):
+        uri = f"{tmp_path}/{codec}.ome.zarr"
+        zarr.create_zarr(ds, uri, codec, separator=".", order=order)
+        zarr.write_region(voxels.where("z < 3 and x >= 1"), uri)
+        zarr.write_region(voxels.where("z >= 3 or x < 1"), uri)
+        assert (dense(config.open_dataset(spark, uri), SHAPE) == array).all()
+
+
+def test_blosc_frames():
+    rng = np.random.default_rng(1)
+    for size in (0, 1, 7, 1000, 4096):
+        data = np.repeat(rng.integers(0, 255, -(-size // 8), dtype=np.uint8), 8)[:size].tobytes()
+        assert all(blosc.decode(blosc.encode(data, k)) == data for k in (1, 2, 4))
+    noise = rng.bytes(300)
+    assert blosc.decode(blosc.encode(noise, 2)) == noise
+    # several blocks, one stream a byte of an element, bits shuffled, another compressor
+    data = np.arange(1000, dtype="<u2")
+    blocks = [data[:512], data[512:]]
+    head, places, body = blosc.HEADER.pack(2, 1, 1 | 1 << 5, 2, 2000, 1024, 0), [], b""
+    for i, b in enumerate(blocks):
+        places.append(16 + 8 + len(body))
+        raw = b.view(np.uint8).reshape(-1, 2).T.ravel().tobytes()
+        for part in (raw[:512], raw[512:]) if i == 0 else (raw,):
+            packed = pa.Codec("lz4_raw").compress(part, asbytes=True)
+            body += len(packed).to_bytes(4, "little") + packed
+    assert blosc.decode(head + b"".join(p.to_bytes(4, "little") for p in places) + body) == data.tobytes()
+    raw = np.arange(24, dtype="<u2")
+    bits = np.packbits(np.unpackbits(raw.view(np.uint8), bitorder="little").reshape(24, 16).T.ravel(), bitorder="little").tobytes()
+    packed = pa.Codec("zstd").compress(bits, asbytes=True)
+    frame = blosc.HEADER.pack(2, 1, 4 | 16 | 4 << 5, 2, 48, 48, 0) + (20).to_bytes(4, "little") + len(packed).to_bytes(4, "little") + packed
+    assert blosc.decode(frame) == raw.tobytes()
+    with pytest.raises(ValueError, match="blosclz"):
+        blosc.decode(blosc.HEADER.pack(2, 1, 1, 2, 48, 48, 0) + b"x" * 40)
+
+
 def test_stores_round_trip(spark, voxels, array, tmp_path):
     levels = (Level(0, SHAPE[2:], (2, 4, 4)), Level(1, (2, 4, 3), (2, 4, 4)))
     ds = ArrayDataset("a", "uint16", 2, 2, levels)
@@ -211,14 +353,98 @@ def test_stores_round_trip(spark, voxels, array, tmp_path):
         assert zarr.open_group(uri).levels[1].shape == (2, 4, 3)
         back = config.open_dataset(spark, uri)
         assert (dense(back, SHAPE) == array).all()
-    pruned = zarr.read_zarr(spark, uri).where("r = 0 and t = 1 and cz = 2")
-    assert pruned.rdd.getNumPartitions() == 2 * 3 * 2
+    numbers = [p.numbers for p in _pruned(uri, t=1, cz=2)]
+    assert numbers == [{"t": [1], "c": [0, 1], "cz": [2], "cy": [0, 1, 2], "cx": [0, 1]}]
+    assert (dense(zarr.read_zarr(spark, uri).where("r = 0 and t = 1 and cz = 2"), (2, *SHAPE[1:]))[1, :, 4:] == array[1, :, 4:]).all()
+    assert config.level_count(zarr.read_zarr(spark, uri)) == 2 and [v.where("v > 0").count() for v in config.level_views(spark, uri)] == [int((array > 0).sum()), small.where("v > 0").count()]
+    key = config.register_dataset(spark, uri)
+    assert config.register_dataset(spark, uri) == key and spark.table(key).count() == voxels.count() + 2 * 2 * 2 * 4 * 3
+    assert config.describe(uri).T == 2 and config.describe(str(tmp_path / "none.zarr")) is None
     zshard.write_zsharded([voxels, small], ds, f"{tmp_path}/b.z_sharded")
     assert (dense(config.open_dataset(spark, f"{tmp_path}/b.z_sharded"), SHAPE) == array).all()
     with pytest.raises(config.MissingDependency):
         config.open_dataset(spark, "/x/y.ims")
 
 
+def _tiff(planes, compression, pack, predictor=1):
+    """A file of several images, each in strips of two rows."""
+    import struct
+
+    out, link = b"II*\0\0\0\0\0", 4
+    for plane in planes:
+        given = np.diff(plane, axis=1, prepend=np.zeros((len(plane), 1), plane.dtype)) if predictor == 2 else plane
+        strips = [pack(given[i : i + 2].tobytes()) for i in range(0, len(given), 2)]
+        places = [len(out) + sum(map(len, strips[:i])) for i in range(len(strips))]
+        out += b"".join(strips)
+        lists = len(out)
+        out += struct.pack(f"<{2 * len(strips)}I", *places, *map(len, strips))
+        tags = [(256, 3, 1, plane.shape[1]), (257, 3, 1, plane.shape[0]), (258, 3, 1, plane.itemsize * 8), (259, 3, 1, compression), (273, 4, len(strips), lists), (277, 3, 1, 1), (278, 3, 1, 2), (279, 4, len(strips), lists + 4 * len(strips)), (317, 3, 1, predictor)]
+        out = out[:link] + struct.pack("<I", len(out)) + out[link + 4 :]
+        out += struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags)
+        link = len(out)
+        out += b"\0\0\0\0"
+    return out
+
+
+def _lzw(data):
+    """Codes of 9 bits alone, with a fresh start often enough."""
+    codes = []
+    for i in range(0, len(data), 200):
+        codes += [256, *data[i : i + 200]]
+    bits = "".join(f"{c:09b}" for c in [*codes, 257])
+    bits += "0" * (-len(bits) % 8)
+    return int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+
+def test_tiff_kinds(spark):
+    import zlib
+
+    planes = [np.arange(35, dtype=np.uint16).reshape(5, 7) * k for k in (1, 50, 3)]
+    for compression, pack in ((1, bytes), (8, zlib.compress), (5, _lzw)):
+        for predictor in (1, 2):
+            made = _tiff(planes, compression, pack, predictor)
+            assert tiff.page_count(made) == 3
+            assert all((tiff.decode(made, i) == p).all() for i, p in enumerate(planes))
+    files = spark.createDataFrame([(0, 1, 4, made)], "t int, c int, z int, content binary")
+    assert {(r["z"], r["n"], r["s"]) for r in tiff.planes_to_voxels(files).groupBy("z").agg(F.count("*").alias("n"), F.sum("v").alias("s")).collect()} == {(4 + i, 35, int(p.sum())) for i, p in enumerate(planes)}
+    # codes that grow to 12 bits: "a" repeated makes each code the last one and one more
+    text = b"a" * 40_000
+    table, out, last = {bytes([i]): i for i in range(256)}, [(256, 9)], b""
+    n, width = 258, 9
+    for byte in text:
+        more = last + bytes([byte])
+        if more in table:
+            last = more
+            continue
+        out.append((table[last], width))
+        table[more], n, last = n, n + 1, bytes([byte])
+        width = 12 if n >= 2048 else 11 if n >= 1024 else 10 if n >= 512 else 9
+    bits = "".join(f"{c:0{w}b}" for c, w in [*out, (table[last], width), (257, width)])
+    bits += "0" * (-len(bits) % 8)
+    assert tiff.lzw(int(bits, 2).to_bytes(len(bits) // 8, "big")) == text
+    with pytest.raises(ValueError, match="only grey"):
+        tiff.decode(_tiff(planes, 7, bytes))
+
+
+def test_cubic_resize(voxels, array):
+    z, y, x = SHAPE[2:]
+    line = voxels.where("t = 0 and c = 0")
+    same = dense(neighborhood.resize_cubic(line, (z, y, x), (z, y, x)), (1, 1, z, y, x))
+    assert (same[0, 0] == array[0, 0]).all()
+    # a cubic spline goes through its points: an odd factor puts every source voxel on a target place
+    got = dense(neighborhood.resize_cubic(line, (z, y, x), (z, y, 3 * x)), (1, 1, z, y, 3 * x))
+    assert np.allclose(got[0, 0][:, :, 1::3], array[0, 0])
+    flat = line.withColumn("v", F.lit(5))
+    assert np.allclose(dense(neighborhood.resize_cubic(flat, (z, y, x), (3, 5, 11)), (1, 1, 3, 5, 11)), 5)
+
+
+def test_box_sums_over_a_divisor(voxels):
+    share = voxels.where("t = 0 and c = 0").withColumn("v", F.lit(0.9))
+    assert neighborhood.box_sum(share, SHAPE[2:], divisor=27, limit=1.0).agg(F.max("v")).first()[0] == pytest.approx(0.9)
+    with pytest.raises(Exception, match="above 1.0"):
+        neighborhood.box_sum(share, SHAPE[2:], divisor=12, limit=1.0).agg(F.max("v")).first()
+
+
 def test_tiff(spark, voxels, array, tmp_path):
     for kind in (np.uint8, np.uint16):
         plane = np.arange(35, dtype=kind).reshape(5, 7)

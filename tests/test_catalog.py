@@ -43,7 +43,33 @@ def test_roots_of_users(spark):
     folders = spark.createDataFrame([("closed", "LabX")], "root string, folder string")
     members = spark.createDataFrame([("Ann", "labx"), ("bob", "other"), ("cy", "All")], "user string, group string")
     allowed = catalog.allowed_names(members)
-    got = {}
-    for r in catalog.roots_of_users(roots, folders, allowed, members.where("lower(group) = 'all'").select("user")).collect():
-        got.setdefault(r["user"], set()).add(r["root"])
-    assert got == {"ann": {"open", "free", "closed"}, "bob": {"open", "free"}, "cy": {"open", "free", "closed"}}
+    grants = catalog.roots_of_users(roots, folders, allowed, members.where("lower(group) = 'all'").select("user"))
+    assert {tuple(r) for r in grants.collect()} == {(None, "open"), (None, "free"), ("ann", "closed"), ("cy", None)}
+    asked = spark.createDataFrame([(u, r, 1) for u in ("Ann", "bob", "CY", "dan") for r in ("open", "closed")], "user string, root string, n int")
+    got = {(r["user"], r["root"]) for r in catalog.may_enter(asked, grants).collect()}
+    assert got == {("Ann", "open"), ("Ann", "closed"), ("bob", "open"), ("CY", "open"), ("CY", "closed"), ("dan", "open")}
+
+
+def test_closest_root(spark):
+    roots = spark.createDataFrame([("/a", "/x"), ("/lab/b", "/y")], "prefix string, target string")
+    paths = spark.createDataFrame([("/a/b/c",), ("/mnt/lab/b/c",), ("/mnt/lab/bc",), ("/d",)], "path string")
+    got = {r["path"]: (r["root"], r["mapped"]) for r in catalog.longest_root(paths, roots, closest=True).collect()}
+    assert got == {"/a/b/c": ("/a", "/x/b/c"), "/mnt/lab/b/c": ("/lab/b", "/y/c"), "/mnt/lab/bc": (None, None), "/d": (None, None)}
+
+
+def test_links(spark):
+    df = spark.createDataFrame([("/lab/a b.ome.zarr/", True), ("/lab/x.txt", False)], "path string, secret boolean")
+    every = catalog.link_bundle(F.col("path"), F.lit("https://x"))
+    rows = df.select(*(c.alias(k) for k, c in every.items())).collect()
+    assert len(every) >= 13 and rows[0]["omezarr_8bit_neuroglancer_optimized_validator"].endswith("source=https://x/omezarr/lab/a%20b.ome.zarr.ng.8bit.ome.zarr")
+    assert rows[1]["omezarr"] is None and rows[1]["omezarr_validator"] is None and rows[1]["browser"] == "https://x/browser/lab/x.txt"
+    some = catalog.link_bundle(F.col("path"), F.lit("https://x"), authenticated=False, is_auth=F.col("secret"))
+    assert [r["browser"] is None for r in df.select(some["browser"].alias("browser")).collect()] == [True, False]
+
+
+def test_listing(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = [("/d", "", "d", True, 0), ("/d/a10", "/d", "a10", False, 5), ("/d/a9", "/d", "a9", False, 2048), ("/d/e", "/d", "e", True, 0)]
+    df = spark.createDataFrame([(*r, at) for r in rows], "path string, parent string, name string, is_dir boolean, size long, modified timestamp")
+    got = catalog.listing(df).orderBy(*catalog.listing_order()).collect()
+    assert [(r["name"], r["entries"]) for r in got] == [("d", 3), ("e", 0), ("a9", None), ("a10", None)]
