@@ -111,7 +111,7 @@ def packed_slices(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["payload"])
 
     packed = docs.select("doc_id", "text", "held_out", "learn").mapInArrow(run, "payload binary")
-    return materialize(packed.withColumn("slice", F.monotonically_increasing_id()), "lm-slices").select("slice", "payload")
+    return materialize(packed.select(F.monotonically_increasing_id().alias("slice"), "payload"), "lm-slices")
 
 
 def unpacked(payload: pa.BinaryScalar) -> pa.RecordBatch:
