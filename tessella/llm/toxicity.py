@@ -197,7 +197,7 @@ def mined_stems(docs: DataFrame, known: DataFrame) -> Stems:
     clean_words = max(1, in_clean.get("", 0))
     chosen: set[str] = set()
     for s, (_, k) in sorted(candidates.items(), key=lambda x: (len(x[0]), x[0])):
-        if k / toxic_words >= LIFT * (in_clean.get(s, 0) + 0.5) / clean_words and not any(s[:j] in chosen for j in STEM_LENGTHS):
+        if k / toxic_words >= LIFT * in_clean.get(s, 0) / clean_words and not any(s[:j] in chosen for j in STEM_LENGTHS):
             chosen.add(s)
     names = sorted(chosen, key=lambda s: (-candidates[s][0], s))
     if not names:
