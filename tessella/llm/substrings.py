@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from .words import SPACE_WORDS, Words, gram_hashes, gram_starts, mix64, pieces, ranges, utf8, window_minimum
+from .words import SPACE_WORDS, Words, gram_hashes, gram_starts, mix64, pieces, ranges, tasks_for, utf8, window_minimum
 
-WINDOW, GRAM, SLICE_BYTES, BUCKET_BYTES, PACK_ABOVE, PACK_LEVEL = 13, 3, 3 << 20, 6 << 20, 400, 3
-SENT, ESTIMATE, HOT_WINDOWS = 3, 64, 300_000  # how often a word is sent, about; one in so many documents; windows of one minimiser
+WINDOW, GRAM, SLICE_BYTES, BUCKET_BYTES, PACK_ABOVE, PACK_LEVEL = 13, 3, 3 << 20, 10 << 20, 400, 3
+SENT, ESTIMATE, HOT_WINDOWS = 3, 64, 500_000  # how often a word is sent, about; one in so many documents; windows of one minimiser
 _KEYS = np.dtype([("doc_id", "<i8"), ("text_hash", "<i8"), ("begin", "<i4"), ("size", "<i4")])
 _RANGES = np.dtype([("doc_id", "<i8"), ("text_hash", "<i8"), ("low", "<i4"), ("high", "<i4")])
 
@@ -175,11 +175,12 @@ def pack(buckets: int, hot: np.ndarray, window: int, gram: int, batch: pa.Record
     keys["size"] = words.end[starts[last] + window - 1] - begin
     bounds = np.append(_runs(bucket), len(bucket)) if len(bucket) else np.zeros(1, np.int64)
     if len(local) and len(bounds) < 2:
-        yield 0, _payload(local, keys, b"")
+        yield int(text_hash[0]) % buckets, _payload(local, keys, b"")
+    carrier = int(text_hash[0]) % max(1, len(bounds) - 1)  # ranges found here already go along with any bucket
     for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
         size = keys["size"][a:b].astype(np.int64)
         data = words.data[np.repeat(begin[a:b], size) + ranges(size)]
-        yield int(bucket[a]), _payload(local if i == 0 else local[:0], keys[a:b], data.tobytes())
+        yield int(bucket[a]), _payload(local if i == carrier else local[:0], keys[a:b], data.tobytes())
 
 
 def _payload(local: np.ndarray, keys: np.ndarray, data: bytes) -> bytes:
@@ -239,7 +240,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
             yield _as_batch(repeats(held, window))
 
     sent = docs.where("doc_id is not null").select("doc_id", "text_hash", "text").mapInArrow(send, "bucket int, payload binary")
-    met = sent.repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    met = sent.repartition(tasks_for(partitions, buckets), "bucket").sortWithinPartitions("bucket")
     return met.mapInArrow(receive, "doc_id long, text_hash long, low int, high int")
 
 

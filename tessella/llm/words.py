@@ -159,6 +159,11 @@ def segments_of(h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     return at[first], first
 
 
+def tasks_for(least: int, ranges: int) -> int:
+    """How many tasks take so many ranges (or buckets) of some MB each: eight or so a task, whatever the input."""
+    return max(least, -(-ranges // 8))
+
+
 def six_bytes(h: np.ndarray) -> np.ndarray:
     """The first 48 bits of each hash, a row of bytes each."""
     return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]
