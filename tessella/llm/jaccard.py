@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from ..session import discard, load, materialize
 from .graph import components, forest
 from .skew import spread_join
-from .words import SPACE_WORDS, Words, gram_hashes, gram_starts, mix64, of_six_bytes, order_by, pieces, ranges, segments_of, six_bytes
+from .words import SPACE_WORDS, Words, gram_hashes, gram_starts, mix64, of_six_bytes, order_by, pieces, ranges, segments_of, six_bytes, tasks_for
 
 RATIO, SLACK, CUTS, MOST_BROADCAST_IDS, TILE_DOCS, TILE_SHINGLES = 1.8, 0.1, 4, 2_000_000, 2400, 2_000_000
 #: Bytes of text a slice, shingles a range, tasks that share a class of equal sets.
@@ -247,7 +247,7 @@ class _Join:
                 yield flush()
 
         sent = docs.mapInArrow(send, "segment long, entries int, packed binary")
-        met = sent.repartition(self.partitions, "segment").sortWithinPartitions("segment").mapInArrow(meet, "leader long, id long")
+        met = sent.repartition(tasks_for(self.partitions, segments), "segment").sortWithinPartitions("segment").mapInArrow(meet, "leader long, id long")
         return materialize(met.distinct(), "jaccard-trees")
 
     def sketched(self, ids: DataFrame) -> DataFrame:
@@ -370,7 +370,7 @@ class _Join:
             return pa.table([pa.array(ids[keep])], ["id"])
 
         sent = self.of(ids).mapInArrow(send, "slice long, segment long, entries int, packed binary")
-        back = sent.repartition(self.partitions, "segment").sortWithinPartitions("segment").mapInArrow(count, "slice long, entries int, packed binary")
+        back = sent.repartition(tasks_for(self.partitions, segments), "segment").sortWithinPartitions("segment").mapInArrow(count, "slice long, entries int, packed binary")
         return materialize(back.groupBy("slice").applyInArrow(gather, "id long").distinct(), "jaccard-sociable")
 
     def linked_in_clusters(self, left: DataFrame, sets: DataFrame) -> DataFrame:

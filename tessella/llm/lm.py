@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ..session import load, materialize
 from .quality import fold
 from .skew import spread_join
-from .words import SPACE_WORDS, Words, mix64, of_six_bytes, pieces, segments_of, six_bytes
+from .words import SPACE_WORDS, Words, mix64, of_six_bytes, pieces, segments_of, six_bytes, tasks_for
 
 FOLDS, HELD_OUT = 5, 1
 MOST_FREQUENT, MOST_BYTES, BITS_PER_ENTRY, MIN_COUNT, MIX = 200_000, 32 << 20, 10, 1, 0.3
@@ -163,7 +163,7 @@ def gram_levels(sliced: DataFrame, segments: int, min_count: int, bits_per_entry
             yield flush()
 
     sent = sliced.mapInArrow(send, "slice long, segment long, entries int, packed binary")
-    return sent.repartition(partitions, "segment").sortWithinPartitions("segment").mapInArrow(answer, "slice long, segment long, levels binary")
+    return sent.repartition(tasks_for(partitions, segments), "segment").sortWithinPartitions("segment").mapInArrow(answer, "slice long, segment long, levels binary")
 
 
 class LogFrequencyFilter:
