@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import has_extension, human_size, natural_key, time_label
+from ..session import materialize
 
 #: Fields of a link bundle, the service each belongs to and what follows the path.
 LINKS = {
@@ -30,6 +33,24 @@ VALIDATOR = "https://ome.github.io/ome-ngff-validator/?source="
 ANY_PATH = ("browser", "browser_json", "dl")
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str = "place", ties: bool = False) -> DataFrame:
+    """``rows`` with their number (from 1) in the order within each of ``keys``; with ``ties`` equal ones share the first's.
+
+    Rows are dealt to tasks by ranges of keys and order, so that a key may have any number of them: a task numbers its own,
+    and counts of the ranges before (a row a key and range) are added.
+    """
+    own = rows.withColumns({f"__order{i}": c for i, c in enumerate(order)})
+    by = [f"__order{i}" for i in range(len(order))]
+    dealt = materialize(own.repartitionByRange(*keys, *by).withColumn("__range", F.spark_partition_id()), "numbered")
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*keys, "__range").agg(F.count("*").alias("__n")).select(*keys, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    within = Window.partitionBy(*keys, "__range").orderBy(*by)
+    local = dealt.withColumn("__local", F.rank().over(within) if ties else F.row_number().over(within))
+    same = [local[k].eqNullSafe(counts[k]) for k in [*keys, "__range"]]
+    out = local.join(counts, reduce(lambda a, b: a & b, same))
+    return out.select(*(local[c] for c in rows.columns), (F.col("__local") + F.col("__before")).alias(name))
+
+
 def visible_roots(roots: DataFrame, authenticated: bool) -> DataFrame:
     """``roots`` (name, path, is_auth): all of them for authenticated users, else the anonymous ones."""
     return roots if authenticated else roots.where(~F.col("is_auth"))
@@ -146,9 +167,8 @@ def ttl_hits(log: DataFrame, seconds: int) -> DataFrame:
 def reuse_distance(log: DataFrame) -> DataFrame:
     """``log`` (shard, key, ts, id) with the number of accesses in its shard since the key was last asked for, null at first.
 
-    At least as many as the distinct keys among them, so a cache with room for that many would have hit. Windows are one shard's.
+    At least as many as the distinct keys among them, so a cache with room for that many would have hit.
     """
-    order = Window.partitionBy("shard").orderBy("ts", "id")
-    numbered = log.withColumn("n", F.row_number().over(order))
+    places = numbered(log, ["shard"], [F.col("ts"), F.col("id")], "n")
     before = F.lag("n").over(Window.partitionBy("shard", "key").orderBy("n"))
-    return numbered.withColumn("distance", F.col("n") - before).drop("n")
+    return places.withColumn("distance", F.col("n") - before).drop("n")

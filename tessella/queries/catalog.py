@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -61,8 +61,7 @@ NATURAL = "array_to_string(list_transform(regexp_extract_all({0}, '([0-9]+|[^0-9
 
 @query(entries(f"SELECT parent, name, rank() OVER (PARTITION BY parent ORDER BY {NATURAL.format('name')}) AS place FROM entries", "place", rest="parent name"))
 def natural_sort_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("parent").orderBy(text.natural_key(F.col("name")))
-    return file_entries(spark, sf_dir).select("parent", "name", F.rank().over(order).alias("place"))
+    return catalog.numbered(file_entries(spark, sf_dir).select("parent", "name"), ["parent"], [text.natural_key(F.col("name"))], ties=True)
 
 
 @query("SELECT p_partkey, lower(translate(p_name || ' - ' || p_type || '.v:' || p_size, ' -.:', '____')) AS label, '#' || upper(substr(md5(p_name), 1, 6)) AS color FROM part")

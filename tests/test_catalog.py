@@ -73,3 +73,13 @@ def test_listing(spark):
     df = spark.createDataFrame([(*r, at) for r in rows], "path string, parent string, name string, is_dir boolean, size long, modified timestamp")
     got = catalog.listing(df).orderBy(*catalog.listing_order()).collect()
     assert [(r["name"], r["entries"]) for r in got] == [("d", 3), ("e", 0), ("a9", None), ("a10", None)]
+
+
+def test_numbers_within_keys(spark):
+    rows = spark.createDataFrame([("a" if i % 4 else None, i * 7 % 50 // 3, i) for i in range(200)], "k string, v int, i int").repartition(7)
+    got = {r["i"]: r["place"] for r in catalog.numbered(rows, ["k"], [F.col("v"), F.col("i")]).collect()}
+    tied = {r["i"]: r["place"] for r in catalog.numbered(rows, ["k"], [F.col("v")], ties=True).collect()}
+    for k in ("a", None):
+        own = sorted((r["v"], r["i"]) for r in rows.collect() if r["k"] == k)
+        assert [got[i] for _, i in own] == list(range(1, len(own) + 1))
+        assert all(tied[i] == 1 + sum(w < v for w, _ in own) for v, i in own)
