@@ -11,7 +11,8 @@ pairs and characters repeat, how varied the words are, how alike neighbouring wo
 3. Threshold: the quantile of the scores of all labelled, not held-out documents that leaves below it the share of
    label 0. The reported score is sigmoid((s - threshold) * slope), so it is 0.5 at the threshold.
 
-Only texts feed a score. Defined cases: a null or empty text has zero words and gets the score of that; a null doc_id
+Only texts feed a score. Defined cases: a null or empty text has zero words and gets the score of that; a text of any length is
+read whole; equal texts get equal scores; further columns pass through ``keep_good`` and are ignored by scores; a null doc_id
 is not held out and has no label; labels that are null are no labels; of a doc_id with several labels the largest
 counts; without labels of both kinds every score is 0.5 and every document is kept; an empty table gives no rows.
 """

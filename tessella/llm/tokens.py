@@ -6,8 +6,8 @@ fixed-size list of bytes; 0 marks padding, which only a shard's last sequence ha
 row i lies at a known place and a memory map hands out sequences and masks without copying. A second Arrow file
 holds the shard's index: doc_id, begin and n_tokens of each document.
 
-1. Documents are range-partitioned by (doc_id, hash of the text) and sorted: one task writes one shard, in a stream
-   that holds a few thousand sequences at most. A file appears under its name only when it is complete, and a task
+1. Documents are range-partitioned by (doc_id, hash of the text), into as many shards as hold ``SHARD_BYTES`` of text each, and
+   sorted: one task writes one shard, in a stream that holds a few thousand sequences at most. A file appears under its name only when it is complete, and a task
    that runs again writes the same bytes, so lost executors and speculative tasks do no harm.
 2. The number of tokens of each shard (one row a shard) gives the place of each shard's first token in the corpus.
 3. Reading goes over the shards' files in parallel.
@@ -17,8 +17,8 @@ tokenizer's own pattern splits too; pieces repeat a lot, so each is encoded once
 with other white space are split at fewer places, or not at all. The ids equal those of whole texts.
 
 Defined cases: a null or empty text has the end id alone; equal doc_ids are ordered by their texts' hashes, and equal
-rows follow each other; a null doc_id comes first; an empty table gives no shards and no rows; further columns are
-ignored.
+rows follow each other; a null doc_id comes first; a text of any length is encoded whole; an empty table gives no shards and
+no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +40,8 @@ from pyspark.sql import functions as F
 from ..session import load, reach, scratch_path
 
 TOKENIZER, END_ID, LENGTH, ROWS = "byte_bpe_50k.json", 2, 2048, 512
-MOST_PIECES, LONGEST_KEPT = 1_200_000, 64
+MOST_PIECES, LONGEST_KEPT, SHARD_BYTES, INDEX_ROWS = 1_200_000, 64, 128 << 20, 1 << 16
+INDEX = pa.schema([("doc_id", pa.int64()), ("begin", pa.int64()), ("n_tokens", pa.int64())])
 
 #: Fixed by the byte-level tokenizers' public definition: where their pattern cuts a text, and the letter that stands for
 #: each byte (itself if it is printable, else the next free one from 256 on).
@@ -160,14 +161,16 @@ class ShardWriter:
         self.item, self.held, self.waiting, self.total = item, [], 0, 0
         self.index: list[tuple[int | None, int, int]] = []
         self.fs.create_dir(self.dir, recursive=True)
-        self.sink = self.fs.open_output_stream(f"{self.part}.arrow")
-        self.file = pa.ipc.new_file(self.sink, self.schema)
+        self.sink, self.index_sink = (self.fs.open_output_stream(f"{self.part}.{kind}") for kind in ("arrow", "index.arrow"))
+        self.file, self.index_file = pa.ipc.new_file(self.sink, self.schema), pa.ipc.new_file(self.index_sink, INDEX)
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.index.append((doc_id, self.total, len(ids)))
         self.held.append(ids)
         self.waiting += len(ids)
         self.total += len(ids)
+        if len(self.index) >= INDEX_ROWS:
+            self._flush_index()
         if self.waiting >= ROWS * self.length:
             self._flush(False)
 
@@ -186,14 +189,16 @@ class ShardWriter:
         self.held = [] if last else [flat[n_full:].copy()]
         self.waiting = 0 if last else len(flat) - n_full
 
+    def _flush_index(self) -> None:
+        columns = list(zip(*self.index, strict=True)) or [[], [], []]
+        self.index_file.write_batch(pa.record_batch([pa.array(c, pa.int64()) for c in columns], schema=INDEX))
+        self.index = []
+
     def close(self) -> None:
         self._flush(True)
-        self.file.close()
-        self.sink.close()
-        columns = list(zip(*self.index, strict=True)) or [[], [], []]
-        index = pa.table([pa.array(c, pa.int64()) for c in columns], ["doc_id", "begin", "n_tokens"])
-        with self.fs.open_output_stream(f"{self.part}.index.arrow") as sink, pa.ipc.new_file(sink, index.schema) as file:
-            file.write_table(index)
+        self._flush_index()
+        for held in (self.file, self.sink, self.index_file, self.index_sink):
+            held.close()
         for kind in ("index.arrow", "arrow"):
             self.fs.move(f"{self.part}.{kind}", f"{self.dir}/{self.name}.{kind}")
 
@@ -255,7 +260,9 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str | None = None, text:
             yield pa.RecordBatch.from_pydict({"shard": [shard], "n": [writer.total]}, schema=pa.schema([("shard", pa.int64()), ("n", pa.int64())]))
 
     ordered = docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    ordered = ordered.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    size = ordered.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    ordered = ordered.repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     shards = sorted((r["shard"], r["n"]) for r in ordered.mapInArrow(write, "shard long, n long").collect())
     return [(s, at - n, n) for (s, n), at in zip(shards, accumulate(n for _, n in shards), strict=True)]
 
