@@ -5,7 +5,9 @@ quality classifier -> n-gram Jaccard join -> benchmark decontamination -> mixing
 the mix, its place in the token files. ``run`` writes each stage's result to the shared folder and reads it again.
 
 Null texts and empty ones: the classifier judges them like any other; they are nobody's near-duplicate and can't be
-contaminated; the mix takes no words from them, so they end there. An empty table passes through as such.
+contaminated; the mix takes no words from them, so they end there. Texts of any length are taken whole. Rows without a doc_id
+stay until the mix takes them or not; of repeated rows the near-duplicates stage keeps one. An empty table passes through as
+such. Further columns pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near-duplicates the document with the smallest doc_id; of repeated rows one; rows without a doc_id stay."""
     reach(spark)
     groups = materialize(jaccard.jaccard_components(docs, SHINGLE, NUM, DEN), "pipeline-groups")
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    gone = materialize(groups.where("component_id <> doc_id").select("doc_id").distinct(), "pipeline-gone")
     few = gone.count() <= jaccard.MOST_BROADCAST_IDS
     kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
     again = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
