@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -20,8 +20,7 @@ def components(links: DataFrame) -> DataFrame:
     (minima are combined before they are shuffled).
     """
     edges = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = materialize(edges, "links")
-    before = _digest(edges)
+    edges, before = _written(edges)
     for _ in range(MOST_ROUNDS):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
@@ -30,8 +29,7 @@ def components(links: DataFrame) -> DataFrame:
         # each node b goes to its smallest, and its other smaller neighbours go there as well
         smallest = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(smallest, "b").select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b"))
-        edges = materialize(small.where("a <> b").distinct(), "links", edges)
-        after = _digest(edges)
+        edges, after = _written(small.where("a <> b").distinct(), edges)
         if after == before:
             break
         before = after
@@ -40,8 +38,11 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
 
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _written(edges: DataFrame, *spent: DataFrame) -> tuple[DataFrame, dict]:
+    """The table, written, and its number of links and the sum of their hashes, which the write observes."""
+    seen = Observation()
+    watched = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
+    return materialize(watched, "links", *spent), seen.get
 
 
 def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:

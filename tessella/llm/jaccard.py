@@ -167,6 +167,7 @@ class _Join:
             raise ValueError(f"the threshold must be above 1 / {RATIO} and at most 1: {num} / {den}")
         self.docs, self.n, self.num, self.den = docs, n, num, den
         self.spark = docs.sparkSession
+        self.n_docs = 0
         self.partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def sets(self) -> DataFrame:
@@ -178,11 +179,13 @@ class _Join:
                 h1, h2 = set_hashes(of, grams, len(sizes))
                 yield _batch(["doc_id", "n_shingles", "h1", "h2"], batch.column(0), pa.array(sizes), pa.array(h1), pa.array(h2))
 
-        return materialize(self.docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long"), "jaccard-sets")
+        made = materialize(self.docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long"), "jaccard-sets")
+        self.n_docs = made.count()
+        return made
 
     def of(self, ids: DataFrame) -> DataFrame:
         """The documents with these ids (column id). Beyond a number of them texts are shuffled, and written so that every run of a task sees the same."""
-        few = ids.count() <= MOST_BROADCAST_IDS
+        few = self.n_docs <= MOST_BROADCAST_IDS or ids.count() <= MOST_BROADCAST_IDS
         found = self.docs.join(F.broadcast(ids) if few else ids, self.docs["doc_id"] == ids["id"], "left_semi")
         return found if few else materialize(found, "jaccard-texts")
 
