@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -539,6 +541,63 @@ def tiff_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes_to_voxels(files).join(v.select("c", "z", "y", "x"), ["c", "z", "y", "x"], "left_semi").groupBy("c", "z").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
 
 
+@query(sql("SELECT c, z, y, x, v FROM dense", "c z y x v", ctes=(VOX, DENSE)))
+def tiff_stack_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planes written as files by tasks, in folders of times and channels, and read back as a stack."""
+    from ..operators.encode import planes
+    from ..sources.stores import Store
+    from ..sources.tiff import read_stack
+
+    v = volume(spark, sf_dir)
+    uri = scratch_path(spark, "stack")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, n = Store(uri), 0
+        for batch in batches:
+            for t, c, z, data in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                store.write(f"T{t}/CH{c}/plane{z:05d}.tif", data)
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    planes(v, shape_of(v), "uint16").mapInArrow(write, "n long").collect()
+    return read_stack(spark, uri).select("c", "z", "y", "x", "v")
+
+
+@query(sql("SELECT t, c, z - 2 AS z, y // 2 AS y, x - 1 AS x, v FROM (SELECT 0 AS t, * FROM dense) WHERE z >= 2 AND z < 7 AND y % 2 = 0 AND x >= 1", "t c z y x", "v", ctes=(VOX, DENSE)))
+def remote_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slice of an array whose chunks lie behind URLs: only those that it touches are fetched."""
+    from ..operators.encode import chunks_of, npy_payload
+    from ..sources.remote import read_remote
+    from ..sources.stores import Store
+
+    v = volume(spark, sf_dir)
+    uri, ds = scratch_path(spark, "remote"), _orders(v)
+    dense = grid.densify(v.drop("t"), shape_of(v), ["c"]).withColumn("t", F.lit(0))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, n = Store(uri), 0
+        for batch in batches:
+            for c, cz, cy, cx, data in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                store.write(f"{c}-{cz}-{cy}-{cx}", data)
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    npy_payload(chunks_of(dense, CHUNK, "uint16"), CHUNK).select("c", "cz", "cy", "cx", "payload").mapInArrow(write, "n long").collect()
+    wanted = spec(v, (0, slice(None), slice(2, 7), slice(0, 16, 2), slice(1, shape_of(v)[2])))
+    place = uri if "://" in uri else f"file://{uri}"
+    return read_remote(spark, ds, f"{place}/{{c}}-{{cz}}-{{cy}}-{{cx}}", wanted, 128 + 2 * 256)
+
+
+@query(vox("""SELECT string_agg('#uicontrol bool channel' || c || '_visible checkbox(default=true);' || chr(10) || '#uicontrol vec3 channel' || c || '_color color(default="#' || CASE c WHEN 0 THEN 'FF0000' ELSE '00FF00' END || '");' || chr(10) ||
+    '#uicontrol invlerp channel' || c || '(range=[' || low || ', ' || high || '], window=[0, 65535], channel=' || c || ');', chr(10) ORDER BY c) || chr(10) || 'void main() {' || chr(10) || '    vec3 total = vec3(0.0);' || chr(10) ||
+    string_agg('    if (channel' || c || '_visible) total += channel' || c || '_color * channel' || c || '();', chr(10) ORDER BY c) || chr(10) || '    emitRGB(min(total, vec3(1.0)));' || chr(10) || '}' AS shader
+    FROM (SELECT c, min(v) FILTER (v > 0) AS low, max(v) FILTER (v > 0) AS high FROM vox GROUP BY c)""", rest="shader"))
+def shader_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the non-zero range of each channel, of which there are few."""
+    ranges = reduce.channel_range(volume(spark, sf_dir), ("c",), nonzero=True).orderBy("c").collect()
+    return spark.createDataFrame([(metadata.shader([{"vmin": r["vmin"], "vmax": r["vmax"]} for r in ranges]),)], "shader string")
+
+
 @query(sql("SELECT x, round_even((hi - lo) / n, 3) AS size, round_even((hi - lo) / n, 3) * 1000 AS nm FROM (SELECT x, min(v) AS lo, max(v) AS hi, count(*) AS n FROM emb GROUP BY x)", "x", "size nm", ctes=(EMB,)))
 def voxel_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = reduce.channel_range(float_matrix(spark, sf_dir), ("x",))

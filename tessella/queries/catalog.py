@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import catalog, reduce
+from ..operators import catalog, grid, reduce
 from ..session import load
 from .common import ENTRIES, Query, file_entries, plain, sql
 
@@ -100,6 +100,19 @@ def link_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_entries(spark, sf_dir).select("doc_id", *(links[k].alias(k) for k in VIEWS | CHECKED | MORE))
 
 
+SHAPED = "SELECT doc_id, '/lab/v.' || (doc_id % 9 + 1) || 'x256' || CASE WHEN doc_id % 3 = 0 THEN 'x64' ELSE '' END || '.zarr/0' AS a, '/0/1/' || doc_id % 7 || '/' || doc_id % 11 || '/' || doc_id AS b FROM documents"
+
+
+@query(f"""SELECT doc_id, a || replace('/' || substr(b, 2), '/', '.') IS NOT NULL AS ok, a || '/' || replace(substr(b, 2), '/', '.') AS dotted, a || b AS slashed,
+    CASE WHEN doc_id % 3 = 0 THEN '1,1,' || (doc_id % 9 + 1) || ',256,64' ELSE '1,1,1,' || (doc_id % 9 + 1) || ',256' END AS chunk FROM ({SHAPED})""")
+def chunk_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    name = F.concat(F.lit("/lab/v."), k % 9 + 1, F.lit("x256"), F.when(k % 3 == 0, "x64").otherwise(""), F.lit(".zarr/0/0/1/"), k % 7, F.lit("/"), k % 11, F.lit("/"), k)
+    dotted = load(spark, sf_dir, "documents").select(k, grid.dotted_path(name).alias("dotted"))
+    chunk = F.array_join(grid.chunk_in_path(F.col("dotted")), ",")
+    return dotted.select("doc_id", F.col("dotted").isNotNull().alias("ok"), "dotted", grid.slashed_path(F.col("dotted")).alias("slashed"), chunk.alias("chunk"))
+
+
 @query(entries("SELECT parent, count(*) FILTER (is_dir) AS dirs, count(*) FILTER (NOT is_dir) AS files FROM entries GROUP BY parent", "dirs files", rest="parent"))
 def listing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce.listing_counts(file_entries(spark, sf_dir))
