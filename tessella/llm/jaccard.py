@@ -491,3 +491,17 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int, text: str =
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(load(spark, sf_dir, "documents"), 3, 90, 100)
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT rid, unnest(w) AS a, generate_subscripts(w, 1) AS pos, len(w) AS words FROM d),
+t3 AS (SELECT rid, pos, words, a, lead(a, 1) OVER (PARTITION BY rid ORDER BY pos) AS b, lead(a, 2) OVER (PARTITION BY rid ORDER BY pos) AS c FROM t),
+g AS (SELECT DISTINCT rid, concat_ws(' ', a, b, c) AS h FROM t3 WHERE c IS NOT NULL OR (pos = 1 AND words < 3)),
+n AS (SELECT d.rid, doc_id, count(h) AS n FROM d LEFT JOIN g ON g.rid = d.rid GROUP BY d.rid, doc_id),
+e AS (SELECT rid, h FROM g JOIN n USING (rid) WHERE doc_id IS NOT NULL),
+links AS (SELECT a, b FROM (SELECT x.rid AS a, y.rid AS b, count(*) AS both_have FROM e x JOIN e y ON x.h = y.h AND x.rid <> y.rid GROUP BY x.rid, y.rid)
+    JOIN n AS na ON na.rid = a JOIN n AS nb ON nb.rid = b WHERE 100 * both_have >= 90 * (na.n + nb.n - both_have)),
+reach(rid, low) AS (SELECT rid, doc_id FROM n UNION SELECT b, low FROM reach JOIN links ON a = rid)
+SELECT doc_id, CAST(any_value(n) AS BIGINT) AS n_shingles, min(low) AS component_id FROM n JOIN reach USING (rid) GROUP BY rid, doc_id
+"""

@@ -27,6 +27,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": substrings.SQL,
+        "op2_jaccard": jaccard.SQL,
+        "op8_vector_dedup": vectors.SQL,
         "op3_decontaminate": decontam.SQL,
         "op10_url_filter": urls.SQL,
     }

@@ -210,3 +210,14 @@ def _counts(batches, cuts: np.ndarray):
 
 def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_components(load(spark, sf_dir, "embeddings"))
+
+
+SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+fine AS (SELECT rid, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.rid AS a, b.rid AS b FROM fine a JOIN fine b ON a.rid <> b.rid AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+degrees AS (SELECT a AS rid, count(*) AS n_links FROM links GROUP BY a),
+reach(rid, low) AS (SELECT rid, vec_id FROM v UNION SELECT b, low FROM reach JOIN links ON a = rid),
+least AS (SELECT rid, min(low) AS component_id FROM reach GROUP BY rid)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM v JOIN least USING (rid) LEFT JOIN degrees USING (rid)
+"""
