@@ -505,6 +505,23 @@ def zarr_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_zarr(spark, uri).where("r = 0").select("c", "z", "y", "x", "v")
 
 
+@query(sql("SELECT c, z, y, x, CASE WHEN z BETWEEN 3 AND 4 THEN 65535 - v ELSE v END AS v FROM dense", "c z y x", "v", ctes=(VOX, DENSE)))
+def virtual_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A volume over two stores, one above the other, also written as one where they meet."""
+    from ..sources.config import virtual_dataset, write_virtual
+    from ..sources.zarr import create_zarr
+
+    v = volume(spark, sf_dir)
+    shape = shape_of(v)
+    parts = [(f"{scratch_path(spark, 'part')}.ome.zarr", {"z": 4 * k}) for k in range(2)]
+    for uri, _ in parts:
+        create_zarr(ArrayDataset("part", "uint16", 1, 2, (Level(0, (4, *shape[1:]), CHUNK),)), uri)
+    dense = grid.densify(v.drop("t"), shape, ["c"]).withColumn("t", F.lit(0))
+    write_virtual(dense, parts)
+    write_virtual(dense.where("z BETWEEN 3 AND 4").withColumn("v", F.lit(65535) - F.col("v")), parts)
+    return virtual_dataset(spark, parts).select("c", "z", "y", "x", "v")
+
+
 @query(sql("SELECT r, c, z, y, x, v FROM (SELECT 0 AS r, c, z, y, x, v FROM stored UNION ALL SELECT 1 AS r, c, z // 2, y // 2, x // 2, v FROM vox WHERE z % 2 = 0 AND y % 2 = 0 AND x % 2 = 0) WHERE v > 0", "r c z y x", "v", ctes=(VOX, DENSE, STORED)))
 def multiscale_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One lazy table a level of a store, and all of them under a registered name."""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import configparser
 import hashlib
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,6 +82,23 @@ def register_dataset(spark: SparkSession, uri: str) -> str:
     return key
 
 
+def virtual_dataset(spark: SparkSession, parts: Sequence[tuple[str, Mapping[str, int]]], r: int = 0) -> DataFrame:
+    """One volume over several datasets, each with the offsets of its axes in it."""
+    return reduce(DataFrame.unionByName, (open_dataset(spark, uri, r).withColumns({a: F.col(a) + n for a, n in offset.items()}).select("t", "c", "z", "y", "x", "v") for uri, offset in parts))
+
+
+def write_virtual(voxels: DataFrame, parts: Sequence[tuple[str, Mapping[str, int]]], r: int = 0) -> int:
+    """Put voxels of the volume into those of its datasets (Zarr groups) that hold their places; the number of chunks touched."""
+    from .zarr import open_group, write_region
+
+    total = 0
+    for uri, offset in parts:
+        low = {a: offset.get(a, 0) for a in "tczyx"}
+        inside = reduce(lambda p, q: p & q, (F.col(a).between(low[a], low[a] + n - 1) for a, n in zip("tczyx", open_group(uri).shape(r), strict=True)))
+        total += write_region(voxels.where(inside).withColumns({a: F.col(a) - n for a, n in low.items()}), uri, r)
+    return total
+
+
 def level_views(spark: SparkSession, uri: str) -> list[DataFrame]:
     """The dataset as one lazy table a level, the finest first."""
     found = describe(uri)
