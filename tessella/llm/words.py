@@ -159,9 +159,12 @@ def segments_of(h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     return at[first], first
 
 
+MOST_TASKS = 20_000
+
+
 def tasks_for(least: int, ranges: int) -> int:
-    """How many tasks take so many ranges (or buckets) of some MB each: eight or so a task, whatever the input."""
-    return max(least, -(-ranges // 8))
+    """How many tasks take so many ranges (or buckets) of some MB each: one a range, until a task has to take several, one after the other."""
+    return max(least, min(ranges, MOST_TASKS))
 
 
 def six_bytes(h: np.ndarray) -> np.ndarray:
