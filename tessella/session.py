@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bounds the Arrow batches that Python workers get, where the session doesn't.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Lets Spark delete the shuffle files of a query when it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -33,6 +35,8 @@ def reach(spark: SparkSession) -> None:
 
     On a cluster the package comes with ``--py-files`` or the image; an unknown folder in the path does no harm.
     """
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, "8m")  # long texts in batches of ten thousand rows fill a worker's memory
     root = str(Path(__file__).resolve().parent.parent)
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
