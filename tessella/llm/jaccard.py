@@ -40,7 +40,7 @@ from .graph import components, forest
 from .skew import spread_join
 from .words import SPACE_WORDS, Words, gram_hashes, gram_starts, mix64, of_six_bytes, order_by, pieces, ranges, segments_of, six_bytes, tasks_for
 
-RATIO, SLACK, CUTS, MOST_BROADCAST_IDS, TILE_DOCS, TILE_SHINGLES = 1.8, 0.1, 4, 2_000_000, 2400, 2_000_000
+RATIO, SLACK, CUTS, MOST_BROADCAST_IDS, TILE_DOCS, TILE_SHINGLES = 1.8, 0.1, 4, 2_000_000, 1200, 1_000_000
 #: Bytes of text a slice, shingles a range, tasks that share a class of equal sets.
 SLICE_BYTES, SEGMENT_SHINGLES, CLASS_SALTS = 2 << 20, 1 << 19, 16
 FEW, PAIRS_AT_ONCE = 32, 1 << 22
@@ -422,7 +422,7 @@ def tile_links(ids: np.ndarray, sizes: np.ndarray, cut: np.ndarray, second: np.n
     x, y = (np.flatnonzero(~side), np.flatnonzero(side)) if side.any() else (np.arange(len(names)),) * 2
     at_x, at_y = np.full(len(names), -1), np.full(len(names), -1)
     at_x[x], at_y[y] = np.arange(len(x)), np.arange(len(y))
-    overlap = np.zeros(len(x) * len(y), np.int64)
+    overlap = np.zeros(len(x) * len(y), np.int32)
     of, cut_of = np.repeat(row, counts), np.repeat(cut, counts)
     for c in range(CUTS):
         here = cut_of == c
@@ -439,15 +439,15 @@ def tile_links(ids: np.ndarray, sizes: np.ndarray, cut: np.ndarray, second: np.n
             j = document[np.repeat(begin, m * m) + ranges(np.repeat(m, m))]
             i, j = at_x[i], at_y[j]
             use = (i >= 0) & (j >= 0)
-            overlap += np.bincount(i[use] * len(y) + j[use], minlength=len(overlap))
+            overlap += np.bincount(i[use] * len(y) + j[use], minlength=len(overlap)).astype(np.int32)
         many = np.flatnonzero(n > FEW)
         for k in range(0, len(many), 2048):
             m = n[many[k : k + 2048]]
             marks = np.zeros((len(names), len(m)), np.float32)
             marks[document[np.repeat(at[many[k : k + 2048]], m) + ranges(m)], np.repeat(np.arange(len(m)), m)] = 1
-            overlap += (marks[x] @ marks[y].T).astype(np.int64).ravel()
+            overlap += (marks[x] @ marks[y].T).astype(np.int32).ravel()
     overlap = overlap.reshape(len(x), len(y))
-    i, j = np.nonzero((num + den) * overlap >= num * (size[x][:, None] + size[y][None, :]))
+    i, j = np.nonzero((num + den) * overlap.astype(np.int64) >= num * (size[x][:, None] + size[y][None, :]))
     i, j = x[i], y[j]
     label = forest(i[i != j], j[i != j], len(names))
     linked = label != np.arange(len(names))
