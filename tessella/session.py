@@ -69,8 +69,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, *spent: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def materialize(df: DataFrame, name: str, *spent: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, in a directory for each value of ``by``, and read it back.
 
     Cuts the lineage like a reliable checkpoint, survives lost executors, and keeps column pruning for later reads. The
     write's shuffle files go as soon as it has ended, and so do the tables of ``spent``: earlier results of this
@@ -81,7 +81,7 @@ def materialize(df: DataFrame, name: str, *spent: DataFrame) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     _path(spark, path)[1].deleteOnExit(_path(spark, path)[0])
