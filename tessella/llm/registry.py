@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, lm, mixing, quality, substrings, tokens, toxicity, urls, vectors
+from . import decontam, jaccard, lexical, lm, mixing, quality, substrings, tokens, toxicity, urls, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_vector_dedup": vectors.op8_vector_dedup,
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_url_filter": urls.op10_url_filter,
+        "op11_lexical_search": lexical.op11_lexical_search,
     }
 
 
