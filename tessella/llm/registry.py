@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, lexical, lm, mixing, quality, substrings, tokens, toxicity, urls, vectors
+from . import conversations, decontam, jaccard, lexical, lm, mixing, nearest, quality, substrings, tokens, toxicity, urls, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_url_filter": urls.op10_url_filter,
         "op11_lexical_search": lexical.op11_lexical_search,
+        "op12_nearest": nearest.op12_nearest,
+        "op13_conversation_repair": conversations.op13_conversation_repair,
     }
 
 
@@ -32,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_vector_dedup": vectors.SQL,
         "op3_decontaminate": decontam.SQL,
         "op10_url_filter": urls.SQL,
+        "op12_nearest": nearest.SQL,
     }
