@@ -92,6 +92,7 @@ def map_tiles(voxels: DataFrame, shape: Sequence[int], tile: Sequence[int], fn:
         low = [max(0, i * k - width) for i, k in zip(at, tile, strict=True)]
         high = [min(n, (i + 1) * k + width) for i, k, n in zip(at, tile, shape, strict=True)]
         block = np.zeros([b - a for a, b in zip(low, high, strict=True)])
+        rows = rows.filter(rows.column("z").is_valid())
         block[tuple(rows.column(a).to_numpy() - m for a, m in zip(SPACE, low, strict=True))] = rows.column("v").to_numpy()
         pads = [(width - (i * k - a), width - (b - min(n, (i + 1) * k))) for i, k, n, a, b in zip(at, tile, shape, low, high, strict=True)]
         made = fn(np.pad(block, pads, mode=mode))[tuple(slice(width, width + min(n, (i + 1) * k) - i * k) for i, k, n in zip(at, tile, shape, strict=True))]
@@ -100,7 +101,12 @@ def map_tiles(voxels: DataFrame, shape: Sequence[int], tile: Sequence[int], fn:
         return pa.table([*columns, pa.array(np.ascontiguousarray(made, np.float64).ravel())], [*keys, *SPACE, "v"])
 
     fields = ", ".join([*(f"{k} int" for k in keys), "z int, y int, x int, v double"])
-    return out.select(*keys, *SPACE, "v", *(f"t{a}" for a in SPACE)).groupBy(*keys, *(f"t{a}" for a in SPACE)).applyInArrow(run, fields)
+    # a tile without voxels has a row without a value, so that it is there too
+    tiles = voxels.select(*keys).distinct()
+    for axis, n, k in zip(SPACE, shape, tile, strict=True):
+        tiles = tiles.withColumn(f"t{axis}", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-(-n // k) - 1).cast("long"))))
+    out = out.select(*keys, *SPACE, F.col("v").cast("double").alias("v"), *(f"t{a}" for a in SPACE)).unionByName(tiles, allowMissingColumns=True)
+    return out.groupBy(*keys, *(f"t{a}" for a in SPACE)).applyInArrow(run, fields)
 
 
 def scatter(voxels: DataFrame, field: DataFrame, shape: Sequence[int], keys: Sequence[str] = KEYS) -> DataFrame:

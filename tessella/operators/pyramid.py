@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..model import Level
 from ..session import materialize
-from .reduce import KEYS, block_reduce
+from .reduce import KEYS, area_mean, block_reduce
 
 
 def decimate(voxels: DataFrame, step: Sequence[int] = (2, 2, 2), offset: int = 0) -> DataFrame:
@@ -59,10 +59,20 @@ def mean_once(voxels: DataFrame, shape: Sequence[int], even_edge_zero: bool = Fa
 
 
 def build(voxels: DataFrame, plan: Sequence[Level], reduce_by: Callable[[DataFrame, tuple, tuple], DataFrame] | None = None) -> list[DataFrame]:
-    """The levels of ``plan`` (full resolution first), each from the one before, written out and read again between."""
+    """The levels of ``plan`` (full resolution first), each from the one before, written out and read again between.
+
+    A level has exactly the shape that the plan gives it: by means of whole blocks where such a factor leads there, else by
+    means of cells that end within voxels. ``reduce_by`` takes whole factors only.
+    """
     found = [voxels]
     for before, level in zip(plan, plan[1:], strict=False):
-        factor = tuple(max(1, round(a / b)) for a, b in zip(before.shape, level.shape, strict=True))
-        made = reduce_by(found[-1], factor, before.shape) if reduce_by else block_reduce(found[-1], factor, before.shape)
+        factor = tuple(max(1, a // b) for a, b in zip(before.shape, level.shape, strict=True))
+        whole = all(a // f == b for a, b, f in zip(before.shape, level.shape, factor, strict=True))
+        if reduce_by and not whole:
+            raise ValueError(f"no whole factors lead from {before.shape} to {level.shape}")
+        if reduce_by:
+            made = reduce_by(found[-1], factor, before.shape)
+        else:
+            made = block_reduce(found[-1], factor, before.shape) if whole else area_mean(found[-1], before.shape, level.shape)
         found.append(materialize(made, f"level-{level.r}"))
     return found

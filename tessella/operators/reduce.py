@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -52,6 +53,23 @@ def block_reduce(voxels: DataFrame, factor: Sequence[int], shape: Sequence[int]
     return voxels.groupBy(*keys, *tile, *block).agg(F.bround(total / count).cast("long").alias("v"))
 
 
+def area_mean(voxels: DataFrame, shape: Sequence[int], target: Sequence[int], keys: Sequence[str] = KEYS) -> DataFrame:
+    """Means over cells of equal size that divide ``shape`` into ``target``, rounded half to even; a voxel counts by how much of a
+    cell it fills, and what is missing counts as 0. Overlaps are whole numbers in units of 1 / target of an axis."""
+    if any(not 0 < m <= n for n, m in zip(shape, target, strict=True)):
+        raise ValueError(f"{tuple(target)} does not fit into {tuple(shape)}")
+    out, weight, volume = voxels, F.lit(1).cast("long"), 1
+    for axis, n, m in zip("zyx", shape, target, strict=True):
+        cell, each = n // math.gcd(n, m), m // math.gcd(n, m)
+        volume *= cell
+        begin = F.col(f"__{axis}") * each
+        out = out.withColumn(f"__{axis}", F.col(axis).cast("long"))
+        touched = F.sequence(F.floor(begin / cell), F.floor((begin + each - 1) / cell))
+        out = out.withColumn(axis, F.explode(touched) if each > 1 else F.floor(begin / cell)).withColumn(axis, F.col(axis).cast("int"))
+        weight = weight * (F.least((F.col(axis).cast("long") + 1) * cell, begin + each) - F.greatest(F.col(axis).cast("long") * cell, begin))
+    return out.groupBy(*keys, *"zyx").agg(F.bround(F.sum(F.col("v") * weight) / F.lit(volume)).cast("long").alias("v"))
+
+
 def listing_counts(entries: DataFrame) -> DataFrame:
     """dirs and files directly in each parent; ``entries`` has parent and is_dir."""
     return entries.groupBy("parent").agg(F.count_if("is_dir").alias("dirs"), F.count_if(~F.col("is_dir")).alias("files"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from pathlib import PurePosixPath
 
 from pyarrow import fs
@@ -25,19 +26,28 @@ class Store:
             return None
 
     def write(self, name: str, data: bytes) -> None:
-        """Whole or not at all: under another name first, then renamed."""
+        """Whole or not at all: under a name of its own first, then renamed, over what may be there. Two attempts of one task
+        so each write their own file, and the last one stays."""
         path = f"{self.root}/{name}"
+        part = f"{path}.{uuid.uuid4().hex}.part"
         self.fs.create_dir(str(PurePosixPath(path).parent), recursive=True)
-        with self.fs.open_output_stream(f"{path}.part") as f:
+        with self.fs.open_output_stream(part) as f:
             f.write(data)
-        self.fs.move(f"{path}.part", path)
+        try:
+            self.fs.move(part, path)
+        except OSError:
+            if self.fs.get_file_info(path).type == fs.FileType.NotFound:
+                raise
+            # a file system that doesn't rename onto what is there
+            self.fs.delete_file(path)
+            self.fs.move(part, path)
 
     def has(self, name: str) -> bool:
         return self.fs.get_file_info(f"{self.root}/{name}").type == fs.FileType.File
 
     def names(self, below: str = "") -> list[str]:
         found = self.fs.get_file_info(fs.FileSelector(f"{self.root}/{below}".rstrip("/"), recursive=True, allow_not_found=True))
-        return sorted(f.path[len(self.root) + 1 :] for f in found if f.type == fs.FileType.File)
+        return sorted(f.path[len(self.root) + 1 :] for f in found if f.type == fs.FileType.File and not f.path.endswith(".part"))
 
     def folders(self, below: str = "") -> list[str]:
         """Names of the folders right below one."""
