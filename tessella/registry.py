@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import arrays, catalog
+from .queries import arrays, catalog, chunked
 
-MODULES = (arrays, catalog)
+MODULES = (arrays, catalog, chunked)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.model import ArrayDataset, Level
-from tessella.operators import chunked, encode, neighborhood, pyramid, reduce
+from tessella.operators import chunked, encode, halo, neighborhood, pyramid, reduce
 from tessella.operators.chunked import AxisMean, ChunkGrid
 from tessella.operators.slicing import SliceSpec
 from tessella.plans import pyramids
@@ -246,3 +246,71 @@ def test_two_attempts_of_one_write(tmp_path):
     store.write("a/b", b"first")
     assert Store(str(tmp_path)).read("a/b") == b"first" and Store(str(tmp_path)).names() == ["a/b"]
     assert not list(tmp_path.rglob("*.part"))
+
+
+# halos
+
+
+@pytest.mark.parametrize("sigma", [0.5, 1.3])
+@pytest.mark.parametrize("cut", [False, True])
+def test_halos_give_the_dense_gaussian(spark, array, sigma, cut):
+    chunks, grid = table(spark, array, cut=cut)
+    got, made = halo.gaussian_chunks(chunks, grid, sigma, dtype="float64")  # 1.3: five voxels, more than a chunk
+    voxels = encode.voxels_of(table(spark, array)[0], CHUNK, SHAPE[2:], "uint16").drop("r", "cz", "cy", "cx")
+    want = np.full(SHAPE, -1.0)
+    for r in neighborhood.gaussian(voxels, SHAPE[2:], sigma).collect():
+        want[r["t"], r["c"], r["z"], r["y"], r["x"]] = r["v"]
+    assert np.allclose(dense(got, made), want)
+    padded, weights = np.pad(array.astype(float), [(0, 0), (0, 0), *[(9, 9)] * 3], mode="edge"), neighborhood.gaussian_weights(sigma)
+    for axis in (2, 3, 4):
+        padded = np.apply_along_axis(lambda v: np.convolve(v, weights, "same"), axis, padded)
+    assert np.allclose(want, padded[:, :, 9:-9, 9:-9, 9:-9])
+
+
+@pytest.mark.parametrize("boundary", ["reflect", "nearest", "zero"])
+def test_halos_at_borders_and_around_missing_chunks(spark, array, boundary):
+    chunks, grid = table(spark, array)
+    some = chunks.where("cz <> 1 or cx <> 0")
+    there = array.astype(float)
+    there[:, :, 2:4, :, 0:4] = 0
+
+    def spread(block):
+        return neighborhood.shifted(neighborhood.shifted(block, 0, [1.0, 2.0, 4.0]), 2, [8.0, 0.0, 1.0])
+
+    got, made = halo.map_chunks(some, grid, spread, 1, boundary, "float64")
+    want = np.zeros(SHAPE)
+    for at in np.ndindex(*SHAPE[:2]):
+        want[at] = spread(np.pad(there[at], 1, mode=halo.MODES[boundary]))[1:-1, 1:-1, 1:-1]
+    assert np.allclose(dense(got, made), want)
+
+
+def test_whole_numbers_are_kept_within_the_type(spark, array):
+    chunks, grid = table(spark, array)
+    got, made = halo.box_chunks(chunks, grid)
+    assert dense(got, made).max() == 65535 and made.dtype == "uint16"
+    plain, _ = halo.map_chunks(chunks, grid, lambda b: b / 2)
+    assert (dense(plain, grid) == np.rint(array / 2)).all() and "Exchange" not in shuffles(plain)
+
+
+def test_halos_grow_with_the_surface(spark):
+    array = np.zeros((1, 1, 32, 32, 32), np.int64)
+    for side in (4, 8, 16):
+        chunks, grid = table(spark, array, (side,) * 3)
+        sent = halo.halos(chunks, grid, 1).agg(F.sum(F.length("payload"))).first()[0]
+        inner = 32 // side
+        shell = sum(math.prod(min(32, i * side + side + 1) - max(0, i * side - 1) for i in at) - side**3 for at in np.ndindex(inner, inner, inner))
+        assert sent == 2 * shell
+
+
+def test_bucketed_chunks_stay_where_they_lie(spark, array):
+    chunks, grid = table(spark, array)
+    kept = halo.bucketed(chunks, 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got, made = halo.gaussian_chunks(kept, grid, 0.5, dtype="float64")
+        plan = shuffles(got)
+        assert plan.count("\nExchange") + plan.count(") Exchange") <= 2 and "SelectedBucketsCount: 4 out of 4" in plan or "Bucketed: true" in plan
+        want, _ = halo.gaussian_chunks(chunks, grid, 0.5, dtype="float64")
+        assert np.allclose(dense(got, made), dense(want, made))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
