@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce as reduce_frames
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from ..operators import chunked, grid, halo, reduce
 from ..operators.chunked import ChunkGrid
 from ..operators.encode import chunks_of, voxels_of
 from ..operators.slicing import SliceSpec
+from ..session import scratch_path
 from .arrays import BLURRED, BOX3, SIGMA
 from .common import CHUNK, DENSE, VOX, Query, plain, shape_of, sql, volume
 
@@ -145,3 +147,37 @@ def chunk_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_box3_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, old = dense_chunks(spark, sf_dir)
     return voxels(*halo.box_chunks(chunks, old, dtype="float64")).withColumn("v", F.col("v").cast("long"))
+
+
+# Imaris files
+
+
+def _imaris_files(spark: SparkSession, sf_dir: str) -> list[tuple[str, dict[str, int]]]:
+    """The volume as Imaris files, one for each row of chunks along z: path and offset."""
+    from ..sources.hdf5_write import write_imaris_slabs
+
+    chunks, old = dense_chunks(spark, sf_dir)
+    ds = ArrayDataset("orders", "uint16", 1, 2, (Level(0, old.shape, CHUNK),))
+    made = write_imaris_slabs(chunks, ds, scratch_path(spark, "imaris"))
+    return [(r["path"], {"z": r["z"]}) for r in made.orderBy("z").collect()]
+
+
+@query(dense("SELECT c, z, y, x, v FROM dense", "c z y x v"))
+def imaris_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that tasks write, read as one volume by their chunk trees."""
+    from ..sources.config import virtual_dataset
+
+    return virtual_dataset(spark, _imaris_files(spark, sf_dir)).select("c", "z", "y", "x", "v")
+
+
+@query(dense("SELECT z // 4 AS slab, c, min(v) AS vmin, max(v) AS vmax, count(*) AS n FROM dense GROUP BY ALL", "slab c vmin vmax n"))
+def imaris_stored_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges and numbers of voxels that the files state, without a look at their voxels."""
+    from ..sources.imaris import stored_histograms, stored_ranges
+
+    parts = []
+    for uri, offset in _imaris_files(spark, sf_dir):
+        counts = stored_histograms(spark, uri).groupBy("c").agg(F.sum("n").alias("n"))
+        ranges = stored_ranges(spark, uri).select("c", F.col("vmin").cast("long").alias("vmin"), F.col("vmax").cast("long").alias("vmax"))
+        parts.append(ranges.join(counts, "c").withColumn("slab", F.lit(offset["z"] // CHUNK[0])))
+    return reduce_frames(DataFrame.unionByName, parts)

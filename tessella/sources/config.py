@@ -41,12 +41,15 @@ def folder_entries(spark: SparkSession, uri: str) -> DataFrame:
 
 def open_dataset(spark: SparkSession, uri: str, r: int | None = 0) -> DataFrame:
     """Voxels of level ``r`` (null: of all levels) of the dataset at ``uri``, whose extension names its format."""
+    from .imaris import imaris_voxels
     from .zarr import SERIES, read_zarr
     from .zshard import read_zsharded
 
     kind = uri.rstrip("/").lower()
-    if kind.endswith((".ims", ".omehans")):
-        raise MissingDependency("HDF5 datasets need h5py, which is not installed")
+    if kind.endswith(".omehans"):
+        raise MissingDependency("chunks kept in HDF5 files by key need h5py, which is not installed")
+    if kind.endswith(".ims"):
+        return imaris_voxels(spark, uri, r)
     if SERIES.match(kind.rpartition("/")[2]):
         out = read_zarr(spark, uri, "series")
     elif kind.endswith((".ome.zarr", ".omezarr", ".omezans", ".zarr")):
@@ -62,6 +65,7 @@ def open_dataset(spark: SparkSession, uri: str, r: int | None = 0) -> DataFrame:
 
 def describe(uri: str) -> ArrayDataset | None:
     """What the documents of a dataset say of it; null where there are none or they can't be read."""
+    from .imaris import open_imaris
     from .zarr import SERIES, open_group, open_series
     from .zshard import open_zsharded
 
@@ -69,6 +73,8 @@ def describe(uri: str) -> ArrayDataset | None:
     try:
         if kind.endswith(".z_sharded"):
             return open_zsharded(uri)
+        if kind.endswith(".ims"):
+            return open_imaris(uri)
         return open_series(uri) if SERIES.match(kind.rpartition("/")[2]) else open_group(uri)
     except (OSError, ValueError, KeyError, TypeError):
         return None
