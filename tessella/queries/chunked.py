@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce as reduce_frames
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -181,3 +182,62 @@ def imaris_stored_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
         ranges = stored_ranges(spark, uri).select("c", F.col("vmin").cast("long").alias("vmin"), F.col("vmax").cast("long").alias("vmax"))
         parts.append(ranges.join(counts, "c").withColumn("slab", F.lit(offset["z"] // CHUNK[0])))
     return reduce_frames(DataFrame.unionByName, parts)
+
+
+# files and folders
+
+
+@query(dense("SELECT c, z, y, x, v FROM dense WHERE z BETWEEN 2 AND 5 AND y >= 8 AND y < 12", "c z y x v"))
+def tiff_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some rows of some planes of a stack that tasks write in strips of four rows: only their strips are read."""
+    from ..sources import tiff
+    from ..sources.stores import Store
+    from ..sources.tiff_chunks import read_tiff
+
+    chunks, old = dense_chunks(spark, sf_dir)
+    whole, planes = chunked.rechunk(chunks, old, (1, *old.shape[1:]), "null")
+    uri = scratch_path(spark, "strips")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, n = Store(uri), 0
+        for at, block in chunked.blocks(batches, planes):
+            _, t, c, z, *_ = at
+            store.write(f"T{t}/CH{c}/plane{z:05d}.tif", tiff.encode(block[0], 4, deflate=z % 2 == 1))
+            n += 1
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    whole.select(*chunked.PLACE, "codec", "payload").mapInArrow(write, "n long").groupBy().sum("n").collect()
+    got, made = read_tiff(spark, uri, 4)
+    return voxels(got.where("cz BETWEEN 2 AND 5 AND cy = 2"), made)
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT lang, 'y' || CAST(n_chars % 7 AS VARCHAR) AS y, 'source=' || source AS s FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND n_chars IS NOT NULL)
+    SELECT '' AS path, count(DISTINCT s) AS dirs FROM d UNION ALL SELECT s, count(DISTINCT lang) FROM d GROUP BY s UNION ALL SELECT DISTINCT s || '/lang=' || lang, count(DISTINCT y) FROM d GROUP BY s, lang
+    UNION ALL SELECT DISTINCT s || '/lang=' || lang || '/part=' || y, 0 FROM d"""
+)
+def folder_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders that a write of the documents makes, listed round by round."""
+    from ..session import load
+    from ..sources.listing import folder_counts, walk
+
+    uri = scratch_path(spark, "folders")
+    docs = load(spark, sf_dir, "documents").where("lang is not null and source is not null and n_chars is not null")
+    docs.select("source", "lang", F.concat(F.lit("y"), F.col("n_chars") % 7).alias("part"), "doc_id").write.partitionBy("source", "lang", "part").parquet(uri)
+    return folder_counts(walk(spark, uri)).select("path", "dirs")
+
+
+GRIDS = """WITH levels AS (SELECT p_partkey, p_size % 5 + 1 AS z, p_size AS y, p_partkey % 40 + 1 AS x FROM part)
+    SELECT p_partkey, cz, cy, cx, z1, y1, x1, z1 - z0 = 2 AND y1 - y0 = 8 AND x1 - x0 = 16 AS "full" FROM (SELECT p_partkey, cz, cy, cx, cz * 2 AS z0, least(cz * 2 + 2, z) AS z1, cy * 8 AS y0, least(cy * 8 + 8, y) AS y1, cx * 16 AS x0, least(cx * 16 + 16, x) AS x1
+    FROM (SELECT *, unnest(range(0, (x + 15) // 16)) AS cx FROM (SELECT *, unnest(range(0, (y + 7) // 8)) AS cy FROM (SELECT *, unnest(range(0, (z + 1) // 2)) AS cz FROM levels))))"""
+
+
+@query(sql(f"SELECT * FROM ({GRIDS})", "p_partkey cz cy cx z1 y1 x1", rest='"full"'))
+def sql_chunk_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of many levels, one a part, by SQL alone."""
+    from ..functions.sql import register
+    from ..session import load
+
+    register(spark)
+    load(spark, sf_dir, "part").createOrReplaceTempView("level_parts")
+    return spark.sql("""SELECT p_partkey, cz, cy, cx, z1, y1, x1, full FROM level_parts, LATERAL chunk_grid(1L, 1L, p_size % 5 + 1, p_size, p_partkey % 40 + 1, 1L, 1L, 2L, 8L, 16L)""")

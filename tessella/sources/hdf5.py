@@ -106,7 +106,7 @@ class Hdf5File:
     def __init__(self, uri: str) -> None:
         folder, _, name = uri.rpartition("/")
         store = Store(folder or ".")
-        self.uri, self.file = uri, store.fs.open_input_file(f"{store.root}/{name}")
+        self.uri, self.file = uri, store.open(name)
         self.size, self.pages = self.file.size(), {}
         self.offsets, self.lengths, self.base = 8, 8, 0
         self.root = self._superblock()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from pathlib import PurePosixPath
 
+import pyarrow as pa
 from pyarrow import fs
 
 
@@ -18,6 +19,10 @@ class Store:
         with self.fs.open_input_stream(f"{self.root}/{name}") as f:
             return f.read()
 
+    def open(self, name: str) -> pa.NativeFile:
+        """A file for reads at any place."""
+        return self.fs.open_input_file(f"{self.root}/{name}")
+
     def find(self, name: str) -> bytes | None:
         """What a file holds; null without one."""
         try:

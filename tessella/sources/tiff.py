@@ -16,18 +16,43 @@ WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS, COUNTS, P
 STACK = r"/T(\d+)/CH(\d+)/([^/]+)$"
 
 
-def encode(plane: np.ndarray) -> bytes:
-    """One image of unsigned integers as a little-endian TIFF."""
+def encode(plane: np.ndarray, rows: int | None = None, deflate: bool = False) -> bytes:
+    """One image of unsigned integers as a little-endian TIFF, in strips of so many rows (one strip if null)."""
     bits = plane.dtype.itemsize * 8
-    data = plane.astype(plane.dtype.newbyteorder("<")).tobytes()
     y, x = plane.shape
-    tags = [(WIDTH, 4, x), (LENGTH, 4, y), (BITS, 3, bits), (COMPRESSION, 3, 1), (PHOTOMETRIC, 3, 1), (OFFSETS, 4, 8), (SAMPLES, 3, 1), (ROWS, 4, y), (COUNTS, 4, len(data))]
-    at = 8 + len(data) + len(data) % 2
-    body = struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", tag, kind, 1, value) for tag, kind, value in tags) + struct.pack("<I", 0)
-    return struct.pack("<2sHI", b"II", 42, at) + data + b"\0" * (len(data) % 2) + body
-
-
-def _ifds(data: bytes) -> tuple[str, list[dict[int, list[int]]]]:
+    rows = min(rows or y, y)
+    strips = [plane[k : k + rows].astype(plane.dtype.newbyteorder("<")).tobytes() for k in range(0, y, rows)]
+    strips = [zlib.compress(s) for s in strips] if deflate else strips
+    out, offsets = bytearray(8), []
+    for s in strips:
+        offsets.append(len(out))
+        out += s + b"\0" * (len(s) % 2)
+    tags = [(WIDTH, 4, [x]), (LENGTH, 4, [y]), (BITS, 3, [bits]), (COMPRESSION, 3, [8 if deflate else 1]), (PHOTOMETRIC, 3, [1]), (OFFSETS, 4, offsets), (SAMPLES, 3, [1]), (ROWS, 4, [rows]), (COUNTS, 4, [len(s) for s in strips])]
+    body = struct.pack("<H", len(tags))
+    for tag, kind, values in tags:
+        if len(values) == 1:
+            body += struct.pack("<HHII", tag, kind, 1, values[0])
+        else:
+            body += struct.pack("<HHII", tag, kind, len(values), len(out))
+            out += struct.pack(f"<{len(values)}I", *values)
+    out[:8] = struct.pack("<2sHI", b"II", 42, len(out))
+    return bytes(out) + body + struct.pack("<I", 0)
+
+
+class Ranged:
+    """A file's bytes, of which only the slices asked for are read."""
+
+    def __init__(self, file: pa.NativeFile) -> None:
+        self.file, self.read = file, 0
+
+    def __getitem__(self, part: slice) -> bytes:
+        begin = part.start or 0
+        found = self.file.read_at(part.stop - begin, begin)
+        self.read += len(found)
+        return found
+
+
+def _ifds(data: bytes | Ranged) -> tuple[str, list[dict[int, list[int]]]]:
     """Byte order and the tags of each image of a file."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or struct.unpack(f"{order}H", data[2:4])[0] != 42:
@@ -81,16 +106,25 @@ def page_count(data: bytes) -> int:
 def decode(data: bytes, page: int = 0) -> np.ndarray:
     """An image of a TIFF: grey, 8 or 16 bits, in strips, plain or compressed by LZW or deflate, with or without differencing."""
     order, pages = _ifds(data)
-    tags = pages[page]
+    return strips(data, order, pages[page])
+
+
+def strip_rows(tags: dict[int, list[int]]) -> int:
+    """Rows of a strip."""
+    return min(tags.get(ROWS, tags[LENGTH])[0], tags[LENGTH][0])
+
+
+def strips(data: bytes | Ranged, order: str, tags: dict[int, list[int]], first: int = 0, end: int | None = None) -> np.ndarray:
+    """The rows of an image that strips from ``first`` up to ``end`` (without it) hold; only these are read."""
     kind, bits = tags.get(COMPRESSION, [1])[0], tags.get(BITS, [1])[0]
     if kind not in (1, 5, 8, 32946) or tags.get(SAMPLES, [1]) != [1] or bits not in (8, 16) or OFFSETS not in tags:
         raise ValueError("only grey images of 8 or 16 bits in strips are read, plain or compressed by LZW or deflate")
     unpack = {1: bytes, 5: lzw}.get(kind, zlib.decompress)
-    strips = b"".join(unpack(data[o : o + n]) for o, n in zip(tags[OFFSETS], tags[COUNTS], strict=True))
-    plane = np.frombuffer(strips, f"{order}u{bits // 8}").reshape(tags[LENGTH][0], tags[WIDTH][0])
+    held = b"".join(unpack(data[o : o + n]) for o, n in list(zip(tags[OFFSETS], tags[COUNTS], strict=True))[first:end])
+    rows = np.frombuffer(held, f"{order}u{bits // 8}").reshape(-1, tags[WIDTH][0])
     if tags.get(PREDICTOR, [1]) == [2]:
-        plane = np.cumsum(plane, axis=1, dtype=plane.dtype.newbyteorder("="))
-    return plane
+        rows = np.cumsum(rows, axis=1, dtype=rows.dtype.newbyteorder("="))
+    return rows
 
 
 def planes_to_voxels(files: DataFrame) -> DataFrame:
