@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from functools import reduce as reduce_frames
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -241,3 +242,17 @@ def sql_chunk_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark)
     load(spark, sf_dir, "part").createOrReplaceTempView("level_parts")
     return spark.sql("""SELECT p_partkey, cz, cy, cx, z1, y1, x1, full FROM level_parts, LATERAL chunk_grid(1L, 1L, p_size % 5 + 1, p_size, p_partkey % 40 + 1, 1L, 1L, 2L, 8L, 16L)""")
+
+
+@query(dense("SELECT c, z, y, x, CASE WHEN c = 1 AND z < 4 THEN v // 2 ELSE v END AS v FROM dense", "c z y x v"))
+def zarr_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk tables put into a group by two transactions, the second over some chunks of the first."""
+    from ..sources.zarr import create_zarr, read_zarr, write_chunks
+
+    chunks, old = dense_chunks(spark, sf_dir)
+    uri = f"{scratch_path(spark, 'sink')}.ome.zarr"
+    create_zarr(ArrayDataset("orders", "uint16", 1, 2, (Level(0, old.shape, CHUNK),)), uri, "blosc")
+    write_chunks(chunks, uri)
+    halved, _ = halo.map_chunks(chunks.where("c = 1 and cz = 0"), old, lambda block: np.floor(block / 2))
+    write_chunks(halved, uri)
+    return read_zarr(spark, uri).select("c", "z", "y", "x", "v")

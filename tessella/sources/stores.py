@@ -38,21 +38,35 @@ class Store:
         self.fs.create_dir(str(PurePosixPath(path).parent), recursive=True)
         with self.fs.open_output_stream(part) as f:
             f.write(data)
+        self._rename(part, path)
+
+    def _rename(self, old: str, new: str) -> None:
         try:
-            self.fs.move(part, path)
+            self.fs.move(old, new)
         except OSError:
-            if self.fs.get_file_info(path).type == fs.FileType.NotFound:
+            if self.fs.get_file_info(new).type == fs.FileType.NotFound:
                 raise
             # a file system that doesn't rename onto what is there
-            self.fs.delete_file(path)
-            self.fs.move(part, path)
+            self.fs.delete_file(new)
+            self.fs.move(old, new)
+
+    def move(self, old: str, new: str) -> None:
+        """Rename a file of the store, over what may be there."""
+        path = f"{self.root}/{new}"
+        self.fs.create_dir(str(PurePosixPath(path).parent), recursive=True)
+        self._rename(f"{self.root}/{old}", path)
+
+    def delete(self, name: str) -> None:
+        self.fs.delete_file(f"{self.root}/{name}")
 
     def has(self, name: str) -> bool:
         return self.fs.get_file_info(f"{self.root}/{name}").type == fs.FileType.File
 
-    def names(self, below: str = "") -> list[str]:
-        found = self.fs.get_file_info(fs.FileSelector(f"{self.root}/{below}".rstrip("/"), recursive=True, allow_not_found=True))
-        return sorted(f.path[len(self.root) + 1 :] for f in found if f.type == fs.FileType.File and not f.path.endswith(".part"))
+    def names(self, below: str = "", relative: bool = False) -> list[str]:
+        """Files below a folder; ``relative`` to it instead of the store."""
+        top = f"{self.root}/{below}".rstrip("/")
+        found = self.fs.get_file_info(fs.FileSelector(top, recursive=True, allow_not_found=True))
+        return sorted(f.path[len(top if relative else self.root) + 1 :] for f in found if f.type == fs.FileType.File and not f.path.endswith(".part"))
 
     def folders(self, below: str = "") -> list[str]:
         """Names of the folders right below one."""

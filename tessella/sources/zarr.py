@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
 from ..model import DTYPES, ArrayDataset, Level, UnsupportedDtype
@@ -191,6 +191,11 @@ class ZarrDataSource(DataSource):
     def reader(self, schema: StructType) -> ZarrReader:
         return ZarrReader(self.options["path"], series_arrays if self.options.get("kind") == "series" else group_arrays)
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        from .zarr_sink import ZarrWriter
+
+        return ZarrWriter(self.options["path"], schema, overwrite)
+
 
 def read_zarr(spark: SparkSession, uri: str, kind: str = "group") -> DataFrame:
     """``kind``: group, or series."""
@@ -199,6 +204,12 @@ def read_zarr(spark: SparkSession, uri: str, kind: str = "group") -> DataFrame:
     return spark.read.format("zarr_v2").option("kind", kind).load(uri)
 
 
+def write_chunks(chunks: DataFrame, uri: str, overwrite: bool = False) -> None:
+    """Put a chunk table into a group made before, in one transaction."""
+    chunks.sparkSession.dataSource.register(ZarrDataSource)
+    chunks.select("r", "t", "c", "cz", "cy", "cx", "dtype", "codec", "payload").write.format("zarr_v2").mode("overwrite" if overwrite else "append").save(uri)
+
+
 def create_zarr(ds: ArrayDataset, uri: str, codec: str = "zstd", channels: list[dict] | None = None, fill_value: float = 0, separator: str = "/", order: str = "C") -> None:
     """The documents of a group whose chunks are all empty; regions are written afterwards."""
     store = Store(uri)
