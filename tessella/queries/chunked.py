@@ -255,4 +255,4 @@ def zarr_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_chunks(chunks, uri)
     halved, _ = halo.map_chunks(chunks.where("c = 1 and cz = 0"), old, lambda block: np.floor(block / 2))
     write_chunks(halved, uri)
-    return read_zarr(spark, uri).select("c", "z", "y", "x", "v")
+    return read_zarr(spark, uri).select("c", "z", "y", "x", F.col("v").cast("long").alias("v"))
