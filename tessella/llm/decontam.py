@@ -29,8 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import load, materialize
+from .columns import Through
 from .skew import spread_join
 from .words import ITEM_WORDS, Words, gram_hashes, gram_starts, pieces, window_minimum
 
@@ -131,9 +133,15 @@ def _arrays(columns: tuple[list, list, list, list]) -> list[pa.Array]:
 
 def contamination(docs: DataFrame, bench: DataFrame, text: str = "text", window: int = WINDOW, gram: int = GRAM, max_index_rows: int = 200_000, clean_only: bool = False) -> DataFrame:
     """``docs`` without their text, with n_words, n_hit, items and spans; or, with ``clean_only``, just the documents without a hit, text and all."""
-    spark = docs.sparkSession
+    through = Through(docs, text)
+    taken = ("n_words", "n_hit", "items", "spans")
+    kept = [c for c, given in through.names.items() if given.lower() not in taken or clean_only]
+    return through.back(_contamination(through.rows.select(*kept), bench, text, window, gram, max_index_rows, clean_only))
+
+
+def _contamination(docs: DataFrame, bench: DataFrame, text: str, window: int, gram: int, max_index_rows: int, clean_only: bool) -> DataFrame:
+    spark, kept = docs.sparkSession, docs.columns
     bench = bench.where("text is not null").select(F.col("item_id").cast("long"), "text")
-    kept = [c for c in docs.columns if c.lower() not in ("n_words", "n_hit", "items", "spans") or (clean_only and c in docs.columns)]
     # an item of n words has at most max(1, n - window + 1) fingerprints, and n is at most half its characters
     bound = bench.agg(F.sum(F.greatest(F.lit(1), F.length("text") / 2))).first()[0] or 0
     if bound > max_index_rows:
@@ -150,10 +158,9 @@ def contamination(docs: DataFrame, bench: DataFrame, text: str = "text", window:
                 own = [c for c in batch.schema.names if c != text]
                 yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in own), *_arrays(columns)], [*own, "n_words", "n_hit", "items", "spans"])
 
-    df = docs.select(*kept)
     if clean_only:
-        return df.mapInArrow(run, df.schema)
-    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != text), RESULT]))
+        return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, StructType([*(f for f in docs.schema if f.name != text), *StructType.fromDDL(RESULT)]))
 
 
 MOST_HELD = 64  # indexes of single items that a task keeps at once

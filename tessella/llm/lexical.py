@@ -65,12 +65,13 @@ class Index:
     def find(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the words that are terms, and which terms."""
         h = words.hashes()
-        low = np.minimum(np.searchsorted(self.hashes, h), max(self.terms - 1, 0))
+        low = np.searchsorted(self.hashes, h)
         at, term = [], []
         for step in range(self.same):
-            slot = np.minimum(low + step, self.terms - 1)
-            word = np.flatnonzero(self.hashes[slot] == h) if self.terms else np.zeros(0, np.int64)
-            slot = slot[word]
+            word = np.flatnonzero(low + step < self.terms)
+            slot = low[word] + step
+            same = self.hashes[slot] == h[word]
+            word, slot = word[same], slot[same]
             lengths = words.end[word] - words.start[word]
             fits = lengths == self.length[slot]
             word, slot, lengths = word[fits], slot[fits], lengths[fits]

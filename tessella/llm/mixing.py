@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import load, materialize
+from .columns import Through
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS, MAX_EPOCHS, SLOTS_PER_SHARD, SLOTS_PER_ROW, ROUNDS, SEED = 64, 3, 4096, 1 << 13, 12, 20240229
@@ -147,6 +148,8 @@ def mixed_documents(docs: DataFrame, text: str = "text", block_words: int = BLOC
     Whole documents keep their text as it is; of others the words taken are joined by one space. Columns as in
     ``docs``; ``n_chars`` is set anew where it is there.
     """
+    through = Through(docs, "doc_id", text, "source", "n_chars")
+    docs, names = through.rows, through.rows.columns
     rows = _numbered(docs, text)
     where, quota = placed(rows, "text", "doc_id", "number")
     # slots come from the few rows of the targets but grow with the mix: they must not be broadcast
@@ -155,13 +158,13 @@ def mixed_documents(docs: DataFrame, text: str = "text", block_words: int = BLOC
     epochs = parts.groupBy("number", "size", "epoch").agg(span.alias("spans"), F.sum(F.col("high") - F.col("low")).alias("words"))
     out = rows.select("row", "text", "number").join(epochs, "number")
     out = out.withColumn("mixed", F.when(F.col("words") < F.col("size"), _words_at(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
-    made = {text: F.col("mixed")} | ({"n_chars": F.length("mixed").cast("long")} if "n_chars" in docs.columns else {})
-    return out.select(*(made.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+    made = {text: F.col("mixed")} | ({"n_chars": F.length("mixed").cast("long")} if "n_chars" in names else {})
+    return through.back(out.select(*(made.get(c, F.col("row").getField(c)).alias(c) for c in names)))
 
 
 def mixed_blocks(docs: DataFrame, text: str = "text", block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """The mix as output shards: shard, source, slot, epoch and the block's words, joined by one space; partitioned and sorted by shard."""
-    rows = _numbered(docs, text)
+    rows = _numbered(Through(docs, "doc_id", text, "source").rows, text)
     where, quota = placed(rows, "text", "doc_id", "number")
     cut = rows.select("text", "number").join(pieces(where, block_words).groupBy("number", "skey", "begin").agg(F.array_sort(F.collect_list(F.struct("block", "low", "high"))).alias("cuts")), "number")
     cut = cut.withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).select("skey", "begin", "words", F.explode("cuts").alias("cut"))

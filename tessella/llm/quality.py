@@ -25,8 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import load, materialize
+from .columns import Through
 from .words import SPACE_WORDS, Words, gram_hashes, order_by, pieces
 
 MAX_FIT_ROWS, PAIRS_PER_ROW, RIDGE = 20_000, 8, 1e-2
@@ -113,7 +115,7 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in own), features], [*own, "features"])
 
     kept = [f for f in docs.schema if f.name != text]
-    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "features array<float>"]))
+    return docs.mapInArrow(run, StructType([*kept, *StructType.fromDDL("features array<float>")]))
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -210,7 +212,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", label: str
             x = text_features(batch.column(batch.schema.get_field_index(text))).astype(np.float32).astype(np.float64)
             yield batch.filter(pa.array(ranker.score(x) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    through = Through(docs, text)
+    return through.back(through.rows.mapInArrow(run, through.rows.schema))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load, materialize
+from .columns import Through
 from .skew import spread_join
 from .words import SPACE_WORDS, Words
 
@@ -132,8 +133,8 @@ def candidates_of(host: Column, path: Column, lengths: list[int]) -> Column:
 
 def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """``pages`` with host, path, rule (text of the longest that fits, else null) and verdict."""
-    spark = pages.sparkSession
-    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    spark, through = pages.sparkSession, Through(pages, url)
+    pages, kept = through.rows, [c for c, given in through.names.items() if given.lower() not in ("host", "path", "rule", "verdict")]
     host, path = host_and_path(F.col("url"))
     # columns that pass through travel in one, so that no name can clash
     row = F.struct(*(F.col(f"`{c}`") for c in kept)) if kept else F.lit(True)
@@ -158,7 +159,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     order = F.struct((F.length("host") + F.length("path")).alias("a"), F.length("host").alias("b"), "key", "action")
     fits = spread_join(candidates.distinct(), rules, ["key"], ["url"]).groupBy("url").agg(F.max(order).alias("best"))
     out = spread_join(pages.withColumn("place", F.monotonically_increasing_id()), fits, ["url"], ["place"], "left", counted=pages.select("url"))
-    return out.select(*([F.col("row.*")] if kept else []), "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    return through.back(out.select(*([F.col("row.*")] if kept else []), "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict")))
 
 
 def rules_table(spark: SparkSession) -> DataFrame:

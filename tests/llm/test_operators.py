@@ -672,7 +672,7 @@ def test_filter_has_no_false_negatives(spark, most):
 
 # columns that bear names that operators use
 
-NAMES = ["size", "words", "skey", "epoch", "spans", "begin", "text_hash", "twin", "number", "row", "mixed", "block", "key", "raw", "place", "best", "__key", "__share", "__url", "item", "n", "print", "id", "label", "h1", "features", "votes", "slice", "word", "held_out", "learn", "VALUE"]
+NAMES = ["size", "words", "skey", "epoch", "spans", "begin", "text_hash", "twin", "number", "row", "mixed", "block", "key", "raw", "place", "best", "__key", "__share", "__url", "item", "n", "print", "id", "label", "h1", "features", "votes", "slice", "word", "held_out", "learn", "VALUE", "a.b", "a`b", "a b", ".", "`", "a.`b`", '"q"', "__x0", "__x7", "1"]
 
 
 @pytest.fixture(scope="module")
@@ -754,7 +754,7 @@ ODD_SOURCES = [(i, t, s) for (i, t), s in zip([*ODD, (20, " ".join(f"z{k}" for k
 def test_pipeline_stages_on_odd_rows(spark, tmp_path, empty):
     import corpus_pipeline
 
-    docs = as_docs(spark, ODD_SOURCES).withColumns({"size": F.lit(1), "key": F.lit("k"), "spans": F.lit("s")})
+    docs = as_docs(spark, ODD_SOURCES).withColumns({"size": F.lit(1), "key": F.lit("k"), "spans": F.lit("s"), "a.b": F.lit("d"), "a`b": F.lit("b"), "__x1": F.lit("x")})
     docs = docs.limit(0) if empty else docs
     spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, " ".join(f"z{k}" for k in range(20, 40))), (None, "over and over same"), (3, None)], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
