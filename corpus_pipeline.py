@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import decontam, jaccard, mixing, quality, tokens
+from tessella.llm.columns import Through
 from tessella.session import load, materialize, reach
 
 #: Words a shingle and least similarity of near-duplicates, as num / den.
@@ -33,6 +34,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id; of repeated rows one; rows without a doc_id stay."""
     reach(spark)
+    through = Through(docs, "doc_id", "text")
+    return through.back(_one_of_each(through.rows))
+
+
+def _one_of_each(docs: DataFrame) -> DataFrame:
     groups = materialize(jaccard.jaccard_components(docs, SHINGLE, NUM, DEN), "pipeline-groups")
     gone = materialize(groups.where("component_id <> doc_id").select("doc_id").distinct(), "pipeline-gone")
     few = gone.count() <= jaccard.MOST_BROADCAST_IDS
