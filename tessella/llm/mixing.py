@@ -7,9 +7,9 @@ The mix is a list of output shards whose slots each take one block.
    weight, but none gets more than ``max_epochs`` times its own size. The excess is shared anew by weight until no
    target is above its limit. That has a closed form: sources that reach their limit are a prefix of the order by
    size / weight, and the first prefix that leaves every other source below its limit is it.
-2. Slots: a source gets as many slots as its target needs blocks of its mean length. Each slot falls on a
-   pseudorandom output shard, so the counts of sources in the shards are multinomial draws, given totals that meet
-   the targets.
+2. Draws: a source gets as many slots as its target needs blocks of its mean length. How many of them each output shard
+   gets is a multinomial draw, given that total: each slot falls on a shard by a hash, and the counts are kept. Prefix sums
+   over the shards, in two levels, give each shard its range of the source's slots.
 3. Slot i of a source with n blocks takes block permutation(i mod n) in epoch i div n. The permutation is a
    swap-or-not shuffle of 0..n-1: each round pairs x with (key - x) mod n and a hash of the pair says whether to
    swap, which is a bijection for every n and needs no table.
@@ -19,8 +19,8 @@ The mix is a list of output shards whose slots each take one block.
 Offsets of documents in their source's stream are prefix sums in two levels (chunks of documents, then sums of
 chunks), so that no task holds a whole source, however large; slots are made in two levels for the same reason.
 
-``mix_counts`` says how much the mix takes of each document, ``mixed_documents`` gives its documents, and ``mixed_blocks``
-its output shards, slot by slot, with the words of each block.
+``mix_counts`` says how much the mix takes of each document and which shard has its first words, ``mixed_documents`` gives the
+documents in that order within each partition, and ``mixed_blocks`` the output shards, slot by slot, with the words of each block.
 
 Defined cases: a null text has no words; documents without words are taken 0 times and have the target of their
 source; a null source is a source; equal rows are counted each for itself; a null doc_id sorts first; a text of any
@@ -91,18 +91,36 @@ def placed(docs: DataFrame, text: str, *keep: str) -> tuple[DataFrame, DataFrame
     return materialize(out, "mix-placed"), targets(sized)
 
 
-def slots(quota: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """One row for each slot of the mix: shard, skey, slot, block, epoch."""
+def draws(quota: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+    """How many slots each source gets in each output shard: skey, blocks, shard, n and ``first``, its slots in earlier shards.
+
+    Each of a source's slots falls on a shard by a hash, and only the counts stay: a multinomial draw, given the total.
+    """
     blocks = F.ceil(F.col("source_size") / block_words).cast("long")
     facts = quota.where("source_size > 0").select("skey", blocks.alias("blocks"), F.round(F.col("target") * blocks / F.col("source_size")).cast("long").alias("slots"))
-    facts = facts.withColumn("all_slots", F.sum("slots").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    facts = facts.where("slots > 0")
+    every = F.sum("slots").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    facts = facts.withColumn("shards", F.greatest(F.lit(1).cast("long"), F.floor(every / SLOTS_PER_SHARD))).where("slots > 0")
     runs = facts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SLOTS_PER_ROW))).alias("run"))
     runs = runs.repartition(int(quota.sparkSession.conf.get("spark.sql.shuffle.partitions")), "skey", "run")
     begin = F.col("run") * SLOTS_PER_ROW
-    one = runs.select("*", F.explode(F.sequence(begin, F.least(begin + SLOTS_PER_ROW, F.col("slots")) - 1)).alias("slot"))
+    one = runs.select("skey", "blocks", "shards", F.explode(F.sequence(begin, F.least(begin + SLOTS_PER_ROW, F.col("slots")) - 1)).alias("slot"))
+    shard = F.pmod(F.xxhash64(F.lit(seed), "skey", "slot"), F.col("shards"))
+    counts = one.groupBy("skey", "blocks", "shards", shard.alias("shard")).agg(F.count("*").alias("n"))
+    counts = counts.withColumn("group", F.floor(F.col("shard") / F.ceil(F.sqrt("shards"))))
+    within = Window.partitionBy("skey", "group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("skey").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy("skey", "group").agg(F.sum("n").alias("in_group"))
+    sums = sums.select("skey", "group", F.coalesce(F.sum("in_group").over(before), F.lit(0)).alias("earlier"))
+    counts = counts.withColumn("local", F.coalesce(F.sum("n").over(within), F.lit(0))).join(sums, ["skey", "group"])
+    return counts.select("skey", "blocks", "shard", "n", (F.col("local") + F.col("earlier")).alias("first"))
+
+
+def slots(quota: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+    """One row for each slot of the mix: shard, skey, slot, block, epoch. A shard's slots of a source follow those of its earlier shards."""
+    drawn = draws(quota, block_words, seed)
+    one = drawn.select("shard", "skey", "blocks", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
     return one.select(
-        F.pmod(F.xxhash64(F.lit(seed), "skey", "slot"), F.greatest(F.lit(1), F.floor(F.col("all_slots") / SLOTS_PER_SHARD))).alias("shard"),
+        "shard",
         "skey",
         "slot",
         permuted(F.pmod(F.col("slot"), F.col("blocks")), F.col("blocks"), F.xxhash64(F.lit(seed), "skey")).alias("block"),
@@ -120,14 +138,14 @@ def pieces(placed_docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 
 def mix_counts(docs: DataFrame, text: str = "text", block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words that the mix takes) of each document."""
+    """doc_id, size, source_size, target, taken (words that the mix takes) and first_shard (the first that holds any of them) of each document."""
     where, quota = placed(docs, text, "doc_id")
-    takes = slots(quota, block_words, seed).groupBy("skey", "block").agg(F.count("*").alias("times"))
+    takes = slots(quota, block_words, seed).groupBy("skey", "block").agg(F.count("*").alias("times"), F.min("shard").alias("first_shard"))
     taken = pieces(where, block_words).join(takes, ["skey", "block"], "left")
     words = F.sum((F.col("high") - F.col("low")) * F.coalesce("times", F.lit(0))).cast("long")
-    full = taken.groupBy("skey", "begin", "doc_id", "size").agg(words.alias("taken"))
-    empty = where.where("size = 0").select("skey", "begin", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
-    return full.unionByName(empty).join(quota, "skey").select("doc_id", "size", "source_size", "target", "taken")
+    full = taken.groupBy("skey", "begin", "doc_id", "size").agg(words.alias("taken"), F.min("first_shard").alias("first_shard"))
+    empty = where.where("size = 0").select("skey", "begin", "doc_id", "size", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_shard"))
+    return full.unionByName(empty).join(quota, "skey").select("doc_id", "size", "source_size", "target", "taken", "first_shard")
 
 
 def _numbered(docs: DataFrame, text: str) -> DataFrame:
@@ -143,7 +161,7 @@ def _words_at(text: Column, spans: Column) -> Column:
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """The mix as documents: each, once an epoch, with the words that the mix takes from it then.
+    """The mix as documents: each, once an epoch, with the words that the mix takes from it then, in the order of its first shard.
 
     Whole documents keep their text as it is; of others the words taken are joined by one space. Columns as in
     ``docs``; ``n_chars`` is set anew where it is there.
@@ -153,11 +171,12 @@ def mixed_documents(docs: DataFrame, text: str = "text", block_words: int = BLOC
     rows = _numbered(docs, text)
     where, quota = placed(rows, "text", "doc_id", "number")
     # slots come from the few rows of the targets but grow with the mix: they must not be broadcast
-    parts = pieces(where, block_words).join(slots(quota, block_words, seed).select("skey", "block", "epoch").hint("merge"), ["skey", "block"])
+    parts = pieces(where, block_words).join(slots(quota, block_words, seed).select("shard", "skey", "block", "epoch").hint("merge"), ["skey", "block"])
     span = F.array_sort(F.collect_list(F.struct("low", "high")))
-    epochs = parts.groupBy("number", "size", "epoch").agg(span.alias("spans"), F.sum(F.col("high") - F.col("low")).alias("words"))
+    epochs = parts.groupBy("number", "size", "epoch").agg(span.alias("spans"), F.sum(F.col("high") - F.col("low")).alias("words"), F.min("shard").alias("shard"))
     out = rows.select("row", "text", "number").join(epochs, "number")
     out = out.withColumn("mixed", F.when(F.col("words") < F.col("size"), _words_at(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
+    out = out.sortWithinPartitions("shard")
     made = {text: F.col("mixed")} | ({"n_chars": F.length("mixed").cast("long")} if "n_chars" in names else {})
     return through.back(out.select(*(made.get(c, F.col("row").getField(c)).alias(c) for c in names)))
 

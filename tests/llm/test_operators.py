@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessella.llm import decontam, graph, jaccard, lm, mixing, quality, registry, skew, substrings, tokens, toxicity, urls, vectors
@@ -631,6 +632,71 @@ def test_blocks_make_shards(spark, monkeypatch):
     assert taken == Counter(w for r in mixing.mixed_documents(docs).collect() for w in r["text"].split())
 
 
+def spark_hash(*values):
+    """xxhash64 over columns: each value's bytes with the hash so far as the seed; nulls leave it as it is."""
+    h = 42
+    for kind, v in values:
+        if v is not None:
+            data = v.encode() if kind == "string" else v.to_bytes(4 if kind == "int" else 8, "little", signed=True)
+            h = xxhash.xxh64_intdigest(data, seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def mixed_by_hand(rows, shard_slots, block=64, seed=20240229):
+    """(doc_id, size, taken, first_shard) of each row, slot by slot."""
+    size_of = [len((t or "").split()) for _, t, _ in rows]
+    chunks = max(1, round(len(rows) ** 0.5))
+    text_hash = [spark_hash(("string", t)) for _, t, _ in rows]
+    streams = defaultdict(list)
+    for k, (i, _, s) in enumerate(rows):
+        streams["t" if s is None else f"s{s}"].append((spark_hash(("long", i), ("long", text_hash[k])) % chunks, i is not None, i or 0, text_hash[k], size_of[k], k))
+    total = {s: sum(x[4] for x in docs) for s, docs in streams.items()}
+    weight = {s: n % 3 + 1 for n, s in enumerate(sorted(streams))}
+    target, free, rest = {}, set(streams), float(sum(total.values()))
+    while over := {s for s in free if rest / sum(weight[x] for x in free) * weight[s] > 3 * total[s]}:
+        target |= {s: 3.0 * total[s] for s in over}
+        rest, free = rest - sum(3 * total[s] for s in over), free - over
+    target |= {s: rest / sum(weight[x] for x in free) * weight[s] for s in free}
+    blocks = {s: -(-n // block) for s, n in total.items() if n}
+    slots = {s: math.floor(target[s] * n / total[s] + 0.5) for s, n in blocks.items()}
+    shards = max(1, sum(slots.values()) // shard_slots)
+    taken, first = [0] * len(rows), [None] * len(rows)
+    for s, n in slots.items():
+        owner, at = [], 0  # which row each word of the stream belongs to
+        for *_, size, k in sorted(streams[s]):
+            owner += [k] * size
+        drawn = Counter(spark_hash(("int", seed), ("string", s), ("long", slot)) % shards for slot in range(n))
+        salt = spark_hash(("int", seed), ("string", s))
+        for shard in sorted(drawn):
+            for slot in range(at, at + drawn[shard]):
+                x = slot % blocks[s]
+                for r in range(12):
+                    other = (spark_hash(("long", salt), ("int", r)) % blocks[s] - x) % blocks[s]
+                    if spark_hash(("long", salt), ("int", r), ("long", max(x, other))) % 2:
+                        x = other
+                for k in owner[x * block : (x + 1) * block]:
+                    taken[k] += 1
+                    first[k] = shard if first[k] is None else min(first[k], shard)
+            at += drawn[shard]
+    return [(rows[k][0], size_of[k], taken[k], first[k]) for k in range(len(rows))]
+
+
+def test_taken_is_that_of_a_plain_loop(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS_PER_SHARD", 9)
+    monkeypatch.setattr(mixing, "SLOTS_PER_ROW", 5)
+    rng = random.Random(26)
+    rows = [(i, " ".join(words(rng, rng.randint(0, 150))), rng.choice(["a", "b", "b", "b", "é", None])) for i in range(150)]
+    rows += [(None, "p q r", "a"), (7, rows[7][1], rows[7][2]), (160, None, "b"), (161, "", None), (162, "just this", "tiny")]
+    want = mixed_by_hand(rows, 9)
+    got = [(r["doc_id"], r["size"], r["taken"], r["first_shard"]) for r in mixing.mix_counts(as_docs(spark, rows)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert len({x[3] for x in want}) > 5 and sum(x[2] for x in want) > 5000
+    drawn = mixing.draws(mixing.placed(as_docs(spark, rows), "text", "doc_id")[1]).collect()
+    for source in {r["skey"] for r in drawn}:
+        own = sorted((r["shard"], r["first"], r["n"]) for r in drawn if r["skey"] == source)
+        assert [f for _, f, _ in own] == [sum(n for *_, n in own[:k]) for k in range(len(own))]
+
+
 def test_permutation_is_one(spark):
     for n in (1, 2, 7, 1000):
         df = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(5)).alias("p"))
