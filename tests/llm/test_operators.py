@@ -477,8 +477,39 @@ def model_scores(rows, least):
 def test_all_levels_are_kept(spark, corpus, monkeypatch):
     monkeypatch.setattr(lm, "BITS_PER_ENTRY", 1000)  # no collisions
     rows = [*corpus, *ODD]
-    got = lm.lm_scores(as_docs(spark, rows), most_bytes=4096, min_count=2).collect()
-    assert sorted(((r["doc_id"], round(r["score"], 6)) for r in got), key=str) == model_scores(rows, 2)
+    for most in (0, 64 << 20):
+        got = lm.lm_scores(as_docs(spark, rows), most_broadcast=most, min_count=2, segment_tokens=300).collect()
+        assert sorted(((r["doc_id"], round(r["score"], 6)) for r in got), key=str) == model_scores(rows, 2)
+
+
+def test_a_filter_answers_alike_where_it_lies_and_broadcast(spark, corpus, monkeypatch):
+    """With collisions too: both ways probe the same bits, however many segments hold them."""
+    monkeypatch.setattr(lm, "BITS_PER_ENTRY", 2)
+    monkeypatch.setattr(lm, "SLICE_BYTES", 2000)
+    monkeypatch.setattr(lm, "MOST_HELD", 500)
+    docs, found = as_docs(spark, [*corpus, *ODD]), []
+    for most, tokens in ((0, 500), (1 << 30, 500), (0, 10**9), (1 << 30, 10**9)):
+        got = lm.lm_scores(docs, most_broadcast=most, most_frequent=20, segment_tokens=tokens).collect()
+        found.append(sorted(str((r["doc_id"], r["n_known"], round(r["base_score"], 9), round(r["score"], 9))) for r in got))
+    assert found[0] == found[1] and found[2] == found[3]
+    base = lambda rows: [r.rpartition(",")[0] for r in rows]
+    assert base(found[0]) == base(found[2])  # collisions, hence scores, may differ with the segments; the base score can't
+
+
+def test_a_whole_filter_is_its_parts():
+    rng = np.random.default_rng(3)
+    h = np.unique(lm.keys(rng.integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2)))
+    n = rng.integers(1, 100, len(h))
+    segment, first = lm.segments_of(h, 7)
+    parts = [(s, lm.segment_filter(h[a:b], n[a:b], 10)) for s, a, b in zip(segment.tolist(), first, [*first[1:], len(h)], strict=True) if s != 3]
+    whole = lm.WholeFilter(7, ((s, p.bits.tobytes()) for s, p in parts))
+    got = whole.levels(h)
+    for s, p in parts:
+        own = lm.segments_of(h, 7)[0].tolist().index(s)
+        a, b = first[own], [*first[1:], len(h)][own]
+        assert (got[a:b] == p.levels(lm.mix64(h[a:b]))).all() and (got[a:b] >= lm.level(n[a:b])).all()
+    missing = slice(first[3], first[4])
+    assert (got[missing] == 0).all() and lm.WholeFilter(7, iter([])).levels(h).sum() == 0
 
 
 def test_bigrams_seen_once_count(spark, corpus, monkeypatch):
