@@ -39,16 +39,19 @@ def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str =
     Rows are dealt to tasks by ranges of keys and order, so that a key may have any number of them: a task numbers its own,
     and counts of the ranges before (a row a key and range) are added.
     """
-    own = rows.withColumns({f"__order{i}": c for i, c in enumerate(order)})
-    by = [f"__order{i}" for i in range(len(order))]
-    dealt = materialize(own.repartitionByRange(*keys, *by).withColumn("__range", F.spark_partition_id()), "numbered")
-    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy(*keys, "__range").agg(F.count("*").alias("__n")).select(*keys, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy(*keys, "__range").orderBy(*by)
-    local = dealt.withColumn("__local", F.rank().over(within) if ties else F.row_number().over(within))
-    same = [local[k].eqNullSafe(counts[k]) for k in [*keys, "__range"]]
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    # the row travels as one column, so that none of its names can clash with those used here
+    keyed = [quoted(k).alias(f"key{i}") for i, k in enumerate(keys)]
+    own = rows.select(F.struct(*map(quoted, rows.columns)).alias("row"), *keyed, *(c.alias(f"order{i}") for i, c in enumerate(order)))
+    by, of = [f"order{i}" for i in range(len(order))], [f"key{i}" for i in range(len(keys))]
+    dealt = materialize(own.repartitionByRange(*of, *by).withColumn("part", F.spark_partition_id()), "numbered")
+    before = Window.partitionBy(*of).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*of, "part").agg(F.count("*").alias("n")).select(*of, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    within = Window.partitionBy(*of, "part").orderBy(*by)
+    local = dealt.withColumn("local", F.rank().over(within) if ties else F.row_number().over(within))
+    same = [local[k].eqNullSafe(counts[k]) for k in [*of, "part"]]
     out = local.join(counts, reduce(lambda a, b: a & b, same))
-    return out.select(*(local[c] for c in rows.columns), (F.col("__local") + F.col("__before")).alias(name))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in rows.columns), (F.col("local") + F.col("earlier")).alias(name))
 
 
 def visible_roots(roots: DataFrame, authenticated: bool) -> DataFrame:
@@ -74,16 +77,15 @@ def roots_of_users(roots: DataFrame, folders: DataFrame, allowed: DataFrame, all
 
 def may_enter(requests: DataFrame, grants: DataFrame) -> DataFrame:
     """``requests`` (user, root, ...) that ``grants`` of ``roots_of_users`` allow."""
-    asked = requests.withColumn("__user", F.lower("user"))
     open_ = grants.where("user is null").select("root")
-    all_ = grants.where("root is null").select(F.col("user").alias("__user"))
-    pairs = grants.where("user is not null and root is not null").select(F.col("user").alias("__user"), "root")
-    free = asked.join(open_, "root", "left_semi")
-    rest = asked.join(open_, "root", "left_anti")
-    whole = rest.join(all_, "__user", "left_semi")
-    named = rest.join(all_, "__user", "left_anti").join(pairs, ["__user", "root"], "left_semi")
-    columns = requests.columns
-    return free.select(columns).union(whole.select(columns)).union(named.select(columns))
+    all_ = grants.where("root is null").select(F.col("user").alias("whole_user"))
+    pairs = grants.where("user is not null and root is not null").select(F.col("user").alias("named_user"), F.col("root").alias("named_root"))
+    free = requests.join(open_, requests["root"] == open_["root"], "left_semi")
+    rest = requests.join(open_, requests["root"] == open_["root"], "left_anti")
+    user = F.lower(requests["user"])
+    whole = rest.join(all_, user == all_["whole_user"], "left_semi")
+    named = rest.join(all_, user == all_["whole_user"], "left_anti").join(pairs, (user == pairs["named_user"]) & (requests["root"] == pairs["named_root"]), "left_semi")
+    return free.union(whole).union(named)
 
 
 def longest_root(paths: DataFrame, roots: DataFrame, path: str = "path", closest: bool = False) -> DataFrame:
@@ -112,7 +114,8 @@ def subtree_filter(entries: DataFrame, allowed: DataFrame, open_access: bool = F
     if open_access:
         return entries
     part = F.lower(F.element_at(F.filter(F.split("path", "/"), lambda p: p != ""), segment))
-    return entries.withColumn("__part", part).join(allowed.select(F.col("allowed").alias("__part")).distinct(), "__part", "left_semi").drop("__part")
+    names = allowed.select(F.col("allowed").alias("allowed_part")).distinct()
+    return entries.join(names, part == names["allowed_part"], "left_semi")
 
 
 def listing(entries: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .reduce import KEYS
@@ -128,38 +128,41 @@ def resize_nearest(voxels: DataFrame, shape: Sequence[int], target: Sequence[int
     return out
 
 
-def cubic_weights(n: int, m: int) -> list[tuple[int, int, float]]:
-    """(source, target, weight) of cubic spline interpolation of n voxels at m places, mirrored at the border voxels.
+def cubic_weights(spark: SparkSession, n: int, m: int) -> DataFrame:
+    """source, target, weight of cubic spline interpolation of n voxels at m places, mirrored at the border voxels; made by tasks.
 
     A spline's coefficients are the voxels weighted by sqrt(3) (sqrt(3) - 2)^distance; weights below 1e-15 are left out.
     """
     pole, reach = math.sqrt(3) - 2, 27
     period = max(1, 2 * n - 2)
-    out: dict[tuple[int, int], float] = {}
-    for i in range(m):
-        place = (i + 0.5) * n / m - 0.5
-        for k in range(math.floor(place) - 1, math.floor(place) + 3):
-            d = abs(place - k)
-            basis = 2 / 3 - d * d + d**3 / 2 if d < 1 else (2 - d) ** 3 / 6 if d < 2 else 0.0
-            for j in range(k - reach, k + reach + 1) if basis else ():
-                source = abs((j + period) % period if n > 1 else 0)
-                source = min(source, period - source) if n > 1 else 0
-                out[source, i] = out.get((source, i), 0.0) + basis * math.sqrt(3) * pole ** abs(j - k)
-    return [(s, i, w) for (s, i), w in out.items() if abs(w) >= 1e-15]
+    near = spark.range(m).select(F.col("id").cast("int").alias("target"), ((F.col("id") + 0.5) * n / F.lit(m) - 0.5).alias("place"))
+    near = near.withColumn("k", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(2)), lambda d: F.floor("place") + d)))
+    d = F.abs(F.col("place") - F.col("k"))
+    basis = F.when(d < 1, 2 / 3 - d * d + d * d * d / 2).when(d < 2, (2 - d) * (2 - d) * (2 - d) / 6)
+    near = near.withColumn("basis", basis).where("basis > 0").withColumn("step", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
+    source = F.pmod(F.col("k") + F.col("step"), F.lit(period)) if n > 1 else F.lit(0)
+    source = F.least(source, period - source) if n > 1 else source
+    weight = F.col("basis") * math.sqrt(3) * F.when(F.col("step") % 2 == 0, 1.0).otherwise(-1.0) * F.pow(F.lit(-pole), F.abs("step"))
+    return near.groupBy(source.cast("int").alias("source"), "target").agg(F.sum(weight).alias("weight")).where("abs(weight) >= 1e-15")
+
+
+#: Places of an axis whose weights, some fifty a place, are broadcast.
+MOST_PLACES = 20_000
 
 
 def resize_cubic(voxels: DataFrame, shape: Sequence[int], target: Sequence[int], keys: Sequence[str] = KEYS) -> DataFrame:
     """Another shape by cubic splines, axis by axis; results stay within the range of the input. Every voxel of the box must be there.
 
-    The weights of an axis, some fifty for each of its target places, are broadcast.
+    Weights of an axis are broadcast up to MOST_PLACES target places, and joined by a shuffle beyond.
     """
     spark, out = voxels.sparkSession, voxels.withColumn("v", F.col("v").cast("double"))
     for axis, n, m in zip(SPACE, shape, target, strict=True):
         if n == m:
             continue
-        weights = spark.createDataFrame(cubic_weights(n, m), f"{axis} int, __to int, __w double")
+        weights = cubic_weights(spark, n, m)
+        weights = F.broadcast(weights) if m <= MOST_PLACES else weights
         rest = [a for a in SPACE if a != axis]
-        out = out.join(F.broadcast(weights), axis).groupBy(*keys, *rest, F.col("__to").alias(axis)).agg(F.sum(F.col("v") * F.col("__w")).alias("v"))
+        out = out.join(weights, out[axis] == weights["source"]).groupBy(*keys, *rest, weights["target"].alias(axis)).agg(F.sum(F.col("v") * F.col("weight")).alias("v"))
     bounds = voxels.agg(F.min("v").cast("double").alias("__low"), F.max("v").cast("double").alias("__high")).first()
     if bounds["__low"] is None:
         return out

@@ -83,3 +83,23 @@ def test_numbers_within_keys(spark):
         own = sorted((r["v"], r["i"]) for r in rows.collect() if r["k"] == k)
         assert [got[i] for _, i in own] == list(range(1, len(own) + 1))
         assert all(tied[i] == 1 + sum(w < v for w, _ in own) for v, i in own)
+
+
+def test_numbering_leaves_columns_alone(spark):
+    names = ["__order0", "__n", "order0", "key0", "part", "local", "row", "n", "earlier", "a.b", "a`b", "place "]
+    rows = spark.createDataFrame([(i % 3, i, *(f"{n}-{i}" for n in names)) for i in range(30)], ["k", "v", *names])
+    got = catalog.numbered(rows, ["k"], [-F.col("v")])
+    assert got.columns == [*rows.columns, "place"]
+    for r in got.collect():
+        assert r["place"] == 10 - r["v"] // 3 and all(r[n] == f"{n}-{r['v']}" for n in names)
+    dotted = rows.select("v", F.col("k").alias("k.k"))
+    assert {r["v"]: r["place"] for r in catalog.numbered(dotted, ["k.k"], [F.col("v")]).collect()} == {i: i // 3 + 1 for i in range(30)}
+
+
+def test_filters_by_names_leave_columns_alone(spark):
+    entries = spark.createDataFrame([("/a/b/Ann/x", "p", "q"), ("/a/b/bob/x", "r", "s")], "path string, __part string, allowed string")
+    allowed = spark.createDataFrame([("ann", "ann"), ("ann", "ann")], "user string, allowed string")
+    assert [tuple(r) for r in catalog.subtree_filter(entries, allowed).collect()] == [("/a/b/Ann/x", "p", "q")]
+    asked = spark.createDataFrame([("Ann", "r1", "x"), ("bob", "r1", "y"), ("cy", "r2", "z"), ("Di", "r9", "w")], "user string, root string, __user string")
+    grants = spark.createDataFrame([("ann", "r1"), (None, "r2"), ("di", None)], "user string, root string")
+    assert sorted(tuple(r) for r in catalog.may_enter(asked, grants).collect()) == [("Ann", "r1", "x"), ("Di", "r9", "w"), ("cy", "r2", "z")]
