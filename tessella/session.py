@@ -65,8 +65,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in a folder of its own under the shared one, which goes with all in it when the driver ends."""
+    folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    place, fs = _path(spark, folder)
+    fs.mkdirs(place)
+    fs.deleteOnExit(place)
+    return f"{folder}/{name}"
 
 
 def materialize(df: DataFrame, name: str, *spent: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -84,7 +88,6 @@ def materialize(df: DataFrame, name: str, *spent: DataFrame, by: tuple[str, ...]
         df.write.partitionBy(*by).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    _path(spark, path)[1].deleteOnExit(_path(spark, path)[0])
     discard(*spent)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
@@ -95,7 +98,7 @@ def discard(*tables: DataFrame) -> None:
     """Delete the files of results of ``materialize``, which nothing may read any more."""
     for t in tables:
         place, fs = _path(t.sparkSession, t._scratch)
-        fs.delete(place, True)
+        fs.delete(place.getParent(), True)
 
 
 def _path(spark: SparkSession, path: str) -> tuple:

@@ -9,6 +9,17 @@ import pyarrow as pa
 from pyarrow import fs
 
 
+def rename_over(files: fs.FileSystem, old: str, new: str) -> None:
+    """Rename a file, over what may be there, also where a file system refuses that."""
+    try:
+        files.move(old, new)
+    except OSError:
+        if files.get_file_info(new).type == fs.FileType.NotFound:
+            raise
+        files.delete_file(new)
+        files.move(old, new)
+
+
 class Store:
     """A folder on any file system that pyarrow knows."""
 
@@ -38,23 +49,13 @@ class Store:
         self.fs.create_dir(str(PurePosixPath(path).parent), recursive=True)
         with self.fs.open_output_stream(part) as f:
             f.write(data)
-        self._rename(part, path)
-
-    def _rename(self, old: str, new: str) -> None:
-        try:
-            self.fs.move(old, new)
-        except OSError:
-            if self.fs.get_file_info(new).type == fs.FileType.NotFound:
-                raise
-            # a file system that doesn't rename onto what is there
-            self.fs.delete_file(new)
-            self.fs.move(old, new)
+        rename_over(self.fs, part, path)
 
     def move(self, old: str, new: str) -> None:
         """Rename a file of the store, over what may be there."""
         path = f"{self.root}/{new}"
         self.fs.create_dir(str(PurePosixPath(path).parent), recursive=True)
-        self._rename(f"{self.root}/{old}", path)
+        rename_over(self.fs, f"{self.root}/{old}", path)
 
     def delete(self, name: str) -> None:
         self.fs.delete_file(f"{self.root}/{name}")

@@ -213,3 +213,43 @@ def test_retries_end(monkeypatch):
     with pytest.raises(OSError, match="no route"):
         remote_array.fetch("http://x", tries=3, wait=0.0)
     assert len(calls) == 3
+
+
+def test_renames_go_over_what_is_there(tmp_path):
+    """As on file systems that refuse to rename onto a file."""
+    from pyarrow import fs as pafs
+
+    from tessella.sources.stores import rename_over
+
+    class Refusing:
+        def __init__(self):
+            self.fs = pafs.LocalFileSystem()
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+        def move(self, old, new):
+            if self.fs.get_file_info(new).type != pafs.FileType.NotFound:
+                raise OSError("exists")
+            self.fs.move(old, new)
+
+    (tmp_path / "a").write_text("new")
+    (tmp_path / "b").write_text("old")
+    rename_over(Refusing(), str(tmp_path / "a"), str(tmp_path / "b"))
+    assert (tmp_path / "b").read_text() == "new" and not (tmp_path / "a").exists()
+    with pytest.raises(OSError):
+        rename_over(Refusing(), str(tmp_path / "a"), str(tmp_path / "c"))
+
+
+def test_scratch_folders_are_their_own(spark, tmp_path):
+    from tessella.session import discard, materialize, scratch_path
+
+    one, two = scratch_path(spark, "x.ome.zarr"), scratch_path(spark, "x.ome.zarr")
+    assert one != two and one.endswith("/x.ome.zarr")
+    table = materialize(spark.range(3), "three")
+    from pathlib import Path
+
+    folder = Path(table._scratch.removeprefix("file://")).parent
+    assert folder.exists() and table.count() == 3
+    discard(table)
+    assert not folder.exists()
