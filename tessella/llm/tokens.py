@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load, reach, scratch_path
+from ..sources.stores import rename_over
 
 TOKENIZER, END_ID, LENGTH, ROWS = "byte_bpe_50k.json", 2, 2048, 512
 MOST_PIECES, LONGEST_KEPT, SHARD_BYTES, INDEX_ROWS = 1_200_000, 64, 128 << 20, 1 << 16
@@ -200,7 +201,7 @@ class ShardWriter:
         for held in (self.file, self.sink, self.index_file, self.index_sink):
             held.close()
         for kind in ("index.arrow", "arrow"):
-            self.fs.move(f"{self.part}.{kind}", f"{self.dir}/{self.name}.{kind}")
+            rename_over(self.fs, f"{self.part}.{kind}", f"{self.dir}/{self.name}.{kind}")
 
 
 class ShardReader:
