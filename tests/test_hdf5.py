@@ -11,7 +11,7 @@ from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThanOrEqual
 
 from tessella.model import ArrayDataset, Level, UnsupportedDtype
 from tessella.operators import chunked, encode, reduce
-from tessella.sources import config, hdf5, hdf5_write, imaris
+from tessella.sources import config, hdf5, hdf5_virtual, hdf5_write, imaris
 from tessella.sources.hdf5 import Hdf5Error, Hdf5File
 
 NOWHERE = (1 << 64) - 1
@@ -272,3 +272,112 @@ def test_slabs_are_files_of_their_own(spark, tmp_path):
     with pytest.raises(config.MissingDependency):
         config.open_dataset(spark, "x.omehans")
     assert json.dumps(config.describe(str(tmp_path / "none.ims"))) == "null"
+
+
+# virtual arrays
+
+
+def hyperslab(version, low, size):
+    rank = len(low)
+    if version == 1:
+        return struct.pack(f"<IIIIII{2 * rank}I", 2, 1, 0, 8 + 8 * rank, rank, 1, *low, *(b + n - 1 for b, n in zip(low, size, strict=True)))
+    if version == 2:
+        return struct.pack("<IIBII", 2, 2, 0, 4 + 32 * rank, rank) + b"".join(struct.pack("<4Q", b, 1, 1, n) for b, n in zip(low, size, strict=True))
+    return struct.pack("<IIBBI", 2, 3, 1, 4, rank) + b"".join(struct.pack("<4I", b, n // 2, 2, n // 2) if n % 2 == 0 else struct.pack("<4I", b, 1, 1, n) for b, n in zip(low, size, strict=True))
+
+
+def virtual_file(shape, entries):
+    """A file whose array ``vdata`` of that shape lists sources: (file, dataset, serialized selections)."""
+
+    def message(kind, body):
+        return struct.pack("<BHB", kind, len(body), 0) + body
+
+    def header(messages):
+        body = b"".join(messages)
+        return b"OHDR" + bytes([2, 1]) + struct.pack("<H", len(body)) + body + b"\0\0\0\0"
+
+    block = struct.pack("<BQ", 0, len(entries)) + b"".join(f.encode() + b"\0" + d.encode() + b"\0" + s for f, d, s in entries) + b"sum!"
+    other = struct.pack("<HH4xQ", 1, 1, 5) + b"other\0\0\0"
+    kept = struct.pack("<HH4xQ", 2, 1, len(block)) + block + b"\0" * (-len(block) % 8)
+    heap = b"GCOL" + struct.pack("<B3xQ", 1, 16 + len(other) + len(kept)) + other + kept
+    out = bytearray(48)
+    place = len(out)
+    out += heap
+    array = len(out)
+    out += header([message(1, struct.pack("<BBBB5Q", 2, 5, 0, 1, *shape)), message(3, LE16), message(8, struct.pack("<BBQI", 4, 3, place, 2))])
+    root = len(out)
+    out += header([message(6, struct.pack("<BBB", 1, 0, 5) + b"vdata" + struct.pack("<Q", array))])
+    out[:48] = b"\x89HDF\r\n\x1a\n" + struct.pack("<BBBBQQQQI", 3, 8, 8, 0, 0, NOWHERE, len(out), root, 0)
+    return bytes(out)
+
+
+EVERYTHING = struct.pack("<IIII", 3, 1, 0, 0)
+
+
+@pytest.fixture(scope="module")
+def shards(tmp_path_factory):
+    """Level 0: a shard of three axes for each time, channel and four planes; level 1: one shard of five axes."""
+    root = tmp_path_factory.mktemp("vds")
+    array = np.random.default_rng(4).integers(1, 65536, (2, 2, 10, 6, 7)).astype("<u2")
+    small = np.random.default_rng(5).integers(1, 65536, (2, 2, 5, 3, 4)).astype("<u2")
+
+    def packed(a, chunk):
+        padded = np.pad(a, [(0, -n % k) for n, k in zip(a.shape, chunk, strict=True)])
+        data = {}
+        for at in np.ndindex(*(n // k for n, k in zip(padded.shape, chunk, strict=True))):
+            data[at] = hdf5_write.pack(np.ascontiguousarray(padded[tuple(slice(i * k, (i + 1) * k) for i, k in zip(at, chunk, strict=True))]).tobytes(), 2)
+        return hdf5_write.Array(a.shape, np.dtype("<u2"), chunk, data)
+
+    entries = []
+    for k, (t, c, z) in enumerate((t, c, z) for t in range(2) for c in range(2) for z in range(0, 10, 4)):
+        part = array[t, c, z : z + 4]
+        file = hdf5_write.Group()
+        file.members["data"] = packed(part, (2, 4, 4))
+        (root / f"s{k}.h5").write_bytes(hdf5_write.encode(file))
+        low, size = (t, c, z, 0, 0), (1, 1, *part.shape)
+        entries.append((f"s{k}.h5", "/data", (EVERYTHING if k % 2 else hyperslab(1, (0, 0, 0), part.shape)) + hyperslab(1 + k % 3, low, size)))
+    (root / "VDS_0.hf").write_bytes(virtual_file(array.shape, entries))
+    file = hdf5_write.Group()
+    file.members["all"] = packed(small, (1, 1, 2, 2, 4))
+    (root / "deep.h5").write_bytes(hdf5_write.encode(file))
+    (root / "VDS_1.hf").write_bytes(virtual_file(small.shape, [(str(root / "deep.h5"), "all", EVERYTHING + EVERYTHING)]))
+    return str(root), array, small
+
+
+def test_virtual_arrays_are_opened_and_read(spark, shards):
+    uri, array, small = shards
+    ds = hdf5_virtual.open_virtual(uri)
+    assert (ds.T, ds.C, ds.dtype) == (2, 2, "uint16")
+    assert ds.levels == (Level(0, (10, 6, 7), (2, 4, 4), (50.0, 1.0, 1.0)), Level(1, (5, 3, 4), (2, 2, 4), (100.0, 2.0, 2.0)))
+    for r, a in enumerate((array, small)):
+        got = np.zeros(a.shape)
+        for row in hdf5_virtual.virtual_voxels(spark, uri, r).collect():
+            got[row["t"], row["c"], row["z"], row["y"], row["x"]] = row["v"]
+        assert (got == a).all()
+
+
+def test_predicates_leave_out_shards(shards):
+    uri, *_ = shards
+    reader = hdf5_virtual.VirtualReader(uri)
+    list(reader.pushFilters([EqualTo(("r",), 0), EqualTo(("t",), 1), GreaterThan(("cz",), 2), EqualTo(("cy",), 0)]))
+    parts = reader.partitions()
+    assert sorted((p.source.low[1], p.source.low[2]) for p in parts) == [(c, z) for c in range(2) for z in (4, 8)]
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted((r["t"], r["c"], r["cz"], r["cy"], r["cx"]) for r in rows) == [(1, c, z, 0, x) for c in range(2) for z in (3, 4) for x in range(2)]
+
+
+def test_virtual_arrays_that_are_not_read(tmp_path, shards):
+    def refused(entries, match, shape=(1, 1, 4, 4, 4)):
+        with pytest.raises(Hdf5Error, match=match):
+            (tmp_path / "VDS_0.hf").write_bytes(virtual_file(shape, entries))
+            hdf5_virtual.sources_of(str(tmp_path / "VDS_0.hf"))
+
+    two = struct.pack("<IIIIII12I", 2, 1, 0, 0, 3, 2, *range(12))
+    refused([("a", "b", two + EVERYTHING)], "selects 2 blocks")
+    refused([("a", "b", struct.pack("<IIII", 1, 1, 0, 0) + EVERYTHING)], "kind 1")
+    refused([("a", "b", hyperslab(2, (1, 0, 0), (4, 4, 4)) + EVERYTHING)], "part of its array")
+    refused([("a", "b", hyperslab(2, (0, 0, 0), (2, 4, 4)) + EVERYTHING)], "part of its array")
+    with pytest.raises(Hdf5Error, match="no virtual array"):
+        hdf5_virtual.level_files(str(tmp_path / "none"))
+    with pytest.raises(Hdf5Error, match="no vdata"):
+        hdf5_virtual.sources_of(saved(tmp_path, new_style(LE16, contiguous), "x.h5"))
