@@ -4,15 +4,15 @@ Tokens are a text's words, A-Z lower-cased, and one end. The model interpolates
 its counts come from one filter, which lies in segments.
 
 1. Words are counted exactly (summed in slices, then by Spark): N tokens, V distinct ones.
-2. Training texts send each of their distinct words and bigrams, by hash, with how often they have it: once for some MB of text,
-   packed by segment. Segments are ranges of hashes. Their number grows with the input, so none outgrows a task.
+2. The filter lies in segments, ranges of hashes, whose number grows with the input, so that none outgrows a task. Texts send
+   each of their distinct words and bigrams to its segment, by hash, with how often training texts have it, once for some MB of text.
 3. A segment sums its counts, leaves out bigrams seen fewer than ``min_count`` times (none, unless asked to), and puts the rest into its part of
-   the filter, which is written. Counts are quantised: level q stands for counts from 2^(q-1) up to 2^q - 1. The
+   the filter. Counts are quantised: level q stands for counts from 2^(q-1) up to 2^q - 1. The
    filter holds (n-gram, 1) to (n-gram, q); asking for level after level until one is missing gives the count back, at
    worst too high where bits collide.
-4. A filter of at most ``most_broadcast`` bytes (it has been written, so its size is known) is broadcast, and the tasks that score
-   texts probe it. A larger one stays where it is: slices of texts send their n-grams to the segments, which probe their
-   part and answer. Both ways ask the same bits and give the same scores.
+4. A filter that is sure to take at most ``most_broadcast`` bytes (by the number of training tokens) is broadcast, and the tasks that
+   score texts probe it. A larger one isn't: slices of texts then get the levels of what they sent, from the segment that
+   has just built its part and probes it. Both ways ask the same bits and give the same scores.
 5. Scoring: p(w | v) = mix * min(1, c(v w) / c(v)) + (1 - mix) * (c(w) + 0.5) / (N + 0.5 (V + 1)).
 
 The base score needs exact counts of all words. The ``most_frequent`` words (a fixed number) are broadcast; documents
@@ -41,7 +41,7 @@ from .skew import spread_join
 from .words import SPACE_WORDS, Words, mix64, of_six_bytes, pieces, segments_of, six_bytes, tasks_for
 
 FOLDS, HELD_OUT = 5, 1
-MOST_FREQUENT, MOST_BROADCAST, BITS_PER_ENTRY, MIN_COUNT, MIX = 200_000, 64 << 20, 10, 1, 0.3
+MOST_FREQUENT, MOST_BROADCAST, BITS_PER_ENTRY, MIN_COUNT, MIX = 200_000, 16 << 20, 10, 1, 0.3
 PROBES, BLOCK_BITS, SLICE_BYTES, LEVELS = 4, 512, 4 << 20, 48
 #: Training tokens a segment, on the average, and distinct n-grams of a piece of text that a task holds before it sends them.
 SEGMENT_TOKENS, MOST_HELD = 600_000, 4_000_000
@@ -107,7 +107,7 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 
 def packed_slices(docs: DataFrame) -> DataFrame:
-    """slice, payload: the rows of ``docs`` (doc_id, text, held_out) in compressed slices, written out."""
+    """slice, payload: the rows of ``docs`` (doc_id, text, held_out, learn) in compressed slices, written out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", SLICE_BYTES):
@@ -116,7 +116,7 @@ def packed_slices(docs: DataFrame) -> DataFrame:
                 writer.write_batch(batch)
             yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["payload"])
 
-    packed = docs.select("doc_id", "text", "held_out").mapInArrow(run, "payload binary")
+    packed = docs.select("doc_id", "text", "held_out", "learn").mapInArrow(run, "payload binary")
     return materialize(packed.select(F.monotonically_increasing_id().alias("slice"), "payload"), "lm-slices")
 
 
@@ -124,14 +124,12 @@ def unpacked(payload: pa.BinaryScalar) -> pa.RecordBatch:
     return next(iter(pa.ipc.open_stream(payload.as_buffer())))
 
 
-def _packed(h: np.ndarray, n: np.ndarray | None, segments: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Segment, number of entries and packed entries of each segment that sorted keys fall into; with counts unless null."""
+def _packed(h: np.ndarray, n: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Segment, number of entries and packed entries (hashes, then counts) of each segment that sorted keys fall into."""
     segment, first = segments_of(h, segments)
     ends = np.append(first[1:], len(h))
-    six, out = six_bytes(h), []
-    for a, b in zip(first.tolist(), ends.tolist(), strict=True):
-        counts = b"" if n is None else n[a:b].astype("<u4" if (n[a:b] > 255).any() else np.uint8).tobytes()
-        out.append(six[a:b].tobytes() + counts)
+    six, n = six_bytes(h), n.astype("<u4")
+    out = [six[a:b].tobytes() + (n[a:b] if (n[a:b] > 255).any() else n[a:b].astype(np.uint8)).tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
     return segment, ends - first, out
 
 
@@ -184,36 +182,48 @@ def filter_parts(train: DataFrame, segments: int, min_count: int, bits_per_entry
     return materialize(made, "lm-filter")
 
 
-def answers(sliced: DataFrame, parts: DataFrame, segments: int) -> DataFrame:
-    """slice, segment, levels: of each slice's distinct n-grams, in the order of their hashes, from the segments' parts of the filter."""
+def gram_levels(sliced: DataFrame, segments: int, min_count: int, bits_per_entry: int) -> DataFrame:
+    """slice, segment, levels: of each slice's distinct n-grams, in the order of their hashes. ``sliced`` has slice and payload."""
     partitions = int(sliced.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                t = Tokens(unpacked(payload).column("text"))
-                segment, entries, packed = _packed(np.unique(keys(np.concatenate([unigram(t.hash), t.bigrams()]))), None, segments)
-                yield pa.RecordBatch.from_arrays([pa.array(segment), pa.array(np.full(len(segment), at, np.int64)), pa.array(packed, pa.binary())], ["segment", "slice", "asked"])
+                rows = unpacked(payload)
+                t = Tokens(rows.column("text"))
+                learn = rows.column("learn").to_numpy(zero_copy_only=False).astype(np.int64)[t.text_of]
+                h, of = np.unique(keys(np.concatenate([unigram(t.hash), t.bigrams()])), return_inverse=True)
+                segment, entries, packed = _packed(h, np.bincount(of, np.concatenate([learn, learn]), len(h)), segments)
+                columns = [pa.array(np.full(len(segment), at, np.int64)), pa.array(segment), pa.array(entries, pa.int32()), pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["slice", "segment", "entries", "packed"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment, own = None, LogFrequencyFilter(0)
+        segment, slices, hashes, counts = None, [], [], []
+
+        def flush() -> pa.RecordBatch:
+            h, of = np.unique(np.concatenate(hashes), return_inverse=True)
+            n = np.bincount(of, np.concatenate(counts), len(h)).astype(np.int64)
+            n[(h >> np.uint64(16) & np.uint64(1) == 1) & (n < min_count)] = 0
+            own = segment_filter(h[n > 0], n[n > 0], bits_per_entry)
+            levels = own.levels(mix64(h)).astype(np.uint8)[of]
+            ends = np.cumsum([len(x) for x in hashes]).tolist()
+            parts = [zstandard.compress(levels[a:b].tobytes(), 1) for a, b in zip([0, *ends], ends, strict=False)]
+            return pa.RecordBatch.from_arrays([pa.array(slices, pa.int64()), pa.array([segment] * len(slices), pa.int64()), pa.array(parts, pa.binary())], ["slice", "segment", "levels"])
+
         for batch in batches:
-            out: list[tuple[int, int, bytes]] = []
-            for s, at, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if s != segment:
-                    segment, own = s, LogFrequencyFilter(0)
-                if at is None:
-                    own = LogFrequencyFilter(8 * len(asked) // BLOCK_BITS, np.frombuffer(asked, np.uint8))
-                else:
-                    levels = own.levels(mix64(of_six_bytes(asked, len(asked) // 6))).astype(np.uint8)
-                    out.append((at, s, zstandard.compress(levels.tobytes(), 1)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["slice", "segment", "levels"])
-
-    asked = sliced.mapInArrow(ask, "segment long, slice long, asked binary")
-    both = asked.unionByName(parts.select("segment", F.lit(None).cast("long").alias("slice"), F.col("bits").alias("asked")))
-    both = both.repartition(tasks_for(partitions, segments), "segment").sortWithinPartitions("segment", F.asc_nulls_first("slice"))
-    return both.mapInArrow(answer, "slice long, segment long, levels binary")
+            for at, s, entries, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if s != segment and hashes:
+                    yield flush()
+                    slices, hashes, counts = [], [], []
+                segment = s
+                slices.append(at)
+                hashes.append(of_six_bytes(packed, entries))
+                counts.append(np.frombuffer(packed, "<u4" if len(packed) == 10 * entries else np.uint8, entries, 6 * entries))
+        if hashes:
+            yield flush()
+
+    sent = sliced.mapInArrow(send, "slice long, segment long, entries int, packed binary")
+    return sent.repartition(tasks_for(partitions, segments), "segment").sortWithinPartitions("segment").mapInArrow(answer, "slice long, segment long, levels binary")
 
 
 class LogFrequencyFilter:
@@ -342,13 +352,13 @@ def lm_scores(docs: DataFrame, text: str = "text", folds: int = FOLDS, held_out:
     words = materialize(word_counts(train), "lm-words")
     total, distinct, n_docs = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("word") == END_WORD, F.col("n"))), F.lit(0))).first()
     segments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // segment_tokens))
-    parts = filter_parts(train, segments, min_count, BITS_PER_ENTRY)
-    size = parts.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
     known = {r["word"]: r["n"] for r in words.where(F.col("n") >= _least_frequent(words, most_frequent)).toLocalIterator()}
     norm = total + 0.5 * (distinct + 1)
     scorer = spark.sparkContext.broadcast(Scorer(known, int(n_docs), norm, mix))
 
-    if size <= most_broadcast:
+    # each training token adds at most one level of a word and one of a bigram
+    if 2 * int(total) * BITS_PER_ENTRY // 8 + segments * BLOCK_BITS // 8 <= most_broadcast:
+        parts = filter_parts(train, segments, min_count, BITS_PER_ENTRY)
         whole = spark.sparkContext.broadcast(WholeFilter(segments, ((r["segment"], bytes(r["bits"])) for r in parts.toLocalIterator())))
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,8 +374,9 @@ def lm_scores(docs: DataFrame, text: str = "text", folds: int = FOLDS, held_out:
             q = np.frombuffer(b"".join(map(zstandard.decompress, packed)), np.uint8).astype(np.int64)
             return pa.Table.from_batches([scorer.value.score(unpacked(slices.column("payload")[0]), lambda grams: q)])
 
-        scored = sliced.groupBy("slice").cogroup(answers(sliced, parts, segments).groupBy("slice")).applyInArrow(score, SCORED)
-        scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored", sliced, parts)
+        levels = gram_levels(sliced, segments, min_count, BITS_PER_ENTRY)
+        scored = sliced.groupBy("slice").cogroup(levels.groupBy("slice")).applyInArrow(score, SCORED)
+        scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored", sliced)
     rare = scored.select("row", F.explode(F.arrays_zip("others", "often")).alias("o")).select("row", F.col("o.others").alias("word"), F.col("o.often").alias("often"))
     rare = spread_join(rare, words, ["word"], ["row"], "left")
     rare = rare.groupBy("row").agg(F.sum(F.col("often") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("often"))).alias("more_known"))
