@@ -363,7 +363,7 @@ def test_stores_round_trip(spark, voxels, array, tmp_path):
     zshard.write_zsharded([voxels, small], ds, f"{tmp_path}/b.z_sharded")
     assert (dense(config.open_dataset(spark, f"{tmp_path}/b.z_sharded"), SHAPE) == array).all()
     with pytest.raises(config.MissingDependency):
-        config.open_dataset(spark, "/x/y.ims")
+        config.open_dataset(spark, "/x/y.omehans")
 
 
 def _tiff(planes, compression, pack, predictor=1):
