@@ -298,3 +298,18 @@ def _ranked_block(docs: DataFrame, block: DataFrame, k: int, owners: int, shard_
 
 def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) GROUP BY rid, term),
+sizes AS (SELECT rid, CAST(sum(tf) AS BIGINT) AS n FROM t GROUP BY rid),
+facts AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM sizes),
+lengths AS (SELECT rid, 10 + (90 * n * docs) // length AS m FROM sizes, facts),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS weight FROM (SELECT term, count(*) AS df FROM t GROUP BY term), facts),
+q AS (SELECT row_number() OVER () AS qid, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+asked AS (SELECT DISTINCT qid, term FROM (SELECT qid, unnest(w) AS term FROM q)),
+scores AS (SELECT qid, rid, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM asked JOIN t USING (term) JOIN weights USING (term) JOIN lengths USING (rid) GROUP BY qid, rid),
+ranked AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM scores JOIN d USING (rid) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked JOIN q USING (qid) WHERE rank <= 10
+"""

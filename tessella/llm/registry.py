@@ -34,5 +34,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_vector_dedup": vectors.SQL,
         "op3_decontaminate": decontam.SQL,
         "op10_url_filter": urls.SQL,
+        "op11_lexical_search": lexical.SQL,
         "op12_nearest": nearest.SQL,
     }
