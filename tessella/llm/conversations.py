@@ -321,3 +321,44 @@ def _gaps(rows: DataFrame) -> DataFrame:
 
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired(load(spark, sf_dir, "conversations"))
+
+
+def _repair_sql() -> str:
+    """The same by tables: a row of four strings (cost, letters) a step, and the chosen letters replayed."""
+    add = lambda s, letters, cost: f"lpad(CAST(CAST(left({s}, 8) AS BIGINT) + {cost} AS VARCHAR), 8, '0') || substr({s}, 9) || '{letters}'"
+    when = lambda test, value: f"CASE WHEN {test} THEN {value} END"
+    stays = "fault NOT IN (1, 2)"
+    from_any = lambda letter, cost: ", ".join(add(b, letter, cost) for b in ("b0", "b1", "c3"))
+    empty = lambda b: when(f"{stays} AND ini = ''", add(b, "K", "more"))
+    return rf"""
+WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+bytes AS (SELECT *, flatten(list_transform(range(1, len(name) + 1), lambda i: [CAST(ascii(substr(name, i, 1)) AS BIGINT), 0, 0, 0, 0, 0, 0, 0])) AS b FROM src),
+kinds AS (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) % 2))), 4294967295) % 20 AS kind FROM bytes),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM kinds WHERE kind <> 0),
+keyed AS (SELECT *, sha256(CAST(len(role) AS VARCHAR) || ':' || role || text) AS digest FROM damaged),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, digest ORDER BY i) AS times FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, digest) AS i FROM keyed)),
+faults AS (SELECT conv_id, turn, role, text, i, left(role, 1) AS ini, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN times > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault FROM placed),
+best(conv_id, i, b0, b1, b2, b3) AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT), '00000000', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM faults
+    UNION ALL SELECT conv_id, i, least({add('b0', 'D', 4)}, {empty('b0')}), least({add('b1', 'D', 4)}, {when(f"{stays} AND ini = 's'", add('b0', 'K', 'more'))}, {empty('b1')}),
+        least({add('c2', 'D', 4)}, {when(f"{stays} AND ini = 'u'", f"least({from_any('K', 'more')})")}, {when(stays, f"least({from_any('R', '3 + more')})")}, {empty('c2')}),
+        least({add('c3', 'D', 4)}, {when(f"{stays} AND ini = 'a'", add('c2', 'K', 'more'))}, {when(stays, add('c2', 'R', '3 + more'))}, {empty('c3')})
+    FROM (SELECT *, least(b3, {add('c2', 'I', 3)}) AS c3, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS more FROM (SELECT f.*, b0, b1, b3, least(b2, {add('b0', 'I', 3)}, {add('b1', 'I', 3)}, {add('b3', 'I', 3)}) AS c2
+        FROM best JOIN faults f ON f.conv_id IS NOT DISTINCT FROM best.conv_id AND f.i = best.i + 1))),
+goals AS (SELECT conv_id, least(b0, b3, {add('b2', 'I', 3)}, {add('b1', 'II', 6)}) AS goal FROM best WHERE (conv_id, i) IN (SELECT (conv_id, max(i)) FROM faults GROUP BY conv_id) OR conv_id IS NULL AND i = (SELECT max(i) FROM faults WHERE conv_id IS NULL)),
+repairs AS (SELECT conv_id, CAST(left(goal, 8) AS BIGINT) AS cost, substr(goal, 9) AS audit FROM goals),
+replay(conv_id, p, i, st, n, lines) AS (SELECT conv_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), '', CAST(0 AS BIGINT), '' FROM repairs
+    UNION ALL SELECT conv_id, p + 1, CASE WHEN letter = 'I' THEN i ELSE i + 1 END, CASE letter WHEN 'D' THEN st WHEN 'K' THEN CASE WHEN ini = '' THEN st ELSE ini END ELSE left(turned, 1) END, CASE WHEN letter = 'D' THEN n ELSE n + 1 END,
+        CASE WHEN letter = 'D' THEN lines ELSE lines || CASE WHEN n > 0 THEN chr(10) ELSE '' END || CASE letter WHEN 'I' THEN turned || ':' WHEN 'K' THEN role || ':' || text ELSE turned || ':' || text END END
+    FROM (SELECT r.*, substr(q.audit, CAST(r.p + 1 AS BIGINT), 1) AS letter, CASE WHEN r.st = 'u' THEN 'assistant' ELSE 'user' END AS turned, f.role, f.text, f.ini FROM replay r JOIN repairs q ON q.conv_id IS NOT DISTINCT FROM r.conv_id AND r.p < len(q.audit)
+        LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.i = r.i + 1)),
+texts AS (SELECT r.conv_id, sha256(lines) AS repaired_sha256, cost, audit FROM replay r JOIN repairs q ON q.conv_id IS NOT DISTINCT FROM r.conv_id AND r.p = len(q.audit)),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated FROM faults GROUP BY conv_id),
+illegals AS (SELECT conv_id, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT conv_id, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS pair FROM faults) GROUP BY conv_id),
+everyone AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal,
+    CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM everyone e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN illegals l ON l.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+SQL = _repair_sql()

@@ -36,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_url_filter": urls.SQL,
         "op11_lexical_search": lexical.SQL,
         "op12_nearest": nearest.SQL,
+        "op13_conversation_repair": conversations.SQL,
     }

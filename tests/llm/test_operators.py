@@ -835,7 +835,7 @@ def test_clashing_names_elsewhere(spark, clashing):
 def test_sql(spark, name):
     sf_dir = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "embeddings"):
+    for t in ("documents", "benchmark", "pages", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     df = registry.queries()[name](spark, sf_dir)
     columns = sorted(df.columns)
