@@ -412,6 +412,27 @@ def resize_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighborhood.resize_nearest(v, shape, (5, 20, shape[2])).drop("t")
 
 
+def _spline(name: str, n: int, m: int) -> str:
+    """Weights of a cubic spline of n voxels at m places, as ``neighborhood.cubic_weights`` makes them."""
+    period = 2 * n - 2
+    return f"""{name} AS (SELECT least(q, {period} - q) AS source, i AS target, sum(basis * sqrt(3.0) * CASE WHEN step % 2 = 0 THEN 1 ELSE -1 END * pow(2 - sqrt(3.0), abs(step))) AS w
+        FROM (SELECT *, ((k + step) % {period} + {period}) % {period} AS q FROM (SELECT *, CASE WHEN d < 1 THEN 2 / 3.0::DOUBLE - d * d + d * d * d / 2 WHEN d < 2 THEN (2 - d) * (2 - d) * (2 - d) / 6 ELSE 0 END AS basis
+        FROM (SELECT *, abs(place - k) AS d FROM (SELECT *, CAST(floor(place) AS BIGINT) + more AS k FROM (SELECT i, (i + 0.5::DOUBLE) * {n} / {m} - 0.5::DOUBLE AS place FROM (SELECT unnest(range(0, {m})) AS i)), (SELECT unnest(range(-1, 3)) AS more)))),
+        (SELECT unnest(range(-27, 28)) AS step) WHERE basis > 0) GROUP BY least(q, {period} - q), i)"""
+
+
+SPLINED = (VOX, DENSE, _spline("wz", 8, 5), _spline("wy", 16, 20), "bounds AS (SELECT min(v) AS low, max(v) AS high FROM dense)", "az AS (SELECT c, target AS z, y, x, sum(v * w) AS v FROM dense JOIN wz ON source = z GROUP BY c, target, y, x)")
+
+
+@query(sql("SELECT c, z, y, x, round(least(greatest(v, low), high), 3) AS v FROM (SELECT c, z, target AS y, x, sum(v * w) AS v FROM az JOIN wy ON source = y GROUP BY c, z, target, x), bounds", "c z y x", "v", ctes=SPLINED))
+def resize_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cubic splines along two axes."""
+    v = volume(spark, sf_dir)
+    shape = shape_of(v)
+    dense = grid.densify(v.drop("t"), shape, ["c"]).withColumn("t", F.lit(0))
+    return neighborhood.resize_cubic(dense, shape, (5, 20, shape[2])).select("c", "z", "y", "x", F.round("v", 3).alias("v"))
+
+
 # metadata
 
 
