@@ -42,7 +42,7 @@ from .words import SPACE_WORDS, Words, mix64, of_six_bytes, pieces, segments_of,
 
 FOLDS, HELD_OUT = 5, 1
 MOST_FREQUENT, MOST_BROADCAST, BITS_PER_ENTRY, MIN_COUNT, MIX = 200_000, 16 << 20, 10, 1, 0.3
-PROBES, BLOCK_BITS, SLICE_BYTES, LEVELS = 4, 512, 4 << 20, 48
+PROBES, BLOCK_BITS, SLICE_BYTES, LEVELS = 4, 512, 2 << 20, 48
 #: Training tokens a segment, on the average, and distinct n-grams of a piece of text that a task holds before it sends them.
 SEGMENT_TOKENS, MOST_HELD = 600_000, 4_000_000
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, others array<string>, often array<long>"
