@@ -184,6 +184,71 @@ def test_nearest_of_odd_rows(spark):
     assert searched(spark, large, every=10) == best(large, 10)  # beyond what doubles add exactly
 
 
+@pytest.mark.parametrize("kw", [{}, {"cell_queries": 3, "part_rows": 2, "chunk_rows": 50}])
+def test_queries_meet_rows_in_any_partition(spark, clustered, kw):
+    """With all shuffle partitions kept, both sides of a group are in the same one."""
+    names = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "13"}
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, value in names.items():
+            spark.conf.set(n, value)
+        assert searched(spark, clustered, every=10, **kw) == best(clustered, 10)
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
+
+
+def fitting(rows, every=50, k=5):
+    """Like ``best`` for vectors of any length and size: pairs of one length whose score fits 64 bits."""
+    rows = [(i, [(int(c) << 8 if abs(c) > 2**60 else math.floor(256 * c)) for c in v]) for i, v in rows if v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    out = []
+    for q, (i, a) in enumerate(rows):
+        if i is None or i % every:
+            continue
+        pairs = [(sum(x * y for x, y in zip(a, b, strict=True)), j) for n, (j, b) in enumerate(rows) if n != q and len(a) == len(b)]
+        pairs = sorted((-s, j is None, j or 0, j) for s, j in pairs if -(2**63) <= s < 2**63)
+        out += [(i, r, j, -s) for r, (s, _, _, j) in enumerate(pairs[:k], 1)]
+    return sorted(out, key=str)
+
+
+CELLS = [{}, {"cell_queries": 2, "chunk_rows": 20, "part_rows": 3}]
+
+
+@pytest.mark.parametrize("kw", CELLS)
+def test_large_components_take_part(spark, kw):
+    """Only pairs whose score leaves 64 bits have none."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(np.float32(c)) for c in rng.normal(size=4)]) for i in range(60)]
+    large = [(100, [4e6, 0.25, 0.5, 0.0]), (101, [0.0, 1e7, 0.0, -1.0]), (110, [0.0, 0.0, 1e30, 0.0]), (111, [1.0, 0.5, 0.0, 1e12]), (120, [2.0**30, 2.0**30, 1.0, 1.0]), (121, [2.0**30, -(2.0**30), 1.0, 1.0]), (122, [1e38, -1e38, 0.0, 2.0])]
+    large = [(i, [float(np.float32(c)) for c in v]) for i, v in large]
+    assert searched(spark, rows + large, every=10, **kw) == fitting(rows + large, 10)
+    many = [(i, [float(np.float32(c * 1e7)) for c in v]) for i, v in rows]
+    assert searched(spark, many, every=10, **kw) == fitting(many, 10)
+
+
+@pytest.mark.parametrize("kw", CELLS)
+def test_vectors_of_each_length_are_compared(spark, kw):
+    rng = np.random.default_rng(10)
+    rows = [(i, [float(np.float32(c)) for c in rng.normal(size=3 + i % 2 * 2)]) for i in range(0, 200, 5)]
+    odd = [(300 + i, [1.0, None]) for i in range(100)]  # the most frequent length, but none takes part
+    assert searched(spark, rows + odd + [(400, []), (401, []), (410, [])], every=10, **kw) == fitting([*rows, (400, []), (401, []), (410, [])], 10)
+
+
+def test_scores_that_fit():
+    q = np.array([[2.0**31, 2.0**31, 0, 1], [-(2.0**32), 0, 0, 0], [1e300, 1, 0, 1], [0, 0, 0, 0], [2.0**70, 3, 1, 0], [1.0, 2.0**62, 2.0**62, -1]])
+    d = np.array([[2.0**31, 2.0**31, 0, -1], [2.0**31, 0, 5, 0], [0, 7, 9, 1e300], [2.0**70, -(2.0**70), 0, 2], [0, 1, 1, 1], [0, 1, 1, 0], [1, 1e300, 3, -1e300]])
+    score, fits = nearest.scores(q, d)
+    exact = [[sum(int(x) * int(y) for x, y in zip(a, b, strict=True)) for b in d] for a in q]
+    assert fits.tolist() == [[-(2**63) <= s < 2**63 for s in row] for row in exact]
+    assert all(score[i, j] == exact[i][j] for i, j in zip(*np.nonzero(fits), strict=True)) and exact[1][0] == -(2**63) and exact[0][0] == 2**63 - 1
+
+
+def test_doubles_of_any_size(spark):
+    rows = [(0, [1e300, 1.0, 0.0]), (1, [0.0, 3.0, 1e305]), (2, [0.0, -1.0, 2.0]), (50, [0.0, 1.0, 0.0]), (3, [1.0, 1.0, 1.0]), (4, [float("inf"), 1.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted((tuple(r) for r in nearest.nearest(table).collect()), key=str) == fitting(rows)
+
+
 # 13 conversation repair
 
 WHITE = set(" \t\n\x0b\x0c\r")
