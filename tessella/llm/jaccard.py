@@ -16,9 +16,12 @@ shingles, and ranges of that order are the fragments. Two documents link when ``
    overlap; for pairs that pass, the sets are cut at fixed points of the order, overlaps are counted for each fragment by
    itself, and the counts are summed per pair.
 5. Trees whose documents lie in several components of these links go on. Of their documents those leave that have so many
-   shingles found in no other of them that every partner is ruled out. The rest make clusters by their trees and are
-   compared tile by tile (a bounded number of documents), again fragment by fragment; a tile reports a spanning
-   forest of its links.
+   shingles found in no other of them that every partner is ruled out. The rest make clusters by their trees, and these are
+   dealt to tiles (a bounded number of documents) by size, so that most pairs of tiles can't link. In the other pairs of
+   tiles the bit sketches meet; only documents with a possible partner of another component are compared there, again
+   fragment by fragment; a pair of tiles reports a spanning forest of its links.
+6. What steps 4 and 5 send is dealt to rounds of bounded size by the pairs of tiles, or by the leaders; a round's files go
+   before the next, so that large clusters take more rounds and not more disk.
 
 Defined cases: a null or empty text, or one without words, has an empty set and links with nothing; with fewer
 words than n the whole sequence is the one shingle; a text of any length is one set, whole; equal texts are linked; rows
@@ -28,11 +31,13 @@ empty table gives no rows; further columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import discard, load, materialize
@@ -44,6 +49,8 @@ RATIO, SLACK, CUTS, MOST_BROADCAST_IDS, TILE_DOCS, TILE_SHINGLES = 1.8, 0.1, 4,
 #: Bytes of text a slice, shingles a range, tasks that share a class of equal sets.
 SLICE_BYTES, SEGMENT_SHINGLES, CLASS_SALTS = 2 << 20, 1 << 19, 16
 FEW, PAIRS_AT_ONCE = 32, 1 << 22
+#: Bytes that a round may send at least, and a shingle of the input; sizes of a tile's step, as a factor; bytes of sketches in a product.
+ROUND_BYTES, ROUND_SHARE, STEP, SKETCH_BLOCK = 1 << 28, 2, 1.05, 4096
 BOUNDS = [1]
 while BOUNDS[-1] < 1 << 40:
     BOUNDS.append(max(BOUNDS[-1] + 1, int(BOUNDS[-1] * RATIO)))
@@ -146,6 +153,40 @@ def most_overlap(size_a: int, a: bytes, size_b: int, b: bytes) -> int:
     return min(size_a - int((x & ~y).sum()), size_b - int((y & ~x).sum()))
 
 
+def _bits(rows: np.ndarray, begin: int, end: int, fold: int) -> np.ndarray:
+    """Bits of the bytes from begin to end of each sketch after each ``fold`` ranges became one, as 0 and 1."""
+    bits = np.unpackbits(rows[:, begin * fold : end * fold], axis=1)
+    return (bits.reshape(len(rows), -1, fold).any(axis=2) if fold > 1 else bits).astype(np.float32)
+
+
+def possible_partners(sizes: np.ndarray, sketch: list[bytes], group: np.ndarray, second: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of a tile's documents (second: false) and another's have one in the other tile that could link with them, of another group.
+
+    If none is ``second``, within one tile. The bound is that of ``most_overlap``.
+    """
+    width, keep = np.array([len(v) for v in sketch], np.int64), np.zeros(len(sizes), bool)
+    x, y = (np.flatnonzero(~second), np.flatnonzero(second)) if second.any() else (np.arange(len(sizes)),) * 2
+    for m in np.unique(width[x]):
+        i = x[width[x] == m]
+        a = np.frombuffer(b"".join(sketch[k] for k in i), np.uint8).reshape(len(i), m)
+        for n in np.unique(width[y]):
+            j = y[width[y] == n]
+            if den * sizes[i].max() < num * sizes[j].min() or den * sizes[j].max() < num * sizes[i].min():
+                continue
+            b = np.frombuffer(b"".join(sketch[k] for k in j), np.uint8).reshape(len(j), n)
+            both, in_a, in_b = np.zeros((len(i), len(j))), np.zeros(len(i)), np.zeros(len(j))
+            for k in range(0, w := int(min(m, n)), SKETCH_BLOCK):
+                u, v = (_bits(c, k, min(k + SKETCH_BLOCK, w), int(z) // w) for c, z in ((a, m), (b, n)))
+                both += u @ v.T
+                in_a += u.sum(axis=1)
+                in_b += v.sum(axis=1)
+            most = both + np.minimum((sizes[i] - in_a)[:, None], (sizes[j] - in_b)[None, :])
+            may = ((num + den) * most >= num * (sizes[i][:, None] + sizes[j][None, :])) & (group[i][:, None] != group[j][None, :])
+            keep[i] |= may.any(axis=1)
+            keep[j] |= may.any(axis=0)
+    return keep
+
+
 def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
@@ -167,7 +208,7 @@ class _Join:
             raise ValueError(f"the threshold must be above 1 / {RATIO} and at most 1: {num} / {den}")
         self.docs, self.n, self.num, self.den = docs, n, num, den
         self.spark = docs.sparkSession
-        self.n_docs = 0
+        self.n_docs, self.room, self.texts = 0, ROUND_BYTES, []
         self.partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def sets(self) -> DataFrame:
@@ -187,7 +228,20 @@ class _Join:
         """The documents with these ids (column id). Beyond a number of them texts are shuffled, and written so that every run of a task sees the same."""
         few = self.n_docs <= MOST_BROADCAST_IDS or ids.count() <= MOST_BROADCAST_IDS
         found = self.docs.join(F.broadcast(ids) if few else ids, self.docs["doc_id"] == ids["id"], "left_semi")
-        return found if few else materialize(found, "jaccard-texts")
+        if few:
+            return found
+        self.texts.append(materialize(found, "jaccard-texts"))
+        return self.texts[-1]
+
+    def written(self, df: DataFrame, name: str, *spent: DataFrame) -> DataFrame:
+        """``df``, materialized; the texts written for it, which are as large as the input, go."""
+        out = materialize(df, name, *spent, *self.texts)
+        self.texts = []
+        return out
+
+    def rounds(self, sent: int | None) -> int:
+        """How many rounds take so many bytes."""
+        return max(1, -(-int(sent or 0) // self.room))
 
     def trees(self, docs: DataFrame, shingles: int) -> DataFrame:
         """leader, id: documents with a common signature hang together; see step 3."""
@@ -251,7 +305,7 @@ class _Join:
 
         sent = docs.mapInArrow(send, "segment long, entries int, packed binary")
         met = sent.repartition(tasks_for(self.partitions, segments), "segment").sortWithinPartitions("segment").mapInArrow(meet, "leader long, id long")
-        return materialize(met.distinct(), "jaccard-trees")
+        return self.written(met.distinct(), "jaccard-trees")
 
     def sketched(self, ids: DataFrame) -> DataFrame:
         """id, size and sketch of the documents with these ids."""
@@ -280,25 +334,30 @@ class _Join:
         return self.of(ids).mapInArrow(run, "id long, size long, cut int, hashes array<long>")
 
     def possible(self, pairs: DataFrame) -> DataFrame:
-        """Those pairs (a, b) that sketches don't rule out."""
+        """Those pairs (a, b) that sketches don't rule out, and the sum of their sizes."""
         num, den = self.num, self.den
-        facts = materialize(self.sketched(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), "jaccard-sketches")
+        facts = self.written(self.sketched(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), "jaccard-sketches")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = [(num + den) * most_overlap(m, x, n, y) >= num * (m + n) for m, x, n, y in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
-                yield _batch(["a", "b"], *(c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]))
+                keep = [(num + den) * most_overlap(m, x, n, y) >= num * (m + n) for m, x, n, y in zip(*(c.to_pylist() for c in batch.columns[3:]), strict=True)]
+                yield _batch(["a", "b", "total"], *(c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:3]))
 
         sides = [facts.select(F.col("id").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "ab"]
         both = spread_join(pairs.join(sides[1], "b").select("a", "b", "size_b", "sketch_b"), sides[0], ["a"], ["b"], counted=pairs)
         # sizes that far apart can't link, whatever the sets
         near = both.where((F.least("size_a", "size_b") * den >= F.greatest("size_a", "size_b") * num))
-        return materialize(near.select("a", "b", "size_a", "sketch_a", "size_b", "sketch_b").mapInArrow(run, "a long, b long"), "jaccard-pairs", facts)
+        return materialize(near.select("a", "b", (F.col("size_a") + F.col("size_b")).alias("total"), "size_a", "sketch_a", "size_b", "sketch_b").mapInArrow(run, "a long, b long, total long"), "jaccard-pairs", facts)
 
     def linked(self, pairs: DataFrame) -> DataFrame:
-        """Those pairs (a, b) that are similar enough."""
+        """Those pairs (a, b, total) that are similar enough."""
+        # a pair's hashes are written for both sides, and those of one or both are sent twice
+        n = self.rounds(pairs.agg(F.sum("total") * 24).first()[0])
+        return _union([self.linked_now(pairs.where(F.pmod(F.xxhash64("a"), F.lit(n)) == k).select("a", "b")) for k in range(n)])
+
+    def linked_now(self, pairs: DataFrame) -> DataFrame:
         ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "jaccard-ids")
-        cuts = materialize(self.segments(ids), "jaccard-segments", ids)
+        cuts = self.written(self.segments(ids), "jaccard-segments", ids)
         left = cuts.select(F.col("id").alias("a"), F.col("size").alias("size_a"), "cut", F.col("hashes").alias("left"))
         right = cuts.select(F.col("id").alias("b"), F.col("size").alias("size_b"), "cut", F.col("hashes").alias("right"))
         partial = spread_join(pairs, left, ["a"], ["b"]).join(right, ["b", "cut"]).select("a", "b", "size_a", "size_b", F.size(F.array_intersect("left", "right")).alias("n"))
@@ -374,13 +433,14 @@ class _Join:
 
         sent = self.of(ids).mapInArrow(send, "slice long, segment long, entries int, packed binary")
         back = sent.repartition(tasks_for(self.partitions, segments), "segment").sortWithinPartitions("segment").mapInArrow(count, "slice long, entries int, packed binary")
-        return materialize(back.groupBy("slice").applyInArrow(gather, "id long").distinct(), "jaccard-sociable")
+        return self.written(back.groupBy("slice").applyInArrow(gather, "id long").distinct(), "jaccard-sociable")
 
-    def linked_in_clusters(self, left: DataFrame, sets: DataFrame) -> DataFrame:
+    def linked_in_clusters(self, left: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
         """Links (a, b), a spanning forest of them, among documents that trees of ``left`` (leader, id) connect.
 
         Nothing that could link is left out: a cluster holds all trees that share documents, and a document goes only if
-        its shingles that no other document has rule out every partner.
+        its shingles that no other document has rule out every partner, or if all whose size and sketch don't are in its own
+        component of ``groups`` (node, component).
         """
         num, den, ids = self.num, self.den, materialize(left.select(F.col("leader").alias("id")).union(left.select("id")).distinct(), "jaccard-open")
         for _ in range(2):
@@ -391,15 +451,38 @@ class _Join:
         ties = own.union(left.join(own.select(F.col("leader").alias("id")).distinct(), "id", "left_semi").select("leader", "id")).distinct()
         cluster = components(ties.select(F.col("leader").alias("a"), F.col("id").alias("b"))).select(F.col("node").alias("id"), F.col("component").alias("cluster")).join(ids, "id", "left_semi")
         cluster = cluster.join(sets.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("weight")).dropDuplicates(["id"]), "id")
-        cluster = materialize(cluster, "jaccard-clusters")
-        # clusters of more than one tile: there are at most 1 / TILE_DOCS as many as documents, or as their shingles fill tiles
-        weigh = cluster.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("weight").alias("shingles"))
-        weigh = weigh.select("cluster", F.ceil(F.greatest(F.col("n") / TILE_DOCS, F.col("shingles") / TILE_SHINGLES)).cast("int").alias("tiles")).where("tiles > 1")
-        tiles = F.coalesce("tiles", F.lit(1))
-        placed = cluster.join(F.broadcast(weigh), "cluster", "left").select("id", "cluster", tiles.alias("tiles"), F.pmod(F.xxhash64("id"), tiles).cast("int").alias("tile"))
-        cuts = materialize(self.segments(cluster.select("id")), "jaccard-segments")
-        sent = cuts.join(placed, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        sent = sent.select("cluster", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), (F.col("tile") > F.col("other")).alias("second"), "id", "size", "cut", "hashes")
+        component = groups.select(F.col("node").alias("id"), F.col("component").alias("group"))
+        cluster = materialize(cluster.join(component, "id", "left").withColumn("group", F.coalesce("group", "id")), "jaccard-clusters")
+        tiled = materialize(placed(cluster), "jaccard-tiled", cluster)
+        pairs = materialize(pairs_of_tiles(tiled, num, den), "jaccard-tiles")
+        near = self.near(tiled, pairs)
+        discard(tiled, pairs)
+        n = self.rounds(near.agg(F.sum("size") * 8).first()[0])
+        return _union([self.compared(near.where(F.pmod(F.xxhash64("cluster", "low", "high"), F.lit(n)) == k)) for k in range(n)])
+
+    def near(self, tiled: DataFrame, pairs: DataFrame) -> DataFrame:
+        """cluster, low, high, second, id, size: the documents that have a possible partner in a pair of tiles."""
+        num, den = self.num, self.den
+        facts = self.written(self.sketched(tiled.select("id")), "jaccard-sketches")
+
+        def run(table: pa.Table) -> pa.Table:
+            sizes, group, second = (table.column(c).to_numpy() for c in ("size", "group", "second"))
+            keep = possible_partners(sizes, table.column("sketch").to_pylist(), group, second, num, den)
+            return table.select(["cluster", "low", "high", "second", "id", "size"]).filter(pa.array(keep))
+
+        # a sketch takes at most half a byte a shingle, or 8
+        n, out = self.rounds(pairs.agg(F.sum(F.col("weight") / 2 + F.col("n") * 64)).first()[0]), []
+        for k in range(n):
+            here = pairs.where(F.pmod(F.xxhash64("cluster", "low", "high"), F.lit(n)) == k).select("cluster", "tile", "low", "high", "second")
+            sent = tiled.select("id", "cluster", "tile", "group").join(facts, "id").join(here, ["cluster", "tile"]).drop("tile")
+            sent = sent.select("cluster", "low", "high", "second", "id", "size", "group", "sketch")
+            out.append(materialize(sent.groupBy("cluster", "low", "high").applyInArrow(run, "cluster long, low int, high int, second boolean, id long, size long"), "jaccard-near"))
+        discard(facts)
+        return _union(out)
+
+    def compared(self, near: DataFrame) -> DataFrame:
+        """Links (a, b), a spanning forest in each pair of tiles."""
+        num, den = self.num, self.den
 
         def compare(table: pa.Table) -> pa.Table:
             own = [table.column(c).to_numpy() for c in ("id", "size", "cut", "second")]
@@ -408,7 +491,37 @@ class _Join:
             a, b = tile_links(*own, counts, flat, num, den)
             return pa.table([pa.array(a), pa.array(b)], ["a", "b"])
 
-        return materialize(sent.groupBy("cluster", "low", "high").applyInArrow(compare, "a long, b long"), "jaccard-links", cuts, cluster)
+        ids = materialize(near.select("id").distinct(), "jaccard-ids")
+        sent = self.segments(ids).join(near.drop("size"), "id").select("cluster", "low", "high", "second", "id", "size", "cut", "hashes")
+        return self.written(sent.groupBy("cluster", "low", "high").applyInArrow(compare, "a long, b long"), "jaccard-links", ids)
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, tables)
+
+
+def placed(cluster: DataFrame) -> DataFrame:
+    """``cluster`` (id, cluster, weight, group) with the tile of each document; tiles follow the sizes, in steps."""
+    step = F.floor(F.log(F.greatest("weight", F.lit(1))) / math.log(STEP)).cast("int")
+    fill = F.greatest(F.count("*") / TILE_DOCS, F.sum("weight") / TILE_SHINGLES)
+    steps = cluster.groupBy("cluster", step.alias("step")).agg(fill.alias("fill"))
+    own = Window.partitionBy("cluster")
+    steps = steps.withColumn("end", F.sum("fill").over(own.orderBy("step"))).withColumn("all", F.sum("fill").over(own))
+    # clusters of more than one tile: some hundred steps, and at most 1 / TILE_DOCS as many as documents, or as their shingles fill tiles
+    steps = steps.where("all > 1").select("cluster", "step", F.floor(F.col("end") - F.col("fill")).cast("int").alias("first"), F.ceil("end").cast("int").alias("end"))
+    dealt = cluster.withColumn("step", step).join(F.broadcast(steps), ["cluster", "step"], "left")
+    # a step that ends within a tile shares it with the next one
+    tile = F.col("first") + F.pmod(F.xxhash64("id"), F.greatest(F.col("end") - F.col("first"), F.lit(1))).cast("int")
+    return dealt.select("id", "cluster", "weight", "group", F.coalesce(tile, F.lit(0)).alias("tile"))
+
+
+def pairs_of_tiles(tiled: DataFrame, num: int, den: int) -> DataFrame:
+    """cluster, tile, low, high, second: where a tile goes, and its n documents and their weight; pairs of tiles whose sizes are too far apart are left out."""
+    tiles = tiled.groupBy("cluster", "tile").agg(F.min("weight").alias("least"), F.max("weight").alias("most"), F.sum("weight").alias("weight"), F.count("*").alias("n"))
+    one, two = (tiles.select("cluster", *(F.col(c).alias(f"{c}_{k}") for c in ("tile", "least", "most", "weight", "n"))) for k in "ab")
+    both = one.join(two, "cluster").where("tile_a <= tile_b").where((F.col("least_b") * num <= F.col("most_a") * den) & (F.col("least_a") * num <= F.col("most_b") * den))
+    side = lambda k: both.select("cluster", F.col(f"tile_{k}").alias("tile"), F.col("tile_a").alias("low"), F.col("tile_b").alias("high"), F.lit(k == "b").alias("second"), F.col(f"weight_{k}").alias("weight"), F.col(f"n_{k}").alias("n"))
+    return side("a").unionByName(side("b").where("low < high"))
 
 
 def tile_links(ids: np.ndarray, sizes: np.ndarray, cut: np.ndarray, second: np.ndarray, counts: np.ndarray, hashes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -462,6 +575,7 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int, text: str =
     labels = materialize(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("label"), F.count("*").alias("n")), "jaccard-classes")
     heads = labels.select(F.col("label").alias("id")).distinct()
     shingles = full.join(heads, full["doc_id"] == heads["id"], "left_semi").agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    join.room = max(ROUND_BYTES, int(ROUND_SHARE * shingles))
     edges = join.trees(join.of(heads), shingles)
 
     first = materialize(edges.groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a")).select("a", "b"), "jaccard-first")
@@ -476,9 +590,10 @@ def jaccard_components(docs: DataFrame, n: int, num: int, den: int, text: str =
     tops = open_.union(above).distinct()
     below = edges.join(tops, "leader", "left_semi").select(F.col("id").alias("leader"))
     left = materialize(edges.join(tops.union(below).distinct(), "leader", "left_semi"), "jaccard-left", open_)
-    discard(edges, groups)
+    discard(edges)
     if not left.isEmpty():
-        links = links.unionByName(join.linked_in_clusters(left, full))
+        links = links.unionByName(join.linked_in_clusters(left, full, groups))
+    discard(groups)
     groups = components(links)
     node = groups.select(F.col("node").alias("doc_id"), F.col("component").alias("own"))
     # classes of several documents, each as often as its documents are dealt to tasks

@@ -163,6 +163,68 @@ def test_jaccard_tiles_are_small(spark, corpus, monkeypatch):
     assert got == linked_sets(corpus, 3, 90, 100)
 
 
+def shuffled_bytes(spark):
+    sc = spark.sparkContext
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.length()))
+
+
+def test_jaccard_of_a_large_cluster_sends_no_document_to_all_tiles(spark, monkeypatch):
+    """Documents of shared passages hang together and most don't link; what is sent must not grow with the number of tiles."""
+    rng = random.Random(3)
+    passages = [words(rng, 80) for _ in range(8)]
+    rows = [(i, " ".join(w for p in rng.sample(passages, 3 + i % 4) for w in p)) for i in range(160)]
+    monkeypatch.setattr(jaccard, "TILE_DOCS", 2)
+    before = shuffled_bytes(spark)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(as_docs(spark, rows), 3, 90, 100).collect()}
+    assert shuffled_bytes(spark) - before < 5 * sum(len(t) for _, t in rows)
+    assert got == linked_sets(rows, 3, 90, 100)
+
+
+def test_jaccard_in_rounds_gives_the_same_and_leaves_no_texts(spark, corpus, monkeypatch):
+    written, left = [], set()
+    real, gone = jaccard.materialize, jaccard.discard
+
+    def materialize(df, name, *spent, **by):
+        written.append(name)
+        out = real(df, name, *spent, **by)
+        left.difference_update(t._scratch for t in spent)
+        left.add(out._scratch)
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", materialize)
+    monkeypatch.setattr(jaccard, "discard", lambda *tables: (gone(*tables), left.difference_update(t._scratch for t in tables)))
+    monkeypatch.setattr(jaccard, "MOST_BROADCAST_IDS", 0)
+    monkeypatch.setattr(jaccard, "TILE_DOCS", 7)
+    monkeypatch.setattr(jaccard, "ROUND_BYTES", 30_000, raising=False)
+    monkeypatch.setattr(jaccard, "ROUND_SHARE", 0, raising=False)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(as_docs(spark, corpus), 3, 90, 100).collect()}
+    assert got == linked_sets(corpus, 3, 90, 100)
+    assert "jaccard-texts" in written
+    assert written.count("jaccard-links") > 2
+    assert not [path for path in left if path.endswith("jaccard-texts")]
+
+
+def test_possible_partners_hold_all_links():
+    rng = random.Random(9)
+    pool = [words(rng, 90) for _ in range(12)] + [words(rng, 12_000, 10**9)]
+    texts = [" ".join(w for p in rng.sample(pool[:12], rng.randint(1, 4)) for w in p) for _ in range(60)] + [" ".join(pool[12]), " ".join(pool[12][:11_500])]
+    texts += [t.replace(t.split()[-1], "new") for t in texts[:20]] + ["two words", "three words only"]
+    of, grams, sizes = jaccard.shingle_sets(pa.array(texts), 3)
+    sets = [set(grams[of == i].tolist()) for i in range(len(texts))]
+    group = np.array([0 if i in (0, 62) else i for i in range(len(texts))])
+    sketch = jaccard.sketches(of, grams, sizes)
+    for second in (np.zeros(len(texts), bool), np.arange(len(texts)) % 2 == 1):
+        kept = jaccard.possible_partners(sizes, sketch, group, second, 90, 100)
+        meet = [(i, j) for i in range(len(texts)) for j in range(len(texts)) if i != j and group[i] != group[j] and (not second.any() or second[i] != second[j])]
+        close = {k for i, j in meet if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]) for k in (i, j)}
+        bound = {k for i, j in meet if 190 * jaccard.most_overlap(int(sizes[i]), sketch[i], int(sizes[j]), sketch[j]) >= 90 * int(sizes[i] + sizes[j]) for k in (i, j)}
+        assert len(close) > 10
+        assert close <= bound
+        assert set(np.flatnonzero(kept).tolist()) == bound
+
+
 def test_jaccard_of_odd_rows(spark, odd):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(odd, 3, 90, 100).collect()), key=str)
     assert (1, 0, 1) in got and (2, 0, 2) in got and (3, 0, 3) in got and (None, 5, None) in got
